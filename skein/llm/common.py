@@ -94,7 +94,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         seen = tuple(state)
     else:
         raise RuntimeError("components did not converge")
-    roots = links.groupBy("b").agg().select(F.col("b").alias("node"), F.col("b").alias("component"))
+    roots = links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
 
 

@@ -62,21 +62,21 @@ class Transducer:
         self.emitted = Recent(self._unit, STATES)
 
     def _merge(self, word: str) -> int:
-        """Tokens of one split word: merge the pair of least rank until none is left."""
-        parts = [self.letters[b] for b in word.encode()]
-        while len(parts) > 1:
-            rank, at = min((self.ranks.get(p, 1 << 60), i) for i, p in enumerate(zip(parts, parts[1:])))
-            if rank == 1 << 60:
+        """Tokens of one split word: merge the leftmost pair of least rank until none is left."""
+        letters, rank, never = self.letters, self.ranks.get, 1 << 60
+        parts = [letters[b] for b in word.encode()]
+        ranks = [rank(pair, never) for pair in zip(parts, parts[1:])]
+        while ranks:
+            least = min(ranks)
+            if least == never:
                 break
-            pair, out, i = (parts[at], parts[at + 1]), [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and (parts[i], parts[i + 1]) == pair:
-                    out.append(parts[i] + parts[i + 1])
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
+            i = ranks.index(least)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank((parts[i], parts[i + 1]), never)
+            if i:
+                ranks[i - 1] = rank((parts[i - 1], parts[i]), never)
         return len(parts)
 
     def _unit(self, unit: str) -> int:
