@@ -17,6 +17,7 @@ import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import Recent, cut, ship, slices
 
 END_ID = 1
-CACHE_WORDS = 200_000
+CACHE_WORDS = 300_000
 
 
 @functools.lru_cache(maxsize=4)
@@ -60,11 +61,15 @@ class _WordEncoder:
         for text in texts:
             plain = self.PLAIN.fullmatch(text) and not any(s in text for s in self.specials)
             split.append(self.WORDS.findall(unicodedata.normalize("NFC", text).lower()) if plain else None)
-        known = self.known
-        new = [w for w in set().union(*(words for words in split if words)) if w not in known and w not in known.older and len(w) <= known.longest]
+        known, new = self.known, []
+        for word in set().union(*(words for words in split if words)).difference(known):
+            if (ids := known.older.get(word)) is not None:
+                known.put(word, ids)
+            elif len(word) <= known.longest:
+                new.append(word)
         for word, coded in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
             known.put(word, array("I", coded.ids).tobytes())
-        return [b"".join(map(known.__getitem__, words)) if words is not None else self._whole(text) for text, words in zip(texts, split, strict=True)]
+        return [(b"".join(itemgetter(*words)(known)) if len(words) > 1 else b"".join(map(known.__getitem__, words))) if words is not None else self._whole(text) for text, words in zip(texts, split, strict=True)]
 
 
 def pieces(documents: DataFrame, tokenizer: str, capacity: int = 4096) -> DataFrame:
@@ -72,7 +77,7 @@ def pieces(documents: DataFrame, tokenizer: str, capacity: int = 4096) -> DataFr
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = _encoder(tokenizer), np.array([END_ID], dtype="<u4").tobytes()
-        for rows in slices(batches, 64):
+        for rows in slices(batches, 1000):
             out: list[tuple] = []
             for doc_id, ids in zip(rows["doc_id"], encoder.encode([t or "" for t in rows["text"]]), strict=True):
                 ids += end
