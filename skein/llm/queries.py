@@ -6,7 +6,7 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprints, licenses, minhash, packing, quality, sharding, substrings, token_counts
+from . import decontamination, fingerprints, licenses, minhash, packing, quality, sharding, substrings, suffixes, token_counts
 from .common import read
 
 
@@ -36,6 +36,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), capacity=4096)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup(read(spark, sf_dir, "documents"), size=400)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=512)
 
@@ -56,7 +60,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_minhash_dedup, op2_sharding, op3_decontamination, op4_fingerprints, op5_packing,
-        op7_token_counts, op8_substring_dedup, op9_license_scan, op10_quality_classifier,
+        op6_suffix_dedup, op7_token_counts, op8_substring_dedup, op9_license_scan, op10_quality_classifier,
     )
 }
 

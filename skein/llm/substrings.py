@@ -58,9 +58,12 @@ def _words(words: Words, text: str | None) -> np.ndarray:
 
 
 def keyed(documents: DataFrame) -> DataFrame:
-    """doc_id, its order (nulls last), text, and a key of the row by doc_id and text."""
+    """place (doc_id; nulls last), row (a key by doc_id and text) and text.
+
+    Both joins of texts use just these columns, so that texts are shuffled once and the exchange is reused.
+    """
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.select("doc_id", F.coalesce("doc_id", F.lit(_LAST)).alias("place"), F.xxhash64("doc_id", "text").alias("row"), "text")
+    return rows.select(F.coalesce("doc_id", F.lit(_LAST)).alias("place"), F.xxhash64("doc_id", "text").alias("row"), "text")
 
 
 def index(rows: DataFrame) -> DataFrame:
@@ -139,9 +142,9 @@ def removals(documents: DataFrame) -> DataFrame:
     shared = indexed.groupBy("anchor").agg(F.min("place").alias("low"), F.max("place").alias("high"), F.count("*").alias("n")).where("low < high")
     met = indexed.join(shared.select("anchor", F.ceil(F.col("n") / HOT).alias("blocks")), "anchor")
     met = cut(met.groupBy("row").agg(F.collect_set(F.struct("at", "blocks")).alias("met")))  # as many as a row has windows
-    spans = parsed(asked(rows.join(met, "row").select("place", "row", "text", "met").dropDuplicates(["row"])))
+    spans = parsed(asked(rows.join(met, "row").select("place", "row", "text", "met")))
     spans = spans.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    return rows.join(spans, "row", "left").select("doc_id", "text", "spans")
+    return rows.join(spans, "row", "left").select(F.nullif("place", F.lit(_LAST)).alias("doc_id"), "text", "spans")
 
 
 def dedup(documents: DataFrame) -> DataFrame:
