@@ -70,32 +70,36 @@ def numbered(df: DataFrame, *order: Column | str, name: str = "row") -> tuple[Da
     return out.withColumn(name, F.col("_start") + within).drop("_part", "_start", "_place"), total
 
 
+FEW_EDGES = 500_000
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges(a long, b long); component is the smallest node reachable.
 
     Alternates large-star and small-star steps, a logarithmic number of them, each an aggregation by
     node; links stay distributed, and only a count and a checksum reach the driver to see convergence.
+    Up to FEW_EDGES links are a task's work and aren't shuffled from step to step.
     """
     links = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
+    few, seen = links.count() <= FEW_EDGES, None
     for _ in range(rounds):
+        links = links.coalesce(1) if few else links
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = both.coalesce(1) if few else both
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # small star: every node's smaller neighbours are linked to the least of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        links = cut(
-            small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        )
-        state = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(state) == seen:
+        star = F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b"))))
+        links = cut(large.join(least, "a").select(star.alias("e")).select("e.a", "e.b").where("a <> b").distinct())
+        state = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if state == seen:
             break
-        seen = tuple(state)
+        seen = state
     else:
         raise RuntimeError("components did not converge")
-    roots = links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return links.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
+    node = F.explode(F.array("a", "b")).alias("node")
+    return links.select(node, F.col("b").alias("component")).distinct()
 
 
 class Recent(dict):
