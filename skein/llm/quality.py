@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import Recent, ship
 
 WIDTH = 1 << 18  # hashed features of a view
-LABELLED, POOL = 8000, 8000
+LABELLED, POOL = 12_000, 6_000
 ROUNDS, HANDED, SURE = 3, 200, 0.95
 SEED = 11
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -34,10 +34,10 @@ _HASH_PARTS = 1 << 24
 
 
 class Content:
-    """Features of texts: words that occur, and buckets of shape statistics."""
+    """Features of texts: words that occur and their beginnings, and buckets of shape statistics."""
 
     def __init__(self):
-        self.slot = Recent(lambda w: 1024 + xxhash.xxh3_64_intdigest(w) % (WIDTH - 1024), 200_000)
+        self.slots = Recent(_slots, 100_000)
 
     def features(self, text: str | None) -> np.ndarray:
         text = text or ""
@@ -53,7 +53,12 @@ class Content:
             twice / max(1, len(tokens)), sum(c.isdigit() for c in text[:: max(1, len(text) // 2000)]) / 2000,
         )
         buckets = [32 * i + min(31, int(32 * x**0.5)) for i, x in enumerate(shape)] + [32 * len(shape) + min(31, n.bit_length())]
-        return np.fromiter([*buckets, *{self.slot[w] for w in counts}], dtype=np.int32)
+        return np.fromiter(set(buckets).union(*map(self.slots.__getitem__, counts)), dtype=np.int32)
+
+
+def _slots(word: str) -> tuple[int, ...]:
+    """A word's feature and those of its beginnings, in which compounds are alike."""
+    return tuple(1024 + xxhash.xxh3_64_intdigest(x) % (WIDTH - 1024) for x in {word, *(f"{word[:k]}-" for k in (4, 5, 6) if len(word) > k)})
 
 
 def metadata_features(lang: object, source: object, n_chars: object) -> np.ndarray:
@@ -76,22 +81,30 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(rows: list[np.ndarray], good: np.ndarray, steps: int = 150, ridge: float = 2e-4, seen: int = 3) -> np.ndarray:
-    """Weights of a ridge logistic model by Adam; features seen in fewer rows than `seen` keep weight 0."""
+def fit(rows: list[np.ndarray], good: np.ndarray, steps: int = 200, ridge: float = 1e-4, seen: int = 5, apart: float = 6.0) -> np.ndarray:
+    """Weights of a ridge logistic model by Adam, with classes balanced; the intercept is left to the calibration.
+
+    Only features take part that are seen in `seen` rows at least and whose shares in the two classes lie
+    `apart` standard errors apart; many weak words would otherwise outvote a telling one in a long text.
+    """
     which = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     used, index, often = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
-    weights, mean, square = np.zeros(len(used)), np.zeros(len(used)), np.zeros(len(used))
-    active, bias_scale = often >= seen, 1 / np.sqrt(max(1, len(rows)))
+    n1, n0 = max(1, int(good.sum())), max(1, int((1 - good).sum()))
+    in_good = np.bincount(index, good[which], len(used))
+    share = often / (n1 + n0)
+    z = (in_good / n1 - (often - in_good) / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0))
+    active = (often >= seen) & (np.abs(z) >= apart)
     keep = active[index]
     which, index = which[keep], index[keep]
-    balance = np.where(good > 0, 0.5 / max(good.mean(), 1e-6), 0.5 / max(1 - good.mean(), 1e-6))
+    weights, mean, square = (np.zeros(len(used) + 1) for _ in range(3))
+    balance = np.where(good > 0, 0.5 * len(rows) / n1, 0.5 * len(rows) / n0) / len(rows)
     for step in range(1, steps + 1):
-        error = (_sigmoid(np.bincount(which, weights[index], len(rows))) - good) * balance / len(rows)
-        gradient = np.bincount(index, error[which], len(used)) + ridge * weights * bias_scale
+        error = (_sigmoid(np.bincount(which, weights[index], len(rows)) + weights[-1]) - good) * balance
+        gradient = np.append(np.bincount(index, error[which], len(used)) + ridge * weights[:-1], error.sum())
         mean, square = 0.9 * mean + 0.1 * gradient, 0.99 * square + 0.01 * gradient**2
-        weights -= 0.05 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
+        weights -= 0.1 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
     out = np.zeros(WIDTH, dtype=np.float32)
-    out[used[active]] = weights[active]
+    out[used[active]] = weights[:-1][active]
     return out
 
 
