@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship, slices
-from .shingles import Permutations, Words, grams
+from .shingles import Permutations, grams, lowered
 
 SHINGLE, CONTAINED = 5, 0.8
 MINIMA, SEED = 64, 1729
@@ -32,13 +32,12 @@ class Index:
     """Band keys of a block of items: class by class, sorted (band, minimum) keys and the items that have them."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        words = Words()
         self.permutations = Permutations(MINIMA, SEED)
         self.sets: list[tuple[int, int, np.ndarray]] = []  # item_id, words in a gram, distinct gram hashes
         keys: dict[int, list] = {}
         self.short: dict[int, list] = {}
         for item_id, text in items:
-            h = words.of(text)
+            h = lowered(text)
             if not len(h):
                 continue
             n = min(SHINGLE, len(h))
@@ -55,7 +54,14 @@ class Index:
         for level, parts in keys.items():
             key, number = np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts])
             order = np.argsort(key, kind="stable")
-            self.levels[level] = (key[order], number[order])
+            key = key[order]
+            marks = np.zeros(1 << max(16, int(16 * len(key)).bit_length()), dtype=bool)  # whether a key may be there
+            marks[self._slot(key, len(marks))] = True
+            self.levels[level] = (key, number[order], marks)
+
+    @staticmethod
+    def _slot(key: np.ndarray, size: int) -> np.ndarray:
+        return (key ^ (key >> np.uint64(32)) * np.uint64(0x9E3779B1)) & np.uint64(size - 1)
 
     def candidates(self, g: np.ndarray) -> set[int]:
         found: set[int] = set()
@@ -65,8 +71,9 @@ class Index:
         for level in range(min(self.levels), top + 1):
             if level in self.levels:
                 windows = np.minimum(low[:, :-1], low[:, 1:]) if low.shape[1] > 1 else low
-                asked = np.unique(_banded(windows))
-                key, number = self.levels[level]
+                key, number, marks = self.levels[level]
+                asked = _banded(windows)
+                asked = np.unique(asked[marks[self._slot(asked, len(marks))]])
                 left, right = np.searchsorted(key, asked, "left"), np.searchsorted(key, asked, "right")
                 for a, b in zip(left[left < right], right[left < right], strict=True):
                     found.update(number[a:b].tolist())
@@ -122,11 +129,10 @@ def find(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     for index in _indexes(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            words = Words()
             for rows in slices(batches, 256):
                 found = []
                 for doc_id, text in zip(rows["doc_id"], rows["text"], strict=True):
-                    found += [(doc_id, i, n, c, c / n) for i, n, c in index.value.search(words.of(text))]
+                    found += [(doc_id, i, n, c, c / n) for i, n, c in index.value.search(lowered(text))]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kinds, strict=True)], names)
 
@@ -141,11 +147,10 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     for index in _indexes(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            words = Words()
             for batch in batches:
                 for start in range(0, batch.num_rows, 256):
                     part = batch.slice(start, 256)
-                    clean = [not index.value.search(words.of(text)) for text in part.column("text").to_pylist()]
+                    clean = [not index.value.search(lowered(text)) for text in part.column("text").to_pylist()]
                     yield part.filter(pa.array(clean, pa.bool_()))
 
         documents = documents.mapInArrow(run, documents.schema)

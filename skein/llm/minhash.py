@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut, ship
-from .shingles import Permutations, Words, mixed, shingles
+from .shingles import Permutations, lowered, mixed, shingles
 
 BANDS, ROWS, BITS, SEED = 32, 5, 4, 4242
 K = BANDS * ROWS
@@ -56,13 +56,13 @@ def sketch(documents: DataFrame, shingle: int) -> DataFrame:
     ship(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, permutations, powers = Words(), Permutations(K, SEED), np.random.default_rng(SEED + 1).integers(1, 1 << 63, ROWS, dtype=np.uint64) | np.uint64(1)
+        permutations, powers = Permutations(K, SEED), np.random.default_rng(SEED + 1).integers(1, 1 << 63, ROWS, dtype=np.uint64) | np.uint64(1)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 out = []
                 for text in part.column("text").to_pylist():
-                    distinct = np.unique(shingles(words.of(text), shingle))
+                    distinct = np.unique(shingles(lowered(text), shingle))
                     if not len(distinct):
                         out.append((0, None, None, None))
                         continue
@@ -78,11 +78,10 @@ def full_sets(documents: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
     """id, signature and sorted shingle set of the documents named in ids(id, signature)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                sets = [np.unique(shingles(words.of(t), shingle)).tobytes() for t in part.column("text").to_pylist()]
+                sets = [np.unique(shingles(lowered(t), shingle)).tobytes() for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("signature"), pa.array(sets, pa.binary())], ["id", "signature", "shingles"])
 
     texts = documents.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id")

@@ -1,28 +1,58 @@
-"""Words and shingle hashes of whole texts, in NumPy."""
+"""Word hashes and shingle hashes of whole texts, in NumPy."""
 
 from __future__ import annotations
 
 import numpy as np
-import xxhash
-
-from .common import Recent
 
 _P1, _P2, _P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 EMPTY = np.zeros(0, dtype=np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+_BYTES = np.random.default_rng(97).integers(0, 1 << 64, 256, dtype=np.uint64)
+_WHITE = np.zeros(256, dtype=bool)
+_WHITE[[9, 10, 11, 12, 13, 32]] = True
+
+
+class _Powers:
+    """Powers of the base and of its inverse modulo 2^64, as many as were needed so far."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, dtype=np.uint64)
+
+    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        while len(self.up) < n:
+            k = len(self.up)
+            self.up = np.concatenate([self.up, self.up * np.uint64(pow(_BASE, k, 1 << 64))])
+            self.down = np.concatenate([self.down, self.down * np.uint64(pow(_BASE, -k, 1 << 64))])
+        return self.up[:n], self.down[:n]
 
 
-class Words:
-    """64-bit hashes of words, remembered by word."""
+_powers = _Powers()
 
-    def __init__(self, size: int = 150_000):
-        self.known = Recent(xxhash.xxh3_64_intdigest, size)
 
-    def hashes(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.known.__getitem__, words), dtype=np.uint64, count=len(words))
+def prefix_hashes(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(n + 1) hashes of the prefixes of n bytes, and the factors that bring a difference of two to its place."""
+    up, down = _powers.get(len(b) + 1)
+    total = np.zeros(len(b) + 1, dtype=np.uint64)
+    np.cumsum(_BYTES[b] * up[:-1], out=total[1:])
+    return total, down
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """Hashes of the words of a text, split at ASCII white space."""
+    b = np.frombuffer(raw, np.uint8)
+    ink = np.zeros(len(b) + 2, dtype=np.int8)
+    ink[1:-1] = ~_WHITE[b]
+    step = np.diff(ink)
+    start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    if not len(start):
+        return EMPTY
+    total, down = prefix_hashes(b)
+    return mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+
 
-    def of(self, text: str | None) -> np.ndarray:
-        """Hashes of the words of a text: A-Z lower-cased, split at ASCII white space."""
-        return self.hashes((text or "").encode().lower().split())
+def lowered(text: str | None) -> np.ndarray:
+    """Hashes of the words of a text with A-Z lower-cased."""
+    return word_hashes((text or "").encode().lower())
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

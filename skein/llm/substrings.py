@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, ship
-from .shingles import EMPTY, Words, mixed
+from .shingles import EMPTY, mixed, word_hashes
 
 SPAN, GRAM = 50, 16
 HOT = 20_000  # occurrences of an anchor in one block
@@ -53,10 +53,6 @@ def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return g, np.lib.stride_tricks.sliding_window_view(g, width).argmin(axis=1) + np.arange(len(g) - width + 1)
 
 
-def _words(words: Words, text: str | None) -> np.ndarray:
-    return words.hashes((text or "").encode().split())
-
-
 def keyed(documents: DataFrame) -> DataFrame:
     """place (doc_id; nulls last), row (a key by doc_id and text) and text.
 
@@ -70,13 +66,12 @@ def index(rows: DataFrame) -> DataFrame:
     """anchor, place, row, at: the anchors of all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256).to_pydict()
                 keys, places, owners, spots = [EMPTY], [], [], []
                 for place, row, text in zip(part["place"], part["row"], part["text"], strict=True):
-                    g, chosen = anchors(_words(words, text))
+                    g, chosen = anchors(word_hashes(text.encode()))
                     at = np.unique(chosen)
                     keys.append(g[at])
                     spots += at.tolist()
@@ -91,12 +86,11 @@ def asked(rows: DataFrame) -> DataFrame:
     """From rows(place, row, text, met: array of (at, blocks)): the windows that chose a met anchor, as anchor, block, place, row, starts, hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for batch in batches:
             for start in range(0, batch.num_rows, 128):
                 part, out = batch.slice(start, 128).to_pydict(), []
                 for place, row, text, met in zip(*(part[c] for c in ("place", "row", "text", "met")), strict=True):
-                    h = _words(words, text)
+                    h = word_hashes(text.encode())
                     g, chosen = anchors(h)
                     windows = run_hashes(h, SPAN)
                     for at, blocks in {(m["at"], m["blocks"]) for m in met}:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, ship
-from .shingles import EMPTY, mixed
+from .shingles import EMPTY, mixed, prefix_hashes
 from .substrings import covered, keyed
 
 GRAM = 32
@@ -33,36 +33,13 @@ HEAD = 8  # bytes of the anchor's hash before each suffix
 _POSITION_BITS = 24
 _POSITIONS = np.uint64((1 << _POSITION_BITS) - 1)
 _STRETCH = (1 << _POSITION_BITS) - 1  # bytes hashed at once
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BYTES = np.random.default_rng(97).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-class _Powers:
-    """Powers of the base and of its inverse modulo 2^64, as many as were needed so far."""
-
-    def __init__(self):
-        self.up = self.down = np.ones(1, dtype=np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        while len(self.up) < n:
-            k = len(self.up)
-            self.up = np.concatenate([self.up, self.up * np.uint64(pow(_BASE, k, 1 << 64))])
-            self.down = np.concatenate([self.down, self.down * np.uint64(pow(_BASE, -k, 1 << 64))])
-        return self.up[:n], self.down[:n]
-
-
-_powers = _Powers()
-
 
 def window_hashes(b: np.ndarray, n: int) -> np.ndarray:
     """Rolling hashes of all n-byte windows."""
     if len(b) < n:
         return EMPTY
-    up, down = _powers.get(len(b))
-    total = np.cumsum(_BYTES[b] * up)
-    out = total[n - 1 :].copy()
-    out[1:] -= total[: len(b) - n]
-    return mixed(out * down[: len(out)])
+    total, down = prefix_hashes(b)
+    return mixed((total[n:] - total[:-n]) * down[: len(b) - n + 1])
 
 
 def anchors(raw: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
