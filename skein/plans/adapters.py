@@ -28,7 +28,7 @@ class Dialect:
     duck: bool
 
     def ms(self, x: str) -> str:
-        return f"epoch_ms({x})" if self.duck else f"unix_millis(CAST({x} AS TIMESTAMP))"
+        return f"(epoch_us({x}) // 1000)" if self.duck else f"unix_millis(CAST({x} AS TIMESTAMP))"
 
     def div(self, a: str, b: object) -> str:
         return f"(({a}) // {b})" if self.duck else f"(({a}) div {b})"
@@ -64,18 +64,18 @@ def select(table: str, d: Dialect) -> str:
             event_type IN ('click', 'view') AS from_me, CASE WHEN event_type IN ('click', 'view') THEN '{SELF}' ELSE {d.name('user_id')} END AS sender_name,
             {body} AS body, CASE WHEN {e} % 17 = 0 THEN 'image' END AS attachment_type, CAST(value AS DOUBLE) AS value FROM events""",
         "identities": f"""SELECT 'id-' || {_s('u')} AS canonical_id, {d.name('u')} AS display_name, {d.array(d.name('u'), f"lower({d.pick(FIRST, ',', 'u % 20')}) || {_s('u % 100')} || '@mail.example'", f"'+1555' || {_s('u % 90 + 1000')}")} AS aliases,
-            {d.array(d.pick(SOURCES, ',', 'u % 5'))} AS sources, u AS n FROM (SELECT DISTINCT user_id AS u FROM events) x""",
+            {d.array(d.pick(SOURCES, ',', f"(u + {d.div('u', 20)}) % 5"))} AS sources, u AS n FROM (SELECT DISTINCT user_id AS u FROM events) x""",
         "thread_identity": f"SELECT DISTINCT 't' || {_s('user_id')} AS thread_id, 'id-' || {_s('user_id')} AS canonical_id FROM events",
         "threads": f"""SELECT thread_id, min(source) AS source, CAST(max(CASE WHEN substr(thread_id, 1, 1) = 'g' THEN 1 ELSE 0 END) AS INT) = 1 AS is_group, {d.collected('name')} AS participants
             FROM (SELECT CASE WHEN {e} % 3 = 0 THEN 'g' || {_s('user_id % 12')} ELSE 't' || {_s('user_id')} END AS thread_id, {d.pick(SOURCES, ',', f'{e} % 5')} AS source, {d.name('user_id')} AS name FROM events) x GROUP BY thread_id""",
         "photos": f"""SELECT 'p' || {_s('o_orderkey')} AS id, {d.ms('o_orderdate')} AS ts, lower(o_orderpriority) AS source, 'a/' || {_s('o_orderkey')} || '.jpg' AS asset_path,
             'h' || {_s('o_custkey % 700')} AS hash_sha256, o_orderkey AS n FROM orders""",
-        "places": f"""SELECT 'p' || {_s('o_orderkey')} AS photo_id, -38.2 + (o_custkey % 80) / 100.0 AS lat, 144.4 + (o_custkey % 100) / 100.0 AS lng,
+        "places": f"""SELECT 'p' || {_s('o_orderkey')} AS photo_id, -38.2e0 + (o_custkey % 80) / 1e2 AS lat, 144.4e0 + (o_custkey % 100) / 1e2 AS lng,
             'place ' || {_s('o_custkey % 40')} AS place_name, CASE WHEN o_custkey % 9 = 0 THEN NULL ELSE 'city ' || {_s('o_custkey % 12')} END AS city FROM orders WHERE o_orderkey % 3 <> 0""",
         "photo_faces": f"SELECT DISTINCT 'p' || {_s('l_orderkey')} AS photo_id, 'id-' || {_s('l_suppkey % 150')} AS canonical_id FROM lineitem",
         "gatherings": f"""SELECT 'e' || {_s('o_orderkey')} AS event_id, {d.ms('min(o_orderdate)')} AS start_ts, {d.ms('max(l_shipdate)')} AS end_ts, min(lower(o_orderpriority)) AS place_name,
             {d.collected(f"'id-' || {_s('l_suppkey % 150')}")} AS participants, CAST(count(*) AS INT) AS n_photos, CAST(min(o_custkey) % 7 AS INT) AS n_messages,
-            CASE WHEN min(o_orderstatus) = 'P' THEN 'messages' ELSE 'photos' END AS source, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE -38.3 + min(o_custkey % 500) / 100.0 END AS lat, 144.4 + min(o_custkey % 60) / 10.0 AS lng
+            CASE WHEN min(o_orderstatus) = 'P' THEN 'messages' ELSE 'photos' END AS source, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE -38.3e0 + min(o_custkey % 500) / 1e2 END AS lat, 144.4e0 + min(o_custkey % 60) / 1e1 AS lng
             FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 8 = 0 GROUP BY o_orderkey""",
         "calls": f"""SELECT 'c' || {_s(e)} AS call_id, {d.ms('ts')} AS ts, CAST(value AS DOUBLE) AS duration_s, CASE WHEN user_id % 2 = 0 THEN 'out' ELSE 'in' END AS direction, {e} % 5 <> 0 AS answered,
             CASE WHEN {e} % 3 = 0 THEN 'com.apple.FaceTime' ELSE 'phone' END AS provider, '+1 (555) ' || {_s('user_id % 90 + 1000')} AS address FROM events WHERE event_type = 'purchase'""",
@@ -100,12 +100,3 @@ def archive(spark: SparkSession, sf_dir: str, *tables: str) -> list[DataFrame]:
         used = {name: df for name, df in views.items() if f"{{{name}}}" in sql}
         out.append(spark.sql(sql, **used))
     return out
-
-
-def twin(sql: str, *tables: str) -> str:
-    """DuckDB SQL over archive tables, which become common table expressions ahead of its own."""
-    heads = [f"{t} AS ({select(t, DUCK)})" for t in tables if t != "events"]
-    sql = sql.strip()
-    if sql.upper().startswith("WITH "):
-        return f"WITH {', '.join(heads)}, {sql[5:]}"
-    return f"WITH {', '.join(heads)} {sql}"

@@ -41,8 +41,8 @@ class Archive(SimpleNamespace):
         return value
 
 
-def twin(sql: str, *uses: str) -> str:
-    """SQL with the common table expressions that `uses` names, and what they need, ahead of it."""
+def twin(sql: str, uses: tuple[str, ...], ints: tuple[str, ...] = ()) -> str:
+    """SQL with the common table expressions that `uses` names, and what they need, ahead of it; `ints` become INT."""
     order: list[str] = []
     for name in uses:
         for n in (*NEEDS.get(name, ()), name):
@@ -51,18 +51,19 @@ def twin(sql: str, *uses: str) -> str:
     heads = [f"{n} AS ({FRAGMENTS[n] if n in FRAGMENTS else adapters.select(n, adapters.DUCK)})" for n in order]
     sql = sql.strip()
     if sql.upper().startswith("WITH "):
-        heads.append(sql[5:])
-        return "WITH " + ", ".join(heads)
-    return f"WITH {', '.join(heads)} {sql}" if heads else sql
+        sql = "WITH RECURSIVE " + ", ".join([*heads, sql[5:]])
+    elif heads:
+        sql = f"WITH RECURSIVE {', '.join(heads)} {sql}"
+    return f"SELECT * REPLACE ({', '.join(f'CAST({c} AS INT) AS {c}' for c in ints)}) FROM ({sql})" if ints else sql
 
 
-def query(name: str, sql: str | None = None, uses: str = ""):
+def query(name: str, sql: str | None = None, uses: str = "", ints: str = ""):
     """Register f(archive) under `name`, with its SQL twin over the named tables."""
 
     def put(f: Callable[[Archive], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: f(Archive(spark, sf_dir))
         if sql is not None:
-            ORACLE_SQL[name] = twin(sql, *uses.split())
+            ORACLE_SQL[name] = twin(sql, tuple(uses.split()), tuple(ints.split()))
         return f
 
     return put

@@ -18,9 +18,9 @@ FRAGMENTS = {
     "forms": r"""SELECT DISTINCT canonical_id, f FROM (SELECT canonical_id, unnest([lower(split_part(cl, ' ', 1)), lower(cl)]) AS f FROM (
         SELECT canonical_id, trim(regexp_replace(regexp_replace(alias, '[^\p{L}\p{N}\s''.-]', '', 'g'), '\s+', ' ', 'g')) AS cl FROM (SELECT canonical_id, unnest(aliases) AS alias FROM identities)
         WHERE NOT (contains(alias, '@') OR (len(regexp_replace(alias, '\D', '', 'g')) >= 7 AND NOT regexp_matches(alias, '[A-Za-z]')))) WHERE len(cl) >= 3) WHERE len(f) BETWEEN 3 AND 40""",
-    "mention": """SELECT f.canonical_id AS mentioned_canonical_id, f.f AS mentioned_form, m.thread_id, m.id AS message_id, m.ts, m.from_me FROM forms f
-        JOIN msgs m ON contains(lower(m.body), f.f) AND regexp_matches(lower(m.body), '(^|[^a-z0-9_])' || regexp_escape(f.f) || '([^a-z0-9_]|$)')
-        WHERE m.meaningful AND NOT EXISTS (SELECT 1 FROM thread_identity ti WHERE ti.thread_id = m.thread_id AND ti.canonical_id = f.canonical_id)""",
+    "tokens": r"SELECT DISTINCT id, unnest(regexp_split_to_array(lower(body), '[^a-z0-9_]+')) AS w FROM msgs WHERE meaningful",
+    "mention": """SELECT f.canonical_id AS mentioned_canonical_id, f.f AS mentioned_form, m.thread_id, m.id AS message_id, m.ts, m.from_me FROM forms f JOIN tokens t ON t.w = regexp_extract(f.f, '[a-z0-9_]+') JOIN msgs m ON m.id = t.id
+        WHERE (f.f = t.w OR (contains(lower(m.body), f.f) AND regexp_matches(lower(m.body), '(^|[^a-z0-9_])' || regexp_escape(f.f) || '([^a-z0-9_]|$)'))) AND NOT EXISTS (SELECT 1 FROM thread_identity ti WHERE ti.thread_id = m.thread_id AND ti.canonical_id = f.canonical_id)""",
     "perday": f"SELECT thread_id, from_me, ts // {DAY} AS day, mentioned_canonical_id AS p, count(*) AS n FROM mention GROUP BY ALL",
     "co": "SELECT a.p AS a, b.p AS b, a.thread_id, a.day, CAST(sum(a.n * b.n) AS BIGINT) AS weight FROM perday a JOIN perday b ON a.thread_id = b.thread_id AND a.from_me = b.from_me AND a.day = b.day AND a.p < b.p GROUP BY ALL",
     "seen": "SELECT event_id, start_ts, source, year(make_timestamp(start_ts * 1000)) AS y, unnest(participants) AS canonical_id FROM gatherings",
@@ -30,7 +30,7 @@ FRAGMENTS = {
 NEEDS = {
     "msgs": ("messages",), "pm": ("messages", "thread_identity", "msgs"), "akeys": ("identities",), "cnt": ("messages", "thread_identity"),
     "membership": ("messages", "thread_identity", "identities", "threads", "akeys", "cnt"), "forms": ("identities",),
-    "mention": ("messages", "thread_identity", "identities", "msgs", "forms"), "seen": ("gatherings",), "ep": ("gatherings",),
+    "mention": ("messages", "thread_identity", "identities", "msgs", "forms", "tokens"), "seen": ("gatherings",), "ep": ("gatherings",),
 }
 NEEDS["perday"] = (*NEEDS["mention"], "mention")
 NEEDS["co"] = (*NEEDS["perday"], "perday")

@@ -1 +1,145 @@
-"""Placeholder."""
+"""Queries of events and meet-ups (E rows) and of streaming-like behaviour in batch (T rows)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import happenings as H
+from .catalog import query
+from .fragments import DAY
+
+_HOUR = 3_600_000
+
+
+@query("q_e01_t05_time_sessions", f"SELECT id, thread_id, CAST(sum(CASE WHEN gap > {6 * _HOUR} THEN 1 ELSE 0 END) OVER (PARTITION BY thread_id ORDER BY ts, id) AS BIGINT) AS session FROM (SELECT *, ts - lag(ts) OVER (PARTITION BY thread_id ORDER BY ts, id) AS gap FROM messages)", "messages")
+def _(a):
+    return H.sessions(a.messages, ["thread_id"]).select("id", "thread_id", F.col("session").cast("long").alias("session"))
+
+
+@query("q_e01_photo_clusters")
+def _(a):
+    p = a.messages.selectExpr("thread_id AS owner", "id", "ts", "CASE WHEN value > 5 THEN -37.8e0 + (value % 3) / 10 END AS lat", "CASE WHEN value > 5 THEN 144.9e0 END AS lng")
+    return H.cluster(p)
+
+
+@query("q_e02_participants", "SELECT DISTINCT event_id, canonical_id FROM ep JOIN photo_faces USING (photo_id)", "ep photo_faces")
+def _(a):
+    return H.participants(a.ep, a.photo_faces)
+
+
+_NEAR = "SELECT 'd' || CAST(ts // 86400000 AS STRING) AS event_id, min(ts) AS start_ts, max(ts) AS end_ts, list_sort(list(DISTINCT canonical_id)) AS participants FROM pm WHERE source = 'gmail' GROUP BY 1"
+
+
+def _near(a):
+    return a.pm.where("source = 'gmail'").groupBy(F.concat(F.lit("d"), F.floor(F.col("ts") / DAY).cast("string")).alias("event_id")).agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.array_sort(F.collect_set("canonical_id")).alias("participants"))
+
+
+@query("q_e03_event_messages", f"""WITH g AS ({_NEAR}), p AS (SELECT DISTINCT event_id, start_ts, end_ts, thread_id FROM (SELECT event_id, start_ts, end_ts, unnest(participants) AS canonical_id FROM g) JOIN thread_identity USING (canonical_id))
+    SELECT event_id, message_id FROM (SELECT p.event_id, m.id AS message_id, row_number() OVER (PARTITION BY p.event_id ORDER BY m.ts, m.id) AS r FROM p JOIN msgs m ON m.thread_id = p.thread_id AND m.meaningful AND m.ts BETWEEN p.start_ts - {12 * _HOUR} AND p.end_ts + {12 * _HOUR}) WHERE r <= 200""", "pm")
+def _(a):
+    return H.event_messages(_near(a), a.msgs, a.thread_identity)
+
+
+@query("q_e04_e05_majority_place", """WITH p AS (SELECT event_id, place_name, city, lat, lng FROM ep JOIN places USING (photo_id)), n AS (SELECT event_id, place_name, city, row_number() OVER (PARTITION BY event_id ORDER BY count(*) DESC, place_name, city NULLS LAST) AS r FROM p GROUP BY 1, 2, 3)
+    SELECT n.event_id, coalesce(city, place_name) AS place, lat, lng FROM n JOIN (SELECT event_id, round(avg(lat), 6) AS lat, round(avg(lng), 6) AS lng FROM p GROUP BY 1) c USING (event_id) WHERE r = 1""", "ep places")
+def _(a):
+    return H.majority_place(a.ep, a.places)
+
+
+@query("q_e08_person_events", "SELECT event_id, canonical_id, count(*) AS weight FROM ep JOIN photo_faces USING (photo_id) GROUP BY 1, 2", "ep photo_faces")
+def _(a):
+    return H.person_events(a.ep, a.photo_faces)
+
+
+@query("q_e09_e10_co_present", "SELECT a.canonical_id AS a, b.canonical_id AS b, count(DISTINCT a.event_id) AS weight FROM seen a JOIN seen b ON a.event_id = b.event_id AND a.canonical_id <> b.canonical_id GROUP BY 1, 2", "seen")
+def _(a):
+    return H.co_present_events(a.gatherings)
+
+
+_MARK = r"regexp_matches(lower(body), '\bomw\b|\bi''?m here\b|\bout front\b|\bsee (?:you|u) (?:there|soon|at|in)\b|\bjust left\b|\brunning late\b')"
+
+
+@query("q_e11_meetup_candidates", f"""SELECT thread_id, strftime(make_timestamp(ts * 1000), '%Y-%m-%d') AS day, count(*) FILTER (WHERE {_MARK}) AS markers, min(CASE WHEN {_MARK} THEN ts END) AS start_ts, max(ts) AS end_ts FROM msgs WHERE meaningful GROUP BY 1, 2
+    HAVING count(*) FILTER (WHERE {_MARK}) > 0 AND count(*) FILTER (WHERE from_me) > 0 AND count(*) FILTER (WHERE NOT from_me) > 0""", "msgs")
+def _(a):
+    return H.meetup_candidates(a.msgs.where("meaningful"))
+
+
+@query("q_e12_confirm_window", f"""WITH i AS (SELECT thread_id, id, strftime(make_timestamp(ts * 1000), '%Y-%m-%d') AS day, {_MARK} AS m, ts FROM msgs WHERE meaningful), j AS (SELECT *, row_number() OVER (PARTITION BY thread_id, day ORDER BY ts, id) - 1 AS i, count(*) OVER (PARTITION BY thread_id, day) AS n FROM i),
+    k AS (SELECT *, min(CASE WHEN m THEN i END) OVER (PARTITION BY thread_id, day) AS f FROM j) SELECT thread_id, day, id FROM k WHERE f IS NOT NULL AND i >= greatest(0, least(f - 2, n - 6)) AND i < greatest(0, least(f - 2, n - 6)) + 6""", "msgs")
+def _(a):
+    return H.confirm_window(a.msgs.where("meaningful"), 6, 2)
+
+
+@query("q_e13_uncovered", f"SELECT a.event_id FROM gatherings a WHERE a.source = 'messages' AND NOT EXISTS (SELECT 1 FROM gatherings b WHERE b.source = 'photos' AND b.n_photos = 4 AND b.start_ts <= a.end_ts + {6 * _HOUR} AND b.end_ts >= a.start_ts - {6 * _HOUR} AND (list_has_any(a.participants, b.participants) OR len(b.participants) = 0))", "gatherings")
+def _(a):
+    g = a.gatherings
+    return H.uncovered(g.where("source = 'messages'"), g.where("source = 'photos' AND n_photos = 4")).select("event_id")
+
+
+@query("q_e14_verdict_cache", """WITH b AS (SELECT 0 AS p, event_id AS line, 'k' || CAST(user_id AS STRING) AS key, CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_type END AS verdict FROM events WHERE event_id % 2 = 0 UNION ALL SELECT 1, event_id, 'k' || CAST(user_id AS STRING), event_type FROM events WHERE event_id % 2 = 1)
+    SELECT key, verdict FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY p, line) AS r FROM b WHERE verdict IS NOT NULL) WHERE r = 1""")
+def _(a):
+    e = a.table("events").selectExpr("event_id AS line", "'k' || user_id AS key", "CASE WHEN event_id % 10 = 0 THEN NULL ELSE event_type END AS verdict")
+    return H.merge_verdicts(e.where("line % 2 = 0"), e.where("line % 2 = 1"))
+
+
+@query("q_e15_unique_ids", "SELECT call_id, CASE WHEN r = 1 THEN w ELSE w || '-' || CAST(r AS STRING) END AS event_id FROM (SELECT call_id, w, row_number() OVER (PARTITION BY w ORDER BY ts, call_id) AS r FROM (SELECT *, 'evt-' || CAST(ts // 86400000 AS STRING) AS w FROM calls))", "calls")
+def _(a):
+    c = a.calls.withColumn("w", F.concat(F.lit("evt-"), F.floor(F.col("ts") / DAY).cast("string")))
+    return H.unique_ids(c, "w", ["ts", "call_id"]).select("call_id", "event_id")
+
+
+@query("q_e16_best_invite", """WITH r AS (SELECT 'e' || CAST(user_id AS STRING) AS event_id, CASE event_type WHEN 'view' THEN 'page' WHEN 'click' THEN 'invite' ELSE 'other' END AS kind, 't' || CAST(event_id AS STRING) AS title, (epoch_us(ts) // 1000) AS email_ts FROM events)
+    SELECT event_id, kind, title, email_ts FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY CASE kind WHEN 'page' THEN 2 WHEN 'invite' THEN 1 ELSE 0 END DESC, email_ts DESC, title DESC) AS k FROM r) WHERE k = 1""")
+def _(a):
+    r = a.table("events").selectExpr("'e' || user_id AS event_id", "CASE event_type WHEN 'view' THEN 'page' WHEN 'click' THEN 'invite' ELSE 'other' END AS kind", "'t' || event_id AS title", "unix_millis(CAST(ts AS TIMESTAMP)) AS email_ts")
+    return H.best_invite(r)
+
+
+@query("q_e17_event_index", "SELECT g.event_id, g.start_ts, CAST(len(g.participants) AS INT) AS people, (SELECT arg_min(p.asset_path, p.ts) FROM ep JOIN photos p ON p.id = ep.photo_id WHERE ep.event_id = g.event_id) AS thumb FROM gatherings g", "gatherings ep photos")
+def _(a):
+    return H.event_index(a.gatherings, a.ep, a.photos)
+
+
+@query("q_e18_photo_dedupe", """WITH g AS (SELECT hash_sha256, arg_min(id, (CASE WHEN source = '5-low' THEN 0 ELSE 1 END) * 10000000000 + n) AS id, list_sort(list(id)) AS a FROM photos GROUP BY 1) SELECT id, array_to_string(list_filter(a, lambda x: x <> id), ',') AS alt_refs FROM g""", "photos")
+def _(a):
+    return H.dedupe_photos(a.photos, "5-low")
+
+
+@query("q_e19_geocode_misses", "SELECT DISTINCT floor(lat * 1000 + 0.5) / 1000 AS lat_round, floor(lng * 1000 + 0.5) / 1000 AS lng_round FROM places p WHERE NOT EXISTS (SELECT 1 FROM places q WHERE q.city = 'city 2' AND floor(q.lat * 1000 + 0.5) = floor(p.lat * 1000 + 0.5) AND floor(q.lng * 1000 + 0.5) = floor(p.lng * 1000 + 0.5))", "places")
+def _(a):
+    from ..functions.text import round_half_up
+
+    cache = a.places.where("city = 'city 2'").select(round_half_up(F.col("lat"), 1000).alias("lat_round"), round_half_up(F.col("lng"), 1000).alias("lng_round")).distinct()
+    return H.geocode_misses(a.places, cache)
+
+
+@query("q_e20_merge_clusters")
+def _(a):
+    return H.merge_clusters(a.table("embeddings"), 0.5)
+
+
+@query("q_e21_face_ingest", "SELECT p.id, count(f.canonical_id) > 0 AS has_named_face FROM photos p LEFT JOIN (SELECT * FROM photo_faces WHERE canonical_id NOT IN ('id-1', 'id-2')) f ON f.photo_id = p.id GROUP BY 1", "photos photo_faces")
+def _(a):
+    named = a.photo_faces.where("canonical_id NOT IN ('id-1', 'id-2')").select(F.col("photo_id").alias("id")).distinct().withColumn("_f", F.lit(True))
+    return a.photos.select("id").join(named, "id", "left").select("id", F.coalesce("_f", F.lit(False)).alias("has_named_face"))
+
+
+@query("q_e22_cluster_sheet", "SELECT user_id % 20 AS cluster_id, count(*) AS n_faces, min((epoch_us(ts) // 1000)) AS first_ts, max((epoch_us(ts) // 1000)) AS last_ts, round(avg(value % 1), 6) AS mean_score, round(avg(value % 1), 6) < 0.5 AS low_quality FROM events GROUP BY 1")
+def _(a):
+    d = a.table("events").selectExpr("user_id % 20 AS cluster_id", "unix_millis(CAST(ts AS TIMESTAMP)) AS ts", "value % 1 AS det_score")
+    return H.cluster_sheet(d, 0.5)
+
+
+@query("q_t02_t03_floor_dedupe", "WITH f AS (SELECT thread_id, max(ts) AS floor FROM messages WHERE source = 'gmail' GROUP BY 1) SELECT DISTINCT m.id FROM messages m LEFT JOIN f USING (thread_id) WHERE m.source <> 'gmail' AND m.ts > coalesce(f.floor, -1)", "messages")
+def _(a):
+    from ..streaming.spool import above_floor
+
+    base = a.messages.where("source = 'gmail'").groupBy("thread_id").agg(F.max("ts").alias("floor"))
+    return above_floor(a.messages.where("source <> 'gmail'"), base).dropDuplicates(["id"]).select("id")
+
+
+@query("q_t04_contact_names", "SELECT thread_id, arg_max(sender_name, {'t': ts, 'i': id}) AS name FROM messages GROUP BY 1", "messages")
+def _(a):
+    return a.messages.groupBy("thread_id").agg(F.max_by("sender_name", F.struct("ts", "id")).alias("name"))

@@ -61,8 +61,8 @@ def _(a):
     return G.label_propagation(e)
 
 
-@query("q_g06_components", f"""WITH RECURSIVE e AS (SELECT a, b FROM ({_PAIRS})), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS x FROM both_ways UNION SELECT r.node, b.b FROM r JOIN both_ways b ON r.x = b.a)
-    SELECT node, min(x) AS component FROM r GROUP BY node""".replace("WITH RECURSIVE ", "WITH "), "membership")
+@query("q_g06_components", f"""WITH e AS (SELECT a, b FROM ({_PAIRS})), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS x FROM both_ways UNION SELECT r.node, b.b FROM r JOIN both_ways b ON r.x = b.a)
+    SELECT node, min(x) AS component FROM r GROUP BY node""", "membership")
 def _(a):
     return components(pairs(a.membership.where("canonical_id is not null"), "thread_id", "canonical_id").select("a", "b").distinct())
 
@@ -88,7 +88,7 @@ def _(a):
 
 
 @query("q_g10_group_profile", f"""WITH g AS (SELECT m.* FROM messages m JOIN threads t USING (thread_id) WHERE t.is_group AND m.body <> ''), s AS (SELECT thread_id, count(*) AS msgs, max(ts) AS l FROM g GROUP BY 1 HAVING count(*) > 50 ORDER BY 2 DESC, 1 LIMIT 80),
-    p AS (SELECT thread_id, mo FROM (SELECT thread_id, strftime(make_timestamp(ts * 1000), '%Y-%m') AS mo, row_number() OVER (PARTITION BY thread_id ORDER BY count(*) DESC, strftime(make_timestamp(ts * 1000), '%Y-%m')) AS r FROM g GROUP BY ALL) WHERE r = 1)
+    p AS (SELECT thread_id, mo FROM (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY k DESC, mo) AS r FROM (SELECT thread_id, strftime(make_timestamp(ts * 1000), '%Y-%m') AS mo, count(*) AS k FROM g GROUP BY 1, 2)) WHERE r = 1)
     SELECT x.thread_id, x.sender_name, x.n, s.msgs, CASE WHEN x.n / s.msgs >= 0.30 THEN 'dominant' WHEN x.n / s.msgs >= 0.15 THEN 'core' WHEN x.n / s.msgs >= 0.05 THEN 'regular' WHEN x.n / s.msgs >= 0.01 THEN 'occasional' ELSE 'lurker' END AS role, p.mo AS peak_month,
     CASE WHEN ({LATER} - s.l) / 86400000 <= 60 THEN 'active' WHEN ({LATER} - s.l) / 86400000 <= 365 THEN 'quiet' WHEN ({LATER} - s.l) / 86400000 <= 1095 THEN 'dormant' ELSE 'dead' END AS life
     FROM (SELECT thread_id, sender_name, count(*) AS n FROM g GROUP BY ALL) x JOIN s USING (thread_id) JOIN p USING (thread_id)""", "messages threads")

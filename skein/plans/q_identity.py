@@ -61,7 +61,7 @@ def _people(a):
 
 @query("q_i06_i07_merge_pairs", f"""WITH p AS (SELECT *, string_split(name, ' ') AS t FROM ({_PEOPLE})), f AS (SELECT t[1] AS first, count(DISTINCT t) AS fulls FROM p WHERE len(t) > 1 GROUP BY 1),
     j AS (SELECT a.canonical_id AS ai, b.canonical_id AS bi, a.msgs AS am, b.msgs AS bm, a.t[1] AS first, CASE WHEN len(a.t) <= len(b.t) THEN a.t ELSE b.t END AS s, CASE WHEN len(a.t) <= len(b.t) THEN b.t ELSE a.t END AS l FROM p a JOIN p b ON a.t[1] = b.t[1] AND a.canonical_id < b.canonical_id AND a.s <> b.s WHERE least(a.msgs, b.msgs) >= 5 AND len(a.t[1]) >= 3)
-    SELECT CASE WHEN am >= bm THEN ai ELSE bi END AS winner, CASE WHEN am >= bm THEN bi ELSE ai END AS loser, CASE WHEN len(s) = 1 AND len(l) > 1 THEN 0.7 ELSE 1.0 END AS score, (len(s) = 1 AND len(l) > 1 AND coalesce(fulls, 0) > 1) AS ambiguous FROM j LEFT JOIN f USING (first) WHERE l[1:len(s)] = s""", "identities cnt")
+    SELECT CASE WHEN am >= bm THEN ai ELSE bi END AS winner, CASE WHEN am >= bm THEN bi ELSE ai END AS loser, CASE WHEN len(s) = 1 AND len(l) > 1 THEN 0.7e0 ELSE 1e0 END AS score, (len(s) = 1 AND len(l) > 1 AND coalesce(fulls, 0) > 1) AS ambiguous FROM j LEFT JOIN f USING (first) WHERE l[1:len(s)] = s""", "identities cnt")
 def _(a):
     return I.merge_pairs(_people(a))
 

@@ -1 +1,264 @@
-"""Placeholder."""
+"""Queries of per-person and per-period analytics (A rows)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import people as P
+from ..operators.aggregates import head_middle_tail, systematic
+from .catalog import query
+from .fragments import DAY, LATER, NOW
+
+_TS = "make_timestamp(ts * 1000)"
+_ROUND = "floor(({}) * {} + 0.5) / {}"
+
+
+@query("q_a01_a02_profile", f"""WITH w AS (SELECT *, ts - lag(ts) OVER o AS g, lag(from_me) OVER o AS lf FROM pm WINDOW o AS (PARTITION BY canonical_id ORDER BY ts, id)), a AS (SELECT canonical_id, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, count(*) FILTER (WHERE from_me) AS mine,
+    count(*) FILTER (WHERE hour({_TS}) IN (23, 0, 1, 2, 3, 4)) AS late, count(DISTINCT ts // {DAY}) AS active_days, coalesce(median(CASE WHEN lf <> from_me AND g > 0 AND g < {DAY} THEN g END), 0.0) AS median_ms FROM w GROUP BY 1),
+    b AS (SELECT *, CAST(greatest(1, floor((last_ts - first_ts) / {DAY} + 0.5)) AS BIGINT) AS span_days, late / n AS late_ratio, 1 - abs(2 * mine - n) / n AS reciprocity FROM a)
+    SELECT canonical_id, n, first_ts, last_ts, active_days, median_ms, span_days, late_ratio, reciprocity, floor((10 * log10(n + 1) + 5 * log10(span_days + 1) + 0.5 * n / span_days + 20 * late_ratio + 15 * reciprocity + 10 * CASE WHEN ({LATER} - last_ts) / {DAY} < 30 THEN 1.0 WHEN ({LATER} - last_ts) / {DAY} < 180 THEN 0.5 ELSE 0.1 END
+    - CASE WHEN median_ms > 0 THEN log10(median_ms / 1000 + 1) ELSE 0 END) * 10 + 0.5) / 10 AS score FROM b ORDER BY score DESC, canonical_id LIMIT 100""", "pm")
+def _(a):
+    return P.profile(a.pm, "canonical_id", LATER).orderBy(F.col("score").desc(), "canonical_id").limit(100)
+
+
+@query("q_a03_loaded_sample", """WITH c AS (SELECT id, ts FROM messages WHERE len(body) BETWEEN 10 AND 400 AND regexp_matches(lower(body), '\\b(we need to talk|fight)\\b')), i AS (SELECT *, row_number() OVER (ORDER BY ts, id) - 1 AS i, count(*) OVER () AS n FROM c)
+    SELECT 'conflict' AS c, id FROM i WHERE n <= 12 OR i IN (SELECT unnest(list_transform(range(12), lambda k: k * n // 12)))""", "messages")
+def _(a):
+    from ..functions.text import categories
+
+    e = a.messages.select("id", "ts", F.explode(categories(F.col("body"))).alias("c")).where("c = 'conflict'")
+    return systematic(e, ["c"], ["ts", "id"], 12).select("c", "id")
+
+
+@query("q_a04_late_sample", f"""WITH c AS (SELECT id, ts FROM messages WHERE len(body) BETWEEN 10 AND 279 AND hour({_TS}) IN (23, 0, 1, 2, 3, 4)), i AS (SELECT *, row_number() OVER (ORDER BY ts, id) - 1 AS i, count(*) OVER () AS n FROM c) SELECT id FROM i WHERE n <= 20 OR i IN (SELECT unnest(list_transform(range(20), lambda k: k * n // 20)))""", "messages")
+def _(a):
+    m = a.messages.where(F.length("body").between(10, 279) & F.hour(F.timestamp_millis("ts")).isin(23, 0, 1, 2, 3, 4)).withColumn("_g", F.lit(1))
+    return systematic(m, ["_g"], ["ts", "id"], 20).select("id")
+
+
+@query("q_a06_trajectory", f"""SELECT canonical_id, strftime({_TS}, '%Y-%m') AS month, count(*) AS total, count(*) FILTER (WHERE from_me) AS from_me, {_ROUND.format("count(*) FILTER (WHERE regexp_matches(lower(body), 'i feel like|i don''t know|i don''t think|i''m not sure|maybe i')) * 1000 / count(*)", 100, 100)} AS hedge_per_1k,
+    {_ROUND.format("count(*) FILTER (WHERE regexp_matches(lower(body), 'do u |r u |are u |where r u|what r u|do you |where are you')) * 1000 / count(*)", 100, 100)} AS asking_per_1k, median(len(body)) AS median_length FROM pm GROUP BY ALL""", "pm")
+def _(a):
+    return P.trajectory(a.pm, "canonical_id")
+
+
+@query("q_a07_key_moments", f"""WITH w AS (SELECT *, ts - lag(ts) OVER (PARTITION BY canonical_id ORDER BY ts, id) AS gap FROM pm), g AS (SELECT canonical_id, min(ts) AS first_ts, max(ts) AS last_ts, coalesce(max(gap), 0) AS longest_gap FROM w GROUP BY 1),
+    e AS (SELECT canonical_id, ts AS gap_end FROM (SELECT *, row_number() OVER (PARTITION BY canonical_id ORDER BY coalesce(gap, 0) DESC, ts) AS r FROM w) WHERE r = 1), m AS (SELECT canonical_id, v AS peak_month FROM (SELECT canonical_id, strftime({_TS}, '%Y-%m') AS v, row_number() OVER (PARTITION BY canonical_id ORDER BY count(*) DESC, strftime({_TS}, '%Y-%m')) AS r FROM pm GROUP BY 1, 2) WHERE r = 1),
+    d AS (SELECT canonical_id, v AS biggest_day FROM (SELECT canonical_id, strftime({_TS}, '%Y-%m-%d') AS v, row_number() OVER (PARTITION BY canonical_id ORDER BY count(*) DESC, strftime({_TS}, '%Y-%m-%d')) AS r FROM pm GROUP BY 1, 2) WHERE r = 1) SELECT * FROM g JOIN e USING (canonical_id) JOIN m USING (canonical_id) JOIN d USING (canonical_id)""", "pm")
+def _(a):
+    return P.key_moments(a.pm, "canonical_id")
+
+
+@query("q_a08_t06_baseline_30d", f"""WITH f AS (SELECT canonical_id, min(ts) AS t0 FROM pm GROUP BY 1), s AS (SELECT canonical_id, t0 + i * {7 * DAY} AS a FROM f, unnest(range(0, 60)) u(i) WHERE t0 + i * {7 * DAY} + {30 * DAY} <= {LATER - 30 * DAY})
+    SELECT canonical_id, median(n) AS baseline FROM (SELECT s.canonical_id, s.a, count(m.ts) AS n FROM s LEFT JOIN pm m ON m.canonical_id = s.canonical_id AND m.ts >= s.a AND m.ts < s.a + {30 * DAY} GROUP BY ALL) GROUP BY 1""", "pm")
+def _(a):
+    return P.baseline(a.pm, "canonical_id", LATER)
+
+
+@query("q_a09_current_state", f"SELECT canonical_id, ({NOW} - max(ts)) // {DAY} AS days_since, arg_max(from_me, {{'t': ts, 'i': id}}) AS last_from_me, count(*) FILTER (WHERE ts > {NOW - 30 * DAY} AND ts <= {NOW}) AS recent_30d FROM pm GROUP BY 1", "pm")
+def _(a):
+    return P.current_state(a.pm, "canonical_id", NOW)
+
+
+@query("q_a10_t07_rhythm", f"""SELECT year(date_trunc('week', {_TS})) AS year, CAST(date_diff('day', date_trunc('week', make_date(year(date_trunc('week', {_TS})), 1, 1)::TIMESTAMP)::DATE, date_trunc('week', {_TS})::DATE) // 7 AS INT) AS week, hour({_TS}) AS hour, count(*) AS n, count(*) FILTER (WHERE from_me) AS n_from_me FROM msgs WHERE meaningful GROUP BY 1, 2, 3""", "msgs", ints="year hour")
+def _(a):
+    return P.rhythm(a.msgs)
+
+
+@query("q_a12_almanac", "WITH s AS (SELECT * FROM seen WHERE canonical_id <> 'id-0'), n AS (SELECT canonical_id, count(*) AS n FROM s WHERE y = 1998 GROUP BY 1) SELECT canonical_id, n, n / (SELECT sum(n) FROM n) AS share, (SELECT min(y) FROM s WHERE s.canonical_id = n.canonical_id) = 1998 AS new_face FROM n", "seen")
+def _(a):
+    return P.almanac(a.gatherings, 1998, "id-0")
+
+
+@query("q_a12_lapsed", "SELECT DISTINCT canonical_id FROM seen WHERE y = 1997 AND canonical_id NOT IN (SELECT canonical_id FROM seen WHERE y = 1998)", "seen")
+def _(a):
+    return P.lapsed(a.gatherings, 1998)
+
+
+@query("q_a13_event_years", "SELECT DISTINCT y AS year FROM seen", "seen", ints="year")
+def _(a):
+    return P.event_years(a.gatherings)
+
+
+_W = "make_timestamp(start_ts * 1000)"
+_WEEK = f"year(date_trunc('week', {_W})) AS year, CAST(date_diff('day', date_trunc('week', make_date(year(date_trunc('week', {_W})), 1, 1)::TIMESTAMP)::DATE, date_trunc('week', {_W})::DATE) // 7 AS INT) AS week"
+
+
+@query("q_a14_weeks", f"""WITH e AS (SELECT {_WEEK}, count(*) AS events FROM gatherings GROUP BY 1, 2), p AS (SELECT year, week, canonical_id, row_number() OVER (PARTITION BY year, week ORDER BY count(*) DESC, min(start_ts), canonical_id) AS r FROM (SELECT {_WEEK}, start_ts, canonical_id FROM seen) GROUP BY 1, 2, 3) SELECT e.*, p.canonical_id AS companion FROM e LEFT JOIN p ON p.year = e.year AND p.week = e.week AND r = 1""", "seen", ints="year")
+def _(a):
+    return P.weeks(a.gatherings)
+
+
+@query("q_a15_braid", f"""WITH e AS (SELECT canonical_id, y AS year, count(*) FILTER (WHERE source = 'photos') AS events, count(*) FILTER (WHERE source = 'messages') AS inferred, 0 AS messages FROM seen GROUP BY 1, 2 UNION ALL SELECT canonical_id, year({_TS}), 0, 0, count(*) FROM pm WHERE canonical_id IN (SELECT canonical_id FROM seen) GROUP BY 1, 2),
+    y AS (SELECT canonical_id, year, CAST(sum(events) AS BIGINT) AS events, CAST(sum(inferred) AS BIGINT) AS inferred, CAST(sum(messages) AS BIGINT) AS messages, CAST(sum(messages + 5 * events + 3 * inferred) AS BIGINT) AS strength FROM e GROUP BY 1, 2)
+    SELECT * FROM y WHERE canonical_id IN (SELECT canonical_id FROM y GROUP BY 1 ORDER BY sum(strength) DESC, 1 LIMIT 10)""", "seen pm", ints="year")
+def _(a):
+    return P.braid(a.gatherings, a.messages, a.thread_identity)
+
+
+@query("q_a16_atlas", f"""WITH g AS (SELECT year({_W}) AS year, start_ts, lat, lng, CASE WHEN lat BETWEEN -38.25 AND -37.45 AND lng BETWEEN 144.35 AND 145.45 THEN 'MEL' WHEN lat BETWEEN -34.25 AND -33.55 AND lng BETWEEN 150.75 AND 151.55 THEN 'SYD' WHEN lat BETWEEN 41.55 AND 42.25 AND lng BETWEEN -88.05 AND -87.35 THEN 'CHI' END AS frame FROM gatherings),
+    t AS (SELECT year, frame, n FROM (SELECT year, frame, count(*) AS n, row_number() OVER (PARTITION BY year ORDER BY count(*) DESC, min(start_ts), frame) AS r FROM g WHERE frame IS NOT NULL GROUP BY 1, 2) WHERE r = 1)
+    SELECT g.year, coalesce(any_value(t.frame), 'MEL') AS frame, coalesce(any_value(t.n), 0) AS points, count(*) FILTER (WHERE lat IS NOT NULL AND g.frame IS NULL) AS beyond, count(*) FILTER (WHERE lat IS NULL) AS coordless FROM g LEFT JOIN t ON t.year = g.year GROUP BY g.year""", "gatherings", ints="year")
+def _(a):
+    return P.atlas(a.gatherings)
+
+
+@query("q_a17_field_layout")
+def _(a):
+    return P.field_layout(a.gatherings)
+
+
+@query("q_a18_person_series", f"""WITH y AS (SELECT canonical_id, year, sum(e) AS events, sum(m) AS messages FROM (SELECT canonical_id, y AS year, 1 AS e, 0 AS m FROM seen UNION ALL SELECT canonical_id, year({_TS}), 0, 1 FROM pm) GROUP BY 1, 2), b AS (SELECT min(year) AS a, max(year) AS z FROM y),
+    f AS (SELECT p.canonical_id, s.year, CAST(coalesce(y.events, 0) AS BIGINT) AS events, CAST(coalesce(y.messages, 0) AS BIGINT) AS messages FROM (SELECT DISTINCT canonical_id FROM y) p CROSS JOIN (SELECT unnest(range(a, z + 1)) AS year FROM b) s LEFT JOIN y ON y.canonical_id = p.canonical_id AND y.year = s.year),
+    r AS (SELECT canonical_id, min(year) AS a, max(year) AS z, row_number() OVER (PARTITION BY canonical_id ORDER BY count(*) DESC, min(year)) AS k FROM (SELECT canonical_id, year, year - row_number() OVER (PARTITION BY canonical_id ORDER BY year) AS run FROM f WHERE events + messages = 0) GROUP BY canonical_id, run)
+    SELECT f.canonical_id, CAST(f.year AS INT) AS year, f.events, f.messages, CAST(r.a AS INT) AS gap_from, CAST(r.z AS INT) AS gap_to FROM f LEFT JOIN r ON r.canonical_id = f.canonical_id AND r.k = 1""", "seen pm")
+def _(a):
+    return P.person_series(a.gatherings, a.messages, a.thread_identity)
+
+
+@query("q_a19_chunks", """WITH b AS (SELECT source, ts, id, (ts - min(ts) OVER (PARTITION BY source)) // 7776000000 AS bucket FROM photos), c AS (SELECT *, count(*) OVER (PARTITION BY source, bucket) AS n, row_number() OVER (PARTITION BY source, bucket ORDER BY ts, id) - 1 AS i FROM b),
+    s AS (SELECT source, bucket, i // CAST(ceil(n / ceil(n / 60)) AS BIGINT) AS part, count(*) AS k, min(ts) AS a, max(ts) AS z FROM c GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY bucket, part) AS q FROM s), t AS (SELECT *, sum(CASE WHEN k >= 5 OR q = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY bucket, part) AS chunk FROM r)
+    SELECT source, CAST(chunk AS BIGINT) AS chunk, CAST(sum(k) AS BIGINT) AS n, min(a) AS first_ts, max(z) AS last_ts FROM t GROUP BY ALL""", "photos")
+def _(a):
+    return P.chunks(a.photos, "source", most=60)
+
+
+@query("q_a20_quotes_in_documents", r"SELECT DISTINCT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(trim(regexp_replace(lower(d.text), '[ \t\n\x0B\f\r]+', ' ', 'g')), trim(regexp_replace(lower(b.text), '[ \t\n\x0B\f\r]+', ' ', 'g')))")
+def _(a):
+    from ..operators.quotes import verify
+
+    return verify(a.table("benchmark"), a.table("documents"))
+
+
+@query("q_a21_timeline", f"""SELECT canonical_id, 'first_contact' AS kind, strftime(make_timestamp(min(ts) * 1000), '%Y-%m-%d') AS date FROM pm GROUP BY 1 UNION ALL SELECT canonical_id, 'last_contact', strftime(make_timestamp(max(ts) * 1000), '%Y-%m-%d') FROM pm GROUP BY 1 UNION ALL SELECT canonical_id, 'birthday', strftime(make_date(2024, CAST(n % 12 AS INT) + 1, CAST(n % 28 AS INT) + 1), '%Y-%m-%d') FROM identities""", "pm identities")
+def _(a):
+    b = a.identities.selectExpr("canonical_id", "CAST(n % 12 AS INT) + 1 AS month", "CAST(n % 28 AS INT) + 1 AS day")
+    return P.timeline(a.pm, b, 2024)
+
+
+@query("q_a22_check_ins", f"""WITH m AS (SELECT canonical_id, count(*) AS n, min(ts) AS a, max(ts) AS z, arg_max(from_me, {{'t': ts, 'i': id}}) AS last_from_me FROM pm GROUP BY 1), d AS (SELECT *, ({LATER} - z) // {DAY} AS days_since FROM m)
+    SELECT canonical_id, n, last_from_me, days_since, floor(log10(greatest(1, n)) * 20 * sqrt(greatest(0.1, (z - a) / (365.0 * {DAY}))) * CASE WHEN days_since <= 60 THEN 1.0 WHEN days_since <= 365 THEN 0.7 WHEN days_since <= 1095 THEN 0.4 ELSE 0.15 END * 10 + 0.5) / 10 AS intimacy,
+    CAST(CASE WHEN days_since <= 7 THEN 0 WHEN days_since <= 30 THEN (days_since - 7) * 1.5 WHEN days_since <= 180 THEN 30 + (days_since - 30) * 0.7 WHEN days_since <= 730 THEN 100 - (days_since - 180) * 0.05 ELSE 70 - least(days_since - 730, 1000) * 0.05 END + CASE WHEN last_from_me THEN 0 ELSE 25 END AS DOUBLE) AS attention FROM d""", "pm")
+def _(a):
+    c = P.check_ins(a.pm, "canonical_id", LATER)
+    return c.withColumn("attention", F.col("attention").cast("double"))
+
+
+@query("q_a23_birthday_inference", r"""WITH g AS (SELECT canonical_id, month(make_timestamp(ts * 1000)) AS month, day(make_timestamp(ts * 1000)) AS day, year(make_timestamp(ts * 1000)) AS y FROM pm WHERE from_me AND regexp_matches(lower(body), 'happy birthday|(^|[^a-z0-9_])hbd([^a-z0-9_]|$)|happy b''?day')),
+    n AS (SELECT canonical_id, month, day, count(DISTINCT y) AS years, count(*) AS greetings FROM g GROUP BY 1, 2, 3), r AS (SELECT *, count(*) OVER (PARTITION BY canonical_id) AS days, row_number() OVER (PARTITION BY canonical_id ORDER BY years DESC, greetings DESC, month, day) AS k FROM n)
+    SELECT canonical_id, CAST(month AS INT) AS month, CAST(day AS INT) AS day, years, greetings, CASE WHEN years >= 2 THEN 'HIGH' WHEN days = 1 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM r WHERE k = 1 AND canonical_id <> 'id-1'""", "pm")
+def _(a):
+    return P.birthday_inference(a.pm, a.spark.createDataFrame([("id-1",)], "canonical_id string"))
+
+
+@query("q_a24_email_summary", "SELECT coalesce(category, 'uncategorized') AS category, count(*) AS correspondents, CAST(sum(n_messages) AS BIGINT) AS messages FROM emails GROUP BY 1", "emails")
+def _(a):
+    return P.email_summary(a.emails)
+
+
+_STOPS = ", ".join(f"'{w}'" for w in P.STOP)
+
+
+@query("q_a25_topics", f"""WITH w AS (SELECT p_partkey, p_name, unnest(list_distinct(regexp_extract_all(lower(p_name), '[a-z][a-z''-]{{2,}}'))) AS topic FROM part) SELECT topic, count(*) AS n, array_to_string(list_sort(list(DISTINCT p_name))[1:3], '|') AS samples FROM w WHERE topic NOT IN ({_STOPS}) GROUP BY 1 HAVING count(*) >= 3 ORDER BY 2 DESC, 1 LIMIT 50""")
+def _(a):
+    return P.topics(a.table("part"), "p_name", "p_partkey")
+
+
+@query("q_a26_a27_facet_topics", """WITH f AS (SELECT * FROM (SELECT 'brand' AS facet, p_brand AS topic, count(*) AS n FROM part GROUP BY 2 HAVING count(*) >= 5 ORDER BY 3 DESC, 2 LIMIT 10) UNION ALL SELECT * FROM (SELECT 'type' AS facet, p_type AS topic, count(*) AS n FROM part GROUP BY 2 HAVING count(*) >= 3 ORDER BY 3 DESC, 2 LIMIT 5))
+    SELECT *, n / sum(n) OVER (PARTITION BY facet) AS weight FROM f""")
+def _(a):
+    p = a.table("part")
+    return P.facet_topics([("brand", p, "p_brand", 5, 10), ("type", p, "p_type", 3, 5)])
+
+
+@query("q_a28_milestones", f"""WITH n AS (SELECT year({_TS}) AS year, canonical_id, count(*) AS n FROM pm GROUP BY 1, 2), t AS (SELECT year, CAST(sum(n) AS BIGINT) AS messages FROM n GROUP BY 1), p AS (SELECT year, canonical_id FROM (SELECT *, row_number() OVER (PARTITION BY year ORDER BY n DESC, canonical_id) AS r FROM n) WHERE r = 1), e AS (SELECT year({_W}) AS year, count(*) AS events FROM gatherings GROUP BY 1)
+    SELECT CAST(coalesce(t.year, e.year) AS INT) AS year, coalesce(t.messages, 0) AS messages, p.canonical_id AS top_person, coalesce(e.events, 0) AS events FROM t FULL JOIN e ON t.year = e.year LEFT JOIN p ON p.year = t.year WHERE coalesce(t.year, e.year) BETWEEN 1990 AND 2035""", "pm gatherings")
+def _(a):
+    return P.milestones(a.pm, a.gatherings, years=(1990, 2035))
+
+
+@query("q_a29_person_360", "SELECT 'messages' AS facet, count(*) AS n FROM pm WHERE canonical_id = 'id-4' UNION ALL SELECT 'photos', count(*) FROM photo_faces WHERE canonical_id = 'id-4' UNION ALL SELECT 'events', count(*) FROM seen WHERE canonical_id = 'id-4' UNION ALL SELECT 'mentions', count(*) FROM mention WHERE mentioned_canonical_id = 'id-4'", "pm photo_faces seen mention")
+def _(a):
+    facet = lambda name, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("facet"), "n")
+    seen = a.gatherings.select(F.explode("participants").alias("canonical_id"))
+    out = facet("messages", a.pm.where("canonical_id = 'id-4'"))
+    for name, df in (("photos", a.photo_faces.where("canonical_id = 'id-4'")), ("events", seen.where("canonical_id = 'id-4'")), ("mentions", a.mention.where("mentioned_canonical_id = 'id-4'"))):
+        out = out.unionByName(facet(name, df))
+    return out
+
+
+@query("q_a30_on_this_day", f"WITH n AS (SELECT year({_TS}) AS year, canonical_id, count(*) AS n FROM pm WHERE month({_TS}) = 1 AND day({_TS}) = 12 AND year({_TS}) < 2025 GROUP BY 1, 2) SELECT CAST(year AS INT) AS year, CAST(sum(n) AS BIGINT) AS messages, (SELECT canonical_id FROM n m WHERE m.year = n.year ORDER BY m.n DESC, canonical_id LIMIT 1) AS top_person FROM n GROUP BY year", "pm")
+def _(a):
+    return P.on_this_day(a.pm, 1, 12, 2025)
+
+
+@query("q_a32_interests", "SELECT p_brand AS item, count(*) AS n FROM part GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def _(a):
+    return a.table("part").groupBy(F.col("p_brand").alias("item")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "item").limit(10)
+
+
+@query("q_a33_life_map", "SELECT city, round(avg(lat), 6) AS lat, round(avg(lng), 6) AS lng, count(*) AS photos FROM places WHERE city IS NOT NULL GROUP BY 1 ORDER BY 4 DESC, 1 LIMIT 400", "places")
+def _(a):
+    return P.life_map(a.places).select("city", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"), "photos")
+
+
+@query("q_a34_reconnect", f"SELECT canonical_id, count(*) AS n, max(ts) AS last_ts, count(*) FILTER (WHERE ts > {LATER - 365 * DAY}) AS last_year FROM pm WHERE meaningful GROUP BY 1 HAVING count(*) >= 20 AND max(ts) <= {LATER - 60 * DAY} ORDER BY 2 DESC, 1 LIMIT 80", "pm")
+def _(a):
+    return P.reconnect(a.pm, LATER, least=20)
+
+
+@query("q_a35_closeness", """SELECT i.canonical_id, round(ln(1 + coalesce(m.n, 0)) + 2.5 * ln(1 + coalesce(c.n, 0)) + 2 * ln(1 + coalesce(f.n, 0)) + 2.5 * ln(1 + coalesce(e.n, 0)) + 1.5 * ln(1 + coalesce(u.n, 0)), 6) AS closeness FROM identities i LEFT JOIN cnt m USING (canonical_id)
+    LEFT JOIN (SELECT 'id-' || CAST(o.x AS STRING) AS canonical_id, sum(duration_s / 60) AS n FROM (SELECT CAST(substr(call_id, 2) AS BIGINT) % 40 AS x, duration_s FROM calls) o GROUP BY 1) c USING (canonical_id) LEFT JOIN (SELECT canonical_id, count(*) AS n FROM photo_faces GROUP BY 1) f USING (canonical_id)
+    LEFT JOIN (SELECT canonical_id, count(*) AS n FROM seen WHERE source = 'photos' GROUP BY 1) e USING (canonical_id) LEFT JOIN (SELECT canonical_id, count(*) AS n FROM seen WHERE source = 'messages' GROUP BY 1) u USING (canonical_id) ORDER BY 2 DESC, 1 LIMIT 80""", "identities cnt calls photo_faces seen")
+def _(a):
+    calls = a.calls.selectExpr("'id-' || (CAST(substr(call_id, 2) AS BIGINT) % 40) AS canonical_id", "duration_s")
+    return P.closeness(a.identities, a.pm, calls, a.photo_faces, a.gatherings)
+
+
+@query("q_a36_freshness", f"""SELECT source, max(ts) AS newest, CASE source WHEN 'imessage' THEN 7 WHEN 'whatsapp' THEN 14 WHEN 'gmail' THEN 60 WHEN 'instagram' THEN 60 WHEN 'messenger' THEN 90 ELSE 30 END AS threshold, ({NOW} - max(ts)) / {DAY} > CASE source WHEN 'imessage' THEN 7 WHEN 'whatsapp' THEN 14 WHEN 'gmail' THEN 60 WHEN 'instagram' THEN 60 WHEN 'messenger' THEN 90 ELSE 30 END AS stale FROM messages GROUP BY 1""", "messages")
+def _(a):
+    return P.freshness(a.messages, NOW)
+
+
+@query("q_a37_cutoff", f"WITH c AS (SELECT source, max(ts) - {2 * DAY} AS cutoff FROM messages GROUP BY 1) SELECT source, cutoff, CASE WHEN ceil(({NOW} - cutoff) / {DAY}) <= 7 THEN '7d' WHEN ceil(({NOW} - cutoff) / {DAY}) <= 28 THEN '28d' WHEN ceil(({NOW} - cutoff) / {DAY}) <= 88 THEN '88d' WHEN ceil(({NOW} - cutoff) / {DAY}) <= 180 THEN '180d' WHEN ceil(({NOW} - cutoff) / {DAY}) <= 364 THEN '364d' WHEN ceil(({NOW} - cutoff) / {DAY}) <= 1094 THEN '1094d' ELSE 'all' END AS preset FROM c", "messages")
+def _(a):
+    return P.cutoff(a.messages, NOW)
+
+
+@query("q_a38_self_bundle", "SELECT p_partkey, p_name FROM (SELECT *, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS r, count(*) OVER () AS n FROM part WHERE p_size < 5) WHERE (r - 1) = 17 % n OR r <= 3")
+def _(a):
+    from ..operators.quotes import daily_pick
+
+    return daily_pick(a.table("part").where("p_size < 5"), [F.col("p_retailprice").desc(), F.col("p_partkey")], 17, 3).select("p_partkey", "p_name")
+
+
+@query("q_a40_name_dictionary", "SELECT display_name AS name, canonical_id FROM identities UNION ALL SELECT split_part(display_name, ' ', 1), min(canonical_id) FROM identities WHERE len(split_part(display_name, ' ', 1)) >= 4 GROUP BY 1", "identities")
+def _(a):
+    first = F.substring_index("display_name", " ", 1)
+    short = a.identities.where(F.length(first) >= 4).groupBy(first.alias("name")).agg(F.min("canonical_id").alias("canonical_id"))
+    return a.identities.select(F.col("display_name").alias("name"), "canonical_id").unionByName(short)
+
+
+@query("q_a41_by_response", "SELECT o_orderstatus AS response, year(o_orderdate) AS year, count(*) AS n FROM orders GROUP BY 1, 2", ints="year")
+def _(a):
+    return a.table("orders").groupBy(F.col("o_orderstatus").alias("response"), F.year("o_orderdate").alias("year")).agg(F.count("*").alias("n"))
+
+
+@query("q_a42_row_order", "WITH m AS (SELECT canonical_id, strftime(make_timestamp(ts * 1000), '%Y-%m') AS mo, count(*) AS n FROM pm GROUP BY 1, 2), t AS (SELECT canonical_id, CAST(sum(n) AS BIGINT) AS total FROM m GROUP BY 1) SELECT t.canonical_id, t.total, round(sqrt(t.total), 6) AS thickness, (SELECT mo FROM m WHERE m.canonical_id = t.canonical_id ORDER BY n DESC, mo LIMIT 1) AS peak FROM t ORDER BY total DESC, 1 LIMIT 30", "pm")
+def _(a):
+    m = a.pm.groupBy("canonical_id", F.date_format(F.timestamp_millis("ts"), "yyyy-MM").alias("mo")).agg(F.count("*").alias("n"))
+    t = m.groupBy("canonical_id").agg(F.sum("n").alias("total"), F.min_by("mo", F.struct(-F.col("n"), "mo")).alias("peak"))
+    return t.orderBy(F.col("total").desc(), "canonical_id").limit(30).select("canonical_id", "total", F.round(F.sqrt("total"), 6).alias("thickness"), "peak")
+
+
+@query("q_a44_event_stream", "SELECT 'photo' AS kind, p.id, p.ts FROM photos p JOIN ep ON ep.photo_id = p.id UNION ALL SELECT 'message', m.id, m.ts FROM messages m WHERE m.thread_id = 't5'", "photos ep messages")
+def _(a):
+    photos = a.photos.join(a.ep, a.photos.id == a.ep.photo_id).select(F.lit("photo").alias("kind"), "id", "ts")
+    return photos.unionByName(a.messages.where("thread_id = 't5'").select(F.lit("message").alias("kind"), "id", "ts"))
+
+
+@query("q_a45_document_lines", r"WITH l AS (SELECT doc_id, generate_subscripts(x, 1) - 1 AS line, unnest(x) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)) SELECT doc_id, CAST(count(*) AS BIGINT) AS lines, CAST(min(CASE WHEN trim(t) <> '' THEN line END) AS INT) AS first_line FROM l GROUP BY 1")
+def _(a):
+    lines = a.table("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    return lines.groupBy("doc_id").agg(F.count("*").alias("lines"), F.min(F.when(F.trim("t") != "", F.col("line"))).alias("first_line"))

@@ -1 +1,132 @@
-"""Placeholder."""
+"""Queries of retrieval tools, the people store, quality gates and sources (M, C, D, S rows)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import crm as C
+from ..operators import gates as D
+from ..operators import retrieval as M
+from ..sources import tables as S
+from .catalog import query
+from .fragments import LATER
+
+
+@query("q_m02_search", r"""SELECT id, ts, thread_id, sender_name, substr(body, 1, 500) AS body, len(body) > 500 AS body_truncated FROM messages WHERE body ILIKE '%late%' AND source = 'gmail' AND ts >= 1704500000000 AND ts < 1706000000000 AND NOT (regexp_matches(body, '(?i)ann') OR regexp_matches(sender_name, '(?i)ann'))
+    AND regexp_matches(regexp_replace(lower(body), 'https?://\S+', ' ', 'g'), '(^|[^a-z0-9])late([^a-z0-9]|$)') ORDER BY ts DESC, id LIMIT 50""", "messages")
+def _(a):
+    return M.search_messages(a.messages, "late", source="gmail", after=1_704_500_000_000, before=1_706_000_000_000, redactions=("(?i)ann",))
+
+
+@query("q_m04_person_summary", "SELECT canonical_id, count(*) AS messages, min(ts) AS first_ts, max(ts) AS last_ts, count(DISTINCT source) AS sources, count(DISTINCT thread_id) AS threads, any_value(display_name) AS display_name FROM pm JOIN identities USING (canonical_id) GROUP BY 1", "pm identities")
+def _(a):
+    return M.person_summary(a.messages, a.thread_identity, a.identities)
+
+
+@query("q_m05_a31_on_this_day", """WITH t AS (SELECT thread_id, count(DISTINCT from_me) = 2 AS two_way FROM messages GROUP BY 1), m AS (SELECT m.id, m.ts, year(make_timestamp(m.ts * 1000)) AS year, CASE WHEN t.two_way AND ti.canonical_id IS NOT NULL THEN 0 WHEN t.two_way THEN 1 WHEN ti.canonical_id IS NOT NULL THEN 2 ELSE 3 END AS tier
+    FROM messages m JOIN t USING (thread_id) LEFT JOIN thread_identity ti USING (thread_id) WHERE month(make_timestamp(m.ts * 1000)) = 1 AND day(make_timestamp(m.ts * 1000)) = 12), k AS (SELECT * FROM (SELECT *, min(tier) OVER (PARTITION BY year) AS lo FROM m) WHERE tier = lo),
+    i AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY ts, id) - 1 AS i, count(*) OVER (PARTITION BY year) AS n FROM k) SELECT CAST(year AS INT) AS year, tier, id FROM i WHERE i % greatest(1, n // 8) = 0 AND i // greatest(1, n // 8) < 8""", "messages thread_identity")
+def _(a):
+    t = a.messages.groupBy("thread_id").agg((F.count_distinct("from_me") == 2).alias("two_way"))
+    return M.on_this_day(a.messages.join(t, "thread_id").join(a.thread_identity, "thread_id", "left"), 1, 12, 2025)
+
+
+@query("q_m06_m10_m11_guarded_sql", "SELECT o_orderpriority, count(*) AS n, avg(o_totalprice) > 100 AS dear FROM orders GROUP BY 1")
+def _(a):
+    a.table("orders").createOrReplaceTempView("guarded_orders")
+    return M.safe_select(a.spark, "SELECT o_orderpriority, count(*) AS n, avg(o_totalprice) > 100 AS dear FROM guarded_orders GROUP BY 1 -- fine")
+
+
+@query("q_m12_thread_window", "SELECT id FROM messages WHERE (thread_id IN ('t1', 't2') OR thread_id LIKE 'g1%') AND ts >= 1704500000000 AND ts < 1705500000000", "messages")
+def _(a):
+    return M.thread_window(a.messages, ["t1", "t2"], ["g1%"], 1_704_500_000_000, 1_705_500_000_000).select("id")
+
+
+_LATEST = "SELECT key, kind, amount, updated_at, op FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY updated_at DESC, op DESC) AS r FROM ops WHERE kind IN ('view', 'click', 'signup', 'purchase')) WHERE r = 1"
+
+
+@query("q_c02_c04_c05_t10_replay", f"SELECT key, kind, amount, updated_at FROM ({_LATEST}) WHERE updated_at > 1706000000000", "ops")
+def _(a):
+    return C.replay(a.ops, since=1_706_000_000_000).select("key", "kind", "amount", "updated_at")
+
+
+@query("q_c01_people", f"SELECT l.key, coalesce(t.tags, '') AS tags, coalesce(t.n, 0) AS interactions FROM ({_LATEST}) l LEFT JOIN (SELECT key, array_to_string(list_sort(list(DISTINCT kind)), ',') AS tags, count(*) AS n FROM ops GROUP BY 1) t USING (key) WHERE l.kind <> 'purchase'", "ops")
+def _(a):
+    rows = C.replay(a.ops).withColumn("deleted_at", F.when(F.col("kind") == "purchase", F.col("updated_at")))
+    return C.people(rows, a.ops.select("key", F.col("kind").alias("tag")), a.ops)
+
+
+@query("q_c03_m08_log", "SELECT key, count(*) AS n FROM (SELECT key FROM ops UNION ALL SELECT 'k1') GROUP BY 1", "ops")
+def _(a):
+    return C.log_interaction(a.ops, "k1", "click", LATER).groupBy("key").agg(F.count("*").alias("n"))
+
+
+@query("q_c06_dump", "SELECT key, count(*) AS tags FROM (SELECT DISTINCT key, kind FROM ops) GROUP BY 1", "ops")
+def _(a):
+    dump = a.ops.groupBy("key").agg(F.collect_set("kind").alias("tags"), F.collect_list(F.struct("op", "amount")).alias("interactions"))
+    return C.from_dump(dump)[1].groupBy("key").agg(F.count("*").alias("tags"))
+
+
+@query("q_c07_history", "SELECT op, row_number() OVER w AS version, row_number() OVER (PARTITION BY key ORDER BY updated_at DESC, op DESC) = 1 AS current FROM ops WINDOW w AS (PARTITION BY key ORDER BY updated_at, op)", "ops")
+def _(a):
+    return C.history(a.ops).select("op", F.col("version").cast("long").alias("version"), "current")
+
+
+@query("q_d01_manifest", "SELECT source, count(*) AS messages, max(ts) AS newest FROM messages GROUP BY 1", "messages")
+def _(a):
+    return D.manifest(a.messages).drop("checksum")
+
+
+@query("q_d02_regressions", "WITH b AS (SELECT source, count(*) AS m0, max(ts) AS t0 FROM messages GROUP BY 1), c AS (SELECT source, count(*) AS m1, max(ts) AS t1 FROM messages WHERE source <> 'gmail' AND (source <> 'imessage' OR from_me) GROUP BY 1) SELECT b.source, m0, m1, CASE WHEN m1 IS NULL THEN 'missing' WHEN m1 < m0 THEN 'count down' WHEN t1 < t0 THEN 'newest backwards' END AS problem FROM b LEFT JOIN c USING (source) WHERE m1 IS NULL OR m1 < m0 OR t1 < t0", "messages")
+def _(a):
+    now = a.messages.where("source <> 'gmail' AND (source <> 'imessage' OR from_me)")
+    return D.regressions(D.manifest(a.messages), D.manifest(now))
+
+
+@query("q_d03_health", "SELECT 'messages' AS check, count(*) AS v, count(*) >= 100 AS ok FROM messages UNION ALL SELECT 'case_twins', count(*), count(*) = 0 FROM (SELECT lower(display_name) FROM identities GROUP BY 1 HAVING count(DISTINCT display_name) > 1) UNION ALL SELECT 'orphans', count(*), count(*) = 0 FROM thread_identity WHERE canonical_id NOT IN (SELECT canonical_id FROM identities)".replace("AS check", 'AS "check"'), "messages identities thread_identity")
+def _(a):
+    return D.health(a.messages, a.identities, a.thread_identity, 100)
+
+
+@query("q_s03_tail_merge", "WITH a AS (SELECT * FROM messages WHERE source IN ('gmail', 'imessage')), b AS (SELECT * FROM messages WHERE source IN ('whatsapp', 'messenger')) SELECT id FROM a UNION ALL SELECT b.id FROM b LEFT JOIN (SELECT thread_id, max(ts) AS c FROM a GROUP BY 1) x USING (thread_id) WHERE x.c IS NULL OR b.ts > x.c", "messages")
+def _(a):
+    return S.tail_merge(a.messages.where("source IN ('gmail', 'imessage')"), a.messages.where("source IN ('whatsapp', 'messenger')")).select("id")
+
+
+@query("q_s05_multiset_union", "SELECT thread_id, body, max(c) AS copies FROM (SELECT source, thread_id, body, count(*) AS c FROM messages GROUP BY ALL) GROUP BY 1, 2", "messages")
+def _(a):
+    u = S.multiset_union(a.messages.select(F.col("source").alias("export"), "thread_id", "body"), ["thread_id", "body"])
+    return u.groupBy("thread_id", "body").agg(F.count("*").alias("copies"))
+
+
+@query("q_s14_correspondents", "SELECT domain, CAST(sum(n_messages) AS BIGINT) AS n, bool_or(list_unsubscribe) AS bulk, arg_min(display_name, n) AS display_name FROM emails GROUP BY 1", "emails")
+def _(a):
+    return S.correspondents(a.emails)
+
+
+@query("q_s17_birthday_precedence", "SELECT name, month, day, source FROM (SELECT *, row_number() OVER (PARTITION BY lower(name), month, day ORDER BY CASE source WHEN 'vcard' THEN 0 ELSE 1 END, k) AS r FROM (SELECT lower(split_part(display_name, ' ', 1)) AS name, CAST(n % 12 AS INT) + 1 AS month, CAST(n % 28 AS INT) + 1 AS day, CASE WHEN n % 2 = 0 THEN 'ics' ELSE 'vcard' END AS source, n AS k FROM identities)) WHERE r = 1", "identities")
+def _(a):
+    b = a.identities.selectExpr("lower(substring_index(display_name, ' ', 1)) AS name", "CAST(n % 12 AS INT) + 1 AS month", "CAST(n % 28 AS INT) + 1 AS day", "CASE WHEN n % 2 = 0 THEN 'ics' ELSE 'vcard' END AS source", "n AS k")
+    return S.birthday_precedence(b).select("name", "month", "day", "source")
+
+
+@query("q_s22_event_union", "SELECT name, start_ts, response FROM (SELECT 'n' || CAST(user_id AS STRING) AS name, 0 AS start_ts, event_type AS response, row_number() OVER (PARTITION BY user_id ORDER BY CASE event_type WHEN 'purchase' THEN 4 WHEN 'signup' THEN 3 WHEN 'click' THEN 2 WHEN 'view' THEN 1 ELSE 0 END DESC, event_id DESC) AS r FROM events) WHERE r = 1")
+def _(a):
+    e = a.table("events").selectExpr("'n' || user_id AS name", "0 AS start_ts", "event_type AS response", "event_id AS ordinal")
+    return S.strongest_response(e, ("error", "view", "click", "signup", "purchase")).select("name", "start_ts", "response")
+
+
+@query("q_s28_k03_append_new", "SELECT id FROM photos WHERE n % 3 = 0 UNION ALL SELECT id FROM photos WHERE n % 2 = 0 AND NOT n % 3 = 0", "photos")
+def _(a):
+    return S.append_new(a.photos.where("n % 3 = 0"), a.photos.where("n % 2 = 0"), ["id"]).select("id")
+
+
+@query("q_s29_numbered_lines", "SELECT doc_id, generate_subscripts(x, 1) AS line, unnest(x) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE lang = 'de')")
+def _(a):
+    d = a.table("documents").where("lang = 'de'")
+    return d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t")).select("doc_id", (F.col("line") + 1).cast("long").alias("line"), "t")
+
+
+@query("q_s02_s24_html_titles", r"SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(html, '<a href=')) AS links FROM pages")
+def _(a):
+    return a.table("pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.size(F.regexp_extract_all("html", F.lit("<a href="), F.lit(0))).cast("long").alias("links"))

@@ -21,7 +21,7 @@ def _(a):
 
 
 @query("q_f03_f12_f13_time_parts", """SELECT id, strftime(make_timestamp(ts * 1000), '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(ts % 1000 AS STRING), 3, '0') || 'Z' AS iso, year(make_timestamp(ts * 1000)) AS y, month(make_timestamp(ts * 1000)) AS m,
-    day(make_timestamp(ts * 1000)) AS d, strftime(make_timestamp(ts * 1000), '%Y-%m') AS ym, strftime(make_timestamp(ts * 1000), '%m-%d') AS md FROM messages""", "messages")
+    day(make_timestamp(ts * 1000)) AS d, strftime(make_timestamp(ts * 1000), '%Y-%m') AS ym, strftime(make_timestamp(ts * 1000), '%m-%d') AS md FROM messages""", "messages", ints="y m d")
 def _(a):
     t = T.at(F.col("ts"))
     return a.messages.select("id", T.iso(F.col("ts")).alias("iso"), F.year(t).alias("y"), F.month(t).alias("m"), F.dayofmonth(t).alias("d"), F.date_format(t, "yyyy-MM").alias("ym"), F.date_format(t, "MM-dd").alias("md"))
@@ -59,7 +59,7 @@ def _(a):
 _MONDAY = "date_trunc('week', make_timestamp(ts * 1000))"
 
 
-@query("q_f14_week_index", f"SELECT id, year({_MONDAY}) AS y, CAST(date_diff('day', date_trunc('week', make_date(year({_MONDAY}), 1, 1)::TIMESTAMP)::DATE, {_MONDAY}::DATE) // 7 AS INT) AS w FROM photos", "photos")
+@query("q_f14_week_index", f"SELECT id, year({_MONDAY}) AS y, CAST(date_diff('day', date_trunc('week', make_date(year({_MONDAY}), 1, 1)::TIMESTAMP)::DATE, {_MONDAY}::DATE) // 7 AS INT) AS w FROM photos", "photos", ints="y")
 def _(a):
     y, w = T.week_index(T.at(F.col("ts")))
     return a.photos.select("id", y.alias("y"), w.alias("w"))
