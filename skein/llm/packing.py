@@ -12,10 +12,10 @@ counts, and a bounded table of rank ranges gives every rank its sequence and off
 from __future__ import annotations
 
 import functools
+import os
 import re
 import unicodedata
 import zlib
-from array import array
 from collections.abc import Iterator
 from operator import itemgetter
 
@@ -47,29 +47,52 @@ class _WordEncoder:
     WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^{SPACES}{LETTERS}{DIGITS}]+")
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are parallel already
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.known = Recent(self._whole, CACHE_WORDS)
+        vocabulary = self.library.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that end a word
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _learn(self, words: list[str]) -> None:
+        """Ids of new words. Many are coded as one text, and told apart by the ids that end a word."""
+        texts = [words[i : i + 64] for i in range(0, len(words), 64)]
+        for own, coded in zip(texts, self.library.encode_batch_fast([" ".join(t) for t in texts], add_special_tokens=False), strict=True):
+            ids = np.array(coded.ids, dtype="<u4")
+            ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            if len(ends) != len(own):
+                for word in own:
+                    self.known.put(word, self._whole(word))
+                continue
+            raw, at = ids.tobytes(), 0
+            for word, end in zip(own, ends, strict=True):
+                self.known.put(word, raw[at:end])
+                at = end
+
     def encode(self, texts: list[str]) -> list[bytes]:
         split: list[list[str] | None] = []
         for text in texts:
             plain = self.PLAIN.fullmatch(text) and not any(s in text for s in self.specials)
             split.append(self.WORDS.findall(unicodedata.normalize("NFC", text).lower()) if plain else None)
-        known, new = self.known, []
-        for word in set().union(*(words for words in split if words)).difference(known):
-            if (ids := known.older.get(word)) is not None:
+        known, older, new = self.known, self.known.older, []
+        for word in set().union(*(words for words in split if words)):
+            if word in known:
+                continue
+            if (ids := older.get(word)) is not None:
                 known.put(word, ids)
             elif len(word) <= known.longest:
                 new.append(word)
-        for word, coded in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known.put(word, array("I", coded.ids).tobytes())
-        return [(b"".join(itemgetter(*words)(known)) if len(words) > 1 else b"".join(map(known.__getitem__, words))) if words is not None else self._whole(text) for text, words in zip(texts, split, strict=True)]
+        self._learn(new)
+        return [self._joined(words) if words is not None else self._whole(text) for text, words in zip(texts, split, strict=True)]
+
+    def _joined(self, words: list[str]) -> bytes:
+        return b"".join(itemgetter(*words)(self.known)) if len(words) > 1 else b"".join(map(self.known.__getitem__, words))
 
 
 def pieces(documents: DataFrame, tokenizer: str, capacity: int = 4096) -> DataFrame:
