@@ -108,7 +108,7 @@ def _coded(part: int, run: int, seq: int, entries: list[tuple[bytes, int, list]]
 
 
 def runs(rows: DataFrame, size: int, parts: int) -> DataFrame:
-    """From rows(row, text, met: array of anchor positions): sorted, front-coded runs of the suffixes at those anchors."""
+    """From rows(place, row, text, met: array of anchor positions): sorted, front-coded runs of the suffixes at those anchors."""
 
     def flush(entries: list[tuple], run_id: int) -> Iterator[pa.RecordBatch]:
         entries.sort()
@@ -284,7 +284,7 @@ def spans_of(rows: DataFrame, size: int) -> DataFrame:
     shared = indexed.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     met = cut(indexed.join(shared, "anchor").groupBy("row").agg(F.collect_set("at").alias("met")))  # as many as a row has windows
     parts = 4 * max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    spans = merged(runs(rows.join(met, "row").select("row", "text", "met"), size, parts), size)
+    spans = merged(runs(rows.join(met, "row").select("place", "row", "text", "met"), size, parts), size)
     return spans.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 
 
