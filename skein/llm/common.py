@@ -10,6 +10,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_ROWS = 1000
 LOCAL_BITS = 33  # monotonically_increasing_id keeps the row's place in its partition in these bits
 
 
@@ -18,8 +19,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once a session, so that Python workers can import it from any place."""
+    """Send this package to the executors once a session, so that Python workers can import it from any place.
+
+    Arrow batches are kept small too: rows here hold whole texts.
+    """
     sc = spark.sparkContext
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     if getattr(sc, "_skein_shipped", False):
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
