@@ -132,7 +132,7 @@ class Model:
 
 def co_train(views: tuple[list, list], good: np.ndarray, pool: tuple[list, list], rounds: int = ROUNDS) -> Model | None:
     """The model from labelled rows (both views and whether they are good) and unlabelled rows; None without both classes."""
-    held = np.arange(len(good)) % 5 == 0
+    held = np.random.default_rng(SEED).random(len(good)) < 0.2
     if len({*good[~held].tolist()}) < 2 or len({*good[held].tolist()}) < 2:
         return None
     train = [([v[i] for i in np.flatnonzero(~held)], good[~held].tolist()) for v in views]
