@@ -98,12 +98,17 @@ def preview(text: Column, limit: int = 500) -> tuple[Column, Column]:
     return F.substring(text, 1, limit), F.length(text) > limit
 
 
+def strip(text: Column) -> Column:
+    """Text without white space at its ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def strip_footers(text: Column) -> Column:
     """F-21."""
     out = F.coalesce(text, F.lit(""))
     for p in FOOTERS:
         out = F.regexp_replace(out, p, "")
-    return F.trim(out)
+    return strip(out)
 
 
 def any_of(text: Column, needles: Iterable[str]) -> Column:
