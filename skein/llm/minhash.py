@@ -148,12 +148,13 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, similarity: Fraction
     named = sketched.where("doc_id is not null and n > 0")
     classes = cut(named.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.any_value("signature").alias("signature"), F.any_value("bands").alias("bands")))
     buckets = classes.select("id", F.explode("bands").alias("band"))
-    hubs = buckets.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("last > hub").select("band", "hub")
+    # cut, as are the salts, so that the joins have exchanges of their own, which are split where one key has many rows
+    hubs = cut(buckets.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("last > hub").select("band", "hub"))
     pairs = cut(buckets.join(hubs, "band").where("id <> hub").select("id", "hub").distinct())
     groups = components(pairs.select(F.col("id").alias("a"), F.col("hub").alias("b")))
     sets = cut(full_sets(documents, classes.join(groups.select(F.col("node").alias("id")), "id").select("id", "signature"), shingle))
 
-    salts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / RIGHT).alias("salts"))
+    salts = cut(pairs.groupBy("hub").agg(F.ceil(F.count("*") / RIGHT).alias("salts")))
     asked = pairs.join(salts, "hub")
     right = asked.select(F.col("hub").alias("b1"), F.pmod(F.xxhash64("id"), F.col("salts")).alias("b2"), "id").join(sets, "id")
     left = salts.select(F.col("hub").alias("b1"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("b2"), F.col("hub").alias("id")).join(sets, "id")
