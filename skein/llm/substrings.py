@@ -134,7 +134,8 @@ def removals(documents: DataFrame) -> DataFrame:
     rows = keyed(documents)
     indexed = cut(index(rows))
     shared = indexed.groupBy("anchor").agg(F.min("place").alias("low"), F.max("place").alias("high"), F.count("*").alias("n")).where("low < high")
-    met = indexed.join(shared.select("anchor", F.ceil(F.col("n") / HOT).alias("blocks")), "anchor")
+    # cut, so that the join has exchanges of its own, which are split where one anchor has many rows
+    met = indexed.join(cut(shared.select("anchor", F.ceil(F.col("n") / HOT).alias("blocks"))), "anchor")
     met = cut(met.groupBy("row").agg(F.collect_set(F.struct("at", "blocks")).alias("met")))  # as many as a row has windows
     spans = parsed(asked(rows.join(met, "row").select("place", "row", "text", "met")))
     spans = spans.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
