@@ -8,7 +8,9 @@ the one before, and the rest) and sends its pieces to the partition of their anc
 loser tree merges the runs; it keeps for every run the prefix known to be shared with the last suffix put
 out and never compares it again. The order and shared lengths that come out are the suffix array and its
 common prefixes: a suffix in two places makes all its windows repeated, and of the others only those
-windows are compared that the longest common prefix with a neighbour leaves possible.
+windows are compared that the longest common prefix with a neighbour leaves possible.  The windows of an
+anchor that stands in very many places are dealt over several partitions by their own hash, as suffixes of
+one window each, so that no partition gathers all that share a passage.
 """
 
 from __future__ import annotations
@@ -29,9 +31,11 @@ from .substrings import covered, keyed
 GRAM = 32
 RUN_ENTRIES = 40_000  # suffixes that a task sorts at once
 CHUNK_ENTRIES = 2_000
+HOT = 400_000  # occurrences of an anchor in one partition; equal ones take little room there
 HEAD = 8  # bytes of the anchor's hash before each suffix
 _POSITION_BITS = 24
 _POSITIONS = np.uint64((1 << _POSITION_BITS) - 1)
+_DEAL = np.uint64(0xD6E8FEB86659FD93)
 _STRETCH = (1 << _POSITION_BITS) - 1  # bytes hashed at once
 
 def window_hashes(b: np.ndarray, n: int) -> np.ndarray:
@@ -108,7 +112,7 @@ def _coded(part: int, run: int, seq: int, entries: list[tuple[bytes, int, list]]
 
 
 def runs(rows: DataFrame, size: int, parts: int) -> DataFrame:
-    """From rows(place, row, text, met: array of anchor positions): sorted, front-coded runs of the suffixes at those anchors."""
+    """From rows(place, row, text, met: array of (at, blocks)): sorted, front-coded runs of the suffixes at those anchors."""
 
     def flush(entries: list[tuple], run_id: int) -> Iterator[pa.RecordBatch]:
         entries.sort()
@@ -136,10 +140,18 @@ def runs(rows: DataFrame, size: int, parts: int) -> DataFrame:
                 for row, text, met in zip(piece["row"], piece["text"], piece["met"], strict=True):
                     raw = text.encode()
                     g, chosen = anchors(raw, size)
-                    at = np.array(sorted(met))
+                    blocks = {m["at"]: m["blocks"] for m in met}
+                    at = np.array(sorted(blocks))
+                    own = window_hashes(np.frombuffer(raw, np.uint8), size) if max(blocks.values()) > 1 else EMPTY
                     first, last = np.searchsorted(chosen, at, "left").tolist(), (np.searchsorted(chosen, at, "right") - 1).tolist()
                     for p, f, t, head in zip(at.tolist(), first, last, g[at].astype(">u8"), strict=True):
-                        entries.append((head.tobytes() + raw[p : t + size] + raw[f:p][::-1], t + size - p, row, f))
+                        if blocks[p] == 1:
+                            entries.append((head.tobytes() + raw[p : t + size] + raw[f:p][::-1], t + size - p, row, f))
+                            continue
+                        block = own[f : t + 1] % np.uint64(blocks[p])
+                        heads = mixed(np.uint64(int(head)) + (block + np.uint64(1)) * _DEAL).astype(">u8")
+                        for s, h in zip(range(f, t + 1), heads, strict=True):
+                            entries.append((h.tobytes() + raw[p : s + size] + raw[s:p][::-1], s + size - p, row, s))
                 if len(entries) >= RUN_ENTRIES:
                     yield from flush(entries, run_id)
                     run_id, entries = run_id + 1, []
@@ -281,8 +293,9 @@ def spans_of(rows: DataFrame, size: int) -> DataFrame:
     """row and spans (first, last start of repeated windows) of those of rows(place, row, text) that have any."""
     ship(rows.sparkSession)
     indexed = cut(index(rows, size))
-    shared = indexed.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    met = cut(indexed.join(shared, "anchor").groupBy("row").agg(F.collect_set("at").alias("met")))  # as many as a row has windows
+    # cut, so that the join below has exchanges of its own, which are split where one anchor has many rows
+    shared = cut(indexed.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", F.ceil(F.col("n") / HOT).alias("blocks")))
+    met = cut(indexed.join(shared, "anchor").groupBy("row").agg(F.collect_set(F.struct("at", "blocks")).alias("met")))  # as many as a row has windows
     parts = 4 * max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     spans = merged(runs(rows.join(met, "row").select("place", "row", "text", "met"), size, parts), size)
     return spans.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
