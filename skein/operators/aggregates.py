@@ -52,9 +52,8 @@ def head_middle_tail(df: DataFrame, group: list[str], order: list[str], k: int)
 def shares(df: DataFrame, value: str, key: str, k: int) -> DataFrame:
     """Q-21: one row: the share of the greatest value and of the k greatest in the total."""
     top = df.orderBy(F.col(value).desc(), key).limit(k)
-    a = top.agg(F.max(value).alias("top1"), F.sum(value).alias("topk"))
-    total = df.agg(F.sum(value).alias("total"))
-    return a.join(F.broadcast(total), F.lit(True)).select((F.col("top1") / F.col("total")).alias("top1_share"), (F.col("topk") / F.col("total")).alias("topk_share"))
+    total = df.agg(F.sum(value)).scalar()
+    return top.agg(F.max(value).alias("a"), F.sum(value).alias("b")).select((F.col("a") / total).alias("top1_share"), (F.col("b") / total).alias("topk_share"))
 
 
 def months(df: DataFrame, group: list[str], ts: str, value: Column) -> DataFrame:

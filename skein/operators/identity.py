@@ -164,8 +164,8 @@ def third_party_overlap(mention: DataFrame, people: DataFrame, least_signature:
     mention(canonical_id, third, n); thirds known to max(3, half) of all people or more don't count.
     """
     m = mention.join(people.select("canonical_id", "side"), "canonical_id")
-    n_people = people.agg(F.count("*").alias("everyone"))
-    df = m.groupBy("third").agg(F.count_distinct("canonical_id").alias("df")).crossJoin(F.broadcast(n_people)).where(F.col("df") < F.greatest(F.lit(3), F.ceil(F.col("everyone") / 2)))
+    everyone = people.agg(F.count("*")).scalar()
+    df = m.groupBy("third").agg(F.count_distinct("canonical_id").alias("df")).withColumn("everyone", everyone).where(F.col("df") < F.greatest(F.lit(3), F.ceil(F.col("everyone") / 2)))
     w = m.join(df, "third").withColumn("w", F.col("n") * F.log((F.col("everyone") + 1) / F.col("df")))
     size = w.groupBy("canonical_id").agg(F.count("*").alias("k"), F.sum("w").alias("total")).where(F.col("k") >= least_signature)
     w = w.join(size, "canonical_id")

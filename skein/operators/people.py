@@ -82,7 +82,7 @@ def almanac(gatherings: DataFrame, year: int, self_id: str) -> DataFrame:
     first = seen.groupBy("canonical_id").agg(F.min("y").alias("first_year"))
     n = seen.where(F.col("y") == year).groupBy("canonical_id").agg(F.count("*").alias("n"))
     total = n.agg(F.sum("n").alias("all"))
-    return n.join(first, "canonical_id").crossJoin(F.broadcast(total)).select("canonical_id", "n", (F.col("n") / F.col("all")).alias("share"), (F.col("first_year") == year).alias("new_face"))
+    return n.join(first, "canonical_id").select("canonical_id", "n", (F.col("n") / total.scalar()).alias("share"), (F.col("first_year") == year).alias("new_face"))
 
 
 def lapsed(gatherings: DataFrame, year: int) -> DataFrame:
@@ -139,8 +139,8 @@ def person_series(gatherings: DataFrame, messages: DataFrame, thread_identity: D
     e = gatherings.select(F.explode("participants").alias("canonical_id"), F.year(at(F.col("start_ts"))).alias("year"), F.lit(1).alias("e"), F.lit(0).alias("m"))
     m = messages.join(thread_identity, "thread_id").select("canonical_id", F.year(at(F.col("ts"))).alias("year"), F.lit(0).alias("e"), F.lit(1).alias("m"))
     y = e.union(m).groupBy("canonical_id", "year").agg(F.sum("e").alias("events"), F.sum("m").alias("messages"))
-    span = y.agg(F.min("year").alias("a"), F.max("year").alias("b"))
-    spine = y.select("canonical_id").distinct().crossJoin(F.broadcast(span)).select("canonical_id", F.explode(F.sequence("a", "b")).alias("year"))
+    years = F.sequence(y.agg(F.min("year")).scalar(), y.agg(F.max("year")).scalar())
+    spine = y.select("canonical_id").distinct().select("canonical_id", F.explode(years).alias("year"))
     full = spine.join(y, ["canonical_id", "year"], "left").na.fill(0, ["events", "messages"])
     silent = full.where("events + messages = 0").withColumn("run", F.col("year") - F.row_number().over(Window.partitionBy("canonical_id").orderBy("year")))
     runs = silent.groupBy("canonical_id", "run").agg(F.min("year").alias("a"), F.max("year").alias("b"), F.count("*").alias("n"))
