@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import decontamination, fingerprints, licenses, minhash, packing, quality, sharding, substrings, suffixes, token_counts
 from .common import read
+from .oracles import ORACLE_SQL
 
 
 def tokenizer_path(name: str) -> str:
@@ -64,4 +65,4 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
