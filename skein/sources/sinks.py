@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
-import shutil
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +19,8 @@ def overwrite(df: DataFrame, path: str, partition: str | None = None) -> None:
 def insert_ignore(spark: SparkSession, df: DataFrame, path: str, key: list[str]) -> None:
     """K-03: append the rows whose key isn't stored yet."""
     new = df.dropDuplicates(key)
-    if spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(path)):
+    fs, make = _files(spark, path)
+    if fs.exists(make(path)):
         new = new.join(spark.read.parquet(path).select(*key), key, "left_anti")
     new.write.mode("append").parquet(path)
 
@@ -36,34 +35,50 @@ def sidecar(photos: DataFrame, places: DataFrame, path: str) -> None:
     photos.join(places.select(F.col("photo_id").alias("id"), "city", "country"), "id", "left").write.mode("overwrite").json(path)
 
 
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, the path, and a way to make others; local folders and cluster stores alike."""
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark._jsc.hadoopConfiguration()), make
+
+
 def publish(df: DataFrame, root: str, version: str, gate=None) -> dict:
-    """K-07: write a version, gate it, then move the pointer to it in one rename; a failed gate leaves the pointer."""
-    path = f"{root}/{version}"
+    """K-07: write a version, gate it, then let the pointer name it; a failed gate leaves the pointer and takes the version away.
+
+    The pointer is a small file that is written whole and renamed; readers see the old version or the new one.
+    """
+    spark, path = df.sparkSession, f"{root}/{version}"
+    fs, make = _files(spark, root)
     df.write.mode("overwrite").parquet(path)
-    back = df.sparkSession.read.parquet(path)
+    back = spark.read.parquet(path)
     manifest = back.agg(F.count("*").alias("rows"), F.bit_xor(F.xxhash64(*back.columns)).alias("checksum")).first().asDict()
     if gate and not gate(manifest):
-        shutil.rmtree(path)
+        fs.delete(make(path), True)
         raise ValueError(f"gate refused {version}: {manifest}")
-    with open(f"{root}/.next", "w") as f:
-        json.dump({"version": version, **manifest}, f)
-    os.replace(f"{root}/.next", f"{root}/current.json")
+    out = fs.create(make(f"{root}/.next"), True)
+    out.write(bytearray(json.dumps({"version": version, **manifest}).encode()))
+    out.close()
+    fs.delete(make(f"{root}/current.json"), False)
+    fs.rename(make(f"{root}/.next"), make(f"{root}/current.json"))
     return manifest
 
 
+def active(spark: SparkSession, root: str) -> str:
+    """The version that the pointer names."""
+    return json.loads(spark.read.text(f"{root}/current.json", wholetext=True).first()[0])["version"]
+
+
 def current(spark: SparkSession, root: str) -> DataFrame:
-    with open(f"{root}/current.json") as f:
-        return spark.read.parquet(f"{root}/{json.load(f)['version']}")
+    return spark.read.parquet(f"{root}/{active(spark, root)}")
 
 
-def prune(root: str, keep: int) -> list[str]:
+def prune(spark: SparkSession, root: str, keep: int) -> list[str]:
     """K-08: remove all but the active and the newest `keep` versions."""
-    with open(f"{root}/current.json") as f:
-        active = json.load(f)["version"]
-    versions = sorted((e.name for e in os.scandir(root) if e.is_dir()), key=lambda v: os.stat(f"{root}/{v}").st_mtime, reverse=True)
-    gone = [v for v in versions[keep:] if v != active]
-    for v in gone:
-        shutil.rmtree(f"{root}/{v}")
+    fs, make = _files(spark, root)
+    found = sorted(((s.getModificationTime(), s.getPath().getName()) for s in fs.listStatus(make(root)) if s.isDirectory()), reverse=True)
+    now = active(spark, root)
+    gone = [name for _, name in found[keep:] if name != now]
+    for name in gone:
+        fs.delete(make(f"{root}/{name}"), True)
     return gone
 
 

@@ -126,4 +126,4 @@ def test_sinks(spark, tmp_path):
         pass
     assert sinks.current(spark, str(root)).count() == 2
     sinks.publish(df, str(root), "v3")
-    assert sinks.prune(str(root), 0) == ["v1"]
+    assert sinks.prune(spark, str(root), 0) == ["v1"]
