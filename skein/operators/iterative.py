@@ -4,16 +4,24 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+_own: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder; a temporary one, the same all session long, only where none is named."""
+    return spark.conf.get("spark.checkpoint.dir", None) or _own.setdefault("folder", tempfile.mkdtemp(prefix="skein-"))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df without lineage, kept in the cluster's checkpoint folder."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skein-checkpoints-"))
+        sc.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 
