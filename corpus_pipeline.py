@@ -62,8 +62,16 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage, from the table documents of sf_dir."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skein-pipeline-")
     home = os.path.join(folder, f"pipeline-{uuid.uuid4().hex}")
-    docs = read(spark, sf_dir, "documents")
+    docs, done = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{home}/{name}")
         docs = spark.read.parquet(f"{home}/{name}")
+        if done:  # what came before the last written stage isn't read again
+            _remove(spark, f"{home}/{done}")
+        done = name
     return docs
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
