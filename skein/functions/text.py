@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 #: Keyword categories of the loaded-language scan.
 CATEGORIES = {
-    "declaration": r"\b(i love you|i'?m in love|in love with you|love u georgey|i want you|date me|would you date|will you|marry me|be with me)\b",
+    "declaration": r"\b(i love you|i'?m in love|in love with you|i want you|date me|would you date|will you|marry me|be with me)\b",
     "attraction": r"\b(crush|attracted|hot|gorgeous|beautiful|sexy|fall(?:ing)? for|fell for|i fancy)\b",
     "vulnerability": r"\b(i'?m scared|i'?m afraid|i feel alone|lonely|i miss you|i'?m sorry|forgive me|ashamed|guilty|guilt|i was wrong)\b",
     "conflict": r"\b(we need to talk|i'?m angry|frustrat|fight|argument|hurt me|disappointed|breakup|broke up|broken up|over it|over you|done with this)\b",

@@ -206,3 +206,20 @@ def search(identities: DataFrame, messages: DataFrame, thread_identity: DataFram
     hit = identities.where(F.col("display_name").ilike(like) | F.exists("aliases", lambda a: a.ilike(like)))
     n = messages.join(thread_identity, "thread_id").groupBy("canonical_id").agg(F.count("*").alias("message_count"))
     return hit.join(n, "canonical_id", "left").select("canonical_id", "display_name", F.coalesce("message_count", F.lit(0)).alias("message_count")).orderBy(F.col("message_count").desc(), "canonical_id").limit(top)
+
+
+def apply_config(identities: DataFrame, thread_identity: DataFrame, messages: DataFrame, renames: DataFrame, splits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """I-16: renames(canonical_id, name), and splits(thread_id, name): the threads of a name leave for a person of their own.
+
+    New ids go on from the greatest number; a new person's sources are those of its threads' messages.
+    """
+    number = F.regexp_extract("canonical_id", r"(\d+)$", 1).cast("long")
+    names = splits.select("name").distinct()
+    last = identities.agg(F.coalesce(F.max(number), F.lit(-1))).scalar()
+    ids = names.select("name", F.concat(F.lit("id-"), (last + F.row_number().over(Window.orderBy("name"))).cast("string")).alias("canonical_id"))  # as many as the configuration has
+    moved = splits.join(ids, "name").select("thread_id", F.col("canonical_id").alias("_to"))
+    threads = thread_identity.join(moved, "thread_id", "left").select("thread_id", F.coalesce("_to", "canonical_id").alias("canonical_id"))
+    found = moved.join(messages.select("thread_id", "source"), "thread_id").groupBy(F.col("_to").alias("canonical_id")).agg(F.array_sort(F.collect_set("source")).alias("sources"))
+    new = ids.join(found, "canonical_id", "left").select("canonical_id", F.col("name").alias("display_name"), F.array("name").alias("aliases"), F.coalesce("sources", F.array().cast("array<string>")).alias("sources"))
+    old = identities.join(renames.withColumnRenamed("name", "_name"), "canonical_id", "left").select("canonical_id", F.coalesce("_name", "display_name").alias("display_name"), "aliases", "sources")
+    return old.unionByName(new), threads

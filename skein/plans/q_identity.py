@@ -157,3 +157,13 @@ def _(a):
 @query("q_i18_i22_m01_search", "SELECT i.canonical_id, i.display_name, coalesce(c.n, 0) AS message_count FROM identities i LEFT JOIN cnt c USING (canonical_id) WHERE i.display_name ILIKE '%ann%' OR len(list_filter(i.aliases, lambda x: x ILIKE '%ann%')) > 0 ORDER BY 3 DESC, 1 LIMIT 20", "identities cnt")
 def _(a):
     return I.search(a.identities, a.messages, a.thread_identity, "ann")
+
+
+@query("q_i16_alias_config", """WITH s(thread_id, name) AS (VALUES ('t1', 'Zed Two'), ('t2', 'Zed Two'), ('t3', 'Amy Three')), n AS (SELECT name, 'id-' || CAST((SELECT max(n) FROM identities) + row_number() OVER (ORDER BY name) AS STRING) AS id FROM (SELECT DISTINCT name FROM s))
+    SELECT canonical_id, CASE WHEN canonical_id = 'id-5' THEN 'Renamed' ELSE display_name END AS display_name, array_to_string(sources, ',') AS sources FROM identities UNION ALL
+    SELECT n.id, n.name, coalesce(array_to_string(list_sort(list(DISTINCT m.source)), ','), '') FROM n JOIN s USING (name) LEFT JOIN messages m USING (thread_id) GROUP BY 1, 2""", "identities messages")
+def _(a):
+    renames = a.spark.createDataFrame([("id-5", "Renamed")], "canonical_id string, name string")
+    splits = a.spark.createDataFrame([("t1", "Zed Two"), ("t2", "Zed Two"), ("t3", "Amy Three")], "thread_id string, name string")
+    people, _ = I.apply_config(a.identities.drop("n"), a.thread_identity, a.messages, renames, splits)
+    return people.select("canonical_id", "display_name", F.array_join("sources", ",").alias("sources"))

@@ -262,3 +262,19 @@ def _(a):
 def _(a):
     lines = a.table("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
     return lines.groupBy("doc_id").agg(F.count("*").alias("lines"), F.min(F.when(F.trim("t") != "", F.col("line"))).alias("first_line"))
+
+
+@query("q_a39_engagement", "SELECT 'messages' AS list, count(*) FILTER (WHERE contains(body, 'Bob') OR contains(sender_name, 'Bob')) AS n, count(*) FILTER (WHERE contains(body, 'Bob') OR contains(sender_name, 'Bob')) > 0 AS any FROM messages UNION ALL SELECT 'people', count(*) FILTER (WHERE contains(display_name, 'Bob')), count(*) FILTER (WHERE contains(display_name, 'Bob')) > 0 FROM identities".replace("AS any", 'AS "any"'), "messages identities")
+def _(a):
+    from ..operators.writing import engagement
+
+    return engagement("Bob", messages=a.messages.select("id", "sender_name", "body"), people=a.identities)
+
+
+@query("q_a43_writing_index", "SELECT 'd' || CAST(doc_id AS STRING) AS title, make_date(CAST(2000 + doc_id % 20 AS INT), CASE WHEN doc_id % 2 = 0 THEN 3 ELSE 1 END, 1) AS date FROM documents")
+def _(a):
+    from ..operators.writing import writing_index
+
+    name = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("(Mar "), (2000 + F.col("doc_id") % 20).cast("string"), F.lit(")"))).otherwise(F.concat(F.lit("("), (2000 + F.col("doc_id") % 20).cast("string"), F.lit(")")))
+    files = a.table("documents").select(F.concat(F.lit("/w/d"), F.col("doc_id").cast("string"), F.lit(" "), name, F.lit(".md")).alias("path"), "text", F.lit(None).cast("timestamp").alias("mtime"))
+    return writing_index(files).select("title", "date")
