@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import at, marker, round_half_up
+from ..session import ship
 from .joins import nearest, overlapping
 
 HOUR = 3_600_000
@@ -34,6 +35,7 @@ def cluster(photos: DataFrame, gap_hours: int = 6, far_km: float = 1.0, move_hou
     the second keeps state, and runs over each session of the first in its own group. Clusters of fewer
     than three photos are dropped.
     """
+    ship(photos.sparkSession)
     timed = sessions(photos, ["owner"], gap_hours * HOUR)
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:

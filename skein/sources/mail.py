@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 BODY_LIMIT = 20_000
 _MAIL = "message_id string, thrid string, refs string, ts long, from_addr string, from_name string, to_addrs array<string>, labels array<string>, list_unsubscribe boolean, kind string, body string"
 _AUTOMATED = re.compile(r"^(no-?reply|do-?not-?reply|notifications?|mailer-daemon|bounce|alerts?)[@+.-]", re.I)
@@ -40,6 +42,7 @@ def mbox(spark: SparkSession, glob: str) -> DataFrame:
 
     Files are split at their separator lines by the reader, so a large mailbox is many tasks' work.
     """
+    ship(spark)
     raw = spark.read.option("lineSep", "\nFrom ").text(glob)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

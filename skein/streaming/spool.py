@@ -47,6 +47,9 @@ def outings(stream: DataFrame, far_km: float = 1.0, gap_ms: int = 6 * 3_600_000,
     Every photo comes out with its outing's ordinal; photos of a batch are taken in order of time.
     """
     from ..operators.happenings import _km
+    from ..session import ship
+
+    ship(stream.sparkSession)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         k, lat, lng, n, last = state.get if state.exists else (0, 0.0, 0.0, 0, -1)
