@@ -17,17 +17,17 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Recent, cut, ship, slices
+from .common import cut, ship, slices
+from .shingles import mixed, powers
 
 END_ID = 1
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 
 
 @functools.lru_cache(maxsize=4)
@@ -38,13 +38,14 @@ def _encoder(path: str) -> _WordEncoder:
 class _WordEncoder:
     """Ids of texts under a lower-casing word-level BPE tokenizer, as little-endian unsigned 32-bit bytes.
 
-    Merges never cross words, so ids of words are looked up; a new word goes through the library.
-    Texts with code points outside Latin script and common marks go through the library whole.
+    Merges never cross words, so a batch of texts is split and hashed as one array of code points, and ids
+    of words are looked up by hash; new words go through the library, many at a time. Texts with code
+    points outside Latin script and common marks go through the library whole.
     """
 
-    LETTERS, DIGITS, SPACES = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017e", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t\n\r \xa0"
     PLAIN = re.compile("[\t\n\r -~\xa0-\u012f\u0132-\u0148\u014a-\u017e\u2010-\u2027\u2030-\u205e\u20ac]*")
-    WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^{SPACES}{LETTERS}{DIGITS}]+")
+    SPACE, LETTER, DIGIT, MARK = range(4)
+    CHARS = 1 << 19  # characters split at once
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are parallel already
@@ -52,47 +53,117 @@ class _WordEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.known = Recent(self._whole, CACHE_WORDS)
         vocabulary = self.library.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that end a word
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.kind = np.full(0x20AD, self.MARK, dtype=np.int8)  # of each code point of a plain text
+        self.kind[[9, 10, 13, 32, 160]] = self.SPACE
+        for k, spans in ((self.LETTER, "azAZ\xaa\xaa\xb5\xb5\xba\xba\xc0\xd6\xd8\xf6\xf8\u017e"), (self.DIGIT, "09\xb2\xb3\xb9\xb9\xbc\xbe")):
+            for low, high in zip(spans[::2], spans[1::2]):
+                self.kind[ord(low) : ord(high) + 1] = k
+        self.spell = np.random.default_rng(53).integers(0, 1 << 64, len(self.kind), dtype=np.uint64)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.slot: dict[int, int] = {}  # place of a word's ids, by the word's hash
+        self.ids, self.used = np.zeros(1 << 20, dtype="<u4"), 0
+        self.first, self.count = np.zeros(CACHE_WORDS * 2, dtype=np.int64), np.zeros(CACHE_WORDS * 2, dtype=np.int64)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, words: list[str]) -> None:
+    def _put(self, hashes: list[int], ids: np.ndarray, ends: np.ndarray) -> None:
+        """Store words whose ids stand one after another, and end where `ends` says."""
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        k = len(self.slot)
+        while k + len(hashes) > len(self.first):
+            self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
+        self.ids[self.used : self.used + len(ids)] = ids
+        begins = np.append(0, ends[:-1])
+        self.first[k : k + len(hashes)] = self.used + begins
+        self.count[k : k + len(hashes)] = ends - begins
+        self.slot.update(zip(hashes, range(k, k + len(hashes)), strict=True))
+        self.used += len(ids)
+
+    def _learn(self, words: list[tuple[int, str]]) -> None:
         """Ids of new words. Many are coded as one text, and told apart by the ids that end a word."""
-        texts = [words[i : i + 64] for i in range(0, len(words), 64)]
-        for own, coded in zip(texts, self.library.encode_batch_fast([" ".join(t) for t in texts], add_special_tokens=False), strict=True):
+        parts = [words[i : i + 256] for i in range(0, len(words), 256)]
+        for own, coded in zip(parts, self.library.encode_batch_fast([" ".join([w for _, w in p]) for p in parts], add_special_tokens=False), strict=True):
             ids = np.array(coded.ids, dtype="<u4")
-            ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
-            if len(ends) != len(own):
-                for word in own:
-                    self.known.put(word, self._whole(word))
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(own):
+                self._put([h for h, _ in own], ids, ends)
                 continue
-            raw, at = ids.tobytes(), 0
-            for word, end in zip(own, ends, strict=True):
-                self.known.put(word, raw[at:end])
-                at = end
+            for h, word in own:
+                one = np.frombuffer(self._whole(word), "<u4")
+                self._put([h], one, np.array([len(one)]))
+
+    def _split(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the words of lower-case code points: runs of letters, single digits, runs of marks, and contractions."""
+        kind = np.zeros(len(c) + 2, dtype=np.int8)
+        kind[1:-1] = self.kind[c]
+        changes = kind[1:] != kind[:-1]
+        start = changes[:-1] | (kind[1:-1] == self.DIGIT)
+        tick = np.flatnonzero((c == 39) & start & (kind[2:] == self.LETTER))
+        if len(tick):
+            one = c[tick + 1]
+            two = np.append(c, [0, 0])[tick + 2]
+            short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+            long = ((one == 114) & (two == 101)) | ((one == 118) & (two == 101)) | ((one == 108) & (two == 108))
+            met = tick[short | long]
+            start[met + 1] = False
+            after = met + np.where(short[short | long], 2, 3)
+            after = after[after < len(c)]
+            start[after[self.kind[c[after]] == self.LETTER]] = True
+        at = np.flatnonzero(start)
+        end = np.append(at[1:], len(c))
+        words = kind[at + 1] != self.SPACE
+        return at[words], end[words]
+
+    def _batch(self, texts: list[str]) -> list[bytes]:
+        """Ids of plain, lower-case texts."""
+        joined = "\n".join(texts)
+        c = np.frombuffer(joined.encode("utf-32-le"), "<u4")
+        at, end = self._split(c)
+        bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        if not len(at):
+            return [b""] * len(texts)
+        up, down = powers(len(c) + 1)
+        total = np.zeros(len(c) + 1, dtype=np.uint64)
+        np.cumsum(self.spell[c] * up[:-1], out=total[1:])
+        h = mixed((total[end] - total[at]) * down[at] + (end - at).astype(np.uint64))
+        unique, sample, which = np.unique(h, return_index=True, return_inverse=True)
+        hashes = unique.tolist()
+        if len(self.slot) > CACHE_WORDS:
+            self._forget()
+        slot = self.slot
+        self._learn([(x, joined[at[i] : end[i]]) for x, i in zip(hashes, sample.tolist(), strict=True) if x not in slot])
+        places = np.fromiter(map(slot.__getitem__, hashes), dtype=np.int64, count=len(hashes))[which]
+        count = self.count[places]
+        stop = np.cumsum(count)
+        ids = self.ids[np.repeat(self.first[places] - (stop - count), count) + np.arange(stop[-1])]
+        cuts = np.append(0, stop)[np.searchsorted(at, bounds)].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split: list[list[str] | None] = []
-        for text in texts:
-            plain = self.PLAIN.fullmatch(text) and not any(s in text for s in self.specials)
-            split.append(self.WORDS.findall(unicodedata.normalize("NFC", text).lower()) if plain else None)
-        known, older, new = self.known, self.known.older, []
-        for word in set().union(*(words for words in split if words)):
-            if word in known:
+        out: list[bytes] = [b""] * len(texts)
+        plain, room = [], self.CHARS
+        for i, text in enumerate(texts):
+            if not self.PLAIN.fullmatch(text) or any(s in text for s in self.specials):
+                out[i] = self._whole(text)
                 continue
-            if (ids := older.get(word)) is not None:
-                known.put(word, ids)
-            elif len(word) <= known.longest:
-                new.append(word)
-        self._learn(new)
-        return [self._joined(words) if words is not None else self._whole(text) for text, words in zip(texts, split, strict=True)]
-
-    def _joined(self, words: list[str]) -> bytes:
-        return b"".join(itemgetter(*words)(self.known)) if len(words) > 1 else b"".join(map(self.known.__getitem__, words))
+            low = unicodedata.normalize("NFC", text).lower()
+            plain.append((i, low))
+            room -= len(low)
+            if room < 0:
+                for (k, _), ids in zip(plain, self._batch([t for _, t in plain]), strict=True):
+                    out[k] = ids
+                plain, room = [], self.CHARS
+        if plain:
+            for (k, _), ids in zip(plain, self._batch([t for _, t in plain]), strict=True):
+                out[k] = ids
+        return out
 
 
 def pieces(documents: DataFrame, tokenizer: str, capacity: int = 4096) -> DataFrame:

@@ -29,6 +29,11 @@ class _Powers:
 _powers = _Powers()
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the hash base, and of its inverse."""
+    return _powers.get(n)
+
+
 def prefix_hashes(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(n + 1) hashes of the prefixes of n bytes, and the factors that bring a difference of two to its place."""
     up, down = _powers.get(len(b) + 1)
