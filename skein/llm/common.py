@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
-import zipfile
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import session
+
 BATCH_ROWS = 1000
 LOCAL_BITS = 33  # monotonically_increasing_id keeps the row's place in its partition in these bits
 
@@ -19,25 +19,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once a session, so that Python workers can import it from any place.
-
-    Arrow batches are kept small too: rows here hold whole texts.
-    """
-    sc = spark.sparkContext
+    """The package on the executors, and small Arrow batches: rows here hold whole texts."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    if getattr(sc, "_skein_shipped", False):
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="skein-"), "skein.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for folder, _, names in os.walk(root):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
-    sc.addPyFile(path)
-    sc._skein_shipped = True
+    session.ship(spark)
 
 
 def cut(df: DataFrame) -> DataFrame:
