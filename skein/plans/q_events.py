@@ -115,7 +115,10 @@ def _(a):
     return H.geocode_misses(a.places, cache)
 
 
-@query("q_e20_merge_clusters")
+@query("q_e20_merge_clusters", """WITH v AS (SELECT label, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), c AS (SELECT label, i, avg(x) AS x FROM v GROUP BY 1, 2), n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1),
+    d AS (SELECT a.label AS a, b.label AS b, sum(a.x * b.x) AS s FROM c a JOIN c b USING (i) GROUP BY 1, 2), e AS (SELECT d.a, d.b FROM d JOIN d x ON x.a = d.a AND x.b = d.a JOIN d y ON y.a = d.b AND y.b = d.b WHERE d.a <> d.b AND d.s >= 0.5 * sqrt(x.s) * sqrt(y.s)),
+    r AS (SELECT label AS node, label AS o FROM n UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.o), m AS (SELECT node, min(o) AS cluster FROM r GROUP BY 1)
+    SELECT m.cluster, CAST(sum(n.n) AS BIGINT) AS n_faces, array_to_string(list_sort(list(CAST(n.label AS STRING))), ',') AS labels FROM m JOIN n ON n.label = m.node GROUP BY 1""")
 def _(a):
     return H.merge_clusters(a.table("embeddings"), 0.5)
 
