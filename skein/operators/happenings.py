@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import at, marker, round_half_up
+from ..functions.text import at, haversine, marker, round_half_up
 from ..session import ship
 from .joins import nearest, overlapping
 
@@ -32,8 +32,9 @@ def cluster(photos: DataFrame, gap_hours: int = 6, far_km: float = 1.0, move_hou
 
     A cluster ends after a gap of more than 6 hours, or where a photo is over 1 km from the mean of the
     cluster's positions so far and more than 1 hour after the photo before. The first rule is a window;
-    the second keeps state, and runs over each session of the first in its own group. Clusters of fewer
-    than three photos are dropped.
+    the second keeps state, and runs over each session of the first in its own group, unless the session
+    is so short or lies so close together that it can't be divided. Clusters of fewer than three photos
+    are dropped.
     """
     ship(photos.sparkSession)
     timed = sessions(photos, ["owner"], gap_hours * HOUR)
@@ -51,7 +52,15 @@ def cluster(photos: DataFrame, gap_hours: int = 6, far_km: float = 1.0, move_hou
             last = ts
         return rows.assign(part=out)[["owner", "session", "part", "id", "ts", "lat", "lng"]]
 
-    walked = timed.select("owner", "session", "id", "ts", "lat", "lng").groupBy("owner", "session").applyInPandas(walk, "owner string, session long, part long, id string, ts long, lat double, lng double")
+    whole = Window.partitionBy("owner", "session")
+    placed = F.col("lat").isNotNull() & F.col("lng").isNotNull()
+    edge = lambda f, c: f(F.when(placed, F.col(c))).over(whole)
+    across = haversine(edge(F.min, "lat"), edge(F.min, "lng"), edge(F.max, "lat"), edge(F.max, "lng"))
+    short = F.max("ts").over(whole) - F.min("ts").over(whole) <= move_hours * HOUR
+    timed = timed.withColumn("calm", short | F.coalesce(across <= 0.9 * far_km, F.lit(True))).select("owner", "session", "id", "ts", "lat", "lng", "calm")
+    walked = timed.where("not calm").groupBy("owner", "session").applyInPandas(walk, "owner string, session long, part long, id string, ts long, lat double, lng double")
+    calm = timed.where("calm").select("owner", "session", F.lit(0).cast("long").alias("part"), "id", "ts", "lat", "lng")
+    walked = walked.union(calm)
     return walked.withColumn("_n", F.count("*").over(Window.partitionBy("owner", "session", "part"))).where(F.col("_n") >= least).drop("_n")
 
 
