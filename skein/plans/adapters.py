@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 FIRST = "Ann,Bob,Cleo,Dev,Eve,Finn,Gus,Hana,Ivo,June,Kai,Lena,Milo,Nora,Otto,Pia,Quin,Rosa,Sven,Tess"
 LAST = "Abel,Birch,Cole,Dunn,Ellis,Frost,Grant,Hale,Irwin,Jarvis,Knox,Lowe,Marsh,Nash,Orr"
+#: Endings of first names, so that fifteen people share one however many there are.
+ENDINGS = "a,e,i,o,u,ya,ye,yo,na,ne,ni,no,la,le,li,lo,ra,re,ri,ro"
 SOURCES = "imessage,instagram,whatsapp,messenger,gmail"
 PHRASES = (
     "ok cool|omw see you there|happy birthday!|http://x.example/a|Liked a photo|i feel like maybe i should go|where are you|running late sorry|"
@@ -44,7 +46,8 @@ class Dialect:
         return f"split_part('{text}', '{sep}', CAST({k} AS INT) + 1)"
 
     def name(self, k: str) -> str:
-        return f"({self.pick(FIRST, ',', f'({k}) % 20')} || ' ' || {self.pick(LAST, ',', self.div(k, 20) + ' % 15')})"
+        more = f"CASE WHEN ({k}) >= 300 THEN {self.pick(ENDINGS, ',', self.div(k, 300) + ' % 20')} ELSE '' END"
+        return f"({self.pick(FIRST, ',', f'({k}) % 20')} || {more} || ' ' || {self.pick(LAST, ',', self.div(k, 20) + ' % 15')})"
 
 
 SPARK, DUCK = Dialect(False), Dialect(True)
