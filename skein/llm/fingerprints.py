@@ -1,10 +1,17 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-Grams are runs of GRAM words (split at white space); a text with fewer words is one gram. Gram hashes
+Grams are runs of GRAM words (split at white space; a word of more than LONG_WORD characters counts as that
+many words of one); a text with fewer words is one gram. Gram hashes
 roll by doubling: pairs of words, then pairs of pairs. Each value holds a gram's hash in its upper bits
 and the complement of its position in its lower bits, so that the minimum of a window is the least hash
 and, among ties, the rightmost; window minima come by doubling too. Any run of WINDOW + GRAM - 1 words
 that two texts share leaves a common fingerprint in both, and positions are kept with the hashes.
+
+Texts of up to SHORT characters have values of runs of GRAM characters besides, at positions from
+CHARACTERS on: the minima of windows of WINDOW, or all of them in texts of less than 2 * (WINDOW + GRAM - 1)
+characters. A larger window's minima are among a smaller one's, so texts of any two lengths can be compared.
+Half of a longer text holds a run of WINDOW + GRAM - 1 words, and half of a shorter one a run of characters
+that leaves a common value, from 2 * GRAM - 1 characters on (white space in long runs aside).
 """
 
 from __future__ import annotations
@@ -17,23 +24,51 @@ POSITION_BITS = 27
 _POSITIONS = (1 << POSITION_BITS) - 1
 _HASHES = ((1 << 63) - 1) ^ _POSITIONS
 _LEAST = -(1 << 63)
+LONG_WORD = 24
+#: Half of a text over this size holds WINDOW + GRAM - 1 words of up to LONG_WORD characters, and one cut in two.
+SHORT = 1024
+CHARACTERS = 1 << (POSITION_BITS - 1)
 
 
 def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
-    """df with `name`: the selected values of column `text`, in order of position."""
-    df = df.withColumn("_w", F.transform(F.split(F.col(text), r"\s+"), lambda w: F.xxhash64(w)))
+    """df with `name`: the selected values of column `text`'s words, in order of position."""
+    df = df.withColumn("_s", F.split(F.col(text), r"\s+"))
+    pieces = F.flatten(F.transform("_s", lambda w: F.when(F.length(w) > LONG_WORD, F.split(w, "")).otherwise(F.array(w))))
+    df = df.withColumn("_s", F.when(F.exists("_s", lambda w: F.length(w) > LONG_WORD), pieces).otherwise(F.col("_s")))
+    return _winnowed(df.withColumn("_w", F.transform("_s", lambda w: F.xxhash64(w))).drop("_s"), name)
+
+
+def with_characters(df: DataFrame, text: str, name: str) -> DataFrame:
+    """df with `name`: the selected values of column `text`'s characters if it is short, and none otherwise."""
+    size = F.length(F.col(text))
+    units = F.when((size > 0) & (size <= SHORT), F.split(F.col(text), "")).otherwise(F.array().cast("array<string>"))
+    df = df.withColumn("_w", F.transform(units, lambda c: F.xxhash64(F.lit(CHARACTERS), c)))
+    return _winnowed(df, name, CHARACTERS, size < 2 * (WINDOW + GRAM - 1))
+
+
+def with_both(df: DataFrame, text: str, name: str) -> DataFrame:
+    """df with `name`: the values of column `text`'s words, then those of its characters."""
+    df = with_characters(with_fingerprint(df, text, name), text, "_c")
+    return df.withColumn(name, F.concat(name, "_c")).drop("_c")
+
+
+def _winnowed(df: DataFrame, name: str, start: int = 0, every: Column | None = None) -> DataFrame:
+    """df with `name`: the values selected of the hashes in _w, whose positions begin at `start`; all of them where `every`."""
     df = df.withColumn("_n", F.greatest(F.size("_w") - (GRAM - 1), F.lit(1)))
     step = 1
     while step < GRAM:
         df = df.withColumn("_w", F.zip_with("_w", F.slice("_w", F.lit(step + 1), F.size("_w")), lambda a, b: F.xxhash64(a, b)))
         step *= 2
-    df = df.withColumn("_w", F.transform(F.slice("_w", F.lit(1), F.col("_n")), lambda h, i: h.bitwiseAND(F.lit(_HASHES)).bitwiseOR(F.lit(_POSITIONS) - i)))
+    df = df.withColumn("_w", F.transform(F.slice("_w", F.lit(1), F.col("_n")), lambda h, i: h.bitwiseAND(F.lit(_HASHES)).bitwiseOR(F.lit(_POSITIONS - start) - i)))
+    if every is not None:
+        df = df.withColumn("_all", F.when(every, F.col("_w")))
     step = 1
     while step < WINDOW:
         df = df.withColumn("_w", F.zip_with("_w", F.slice("_w", F.lit(step + 1), F.size("_w")), lambda a, b: F.least(a, b)))
         step *= 2
-    df = df.withColumn(name, F.array_distinct(F.slice("_w", F.lit(1), F.greatest(F.col("_n") - (WINDOW - 1), F.lit(1)))))
-    return df.drop("_w", "_n")
+    least = F.array_distinct(F.slice("_w", F.lit(1), F.greatest(F.col("_n") - (WINDOW - 1), F.lit(1))))
+    df = df.withColumn(name, least if every is None else F.coalesce("_all", least))
+    return df.drop("_w", "_n", "_all")
 
 
 def _hashes(name: str) -> Column:
@@ -92,12 +127,12 @@ def fingerprint(documents: DataFrame) -> DataFrame:
     parts = max(1, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     df = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     df = df.withColumn("key", F.coalesce("doc_id", F.lit(_LEAST)))
-    df = with_next(with_fingerprint(df, "text", "sel"), "key", "text", "sel", parts=parts)
+    df = with_next(with_both(df, "text", "sel"), "key", "text", "sel", parts=parts)
     df = df.withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     df = df.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next_text", F.lit(1), half)))
     df = df.select("doc_id", "n_chars", "edited", "sel", "next_sel")
-    df = with_fingerprint(df, "edited", "edited_sel")
+    df = with_both(df, "edited", "edited_sel")
     df = df.withColumns({"_a": _hashes("sel"), "_e": _hashes("edited_sel"), "_b": _hashes("next_sel")})
     return df.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), shown("sel").alias("fingerprint"), shown("edited_sel").alias("edited_fingerprint"),

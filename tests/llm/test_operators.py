@@ -180,6 +180,18 @@ def test_rightmost_ties(spark):
     assert places == list(range(fingerprints.WINDOW - 1, 40 - fingerprints.GRAM + 1))
 
 
+def test_half_of_a_short_or_unspaced_text_is_found(spark):
+    rnd = random.Random(12)
+    letters = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    spoken = lambda n: " ".join(letters(rnd.randint(1, 9)) for _ in range(n))
+    texts = [letters(n) for n in (7, 8, 12, 37, 38, 75, 76, 1023, 1024, 1025, 3000)] + ["".join(chr(0x4E00 + rnd.randrange(3000)) for _ in range(n)) for n in (9, 40, 1500)]
+    texts += [spoken(n) for n in (2, 3, 5, 9, 18, 19, 20, 37, 38, 150, 160, 170, 180, 190)] + [" ".join(letters(24) for _ in range(n)) for n in (5, 39, 41, 42)] + [" ".join(letters(25) for _ in range(60))]
+    texts = [t for t in texts if len(t) >= 2 * fingerprints.GRAM - 1]
+    rows = [(2 * i, t) for i, t in enumerate(texts)] + [(2 * i + 1, ["", "x", spoken(400)][i % 3]) for i in range(len(texts))]  # each is edited with the one after it
+    got = by_id(fingerprints.fingerprint(spark.createDataFrame(rows, "doc_id long, text string")), "near_edited")
+    assert [t for i, t in rows[: len(texts)] if got[i][0] == 0] == []
+
+
 def test_packing(documents, nothing):
     from tokenizers import Tokenizer
 
