@@ -50,7 +50,7 @@ class Content:
         twice = sum(a == b for a, b in zip(tokens, tokens[1:]))
         shape = (
             upper / letters, marks / letters, 1 - len(counts) / n, max(counts.values(), default=0) / n,
-            twice / max(1, len(tokens)), sum(c.isdigit() for c in text[:: max(1, len(text) // 2000)]) / 2000,
+            twice / max(1, len(tokens)), sum(map(len, re.findall(r"\d+", text))) / letters,
         )
         buckets = [32 * i + min(31, int(32 * x**0.5)) for i, x in enumerate(shape)] + [32 * len(shape) + min(31, n.bit_length())]
         return np.fromiter(set(buckets).union(*map(self.slots.__getitem__, counts)), dtype=np.int32)

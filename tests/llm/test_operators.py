@@ -354,6 +354,17 @@ def test_quality(spark, documents, nothing):
     assert all(r["keep"] and r["score"] is None for r in quality.classify(documents, table.limit(0)).collect())
 
 
+def test_digit_share_of_whole_texts():
+    def bucket(text):
+        return [int(f) - 160 for f in quality.Content().features(text) if 160 <= f < 192]
+
+    odd, even = "a1" * 4000, "1a" * 4000  # every second character is a digit
+    assert bucket(odd) == bucket(even) == [int(32 * 0.5**0.5)]
+    for n in (10, 100, 1000, 1999, 2500, 3999, 4000, 40_000):  # a tenth is digits, at whatever length
+        assert bucket("abcdefghi7" * (n // 10)) == bucket("abcdefghi7")
+    assert bucket("x" * 9000) == [0] and bucket("5" * 300) == [31] and bucket("") == bucket(None) == [0]
+
+
 def test_recent():
     asked = []
     m = Recent(lambda k: asked.append(k) or k * 2, 3)
