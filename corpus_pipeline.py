@@ -17,8 +17,9 @@ from skein.llm import decontamination, minhash, packing, quality, suffixes
 from skein.llm.common import read
 from skein.llm.queries import tokenizer_path
 
-#: Passages of fifty words are seldom shorter than this many bytes.
-REPEATED_BYTES = 240
+#: Strings of this many bytes are taken out wherever they repeat, and shorter ones if they have this many words:
+#: passages of over fifty words are seldom shorter, but can have as few as 101 bytes.
+REPEATED_BYTES, REPEATED_WORDS = 240, 51
 
 
 def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +34,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that also stand elsewhere."""
-    return suffixes.cleaned(docs, size=REPEATED_BYTES)
+    return suffixes.cleaned(docs, size=REPEATED_BYTES, n_words=REPEATED_WORDS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ one window each, so that no partition gathers all that share a passage.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -289,8 +290,12 @@ def merged(coded: DataFrame, size: int) -> DataFrame:
     return coded.repartition("part").sortWithinPartitions("part", "run", "seq").mapInArrow(run, "row long, first long, last long")
 
 
-def spans_of(rows: DataFrame, size: int) -> DataFrame:
-    """row and spans (first, last start of repeated windows) of those of rows(place, row, text) that have any."""
+def spans_of(rows: DataFrame, size: int, n_words: int | None = None) -> DataFrame:
+    """row and spans (first, last start of repeated windows) of those of rows(place, row, text) that have any.
+
+    With n_words, also of the repeated runs of so many words that are shorter than a window; the span of
+    these ends before the window's size, and may end before it begins.
+    """
     ship(rows.sparkSession)
     indexed = cut(index(rows, size))
     # cut, so that the join below has exchanges of its own, which are split where one anchor has many rows
@@ -298,9 +303,65 @@ def spans_of(rows: DataFrame, size: int) -> DataFrame:
     met = cut(indexed.join(shared, "anchor").groupBy("row").agg(F.collect_set(F.struct("at", "blocks")).alias("met")))  # as many as a row has windows
     parts = 4 * max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     spans = merged(runs(rows.join(met, "row").select("place", "row", "text", "met"), size, parts), size)
+    if n_words is not None:
+        spans = spans.unionByName(word_spans_of(rows, n_words, size))
     return spans.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 
 
+_EDGE = re.compile(r"[\W_]*")
+
+
+def _marks(word: bytes) -> tuple[int, int]:
+    """Bytes of a word before its first letter or digit, and after its last; none of a word without any."""
+    text = word.decode()
+    lead = _EDGE.match(text).end()
+    if lead == len(text):
+        return 0, 0
+    return len(text[:lead].encode()), len(text[len(text) - _EDGE.match(text[::-1]).end() :].encode())
+
+
+def short_passages(raw: bytes, n_words: int, size: int) -> list[tuple[int, int]]:
+    """(begin, end) of all runs of n_words words that have less than `size` bytes without the marks around them."""
+    b = np.frombuffer(raw, np.uint8)
+    gap = np.r_[True, (b == 32) | ((b >= 9) & (b <= 13)), True]
+    edges = np.flatnonzero(gap[1:] != gap[:-1])
+    begins, ends = edges[::2], edges[1::2]
+    if len(begins) < n_words:
+        return []
+    out = []
+    for i in np.flatnonzero(begins[n_words - 1 :] - ends[: len(ends) - n_words + 1] < size).tolist():
+        j = i + n_words - 1
+        begin, end = int(begins[i]), int(ends[j])
+        begin, end = begin + _marks(raw[begin : ends[i]])[0], end - _marks(raw[begins[j] : end])[1]
+        if end - begin < size:
+            out.append((begin, end))
+    return out
+
+
+def word_spans_of(rows: DataFrame, n_words: int, size: int) -> DataFrame:
+    """row, first and last, as of windows of `size` bytes, of the runs of n_words words under that size that stand elsewhere too.
+
+    Elsewhere is another row or a place of the same one that the run doesn't reach into: one word said sixty
+    times is no repeated passage. Runs are compared by 128 bits of hash; few texts have words short enough for any.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 128):
+                part, out = batch.slice(start, 128).to_pydict(), []
+                for row, text in zip(part["row"], part["text"], strict=True):
+                    raw = text.encode()
+                    out += [(hashlib.blake2b(raw[a:b], digest_size=16).digest(), row, a, b - size) for a, b in short_passages(raw, n_words, size)]
+                for at in range(0, len(out), 50_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[at : at + 50_000], strict=True), (pa.binary(), *[pa.int64()] * 3), strict=True)], ["passage", "row", "first", "last"])
+
+    found = rows.mapInArrow(run, "passage binary, row long, first long, last long")
+    found = cut(found.groupBy("passage", "row", "first", "last").agg(F.count("*").alias("n")))  # n > 1: rows that are equal as a whole
+    elsewhere = F.expr(f"min(row) <> max(row) or max(n) > 1 or max(first) - min(first) >= min(last - first) + {size}")
+    shared = cut(found.groupBy("passage").agg(elsewhere.alias("elsewhere")).where("elsewhere").select("passage"))
+    return found.join(shared, "passage", "left_semi").select("row", "first", "last")
+
+
 def dedup(documents: DataFrame, size: int = 400) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of documents(doc_id, text, ...).
 
@@ -328,8 +389,11 @@ def dedup(documents: DataFrame, size: int = 400) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def cleaned(documents: DataFrame, size: int = 400) -> DataFrame:
-    """documents with repeated bytes taken out of text; characters cut in two stay. All columns stay."""
+def cleaned(documents: DataFrame, size: int = 400, n_words: int | None = None) -> DataFrame:
+    """documents with repeated bytes taken out of text; characters cut in two stay. All columns stay.
+
+    With n_words, repeated runs of that many words are taken out too where they have less than `size` bytes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -346,7 +410,7 @@ def cleaned(documents: DataFrame, size: int = 400) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if name == "text" else part.column(i) for i, name in enumerate(names)], names)
 
     names = documents.columns
-    spans = spans_of(keyed(documents), size).select(F.col("row").alias("_row"), F.col("spans").alias("_spans"))
+    spans = spans_of(keyed(documents), size, n_words).select(F.col("row").alias("_row"), F.col("spans").alias("_spans"))
     rows = documents.select(*[documents[n].alias(f"_{i}") for i, n in enumerate(names)], F.xxhash64(documents["doc_id"].cast("long"), F.coalesce(documents["text"], F.lit(""))).alias("_row"))
     joined = rows.join(spans, "_row", "left").select(*[F.col(f"_{i}").alias(n) for i, n in enumerate(names)], F.col("_spans").alias("spans"))
     return joined.mapInArrow(run, documents.schema)

@@ -1,6 +1,7 @@
 """The pipeline's stages on a small table, and against plain versions where there are any."""
 
 import os
+import random
 
 import pytest
 
@@ -33,6 +34,21 @@ def test_stages(spark, tmp_path):
             assert set(after) == {i for i, _ in before}
 
 
+def test_passages_of_short_words(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rnd = random.Random(4)
+    say = lambda n, most=9: " ".join("".join(rnd.choice("abcdefghijkl") for _ in range(rnd.randint(1, most))) for _ in range(n))
+    single, short, near = say(51, 1), say(60, 3), say(50, 2)
+    assert len(single) == 101 and len(short) < corpus_pipeline.REPEATED_BYTES
+    texts = [f"{say(30)} {single} {say(20)}", f"{say(10)} ({single}). {say(40)}", f"{say(30)} {short} {say(9)}", f"é {short}", f"{say(20)} {near} {say(20)}", f"{say(9)} {near} {say(30)}", say(80, 2), "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_repeated_passages(spark, docs, SF).collect()}
+    gone = {0: single, 1: single, 2: short, 3: short}
+    assert got == {i: t.replace(gone[i], "") if i in gone else t for i, t in enumerate(texts)}
+    twice = spark.createDataFrame([(1, f"{single} {say(20)} {single}")], "doc_id long, text string")
+    assert single not in corpus_pipeline.drop_repeated_passages(spark, twice, SF).first()["text"]
+
+
 def test_run(spark):
     import __spark_entry__
 
