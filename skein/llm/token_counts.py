@@ -1,21 +1,30 @@
 """Token counts by a compiled finite-state transducer whose chunk maps compose in a prefix scan.
 
-The tokenizer file is compiled into a deterministic, sequential transducer. Its states are the bytes
-read since the last certain word boundary; each transition is annotated with the number of tokens it
-emits, and the whole vocabulary is laid down beforehand (its words emit one token).  Further paths are
-determinised when first met.  A boundary is certain where white space follows another character: no
-token of this family of splits can span it, and nothing to its left changes what is right of it.  So the
-map of a chunk, from any state that it may be entered in, is (open head, emitted count, open tail), maps
-compose associatively, and a text's count is the last value of a prefix scan over its chunks' maps.
+The tokenizer file is compiled into two deterministic machines. The splitter sees a character's class and
+its neighbours and marks where words of the file's split begin. The counter reads the bytes of a word: its
+states are prefixes of words, and the transition from one prefix to the next carries the number of tokens
+by which the merged prefix grows (below zero where merges join several tokens), so that the annotations on
+a word's path add up to its tokens. All prefixes of the vocabulary's words are states from the beginning;
+further words are determinised when first met, as far as STATES goes; the few words left over are merged.
+
+Texts of every length are cut into chunks. A boundary is certain where white space follows another
+character: no token of this family of splits can span it, and nothing to its left changes what is right of
+it. So the map of a chunk, from any state that it may be entered in, is (open head, emitted count, open
+tail); the identity map of a chunk without certain boundary leaves open what was open. Two maps compose by
+closing the tail of one with the head of the other. A prefix scan over the maps gives the open tail at each
+chunk's entry (running maxima) and the count at its end (running sums). All chunks of a batch, and all
+closings, step through the transition table together, one byte of every word at a time.
 """
 
 from __future__ import annotations
 
 import functools
+import heapq
 import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -23,13 +32,28 @@ from pyspark.sql import functions as F
 
 from .common import Recent, ship, slices
 
-#: Fixed value: the split of byte-level BPE with its regex on.
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-CHUNK = 1 << 15
-STATES = 150_000
+OTHER, LETTER, NUMBER, SPACE, BLANK, EDGE = range(6)
+CHUNK = 1 << 12  # characters of a chunk
+STRETCH = 1 << 20  # characters that step through the table together
+STATES = 1 << 18
+LONGEST = 48  # bytes of words that have paths
+DEAD, ROOT = 0, 1
+BIAS = 128
+#: What follows an apostrophe in the split's own words.
+SHORT, LONG = "stmd", ("re", "ve", "ll")
+
 
-Map = tuple[str, int, str] | str  # (head, count, tail), or a whole chunk without a certain boundary
+@functools.cache
+def classes() -> np.ndarray:
+    """The splitter's class of every code point."""
+    out = np.zeros(0x110000, dtype=np.uint8)
+    every = "".join(map(chr, range(0xD800))) + "\0" * 0x800 + "".join(map(chr, range(0xE000, 0x110000)))
+    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (BLANK, f"[{WHITE}]+")):
+        for m in regex.finditer(pattern, every):
+            out[m.start() : m.end()] = kind
+    out[ord(" ")] = SPACE
+    return out
 
 
 def _byte_letters() -> dict[int, str]:
@@ -39,8 +63,49 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+def word_starts(codes: np.ndarray, kind: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """Where words of the split begin; edge[i] says that a text begins at i, and edge[n] is the end."""
+    n = len(codes)
+    before, after = np.full(n, EDGE, np.uint8), np.full(n, EDGE, np.uint8)
+    before[1:], after[:-1] = kind[:-1], kind[1:]
+    before[edge[:n]] = EDGE
+    after[edge[1:]] = EDGE
+    white, was_white = kind >= SPACE, (before == SPACE) | (before == BLANK)
+    # a run of white space gives its last character to what follows: as a word of its own, or a space as the beginning of the next word
+    start = np.where(white, ~was_white | (after < SPACE), (before != kind) & (before != SPACE))
+    quote = np.flatnonzero((codes == ord("'")) & start & (after == LETTER))
+    if len(quote):
+        one = codes[quote + 1]
+        short = quote[np.isin(one, [ord(c) for c in SHORT])]
+        start[short + 1] = False
+        start[(short + 2)[~edge[short + 2]]] = True
+        two = quote[~edge[np.minimum(quote + 2, n)]]
+        for a, b in LONG:
+            at = two[(codes[two + 1] == ord(a)) & (codes[two + 2] == ord(b))]
+            start[at + 1] = False
+            start[(at + 3)[~edge[at + 3]]] = True
+    return start
+
+
+def chunk_maps(starts: np.ndarray, certain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last certain boundary within each chunk (heads end and tails begin there), or -1 for identity maps."""
+    chunk = np.searchsorted(starts, certain, "right") - 1
+    inside = certain > starts[chunk]  # what is at a chunk's beginning can't be seen from within
+    certain, chunk = certain[inside], chunk[inside]
+    first, last = np.full(len(starts), -1, np.int64), np.full(len(starts), -1, np.int64)
+    last[chunk] = certain
+    first[chunk[::-1]] = certain[::-1]
+    return first, last
+
+
+def scan(last: np.ndarray, opens: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the open tail begins when each chunk is entered and left; opens: a text's first chunk, which begins at `begin`."""
+    left = np.maximum.accumulate(np.where(opens, np.maximum(last, begin), last))
+    entered = np.where(opens, begin, np.r_[0, left[:-1]])
+    return entered, left
+
+
 class Transducer:
-    UNIT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
     CERTAIN = re.compile(f"(?<=[^{WHITE}])(?=[{WHITE}])")
 
     def __init__(self, path: str):
@@ -52,19 +117,36 @@ class Transducer:
         self.ranks = {(a, b): i for i, (a, b) in enumerate(m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])}
         specials = [t["content"] for t in spec["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, sorted(specials, key=len, reverse=True)))) if specials else None
-        self.split = regex.compile(SPLIT)
-        self.words = Recent(lambda word: self._long(word) if len(word) > 400 else self._merge(word), STATES)
+        self.table = np.zeros(STATES << 8, dtype=np.int32)  # state and byte -> next state, and the tokens emitted (with a bias)
+        self.tokens = np.zeros(STATES, dtype=np.int32)  # of the prefix that a state stands for
+        self.states = ROOT + 1
+        self.left_over = Recent(self.merged, 150_000)
         byte = {v: k for k, v in self.letters.items()}
         for token in spec["model"]["vocab"]:
-            word = bytes(byte[c] for c in token).decode("utf-8", "ignore")
-            if len(self.split.findall(word)) == 1 and self._merge(word) == 1:
-                self.words[word] = 1
-        self.emitted = Recent(self._unit, STATES)
+            if all(c in byte for c in token):
+                self.lay(bytes(byte[c] for c in token))
 
-    def _merge(self, word: str) -> int:
+    def lay(self, word: bytes) -> int:
+        """The tokens of a word, whose prefixes become states if there is room."""
+        if len(word) > LONGEST or self.states + len(word) > STATES:
+            return self.left_over[word]
+        state, table, tokens = ROOT, self.table, self.tokens
+        for k, b in enumerate(word):
+            slot = state << 8 | b
+            following = int(table[slot]) >> 8
+            if following == DEAD:
+                following, self.states = self.states, self.states + 1
+                tokens[following] = self.merged(word[: k + 1])
+                table[slot] = following << 8 | int(tokens[following] - tokens[state]) + BIAS
+            state = following
+        return int(tokens[state])
+
+    def merged(self, word: bytes) -> int:
         """Tokens of one split word: merge the leftmost pair of least rank until none is left."""
+        if len(word) > 400:
+            return self._merged_long(word)
         letters, rank, never = self.letters, self.ranks.get, 1 << 60
-        parts = [letters[b] for b in word.encode()]
+        parts = [letters[b] for b in word]
         ranks = [rank(pair, never) for pair in zip(parts, parts[1:])]
         while ranks:
             least = min(ranks)
@@ -79,14 +161,9 @@ class Transducer:
                 ranks[i - 1] = rank((parts[i - 1], parts[i]), never)
         return len(parts)
 
-    def _unit(self, unit: str) -> int:
-        return sum(map(self.words.__getitem__, self.split.findall(unit)))
-
-    def _long(self, word: str) -> int:
-        """As _merge, in n log n steps: a linked list of parts and a heap of pairs."""
-        import heapq
-
-        parts = [self.letters[b] for b in word.encode()]
+    def _merged_long(self, word: bytes) -> int:
+        """As merged, in n log n steps: a linked list of parts and a heap of pairs."""
+        parts = [self.letters[b] for b in word]
         n = len(parts)
         after, before, alive = [*range(1, n), -1], [*range(-1, n - 1)], n
         heap = [(r, i, parts[i] + parts[i + 1]) for i in range(n - 1) if (r := self.ranks.get((parts[i], parts[i + 1]))) is not None]
@@ -106,50 +183,97 @@ class Transducer:
                     heapq.heappush(heap, (r, a, parts[a] + parts[b]))
         return alive
 
-    def chunk_map(self, chunk: str) -> Map:
-        """What a chunk does from any state: the head closes what was open, the tail stays open."""
-        first = self.CERTAIN.search(chunk)
-        if first is None:
-            return chunk
-        units = self.UNIT.findall(chunk, first.start())
-        return chunk[: first.start()], sum(map(self.emitted.__getitem__, units[:-1])), units[-1]
-
-    def compose(self, a: Map, b: Map) -> Map:
-        if isinstance(a, str) and isinstance(b, str):
-            return self.chunk_map(a + b)
-        if isinstance(a, str):
-            joined = self.chunk_map(a + b[0])
-            return (a + b[0], b[1], b[2]) if isinstance(joined, str) else self._close(joined, b)
-        if isinstance(b, str):
-            joined = self.chunk_map(a[2] + b)
-            return (a[0], a[1], joined) if isinstance(joined, str) else (a[0], a[1] + self.emitted[joined[0]] + joined[1], joined[2])
-        return a[0], a[1] + self._closed(a[2] + b[0]) + b[1], b[2]
-
-    def _closed(self, text: str) -> int:
-        return sum(map(self.emitted.__getitem__, self.UNIT.findall(text)))
-
-    def _close(self, joined: tuple[str, int, str], b: tuple[str, int, str]) -> Map:
-        return joined[0], joined[1] + self.emitted[joined[2]] + b[1], b[2]
-
-    def scan(self, maps: list[Map]) -> list[Map]:
-        """Inclusive prefix scan of chunk maps by doubling."""
-        step = 1
-        while step < len(maps):
-            maps = [m if i < step else self.compose(maps[i - step], m) for i, m in enumerate(maps)]
-            step *= 2
-        return maps
-
-    def count(self, text: str, chunk: int = CHUNK) -> int:
-        total = 0
-        spans = self.special.split(text) if self.special else [text]
-        total += len(spans) - 1
-        for span in spans:
-            if len(span) <= chunk:
-                total += self._closed(span)
-                continue
-            last = self.scan([self.chunk_map(span[i : i + chunk]) for i in range(0, len(span), chunk)])[-1]
-            total += self._closed(last) if isinstance(last, str) else self._closed(last[0]) + last[1] + self.emitted[last[2]]
-        return total
+    def emitted(self, raw: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Tokens of the words raw[begin:end], all run through the table side by side."""
+        size = end - begin
+        tokens = np.zeros(len(begin), dtype=np.int64)
+        order = np.argsort(np.minimum(size, LONGEST + 1).astype(np.uint8), kind="stable")[::-1]
+        order = order[np.searchsorted(-size[order], -LONGEST) :]
+        at, state, total = begin[order], np.full(len(order), ROOT, dtype=np.int64), np.zeros(len(order), dtype=np.int64)
+        alive = np.searchsorted(-size[order], -np.arange(LONGEST), "left")  # words of more than k bytes come first
+        b = np.frombuffer(raw, np.uint8)
+        for k in range(LONGEST):
+            m = alive[k]
+            if not m:
+                break
+            step = self.table[(state[:m] << 8) | b[at[:m] + k]]
+            state[:m] = step >> 8
+            total[:m] += step & 255
+        tokens[order] = total - BIAS * size[order]
+        rest: dict[bytes, list[int]] = {}
+        for i in [*order[state == DEAD].tolist(), *np.flatnonzero(size > LONGEST).tolist()]:
+            rest.setdefault(raw[begin[i] : end[i]], []).append(i)
+        for word, where in rest.items():
+            tokens[where] = self.lay(word)
+        return tokens
+
+    def run(self, texts: list[str], chunk: int = CHUNK) -> np.ndarray:
+        """Tokens of each of a few texts without special strings."""
+        lengths = np.array([len(t) for t in texts], dtype=np.int64)
+        ends = np.cumsum(lengths)
+        joined, n = "".join(texts), int(ends[-1])
+        if not n:
+            return np.zeros(len(texts), dtype=np.int64)
+        raw, codes = joined.encode(), np.frombuffer(joined.encode("utf-32-le"), dtype="<u4")
+        kind = classes()[codes]
+        edge = np.zeros(n + 1, dtype=bool)
+        edge[ends - lengths] = edge[n] = True
+        white = kind >= SPACE
+        certain = np.flatnonzero(white[1:] & ~white[:-1] & ~edge[1:n]) + 1
+        # chunks, their maps, and the scan: what is open at a chunk's entry is closed by its head
+        per = -(-lengths // chunk)
+        which = np.repeat(np.arange(len(texts)), per)
+        begin = (ends - lengths)[which]
+        number = np.arange(len(which)) - np.repeat(np.cumsum(per) - per, per)
+        starts = begin + number * chunk
+        first, last = chunk_maps(starts, certain)
+        entered, left = scan(last, number == 0, begin)
+        final = np.cumsum(per)[per > 0] - 1
+        own = np.flatnonzero(first >= 0)
+        runs = np.r_[entered[own], first[own], left[final]]  # closings, what lies between a chunk's boundaries, and each text's tail
+        edge[runs[runs < n]] = True
+        word = np.flatnonzero(word_starts(codes, kind, edge))
+        if len(raw) == n:
+            begin_b = word
+        else:
+            width = 1 + (codes >= 0x80).astype(np.int8) + (codes >= 0x800) + (codes >= 0x10000)
+            begin_b = (np.cumsum(width, dtype=np.int64) - width)[word]
+        tokens = self.emitted(raw, begin_b, np.r_[begin_b[1:], len(raw)])
+        summed = np.r_[0, np.cumsum(tokens)]
+        return summed[np.searchsorted(word, ends)] - summed[np.searchsorted(word, ends - lengths)]
+
+    def pieces(self, text: str) -> Iterator[str]:
+        """Parts of at most STRETCH characters between certain boundaries, or more where there is none."""
+        at = 0
+        while len(text) - at > STRETCH:
+            cut = 0
+            for m in self.CERTAIN.finditer(text, at + STRETCH - 1000, at + STRETCH):
+                cut = m.start()
+            if not cut:
+                m = self.CERTAIN.search(text, at + STRETCH)
+                if m is None:
+                    break
+                cut = m.start()
+            yield text[at:cut]
+            at = cut
+        yield text[at:]
+
+    def counts(self, texts: list[str], chunk: int = CHUNK) -> list[int]:
+        """Tokens of each text; special strings are a token each."""
+        out, batch, owner, size = np.zeros(len(texts), dtype=np.int64), [], [], 0
+        for i, text in enumerate(texts):
+            spans = self.special.split(text) if self.special else [text]
+            out[i] += len(spans) - 1
+            for piece in (p for span in spans for p in self.pieces(span)):
+                if batch and size + len(piece) > STRETCH:
+                    np.add.at(out, owner, self.run(batch, chunk))
+                    batch, owner, size = [], [], 0
+                batch.append(piece)
+                owner.append(i)
+                size += len(piece)
+        if batch:
+            np.add.at(out, owner, self.run(batch, chunk))
+        return out.tolist()
 
 
 @functools.lru_cache(maxsize=2)
@@ -169,7 +293,7 @@ def count_tokens(documents: DataFrame, tokenizer: str, limit: int = 512) -> Data
         machine = transducer(tokenizer)
         for rows in slices(batches):
             texts = [t or "" for t in rows["text"]]
-            counts = [machine.count(t) for t in texts]
+            counts = machine.counts(texts)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(rows["doc_id"], pa.int64()), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(counts, pa.int64()), pa.array([c > limit for c in counts], pa.bool_())],
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"],

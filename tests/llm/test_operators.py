@@ -282,12 +282,37 @@ def test_chunk_maps_compose():
     from tokenizers import Tokenizer
 
     coder, machine, rnd = Tokenizer.from_file(BYTE), token_counts.transducer(BYTE), random.Random(7)
-    for _ in range(300):
-        s = "".join(rnd.choice("ab 'st\n\t é中1.,! don't we'll\x1c\x85") for _ in range(rnd.randint(0, 90)))
-        want = len(coder.encode(s, add_special_tokens=False).ids)
-        assert [machine.count(s, c) for c in (1, 2, 5, 16, 1000)] == [want] * 5
-    long = "ab" * 700 + "x"
-    assert machine._long(long) == machine._merge(long)
+    texts = ["".join(rnd.choice("ab 'st\n\t é中1.,! don't we'll\x1c\x85") for _ in range(rnd.randint(0, 90))) for _ in range(300)]
+    texts += ["".join(rnd.choice(["'re", "'ll", "'", " '", "\n'", "x", "S", "٣", "\u180e", "\u2003", "😀", "<|endoftext|>"]) for _ in range(30)) for _ in range(300)]
+    want = [len(e.ids) for e in coder.encode_batch(texts, add_special_tokens=False)]
+    for c in (1, 2, 5, 16, 1000):
+        assert machine.counts(texts, c) == want
+    long = b"ab" * 700 + b"x"
+    letters = machine.letters
+    assert machine._merged_long(long[:390]) == machine.merged(long[:390]) and machine.merged(long) == len(coder.encode(long.decode(), add_special_tokens=False).ids) and letters
+
+
+def test_transitions_carry_counts():
+    machine = token_counts.transducer(BYTE)
+    for word in (b" the", b"tokenization", b"zqxjzqxj", "é中".encode()):
+        machine.lay(word)
+        state = token_counts.ROOT
+        total = 0
+        for k, b in enumerate(word):
+            step = int(machine.table[state << 8 | b])
+            state, total = step >> 8, total + (step & 255) - token_counts.BIAS
+            assert state != token_counts.DEAD and total == machine.merged(word[: k + 1]) == machine.tokens[state]
+
+
+def test_texts_beyond_a_stretch_and_words_beyond_the_table(monkeypatch):
+    from tokenizers import Tokenizer
+
+    coder, machine, rnd = Tokenizer.from_file(BYTE), token_counts.Transducer(BYTE), random.Random(8)
+    texts = [" ".join("".join(rnd.choice("abcdeé'1") for _ in range(rnd.randint(1, 60))) for _ in range(900)), "x" * 9000, " " * 7000 + "y", "", "a\n" * 3000]
+    want = [len(e.ids) for e in coder.encode_batch(texts, add_special_tokens=False)]
+    monkeypatch.setattr(token_counts, "STRETCH", 2000)
+    monkeypatch.setattr(token_counts, "STATES", machine.states + 300)
+    assert machine.counts(texts) == want and machine.states <= token_counts.STATES
 
 
 def test_substrings(documents, nothing, monkeypatch):
