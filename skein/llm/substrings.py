@@ -1,13 +1,17 @@
-"""Substring dedup by parsing documents against an index of reference blocks (relative Lempel-Ziv).
-
-Index: in every window of SPAN words the least hash of its word grams is an anchor, so equal windows have
-the same anchor at the same place. Anchors of all documents form the reference index; those met in one
-document only can't begin a factor and are dropped. Parse: for every anchor left, the windows that chose
-it are looked up, in the block of the index that holds the anchor, among the windows of documents with
-smaller doc_id, in ascending order of doc_id. Consecutive windows that are found make up a factor, as long
-as it can get; a factor shorter than SPAN words has no window and is dropped, and a window over the
-boundary of two factors counts only if it's found itself. A block is a hash range of anchors, and the
-windows of a frequent anchor are dealt over several blocks by their own hash.
+"""Substring dedup by parsing documents against indexed reference blocks (relative Lempel-Ziv).
+
+Contexts: in every window of SPAN words the least hash of its word grams is an anchor, so equal windows have
+the same anchor at the same place. All words of the windows that chose one anchor are its context; contexts
+tile a document's windows. Equal contexts are one, held by the least document that has it: in all others it
+is a factor as a whole.
+
+Parse: the different contexts of an anchor are dealt over reference blocks of at most about BLOCK contexts.
+In a block every context is parsed against those of smaller documents: a window is looked up in the block's
+index, which points to the reference that held it first; from there the factor is extended word by word as
+far as the reference's text agrees. A factor ends at its first differing word, and a window that crosses the
+boundary between two factors counts only if it's looked up and found itself. What a block doesn't have is
+looked up in the indexes of the anchor's other blocks: a join with the least holder of every such window,
+which is aggregated before it's shuffled, so that no task gathers all documents that share a passage.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from .common import cut, ship
 from .shingles import EMPTY, mixed, word_hashes
 
 SPAN, GRAM = 50, 16
-HOT = 20_000  # occurrences of an anchor in one block
+BLOCK = 2_000  # different contexts of an anchor that are parsed together
 _LAST = (1 << 63) - 1
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -53,93 +57,149 @@ def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return g, np.lib.stride_tricks.sliding_window_view(g, width).argmin(axis=1) + np.arange(len(g) - width + 1)
 
 
+def contexts(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each context: the anchor, a hash of the context, its first window and the number of windows."""
+    g, chosen = anchors(h)
+    if not len(chosen):
+        return EMPTY, EMPTY, chosen, chosen
+    first = np.flatnonzero(np.r_[True, np.diff(chosen) != 0])
+    last = np.r_[first[1:], len(chosen)] - 1
+    windows = run_hashes(h, SPAN)  # the first and the last one hold all words of a context
+    key = mixed(windows[first] * _A + windows[last] * _B + ((chosen[first] - first) * 64 + last - first).astype(np.uint64))
+    return g[chosen[first]], key, first, last - first + 1
+
+
 def keyed(documents: DataFrame) -> DataFrame:
-    """place (doc_id; nulls last), row (a key by doc_id and text) and text.
+    """place (doc_id; nulls last), row (a key of the text; rows of equal place and text are alike) and text.
 
-    Both joins of texts use just these columns, so that texts are shuffled once and the exchange is reused.
+    All joins of texts use just these columns, so that texts are shuffled once and the exchange is reused.
     """
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.select(F.coalesce("doc_id", F.lit(_LAST)).alias("place"), F.xxhash64("doc_id", "text").alias("row"), "text")
 
 
 def index(rows: DataFrame) -> DataFrame:
-    """anchor, place, row, at: the anchors of all rows."""
+    """anchor, context, place, row, first, n: the contexts of all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256).to_pydict()
-                keys, places, owners, spots = [EMPTY], [], [], []
-                for place, row, text in zip(part["place"], part["row"], part["text"], strict=True):
-                    g, chosen = anchors(word_hashes(text.encode()))
-                    at = np.unique(chosen)
-                    keys.append(g[at])
-                    spots += at.tolist()
-                    places += [place] * len(at)
-                    owners += [row] * len(at)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(places, pa.int64()), pa.array(owners, pa.int64()), pa.array(spots, pa.int32())], ["anchor", "place", "row", "at"])
+                found = [contexts(word_hashes(text.encode())) for text in part["text"]]
+                each = [len(f[0]) for f in found]
+                columns = [np.concatenate([f[i] for f in found]) for i in range(4)]
+                owner = [np.repeat(np.array(part[c], dtype=np.int64), each) for c in ("place", "row")]
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0].view(np.int64)), pa.array(columns[1].view(np.int64)), *map(pa.array, owner), pa.array(columns[2].astype(np.int32)), pa.array(columns[3].astype(np.int32))], ["anchor", "context", "place", "row", "first", "n"])
 
-    return rows.mapInArrow(run, "anchor long, place long, row long, at int")
+    return rows.mapInArrow(run, "anchor long, context long, place long, row long, first int, n int")
 
 
-def asked(rows: DataFrame) -> DataFrame:
-    """From rows(place, row, text, met: array of (at, blocks)): the windows that chose a met anchor, as anchor, block, place, row, starts, hashes."""
+def spelled(rows: DataFrame) -> DataFrame:
+    """From rows(place, row, text, met: array of (anchor, context, blocks, first, n)): the word hashes of these contexts, dealt over blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 128):
                 part, out = batch.slice(start, 128).to_pydict(), []
-                for place, row, text, met in zip(*(part[c] for c in ("place", "row", "text", "met")), strict=True):
+                for place, text, met in zip(*(part[c] for c in ("place", "text", "met")), strict=True):
                     h = word_hashes(text.encode())
-                    g, chosen = anchors(h)
-                    windows = run_hashes(h, SPAN)
-                    for at, blocks in {(m["at"], m["blocks"]) for m in met}:
-                        starts = np.flatnonzero(chosen[max(0, at - SPAN) : at + 1] == at) + max(0, at - SPAN)
-                        block = windows[starts] % np.uint64(blocks)
-                        for b in np.unique(block) if blocks > 1 else (0,):
-                            mine = starts[block == b] if blocks > 1 else starts
-                            out.append((int(g[at].view(np.int64)), int(b), place, row, mine.astype(np.int32).tobytes(), windows[mine].tobytes()))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["anchor", "block", "place", "row", "starts", "hashes"])
-
-    return rows.mapInArrow(run, "anchor long, block long, place long, row long, starts binary, hashes binary")
-
-
-def parsed(windows: DataFrame) -> DataFrame:
-    """row, first, last: runs of windows that also stand in a document of smaller place."""
+                    out += [(m["anchor"], m["context"] % m["blocks"], m["blocks"], m["context"], place, h[m["first"] : m["first"] + m["n"] + SPAN - 1].tobytes()) for m in met]
+                for at in range(0, len(out), 5_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[at : at + 5_000], strict=True), (*[pa.int64()] * 5, pa.binary()), strict=True)], ["anchor", "block", "blocks", "context", "place", "words"])
+
+    return rows.mapInArrow(run, "anchor long, block long, blocks long, context long, place long, words binary")
+
+
+class Block:
+    """A reference block: texts in ascending order of document, and an index of the windows that they hold first."""
+
+    def __init__(self):
+        self.texts: list[tuple[int, np.ndarray]] = []
+        self.index: dict[int, tuple[int, int]] = {}
+        self.known: set[int] = set()
+
+    def parse(self, context: int, place: int, words: np.ndarray, windows: list[int]) -> tuple[list[tuple[int, int]], list[int]]:
+        """Factors (first and last window) that smaller documents hold, and the windows that none of them holds."""
+        if context in self.known:  # another row of the same document and text
+            return [], []
+        self.known.add(context)
+        factors, rest, j = [], [], 0
+        self.texts.append((place, words))
+        while j < len(windows):
+            number, q = self.index.setdefault(windows[j], (len(self.texts) - 1, j))
+            owner, text = self.texts[number]
+            if owner < place:
+                length = agreeing(words[j:], text[q:])
+                if length >= SPAN:
+                    factors.append((j, j + length - SPAN))
+                    j += length - SPAN + 1  # the next window crosses the factor's end
+                    continue
+            rest.append(j)
+            j += 1
+        return factors, rest
+
+
+def agreeing(a: np.ndarray, b: np.ndarray) -> int:
+    """Words that a and b share from their beginnings on."""
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(a[:n] != b[:n])
+    return int(differ[0]) if len(differ) else n
+
+
+def parsed(texts: DataFrame) -> DataFrame:
+    """anchor, context, place, first, last, window: factors within a block (window null), and windows to ask other blocks about."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, seen = None, {}
+        now, block = None, Block()
         for batch in batches:
-            out = []
-            part = batch.to_pydict()
-            for anchor, block, place, row, starts, hashes in zip(*(part[c] for c in ("anchor", "block", "place", "row", "starts", "hashes")), strict=True):
-                if (anchor, block) != group:
-                    group, seen = (anchor, block), {}
-                met = np.array([seen.setdefault(w, place) < place for w in np.frombuffer(hashes, np.int64).tolist()], dtype=bool)
-                if met.any():
-                    found = np.frombuffer(starts, np.int32)[met]
-                    cuts = np.flatnonzero(np.diff(found) != 1)
-                    out += zip([row] * (len(cuts) + 1), found[np.r_[0, cuts + 1]].tolist(), found[np.r_[cuts, len(found) - 1]].tolist(), strict=True)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int32()), strict=True)], ["row", "first", "last"])
-
-    dealt = windows.repartition("anchor", "block").sortWithinPartitions("anchor", "block", "place")
-    return dealt.mapInArrow(run, "row long, first int, last int")
+            part, out = batch.to_pydict(), []
+            joined = np.frombuffer(b"".join(part["words"]), np.uint64)
+            hashes, at = run_hashes(joined, SPAN).view(np.int64).tolist(), 0
+            for anchor, number, blocks, context, place, raw in zip(*(part[c] for c in ("anchor", "block", "blocks", "context", "place", "words")), strict=True):
+                if (anchor, number) != now:
+                    now, block = (anchor, number), Block()
+                n = len(raw) // 8
+                factors, rest = block.parse(context, place, joined[at : at + n], hashes[at : at + n - SPAN + 1])
+                out += [(anchor, context, place, a, b, None) for a, b in factors]
+                if blocks > 1:
+                    out += [(anchor, context, place, j, j, hashes[at + j]) for j in rest]
+                at += n
+            for i in range(0, len(out), 20_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 20_000], strict=True), (*[pa.int64()] * 3, *[pa.int32()] * 2, pa.int64()), strict=True)], ["anchor", "context", "place", "first", "last", "window"])
+
+    dealt = texts.repartition("anchor", "block").sortWithinPartitions("anchor", "block", "place")
+    return dealt.mapInArrow(run, "anchor long, context long, place long, first int, last int, window long")
+
+
+def factors(rows: DataFrame) -> DataFrame:
+    """place, row, first, last: the windows of rows(place, row, text) that also stand in a document of smaller place."""
+    ship(rows.sparkSession)
+    indexed = cut(index(rows))
+    held = indexed.groupBy("anchor", "context").agg(F.min(F.struct("place", "row", "first", "n")).alias("who"), F.max("place").alias("high"))
+    held = cut(held.select("anchor", "context", "who.*", "high"))
+    met = held.groupBy("anchor").agg(F.min("place").alias("low"), F.max("high").alias("top"), F.count("*").alias("m")).where("low < top and m > 1")
+    # cut, so that joins have exchanges of their own, which are split where one key has many rows
+    met = cut(met.select("anchor", F.ceil(F.col("m") / BLOCK).alias("blocks")))
+    asked = held.join(met, "anchor").groupBy("place", "row").agg(F.collect_list(F.struct("anchor", "context", "blocks", "first", "n")).alias("met"))  # as many as a row has windows
+    texts = spelled(rows.join(asked, ["place", "row"]).select("place", "text", "met"))
+    found = cut(parsed(texts))
+    open_ = found.where("window is not null")
+    least = cut(open_.groupBy("anchor", "window").agg(F.min("place").alias("least"), F.max("place").alias("most")).where("least < most"))
+    elsewhere = open_.join(least, ["anchor", "window"]).where("least < place")
+    own = found.where("window is null").select("anchor", "context", "first", "last").union(elsewhere.select("anchor", "context", "first", "last"))
+    own = own.groupBy("anchor", "context").agg(F.collect_set(F.struct("first", "last")).alias("own"))  # as many as a context has windows
+    held = held.select("anchor", "context", F.col("place").alias("low"), "high").join(own, ["anchor", "context"], "left").where("low < high or own is not null")
+    every = indexed.join(cut(held), ["anchor", "context"])
+    whole = F.array(F.struct(F.lit(0).alias("first"), (F.col("n") - 1).alias("last")))
+    spans = F.when(F.col("place") > F.col("low"), whole).otherwise(F.col("own"))
+    return every.select("place", "row", F.col("first").alias("at"), F.explode(spans).alias("f")).select("place", "row", (F.col("at") + F.col("f.first")).alias("first"), (F.col("at") + F.col("f.last")).alias("last"))
 
 
 def removals(documents: DataFrame) -> DataFrame:
     """doc_id, text and spans (first, last window start) of every row of documents."""
-    ship(documents.sparkSession)
     rows = keyed(documents)
-    indexed = cut(index(rows))
-    shared = indexed.groupBy("anchor").agg(F.min("place").alias("low"), F.max("place").alias("high"), F.count("*").alias("n")).where("low < high")
-    # cut, so that the join has exchanges of its own, which are split where one anchor has many rows
-    met = indexed.join(cut(shared.select("anchor", F.ceil(F.col("n") / HOT).alias("blocks"))), "anchor")
-    met = cut(met.groupBy("row").agg(F.collect_set(F.struct("at", "blocks")).alias("met")))  # as many as a row has windows
-    spans = parsed(asked(rows.join(met, "row").select("place", "row", "text", "met")))
-    spans = spans.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    return rows.join(spans, "row", "left").select(F.nullif("place", F.lit(_LAST)).alias("doc_id"), "text", "spans")
+    spans = factors(rows).groupBy("place", "row").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    return rows.join(spans, ["place", "row"], "left").select(F.nullif("place", F.lit(_LAST)).alias("doc_id"), "text", "spans")
 
 
 def dedup(documents: DataFrame) -> DataFrame:

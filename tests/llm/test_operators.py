@@ -318,11 +318,52 @@ def test_texts_beyond_a_stretch_and_words_beyond_the_table(monkeypatch):
 def test_substrings(documents, nothing, monkeypatch):
     want = brute.substrings(DOCS)
     assert by_id(substrings.dedup(documents), "n_words", "n_removed", "kept_sha256") == want
-    monkeypatch.setattr(substrings, "HOT", 2)  # every frequent anchor is dealt over several blocks
+    monkeypatch.setattr(substrings, "BLOCK", 2)  # the contexts of an anchor are dealt over several blocks
     assert by_id(substrings.dedup(documents), "n_words", "n_removed", "kept_sha256") == want
     assert substrings.dedup(nothing).count() == 0
 
 
+def test_factors_against_blocks():
+    # at most one word differs from a reference, so that factors end there and windows over the boundary are asked for themselves
+    rnd, span = random.Random(21), substrings.SPAN
+    hashes = lambda words: substrings.run_hashes(words, span).tolist()
+    base = np.array([rnd.randrange(1 << 60) for _ in range(90)], dtype=np.uint64)
+    block, seen = substrings.Block(), {}
+    for place in range(60):
+        words = base.copy()
+        for _ in range(rnd.randrange(3)):
+            words[rnd.randrange(90)] = rnd.randrange(6)
+        words = words[rnd.randrange(8) : 90 - rnd.randrange(8)]
+        windows = hashes(words)
+        factors, rest = block.parse(place, place, words, windows)
+        there = sorted([j for a, b in factors for j in range(a, b + 1)] + rest)
+        assert there == list(range(len(windows)))
+        assert [j for a, b in factors for j in range(a, b + 1)] == [j for j, w in enumerate(windows) if seen.get(w, place) < place]
+        for w in windows:
+            seen.setdefault(w, place)
+
+
+def test_substrings_of_odd_rows(spark):
+    rnd = random.Random(22)
+    say = lambda n: " ".join(rnd.choice("abcdefgh") * rnd.randint(1, 5) for _ in range(n))
+    a, b = say(60), say(70)
+    rows = [(5, f"{a} {b}"), (5, f"{a} {b}"), (5, b), (None, f"x {b}"), (None, b), (7, f"{say(9)} {b} {say(3)} {b}"), (8, f"{a[2:]} {a}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    low, out = {}, []
+    for i, t in rows:
+        w = t.split()
+        for k in range(len(w) - 49):
+            key = tuple(w[k : k + 50])
+            low[key] = min(low.get(key, 1 << 62), 1 << 62 if i is None else i)
+    for i, t in rows:
+        w, gone = t.split(), set()
+        for k in range(len(w) - 49):
+            if low[tuple(w[k : k + 50])] < (1 << 62 if i is None else i):
+                gone |= set(range(k, k + 50))
+        out.append((i, len(w), len(gone)))
+    assert sorted(map(str, out)) == sorted(str((r["doc_id"], r["n_words"], r["n_removed"])) for r in substrings.dedup(df).collect())
+
+
 def test_run_hashes():
     h = np.random.default_rng(3).integers(0, 5, 300, dtype=np.uint64)
     for n in (1, 2, 16, 50):
