@@ -29,7 +29,7 @@ from .shingles import EMPTY, mixed, word_hashes
 
 SPAN, GRAM = 50, 16
 BLOCK = 2_000  # different contexts of an anchor that are parsed together
-_LAST = (1 << 63) - 1
+NO_ID = (1 << 63) - 1
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -70,12 +70,12 @@ def contexts(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 
 def keyed(documents: DataFrame) -> DataFrame:
-    """place (doc_id; nulls last), row (a key of the text; rows of equal place and text are alike) and text.
+    """place (doc_id; nulls last), row (a hash of the text) and text; rows are told apart by place and row together.
 
     All joins of texts use just these columns, so that texts are shuffled once and the exchange is reused.
     """
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.select(F.coalesce("doc_id", F.lit(_LAST)).alias("place"), F.xxhash64("doc_id", "text").alias("row"), "text")
+    return rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("place"), F.xxhash64("text").alias("row"), "text")
 
 
 def index(rows: DataFrame) -> DataFrame:
@@ -199,7 +199,7 @@ def removals(documents: DataFrame) -> DataFrame:
     """doc_id, text and spans (first, last window start) of every row of documents."""
     rows = keyed(documents)
     spans = factors(rows).groupBy("place", "row").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
-    return rows.join(spans, ["place", "row"], "left").select(F.nullif("place", F.lit(_LAST)).alias("doc_id"), "text", "spans")
+    return rows.join(spans, ["place", "row"], "left").select(F.nullif("place", F.lit(NO_ID)).alias("doc_id"), "text", "spans")
 
 
 def dedup(documents: DataFrame) -> DataFrame:

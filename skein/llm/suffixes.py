@@ -16,6 +16,7 @@ one window each, so that no partition gathers all that share a passage.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -27,11 +28,12 @@ from pyspark.sql import functions as F
 
 from .common import cut, ship
 from .shingles import EMPTY, mixed, prefix_hashes
-from .substrings import covered, keyed
+from .substrings import NO_ID, covered, keyed
 
 GRAM = 32
 RUN_ENTRIES = 40_000  # suffixes that a task sorts at once
 CHUNK_ENTRIES = 2_000
+PART_ENTRIES = 40_000  # suffixes merged together, about
 HOT = 400_000  # occurrences of an anchor in one partition; equal ones take little room there
 HEAD = 8  # bytes of the anchor's hash before each suffix
 _POSITION_BITS = 24
@@ -39,6 +41,7 @@ _POSITIONS = np.uint64((1 << _POSITION_BITS) - 1)
 _DEAL = np.uint64(0xD6E8FEB86659FD93)
 _STRETCH = (1 << _POSITION_BITS) - 1  # bytes hashed at once
 
+
 def window_hashes(b: np.ndarray, n: int) -> np.ndarray:
     """Rolling hashes of all n-byte windows."""
     if len(b) < n:
@@ -68,23 +71,23 @@ def anchors(raw: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def index(rows: DataFrame, size: int) -> DataFrame:
-    """anchor, row, at: the anchors of all rows."""
+    """anchor, place, row, at: the anchors of all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 128):
                 part = batch.slice(start, 128).to_pydict()
-                keys, owners, spots = [EMPTY], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-                for row, text in zip(part["row"], part["text"], strict=True):
+                keys, owners, spots, each = [EMPTY], [], [np.zeros(0, np.int64)], []
+                for text in part["text"]:
                     g, chosen = anchors(text.encode(), size)
-                    if len(chosen):
-                        at = chosen[np.r_[True, np.diff(chosen) != 0]]
-                        keys.append(g[at])
-                        spots.append(at)
-                        owners.append(np.full(len(at), row, dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(spots))], ["anchor", "row", "at"])
+                    at = chosen[np.r_[True, np.diff(chosen) != 0]] if len(chosen) else chosen
+                    keys.append(g[at])
+                    spots.append(at)
+                    each.append(len(at))
+                owners = [pa.array(np.repeat(np.array(part[c], dtype=np.int64), each)) for c in ("place", "row")]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *owners, pa.array(np.concatenate(spots))], ["anchor", "place", "row", "at"])
 
-    return rows.mapInArrow(run, "anchor long, row long, at long")
+    return rows.mapInArrow(run, "anchor long, place long, row long, at long")
 
 
 def shared_prefix(a: bytes, b: bytes, known: int = 0) -> int:
@@ -94,11 +97,12 @@ def shared_prefix(a: bytes, b: bytes, known: int = 0) -> int:
     return m - (differ.bit_length() + 7) // 8
 
 
-_RUN = "part long, run long, seq int, shared binary, lengths binary, after binary, owners binary, starts binary, counts binary, rest binary"
+_RUN = "part long, run long, seq int, shared binary, lengths binary, after binary, holders binary, starts binary, counts binary, rest binary"
+Place = tuple[int, int, int]  # place and row of a text, and a window's start in it
 
 
 def _coded(part: int, run: int, seq: int, entries: list[tuple[bytes, int, list]]) -> tuple:
-    """A front-coded piece of a run: entries are (key, bytes after the anchor, [(row, first window start)])."""
+    """A front-coded piece of a run: entries are (key, bytes after the anchor, places of its first window)."""
     previous, shared, rest = b"", [], []
     for key, _, _ in entries:
         shared.append(shared_prefix(previous, key))
@@ -108,7 +112,7 @@ def _coded(part: int, run: int, seq: int, entries: list[tuple[bytes, int, list]]
     pack = lambda values, kind: np.array(values, dtype=kind).tobytes()
     return (
         part, run, seq, pack(shared, np.uint16), pack([len(e[0]) for e in entries], np.uint16), pack([e[1] for e in entries], np.uint16),
-        pack([p[0] for p in places], np.int64), pack([p[1] for p in places], np.int64), pack([len(e[2]) for e in entries], np.uint32), b"".join(rest),
+        pack([p[:2] for p in places], np.int64), pack([p[2] for p in places], np.int64), pack([len(e[2]) for e in entries], np.uint32), b"".join(rest),
     )
 
 
@@ -118,11 +122,11 @@ def runs(rows: DataFrame, size: int, parts: int) -> DataFrame:
     def flush(entries: list[tuple], run_id: int) -> Iterator[pa.RecordBatch]:
         entries.sort()
         merged: list[tuple[bytes, int, list]] = []
-        for key, after, row, first in entries:
+        for key, after, *held in entries:
             if merged and merged[-1][0] == key and merged[-1][1] == after:
-                merged[-1][2].append((row, first))
+                merged[-1][2].append(held)
             else:
-                merged.append((key, after, [(row, first)]))
+                merged.append((key, after, [held]))
         out, begin, seq = [], 0, 0
         part_of = [int.from_bytes(e[0][:HEAD], "big") * parts >> 64 for e in merged]
         for i in range(1, len(merged) + 1):
@@ -138,7 +142,7 @@ def runs(rows: DataFrame, size: int, parts: int) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, 64):
                 piece = batch.slice(start, 64).to_pydict()
-                for row, text, met in zip(piece["row"], piece["text"], piece["met"], strict=True):
+                for place, row, text, met in zip(piece["place"], piece["row"], piece["text"], piece["met"], strict=True):
                     raw = text.encode()
                     g, chosen = anchors(raw, size)
                     blocks = {m["at"]: m["blocks"] for m in met}
@@ -147,12 +151,12 @@ def runs(rows: DataFrame, size: int, parts: int) -> DataFrame:
                     first, last = np.searchsorted(chosen, at, "left").tolist(), (np.searchsorted(chosen, at, "right") - 1).tolist()
                     for p, f, t, head in zip(at.tolist(), first, last, g[at].astype(">u8"), strict=True):
                         if blocks[p] == 1:
-                            entries.append((head.tobytes() + raw[p : t + size] + raw[f:p][::-1], t + size - p, row, f))
+                            entries.append((head.tobytes() + raw[p : t + size] + raw[f:p][::-1], t + size - p, place, row, f))
                             continue
                         block = own[f : t + 1] % np.uint64(blocks[p])
                         heads = mixed(np.uint64(int(head)) + (block + np.uint64(1)) * _DEAL).astype(">u8")
                         for s, h in zip(range(f, t + 1), heads, strict=True):
-                            entries.append((h.tobytes() + raw[p : s + size] + raw[s:p][::-1], s + size - p, row, s))
+                            entries.append((h.tobytes() + raw[p : s + size] + raw[s:p][::-1], s + size - p, place, row, s))
                 if len(entries) >= RUN_ENTRIES:
                     yield from flush(entries, run_id)
                     run_id, entries = run_id + 1, []
@@ -170,7 +174,8 @@ def decoded(pieces: list[dict]) -> Iterator[Entry]:
     before = b""
     for piece in pieces:
         shared, lengths, after, counts = (np.frombuffer(piece[c], t).tolist() for c, t in (("shared", np.uint16), ("lengths", np.uint16), ("after", np.uint16), ("counts", np.uint32)))
-        places = list(zip(np.frombuffer(piece["owners"], np.int64).tolist(), np.frombuffer(piece["starts"], np.int64).tolist(), strict=True))
+        holders = np.frombuffer(piece["holders"], np.int64)
+        places = list(zip(holders[::2].tolist(), holders[1::2].tolist(), np.frombuffer(piece["starts"], np.int64).tolist(), strict=True))
         rest, at, used, key, opening = piece["rest"], 0, 0, b"", True
         for s, n, a, c in zip(shared, lengths, after, counts, strict=True):
             key = key[:s] + rest[at : at + n - s]
@@ -221,8 +226,8 @@ def merge(streams: list[Iterator[Entry]]) -> Iterator[Entry]:
             node //= 2
 
 
-def repeated(entries: Iterator[Entry], size: int) -> Iterator[tuple[int, int, int]]:
-    """(row, first, last): runs of window starts that stand in more than one place."""
+def repeated(entries: Iterator[Entry], size: int) -> Iterator[tuple[int, int, int, int]]:
+    """(place, row, first, last): runs of window starts that stand in more than one place."""
     group: list[list] = []  # key, after, places, longest common prefix with a neighbour
     for shared, key, after, places in entries:
         if group and shared < HEAD + GRAM:
@@ -237,15 +242,15 @@ def repeated(entries: Iterator[Entry], size: int) -> Iterator[tuple[int, int, in
     yield from _settled(group, size)
 
 
-def _settled(group: list[list], size: int) -> Iterator[tuple[int, int, int]]:
+def _settled(group: list[list], size: int) -> Iterator[tuple[int, int, int, int]]:
     asked, hashes = [], []
     several = len(group) > 1
     for number, (key, after, places, shared) in enumerate(group):
         before = len(key) - HEAD - after
         windows = before + after - size + 1
         if len(places) > 1:
-            for row, first in places:
-                yield row, first, first + windows - 1
+            for place, row, first in places:
+                yield place, row, first, first + windows - 1
         if several:
             # window j has `before - j` bytes left of the anchor; what is right of it must be shared
             count = min(windows, before - (size - min(shared - HEAD, after)) + 1)
@@ -263,20 +268,20 @@ def _settled(group: list[list], size: int) -> Iterator[tuple[int, int, int]]:
         at += count
         places = group[number][2]
         if len(places) == 1 and len(own):
-            row, first = places[0]
+            place, row, first = places[0]
             cuts = np.flatnonzero(np.diff(own) != 1)
             for a, b in zip(own[np.r_[0, cuts + 1]].tolist(), own[np.r_[cuts, len(own) - 1]].tolist(), strict=True):
-                yield row, first + a, first + b
+                yield place, row, first + a, first + b
 
 
 def merged(coded: DataFrame, size: int) -> DataFrame:
-    """row, first, last of repeated windows, from front-coded runs."""
+    """place, row, first, last of repeated windows, from front-coded runs; a part's runs are merged when all are there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(part: dict[int, list[dict]]) -> Iterator[pa.RecordBatch]:
-            out = list(repeated(merge([decoded(pieces) for pieces in part.values()]), size)) if part else []
-            for at in range(0, len(out), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out[at : at + 50_000], strict=True)], ["row", "first", "last"])
+            spans = repeated(merge([decoded(pieces) for pieces in part.values()]), size) if part else iter(())
+            while out := list(itertools.islice(spans, 50_000)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["place", "row", "first", "last"])
 
         now, part = None, {}
         for batch in batches:
@@ -287,11 +292,11 @@ def merged(coded: DataFrame, size: int) -> DataFrame:
                 part.setdefault(piece["run"], []).append(piece)
         yield from found(part)
 
-    return coded.repartition("part").sortWithinPartitions("part", "run", "seq").mapInArrow(run, "row long, first long, last long")
+    return coded.repartition("part").sortWithinPartitions("part", "run", "seq").mapInArrow(run, "place long, row long, first long, last long")
 
 
 def spans_of(rows: DataFrame, size: int, n_words: int | None = None) -> DataFrame:
-    """row and spans (first, last start of repeated windows) of those of rows(place, row, text) that have any.
+    """place, row and spans (first, last start of repeated windows) of those of rows(place, row, text) that have any.
 
     With n_words, also of the repeated runs of so many words that are shorter than a window; the span of
     these ends before the window's size, and may end before it begins.
@@ -300,12 +305,12 @@ def spans_of(rows: DataFrame, size: int, n_words: int | None = None) -> DataFram
     indexed = cut(index(rows, size))
     # cut, so that the join below has exchanges of its own, which are split where one anchor has many rows
     shared = cut(indexed.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", F.ceil(F.col("n") / HOT).alias("blocks")))
-    met = cut(indexed.join(shared, "anchor").groupBy("row").agg(F.collect_set(F.struct("at", "blocks")).alias("met")))  # as many as a row has windows
-    parts = 4 * max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    spans = merged(runs(rows.join(met, "row").select("place", "row", "text", "met"), size, parts), size)
+    met = cut(indexed.join(shared, "anchor").groupBy("place", "row").agg(F.collect_set(F.struct("at", "blocks")).alias("met")))  # as many as a row has windows
+    parts = 1 + (met.agg(F.sum(F.size("met"))).first()[0] or 0) // PART_ENTRIES  # so that a part is as large at any size of corpus
+    spans = merged(runs(rows.join(met, ["place", "row"]).select("place", "row", "text", "met"), size, parts), size)
     if n_words is not None:
         spans = spans.unionByName(word_spans_of(rows, n_words, size))
-    return spans.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    return spans.groupBy("place", "row").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 
 
 _EDGE = re.compile(r"[\W_]*")
@@ -339,7 +344,7 @@ def short_passages(raw: bytes, n_words: int, size: int) -> list[tuple[int, int]]
 
 
 def word_spans_of(rows: DataFrame, n_words: int, size: int) -> DataFrame:
-    """row, first and last, as of windows of `size` bytes, of the runs of n_words words under that size that stand elsewhere too.
+    """place, row, first and last, as of windows of `size` bytes, of the runs of n_words words under that size that stand elsewhere too.
 
     Elsewhere is another row or a place of the same one that the run doesn't reach into: one word said sixty
     times is no repeated passage. Runs are compared by 128 bits of hash; few texts have words short enough for any.
@@ -349,17 +354,17 @@ def word_spans_of(rows: DataFrame, n_words: int, size: int) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, 128):
                 part, out = batch.slice(start, 128).to_pydict(), []
-                for row, text in zip(part["row"], part["text"], strict=True):
+                for place, row, text in zip(part["place"], part["row"], part["text"], strict=True):
                     raw = text.encode()
-                    out += [(hashlib.blake2b(raw[a:b], digest_size=16).digest(), row, a, b - size) for a, b in short_passages(raw, n_words, size)]
+                    out += [(hashlib.blake2b(raw[a:b], digest_size=16).digest(), place, row, a, b - size) for a, b in short_passages(raw, n_words, size)]
                 for at in range(0, len(out), 50_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[at : at + 50_000], strict=True), (pa.binary(), *[pa.int64()] * 3), strict=True)], ["passage", "row", "first", "last"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[at : at + 50_000], strict=True), (pa.binary(), *[pa.int64()] * 4), strict=True)], ["passage", "place", "row", "first", "last"])
 
-    found = rows.mapInArrow(run, "passage binary, row long, first long, last long")
-    found = cut(found.groupBy("passage", "row", "first", "last").agg(F.count("*").alias("n")))  # n > 1: rows that are equal as a whole
-    elsewhere = F.expr(f"min(row) <> max(row) or max(n) > 1 or max(first) - min(first) >= min(last - first) + {size}")
+    found = rows.mapInArrow(run, "passage binary, place long, row long, first long, last long")
+    found = cut(found.groupBy("passage", "place", "row", "first", "last").agg(F.count("*").alias("n")))  # n > 1: rows that are equal as a whole
+    elsewhere = F.expr(f"min(place) <> max(place) or min(row) <> max(row) or max(n) > 1 or max(first) - min(first) >= min(last - first) + {size}")
     shared = cut(found.groupBy("passage").agg(elsewhere.alias("elsewhere")).where("elsewhere").select("passage"))
-    return found.join(shared, "passage", "left_semi").select("row", "first", "last")
+    return found.join(shared, "passage", "left_semi").select("place", "row", "first", "last")
 
 
 def dedup(documents: DataFrame, size: int = 400) -> DataFrame:
@@ -385,7 +390,7 @@ def dedup(documents: DataFrame, size: int = 400) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (*[pa.int64()] * 4, pa.string()), strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     rows = keyed(documents)
-    rows = rows.join(spans_of(rows, size), "row", "left").select(F.nullif("place", F.lit((1 << 63) - 1)).alias("doc_id"), "text", "spans")
+    rows = rows.join(spans_of(rows, size), ["place", "row"], "left").select(F.nullif("place", F.lit(NO_ID)).alias("doc_id"), "text", "spans")
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -410,7 +415,7 @@ def cleaned(documents: DataFrame, size: int = 400, n_words: int | None = None) -
                 yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if name == "text" else part.column(i) for i, name in enumerate(names)], names)
 
     names = documents.columns
-    spans = spans_of(keyed(documents), size, n_words).select(F.col("row").alias("_row"), F.col("spans").alias("_spans"))
-    rows = documents.select(*[documents[n].alias(f"_{i}") for i, n in enumerate(names)], F.xxhash64(documents["doc_id"].cast("long"), F.coalesce(documents["text"], F.lit(""))).alias("_row"))
-    joined = rows.join(spans, "_row", "left").select(*[F.col(f"_{i}").alias(n) for i, n in enumerate(names)], F.col("_spans").alias("spans"))
+    spans = spans_of(keyed(documents), size, n_words).select(F.col("place").alias("_place"), F.col("row").alias("_row"), F.col("spans").alias("_spans"))
+    rows = documents.select(*[documents[n].alias(f"_{i}") for i, n in enumerate(names)], F.coalesce(documents["doc_id"].cast("long"), F.lit(NO_ID)).alias("_place"), F.xxhash64(F.coalesce(documents["text"], F.lit(""))).alias("_row"))
+    joined = rows.join(spans, ["_place", "_row"], "left").select(*[F.col(f"_{i}").alias(n) for i, n in enumerate(names)], F.col("_spans").alias("spans"))
     return joined.mapInArrow(run, documents.schema)

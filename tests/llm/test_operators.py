@@ -233,6 +233,8 @@ def test_suffix_dedup(documents, nothing, monkeypatch):
     for size in (400, 240):
         got = by_id(suffixes.dedup(documents, size), "n_bytes", "n_removed", "n_spans", "kept_sha256")
         assert got == brute.repeated_bytes(DOCS, size)
+    monkeypatch.setattr(suffixes, "_STRETCH", 3000)  # long texts are hashed in several stretches
+    monkeypatch.setattr(suffixes, "PART_ENTRIES", 5)
     monkeypatch.setattr(suffixes, "HOT", 3)  # frequent anchors are dealt over several partitions
     assert by_id(suffixes.dedup(documents, 240), "n_bytes", "n_removed", "n_spans", "kept_sha256") == got
     assert suffixes.dedup(nothing).count() == 0
@@ -264,7 +266,7 @@ def test_loser_tree():
 
 
 def test_front_coding():
-    entries = [(b"abc", 1, [(1, 2)]), (b"abd", 2, [(3, 4), (5, 6)]), (b"b", 0, [(7, 8)])]
+    entries = [(b"abc", 1, [(1, 2, 9)]), (b"abd", 2, [(3, 4, 0), (5, 6, 1)]), (b"b", 0, [(7, 8, 2)])]
     piece = dict(zip([c.split(" ")[0] for c in suffixes._RUN.split(", ")], suffixes._coded(0, 0, 0, entries), strict=True))
     assert [(k, a, p) for _, k, a, p in suffixes.decoded([piece, piece])] == entries * 2
 
