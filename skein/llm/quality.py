@@ -2,12 +2,15 @@
 
 The content view is a linear model over the presence of words and over the text's shape; the metadata
 view is a linear model over language, source and stated length. Each starts from the labelled sample. In
-every round each view scores a pool of unlabelled documents and hands the ones that it is surest of, as
-pseudo-labels, to the other view's training set. Afterwards both are calibrated on labelled rows that
-neither was trained on, the calibrated views are combined, and the result scores all documents.
-
-Only samples of bounded size are fitted on: `labelled` labelled rows and `pool` unlabelled ones, chosen
-by a hash of doc_id. Everything else runs over all documents, in place.
+every round both views score all unlabelled documents, and each hands all that it is sure of, as
+pseudo-labels, to the other view. What a view is handed is unbounded, so it isn't gathered: tasks count in
+how many good and bad documents a feature stands, and only the counts, two for each of WIDTH features, reach
+the driver. There they become log-odds weights, which are added to the ones fitted on the labelled rows, by
+slopes calibrated on labelled rows that neither view was fitted on. After the rounds the calibrated views
+are combined, and the result scores all documents.
+
+The one sample is that of the labelled rows: at most LABELLED, those of least hash of doc_id. All else runs
+over all documents. Features are extracted once and kept, two bytes each, in the checkpoint folder.
 """
 
 from __future__ import annotations
@@ -23,14 +26,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, ship
+from .common import Recent, cut, ship
 
 WIDTH = 1 << 18  # hashed features of a view
-LABELLED, POOL = 12_000, 6_000
-ROUNDS, HANDED, SURE = 3, 200, 0.95
+LABELLED = 12_000
+ROUNDS, SURE = 3, 0.95
+SEEN, APART = 5, 6.0  # rows that a feature must be seen in, and standard errors between its shares in the two classes
 SEED = 11
 _WORDS = re.compile(r"[^\W\d_]+")
-_HASH_PARTS = 1 << 24
 
 
 class Content:
@@ -81,19 +84,23 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(rows: list[np.ndarray], good: np.ndarray, steps: int = 200, ridge: float = 1e-4, seen: int = 5, apart: float = 6.0) -> np.ndarray:
+def telling(good: np.ndarray, bad: np.ndarray, n_good: int, n_bad: int) -> np.ndarray:
+    """Which features, standing in so many good and bad rows, tell the classes apart: seen in SEEN rows, and APART standard errors."""
+    share = (good + bad) / (n_good + n_bad)
+    z = (good / n_good - bad / n_bad) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n_good + 1 / n_bad))
+    return (good + bad >= SEEN) & (np.abs(z) >= APART)
+
+
+def fit(rows: list[np.ndarray], good: np.ndarray, steps: int = 200, ridge: float = 1e-4) -> np.ndarray:
     """Weights of a ridge logistic model by Adam, with classes balanced; the intercept is left to the calibration.
 
-    Only features take part that are seen in `seen` rows at least and whose shares in the two classes lie
-    `apart` standard errors apart; many weak words would otherwise outvote a telling one in a long text.
+    Only telling features take part; many weak words would otherwise outvote a telling one in a long text.
     """
     which = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     used, index, often = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
     n1, n0 = max(1, int(good.sum())), max(1, int((1 - good).sum()))
     in_good = np.bincount(index, good[which], len(used))
-    share = often / (n1 + n0)
-    z = (in_good / n1 - (often - in_good) / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0))
-    active = (often >= seen) & (np.abs(z) >= apart)
+    active = telling(in_good, often - in_good, n1, n0)
     keep = active[index]
     which, index = which[keep], index[keep]
     weights, mean, square = (np.zeros(len(used) + 1) for _ in range(3))
@@ -125,40 +132,54 @@ class Model:
     metadata: Linear
     combine: np.ndarray
 
-    def scores(self, a: np.ndarray, b: np.ndarray) -> tuple[float, float, float]:
-        x, y = self.content.logit(a), self.metadata.logit(b)
-        return tuple(float(_sigmoid(np.float64(z))) for z in (self.combine[0] * x + self.combine[1] * y + self.combine[2], x, y))
 
+def handed(counts: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Log-odds weights of features from the (bad, good) pseudo-labelled rows that they stand in; 0 where they don't tell the classes apart."""
+    if not rows.all():
+        return np.zeros(WIDTH, dtype=np.float32)
+    (bad, good), (n0, n1) = counts.astype(float), rows.astype(float)
+    odds = np.log((good + 0.5) / (n1 + 1)) - np.log((bad + 0.5) / (n0 + 1))
+    return np.where(telling(good, bad, n1, n0), odds, 0).astype(np.float32)
+
+
+def calibrated(parts: list[np.ndarray], rows: list[np.ndarray], good: np.ndarray) -> Linear:
+    """One linear view from weight vectors, by the slopes that fit the held-out rows."""
+    columns = np.array([[w[r].sum() for w in parts] for r in rows], dtype=float)
+    *slopes, shift = _scale(columns, good)
+    return Linear(sum(np.float32(k) * w for k, w in zip(slopes, parts, strict=True)), 1.0, float(shift))
 
-def co_train(views: tuple[list, list], good: np.ndarray, pool: tuple[list, list], rounds: int = ROUNDS) -> Model | None:
-    """The model from labelled rows (both views and whether they are good) and unlabelled rows; None without both classes."""
+
+def co_train(views: tuple[list, list], good: np.ndarray, exchange, rounds: int = ROUNDS) -> Model | None:
+    """The model from labelled rows (both views and whether they are good); None without both classes.
+
+    exchange(linear views) gives, for each view, what the other one hands it: (bad, good) counts of every
+    feature, and of rows.
+    """
     held = np.random.default_rng(SEED).random(len(good)) < 0.2
     if len({*good[~held].tolist()}) < 2 or len({*good[held].tolist()}) < 2:
         return None
-    train = [([v[i] for i in np.flatnonzero(~held)], good[~held].tolist()) for v in views]
-    free = np.ones(len(pool[0]), dtype=bool)
-    linear: list[Linear] = []
-    for round_ in range(rounds + 1):
-        linear = []
-        for v in range(2):
-            weights = fit(train[v][0], np.array(train[v][1], dtype=float))
-            raw = np.array([weights[views[v][i]].sum() for i in np.flatnonzero(held)])
-            slope, shift = _scale(raw[:, None], good[held].astype(float))
-            linear.append(Linear(weights, float(slope), float(shift)))
-        if round_ == rounds:
-            break
-        for v in range(2):
-            at = np.flatnonzero(free)
-            p = _sigmoid(np.array([linear[v].logit(pool[v][i]) for i in at])) if len(at) else np.zeros(0)
-            for label, sureness in ((1, p), (0, 1 - p)):
-                best = np.argsort(-sureness, kind="stable")[:HANDED]
-                for i in at[best[sureness[best] >= SURE]]:
-                    if free[i]:
-                        train[1 - v][0].append(pool[1 - v][i])
-                        train[1 - v][1].append(label)
-                        free[i] = False
-    x = np.array([[linear[v].logit(views[v][i]) for v in range(2)] for i in np.flatnonzero(held)])
-    return Model(linear[0], linear[1], _scale(x, good[held].astype(float)))
+    train = [[v[i] for i in np.flatnonzero(~held)] for v in views]
+    test, truth = [[v[i] for i in np.flatnonzero(held)] for v in views], good[held].astype(float)
+    fitted = [fit(rows, good[~held].astype(float)) for rows in train]
+    linear = [calibrated([fitted[v]], test[v], truth) for v in range(2)]
+    for _ in range(rounds):
+        got = exchange(linear)
+        linear = [calibrated([fitted[v], handed(*got[v])], test[v], truth) for v in range(2)]
+    x = np.array([[linear[v].logit(test[v][i]) for v in range(2)] for i in range(len(truth))])
+    return Model(linear[0], linear[1], _scale(x, truth))
+
+
+def packed(features: np.ndarray) -> bytes:
+    """Features in ascending order, two bytes each: the beginnings of the upper three pages, then the places in them."""
+    features = np.sort(features)
+    return np.searchsorted(features, [1 << 16, 2 << 16, 3 << 16]).astype("<u4").tobytes() + (features & 0xFFFF).astype("<u2").tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    out = np.frombuffer(raw, "<u2", offset=12).astype(np.int32)
+    for at in np.frombuffer(raw, "<u4", 3):
+        out[at:] += 1 << 16
+    return out
 
 
 def _columns(documents: DataFrame) -> DataFrame:
@@ -166,60 +187,94 @@ def _columns(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", has("lang", "string").alias("lang"), has("source", "string").alias("source"), has("n_chars", "long").alias("n_chars"))
 
 
-def train(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Model | None:
-    """Fit on samples of at most `labelled` and `pool` rows. A label is good if quality is 1 and toxic is not; of several the worst holds."""
+def extracted(documents: DataFrame, chosen: DataFrame) -> DataFrame:
+    """doc_id, good (null if not chosen), a and b (packed features of the views) of every row of documents."""
     ship(documents.sparkSession)
-    spread = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(_HASH_PARTS))
-    rows = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int").alias("good"))
-    share = min(1.0, 0.95 * labelled / max(1, rows.count()))
-    chosen = rows.where(spread < int(share * _HASH_PARTS)).groupBy("doc_id").agg(F.min("good").alias("good"))
-    docs = _columns(documents).where("doc_id is not null")
-    pool_share = min(1.0, 0.95 * pool / max(1, documents.count()))
-    other = F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.lit(_HASH_PARTS)) < int(pool_share * _HASH_PARTS)
-    picked = docs.join(F.broadcast(chosen), "doc_id", "left").where(F.col("good").isNotNull() | other)  # at most `labelled` rows are broadcast
-
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         content = Content()
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
-                rows = batch.slice(start, 256).to_pydict()
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(rows["doc_id"], pa.int64()), pa.array(rows["good"], pa.int32()),
-                        pa.array([content.features(t).tobytes() for t in rows["text"]], pa.binary()),
-                        pa.array([metadata_features(*m).tobytes() for m in zip(rows["lang"], rows["source"], rows["n_chars"], strict=True)], pa.binary()),
-                    ],
-                    ["doc_id", "good", "a", "b"],
-                )
-
-    table = picked.mapInArrow(extract, "doc_id long, good int, a binary, b binary").toArrow().sort_by([("doc_id", "ascending")]).to_pydict()
-    a, b = ([np.frombuffer(x, dtype=np.int32) for x in table[k]] for k in "ab")
-    known = [i for i, g in enumerate(table["good"]) if g is not None][:labelled]
-    free = [i for i, g in enumerate(table["good"]) if g is None][:pool]
-    pick = lambda at: ([a[i] for i in at], [b[i] for i in at])
-    return co_train(pick(known), np.array([table["good"][i] for i in known]), pick(free))
-
-
-def score(documents: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, score, content_score, metadata_score, keep of every row; without a model all scores are null and all rows are kept."""
-    ship(documents.sparkSession)
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+                part = batch.slice(start, 256)
+                rows = part.to_pydict()
+                a = [packed(content.features(t)) for t in rows["text"]]
+                b = [packed(metadata_features(*m)) for m in zip(rows["lang"], rows["source"], rows["n_chars"], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(rows["good"], pa.int32()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["doc_id", "good", "a", "b"])
+
+    return _columns(documents).join(F.broadcast(chosen), "doc_id", "left").mapInArrow(run, "doc_id long, good int, a binary, b binary")
+
+
+def logits(linear: Linear, rows: list[np.ndarray]) -> np.ndarray:
+    """Of rows of one feature at least."""
+    at = np.cumsum([0, *map(len, rows[:-1])])
+    return linear.slope * np.add.reduceat(linear.weights[np.concatenate(rows)].astype(np.float64), at) + linear.shift
+
+
+def exchanged(features: DataFrame, linear: list[Linear]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each view the counts of what the other is sure of, over all rows without label."""
+    shared = features.sparkSession.sparkContext.broadcast(linear)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        content, model = Content(), shared.value
+        counts, rows = np.zeros((2, 2, WIDTH), dtype=np.int64), np.zeros((2, 2), dtype=np.int64)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
-                rows = batch.slice(start, 256).to_pydict()
-                got = _score_rows(rows, content, model)
-                yield pa.RecordBatch.from_arrays([pa.array(rows["doc_id"], pa.int64()), *(pa.array([g[i] for g in got], pa.float64()) for i in range(3)), pa.array([g[0] is None or g[0] >= 0.5 for g in got], pa.bool_())], ["doc_id", "score", "content_score", "metadata_score", "keep"])
+                views = [[unpacked(x) for x in batch.slice(start, 256).column(c).to_pylist()] for c in ("a", "b")]
+                for v in range(2):
+                    p = _sigmoid(logits(shared.value[v], views[v]))
+                    for label, sure in ((0, p <= 1 - SURE), (1, p >= SURE)):
+                        rows[1 - v, label] += int(sure.sum())
+                        for i in np.flatnonzero(sure).tolist():
+                            counts[1 - v, label, views[1 - v][i]] += 1
+        view, label, feature = np.nonzero(counts)
+        n = np.r_[counts[view, label, feature], rows.ravel()]
+        view, label, feature = np.r_[view, 0, 0, 1, 1], np.r_[label, 0, 1, 0, 1], np.r_[feature, -1, -1, -1, -1]
+        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in (view, label, feature, n)], ["view", "label", "feature", "n"])
+
+    found = features.where("good is null").select("a", "b").mapInArrow(run, "view long, label long, feature long, n long")
+    table = found.groupBy("view", "label", "feature").agg(F.sum("n").alias("n")).toArrow()  # at most 4 rows for each of WIDTH features
+    view, label, feature, n = (table.column(c).to_numpy() for c in ("view", "label", "feature", "n"))
+    counts, rows = np.zeros((2, 2, WIDTH), dtype=np.int64), np.zeros((2, 2), dtype=np.int64)
+    whole = feature < 0
+    rows[view[whole], label[whole]] = n[whole]
+    counts[view[~whole], label[~whole], feature[~whole]] = n[~whole]
+    return [(counts[v], rows[v]) for v in range(2)]
+
+
+def train(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> tuple[Model | None, DataFrame | None]:
+    """The model, and the features of all documents; None without labels of both kinds.
+
+    Fitted on at most `labelled` labelled documents. A label is good if quality is 1 and toxic is not; of several the worst holds.
+    """
+    rows = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int").alias("good"))
+    rows = rows.groupBy("doc_id").agg(F.min("good").alias("good"))
+    chosen = rows.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(labelled).toPandas()
+    if chosen["good"].nunique() < 2:
+        return None, None
+    chosen = documents.sparkSession.createDataFrame(list(zip(chosen["doc_id"].tolist(), chosen["good"].tolist(), strict=True)), "doc_id long, good int")  # at most `labelled` rows are broadcast
+    features = cut(extracted(documents, chosen))
+    table = features.where("good is not null").dropDuplicates(["doc_id"]).toArrow().sort_by([("doc_id", "ascending")]).to_pydict()
+    views = tuple([unpacked(x) for x in table[c]] for c in "ab")
+    return co_train(views, np.array(table["good"], dtype=int), lambda linear: exchanged(features, linear)), features
 
-    return _columns(documents).mapInArrow(run, "doc_id long, score double, content_score double, metadata_score double, keep boolean")
 
+def _decided(a: list[np.ndarray], b: list[np.ndarray], model: Model) -> list[np.ndarray]:
+    """Combined, content and metadata scores of rows."""
+    x, y = logits(model.content, a), logits(model.metadata, b)
+    return [_sigmoid(z) for z in (model.combine[0] * x + model.combine[1] * y + model.combine[2], x, y)]
 
-def _score_rows(rows: dict, content: Content, model: Model | None) -> list[tuple]:
-    if model is None:
-        return [(None, None, None)] * len(rows["doc_id"])
-    return [model.scores(content.features(t), metadata_features(*m)) for t, m in zip(rows["text"], zip(rows["lang"], rows["source"], rows["n_chars"], strict=True), strict=True)]
+
+def score(features: DataFrame, model: Model) -> DataFrame:
+    """doc_id, score, content_score, metadata_score, keep of every row of features."""
+    shared = features.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                got = _decided(*([unpacked(x) for x in part.column(c).to_pylist()] for c in "ab"), shared.value)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, got), pa.array(got[0] >= 0.5)], ["doc_id", "score", "content_score", "metadata_score", "keep"])
+
+    return features.mapInArrow(run, "doc_id long, score double, content_score double, metadata_score double, keep boolean")
 
 
 def classify(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -229,21 +284,28 @@ def classify(documents: DataFrame, labels: DataFrame) -> DataFrame:
     are scored like any other; without labels of both kinds every row is kept with null scores; empty
     tables give no rows; further columns are ignored.
     """
-    return score(documents, train(documents, labels))
+    model, features = train(documents, labels)
+    if model is None:
+        nothing = [F.lit(None).cast("double").alias(c) for c in ("score", "content_score", "metadata_score")]
+        return documents.select(F.col("doc_id").cast("long").alias("doc_id"), *nothing, F.lit(True).alias("keep"))
+    return score(features, model)
 
 
 def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of documents that the classifier keeps, with all their columns."""
-    model = train(documents, labels)
+    model, _ = train(documents, labels)
+    if model is None:
+        return documents
     shared = documents.sparkSession.sparkContext.broadcast(model)
     names = documents.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        content, model = Content(), shared.value
+        content = Content()
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                rows = {k: part.column(k).to_pylist() if k in names else [None] * part.num_rows for k in ("doc_id", "text", "lang", "source", "n_chars")}
-                yield part.filter(pa.array([g[0] is None or g[0] >= 0.5 for g in _score_rows(rows, content, model)], pa.bool_()))
+                rows = [part.column(k).to_pylist() if k in names else [None] * part.num_rows for k in ("text", "lang", "source", "n_chars")]
+                a, b = [content.features(t) for t in rows[0]], [metadata_features(*m) for m in zip(*rows[1:], strict=True)]
+                yield part.filter(pa.array(_decided(a, b, shared.value)[0] >= 0.5))
 
     return documents.mapInArrow(run, documents.schema)

@@ -1,5 +1,6 @@
 """Each training-data operator against a plain version, with nulls, empty and long texts, ties, repeats and clashing columns."""
 
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -422,6 +423,77 @@ def test_quality(spark, documents, nothing):
     assert all(r["keep"] and r["score"] is None for r in quality.classify(documents, table.limit(0)).collect())
 
 
+def test_co_training_against_a_plain_version(spark):
+    # metadata tells as much as words do, so that each view hands the other something; a third word is known from pseudo-labels only
+    rnd = random.Random(31)
+    rows, labels = [], []
+    for i in range(1500):
+        bad = i % 3 == 0
+        words = [rnd.choice("alpha beta gamma delta epsilon zeta eta theta".split()) for _ in range(20)]
+        if rnd.random() < 0.9:
+            words.append("vile" if bad else "kind")
+        if i >= 600 and rnd.random() < 0.9:
+            words.append("grim" if bad else "fair")
+        rows.append((i, " ".join(words), "en", "shady" if bad and rnd.random() < 0.95 else "plain", 300))
+        if i < 600:
+            labels.append((i, 0 if bad else 1, 0))
+    rows += [(None, "grim grim", None, None, None), (2000, None, "en", "plain", None), (2001, "", "fr", "shady", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    got = quality.classify(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+
+    content, sigma = quality.Content(), lambda z: 1 / (1 + math.exp(-min(30, max(-30, z))))
+    known, good = {i for i, _, _ in labels}, {i: q for i, q, _ in labels}
+    every = [(r[0], (content.features(r[1]).tolist(), quality.metadata_features(*r[2:]).tolist())) for r in rows]
+    order = sorted(known)
+    held = dict(zip(order, np.random.default_rng(quality.SEED).random(len(order)) < 0.2))
+    view = {i: f for i, f in every if i in known}
+    fitted = [dict(enumerate(quality.fit([np.array(view[i][v]) for i in order if not held[i]], np.array([good[i] for i in order if not held[i]], dtype=float)))) for v in range(2)]
+    test = [i for i in order if held[i]]
+    truth = np.array([good[i] for i in test], dtype=float)
+    summed = lambda weights, features: sum(float(weights.get(f, 0)) for f in features)
+
+    def linear(v, parts):
+        *k, shift = quality._scale(np.array([[summed(w, view[i][v]) for w in parts] for i in test]), truth)
+        return lambda features: sum(a * summed(w, features) for a, w in zip(k, parts)) + shift
+
+    models = [linear(v, [fitted[v]]) for v in range(2)]
+    for _ in range(quality.ROUNDS):
+        new = []
+        for v in range(2):
+            counts, n = (Counter(), Counter()), [0, 0]
+            for i, f in every:
+                p = sigma(models[1 - v](f[1 - v]))
+                if i not in known and (p >= quality.SURE or p <= 1 - quality.SURE):
+                    n[p >= quality.SURE] += 1
+                    counts[p >= quality.SURE].update(f[v])
+            odds = {}
+            for f in counts[0].keys() | counts[1].keys() if all(n) else ():
+                b, g = counts[0][f], counts[1][f]
+                share = (b + g) / sum(n)
+                z = (g / n[1] - b / n[0]) / max(1e-12, share * (1 - share)) ** 0.5 / (1 / n[0] + 1 / n[1]) ** 0.5
+                if b + g >= quality.SEEN and abs(z) >= quality.APART:
+                    odds[f] = np.log((g + 0.5) / (n[1] + 1)) - np.log((b + 0.5) / (n[0] + 1))
+            assert all(n) and odds
+            new.append(linear(v, [fitted[v], odds]))
+        models = new
+    combine = quality._scale(np.array([[models[v](view[i][v]) for v in range(2)] for i in test]), truth)
+    want = {i: sigma(combine[0] * models[0](f[0]) + combine[1] * models[1](f[1]) + combine[2]) for i, f in every}
+    assert len(got) == len(want) and all(abs(r["score"] - want[r["doc_id"]]) < 1e-3 for r in got)
+    assert sum((want[i] >= 0.5) == (i % 3 != 0) for i in range(600, 1500)) >= 880 and want[None] < 0.5  # `grim` stands in no labelled row
+
+
+def test_views_are_sure_at_the_threshold(spark):
+    linear = [quality.Linear(np.zeros(quality.WIDTH, dtype=np.float32), 1.0, float(np.log(0.95 / 0.05)) + 1e-12), quality.Linear(np.zeros(quality.WIDTH, dtype=np.float32), 1.0, 0.0)]
+    features = spark.createDataFrame([(k, None, quality.packed(np.array([3, 70_000, 200_000])), quality.packed(np.array([5]))) for k in range(4)], "doc_id long, good int, a binary, b binary")
+    (content, n_content), (metadata, n_metadata) = quality.exchanged(features, linear)
+    assert n_content.tolist() == [0, 0] and not content.any() and n_metadata.tolist() == [0, 4] and metadata[1, 5] == 4 and metadata.sum() == 4
+
+
+def test_packed_features():
+    for f in ([], [0], [65535, 65536], [9, 131072, 262143, 70000]):
+        assert quality.unpacked(quality.packed(np.array(f, dtype=np.int32))).tolist() == sorted(f)
+
+
 def test_digit_share_of_whole_texts():
     def bucket(text):
         return [int(f) - 160 for f in quality.Content().features(text) if 160 <= f < 192]
