@@ -3,14 +3,14 @@
 1. Every document's set of word shingles gives K minima. Groups of ROWS whole minima are the bands; of
    every minimum only the low BITS are kept, as bit planes, so that two signatures are compared by xor
    and bit counts, and their likeness is estimated with the chance of equal bits taken off.
-2. Equal sets are one class, represented by its least doc_id. In each band bucket every class is paired
-   with the bucket's least class only, so a bucket of m classes gives m - 1 candidates.
+2. Equal sets are one class. In each band bucket every class is paired with the bucket's least class, its
+   hub, only, so a bucket of m classes gives m - 1 candidates.
 3. Candidates whose estimate is high enough are confirmed on the full sets, in blocks that hold one hub
    and a bounded share of its candidates.
-4. What shares buckets, over any number of steps, but isn't one component yet is compared again: all
-   classes outside a group's main component against the whole group, in blocks of bounded size, first by
-   signature and then on full sets; a block stops asking about a class once it's linked. So no link is
-   lost to the choice of hubs.
+4. A bucket whose classes beside the hub aren't one component yet is compared again, by itself: all classes
+   outside its main component against the bucket, in blocks of bounded size, first by signature and then on
+   full sets; a block stops asking about a class once it's linked. Of buckets with the same classes one is
+   compared. So no link is lost to the choice of hubs.
 With 32 bands of 5 rows, two sets of likeness 0.85 share no band with a chance of 7e-9.
 """
 
@@ -74,18 +74,19 @@ def sketch(documents: DataFrame, shingle: int) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, set_key binary, signature binary, bands array<long>")
 
 
-def full_sets(documents: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
-    """id, signature and sorted shingle set of the documents named in ids(id, signature)."""
+def full_sets(documents: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
+    """id, signature and sorted shingle set of classes(rep, set_key, id, signature), each from a text of its least doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 sets = [np.unique(shingles(lowered(t), shingle)).tobytes() for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("signature"), pa.array(sets, pa.binary())], ["id", "signature", "shingles"])
+                own = pa.array([xxhash.xxh3_128_digest(s) == k for s, k in zip(sets, part.column("set_key").to_pylist(), strict=True)], pa.bool_())  # a doc_id may stand on several texts
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("signature"), pa.array(sets, pa.binary())], ["id", "signature", "shingles"]).filter(own)
 
-    texts = documents.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id")
-    return texts.select("id", "signature", "text").mapInArrow(run, "id long, signature binary, shingles binary").dropDuplicates(["id"])
+    texts = documents.select(F.col("doc_id").cast("long").alias("rep"), "text").join(classes, "rep")
+    return texts.select("id", "set_key", "signature", "text").mapInArrow(run, "id long, signature binary, shingles binary").dropDuplicates(["id"])
 
 
 def confirm(blocks: DataFrame, similarity: Fraction) -> DataFrame:
@@ -146,13 +147,15 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, similarity: Fraction
     """
     sketched = cut(sketch(documents, shingle))
     named = sketched.where("doc_id is not null and n > 0")
-    classes = cut(named.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.any_value("signature").alias("signature"), F.any_value("bands").alias("bands")))
+    classes = named.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.any_value("signature").alias("signature"), F.any_value("bands").alias("bands"))
+    classes = cut(classes.withColumn("id", F.monotonically_increasing_id()))
     buckets = classes.select("id", F.explode("bands").alias("band"))
     # cut, as are the salts, so that the joins have exchanges of their own, which are split where one key has many rows
-    hubs = cut(buckets.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("last > hub").select("band", "hub"))
-    pairs = cut(buckets.join(hubs, "band").where("id <> hub").select("id", "hub").distinct())
-    groups = components(pairs.select(F.col("id").alias("a"), F.col("hub").alias("b")))
-    sets = cut(full_sets(documents, classes.join(groups.select(F.col("node").alias("id")), "id").select("id", "signature"), shingle))
+    hubs = cut(buckets.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("last"), F.count("*").alias("m")).where("last > hub").select("band", "hub", "m"))
+    beside = cut(buckets.join(hubs, "band").where("id <> hub"))
+    pairs = cut(beside.select("id", "hub").distinct())
+    nodes = pairs.select("id").union(pairs.select("hub")).distinct()
+    sets = cut(full_sets(documents, classes.join(nodes, "id").select("rep", "set_key", "id", "signature"), shingle))
 
     salts = cut(pairs.groupBy("hub").agg(F.ceil(F.count("*") / RIGHT).alias("salts")))
     asked = pairs.join(salts, "hub")
@@ -163,30 +166,32 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, similarity: Fraction
     links = cut(confirm(both(left.withColumn("comp", F.col("id")), right.withColumn("comp", F.col("id"))), similarity))
 
     linked = components(links)
-    member = groups.select(F.col("node").alias("id"), F.col("component").alias("g")).join(linked.select(F.col("node").alias("id"), "component"), "id", "left")
-    member = cut(member.select("id", "g", F.coalesce("component", "id").alias("comp")))
-    sizes = member.groupBy("g", "comp").agg(F.count("*").alias("m"))
-    open_ = sizes.groupBy("g").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.sum("m").alias("all"), F.max("m").alias("most")).where("all > most")
-    open_ = open_.select("g", "main", F.ceil((F.col("all") - F.col("most")) / LEFT).alias("ci"), F.ceil(F.col("all") / RIGHT).alias("cj"))
-    rest = member.join(open_, "g")
+    bucket = beside.where("m > 2").select("band", "id").join(linked.withColumnRenamed("node", "id"), "id", "left")
+    bucket = cut(bucket.select("band", "id", F.coalesce("component", "id").alias("comp")))
+    same = [F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("h"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("x")]
+    sizes = bucket.groupBy("band", "comp").agg(F.count("*").alias("m"), *same)
+    open_ = sizes.groupBy("band").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.sum("m").alias("all"), F.max("m").alias("most"), F.sum("h").alias("h"), F.bit_xor("x").alias("x")).where("all > most")
+    open_ = open_.groupBy("all", "h", "x").agg(F.min(F.struct("band", "main", "most")).alias("b"))
+    open_ = cut(open_.select("b.band", "b.main", F.ceil((F.col("all") - F.col("b.most")) / LEFT).alias("ci"), F.ceil(F.col("all") / RIGHT).alias("cj")))
+    rest = bucket.join(open_, "band")
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     i, j = F.pmod(F.xxhash64("id"), F.col("ci")), F.pmod(F.xxhash64("id", F.lit(1)), F.col("cj"))
     left = rest.where("comp <> main").withColumns({"i": i, "j": spread(F.col("cj"))})
     right = rest.withColumn("j", j).withColumn("i", spread(F.col("ci")))
-    place = lambda d: d.select(F.col("g").alias("b1"), (F.col("i") * F.col("cj") + F.col("j")).alias("b2"), "id", "comp").join(sets, "id")
+    place = lambda d: d.select(F.col("band").alias("b1"), (F.col("i") * F.col("cj") + F.col("j")).alias("b2"), "id", "comp").join(sets, "id")
     more = cut(confirm(both(place(left), place(right)), similarity))
 
-    equal = named.join(classes.select("set_key", "id"), "set_key").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    repeated = named.groupBy("doc_id").agg(F.count("*").alias("m")).where("m > 1").limit(1).count()  # rows of one doc_id join classes
-    if repeated:
-        found = components(links.union(more).union(equal))
-        named_by = sketched.join(found, sketched.doc_id == found.node, "left").withColumn("component_id", F.coalesce("component", "doc_id"))
-    else:
-        found = components(links.union(more)) if not more.isEmpty() else linked
-        of_class = classes.select("set_key", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
-        named_by = sketched.join(of_class, "set_key", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    named_by = named_by.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
-    return named_by.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    # classes of one doc_id are linked by it
+    several = named.groupBy("doc_id").agg(F.min("set_key").alias("one"), F.max("set_key").alias("other")).where("one <> other").select("doc_id")
+    owned = named.join(several, "doc_id").join(classes.select("set_key", "id"), "set_key").select("doc_id", "id")
+    owned = cut(owned.join(owned.groupBy("doc_id").agg(F.min("id").alias("b")), "doc_id").select(F.col("id").alias("a"), "b").where("a <> b"))
+    if not (more.isEmpty() and owned.isEmpty()):
+        linked = components(links.union(more).union(owned))
+    named_by = classes.select("set_key", "id", "rep").join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = cut(named_by.groupBy("component").agg(F.min("rep").alias("component_id")))
+    of_class = named_by.join(least, "component").select("set_key", "component_id")
+    found = sketched.join(of_class, "set_key", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def keep_one(documents: DataFrame, shingle: int = 5, similarity: Fraction = Fraction(4, 5)) -> DataFrame:

@@ -72,7 +72,20 @@ def test_near_duplicates_of_odd_rows(spark):
     assert got == sorted(map(str, [(None, None, True), (7, 7, True), (7, 7, True), (7, 7, True), (9, 7, False), (8, 7, False)]))
 
 
-def test_links_missed_by_hubs_are_found(spark):
+def test_texts_of_one_doc_id_keep_their_links(spark):
+    rnd = random.Random(17)
+    say = lambda: [rnd.choice("abcdefghijklmnop") * rnd.randint(1, 3) for _ in range(60)]
+    one, two, three = say(), say(), say()
+    near = lambda w: " ".join([*w[:-1], "other"])
+    rows = [(3, " ".join(one)), (3, " ".join(two)), (5, near(one)), (6, near(two)), (4, " ".join(three)), (9, near(three)), (9, near(two))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(df, 3).collect()}
+    assert got == {(3, 3, True), (5, 3, False), (6, 3, False), (4, 3, False), (9, 3, False)}
+
+
+def test_links_missed_by_hubs_are_found(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "LEFT", 3)
+    monkeypatch.setattr(minhash, "RIGHT", 5)
     # a chain in which only neighbours are alike: every hub misses most of it
     rnd = random.Random(3)
     w = [f"w{i}" for i in range(60)]
