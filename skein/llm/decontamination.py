@@ -35,7 +35,7 @@ class Index:
         self.permutations = Permutations(MINIMA, SEED)
         self.sets: list[tuple[int, int, np.ndarray]] = []  # item_id, words in a gram, distinct gram hashes
         keys: dict[int, list] = {}
-        self.short: dict[int, list] = {}
+        self.short: dict[int, dict[int, list]] = {}  # words in a gram -> gram hash -> items that are just this gram
         for item_id, text in items:
             h = lowered(text)
             if not len(h):
@@ -45,7 +45,7 @@ class Index:
             number = len(self.sets)
             self.sets.append((item_id, n, distinct))
             if n < SHINGLE:
-                self.short.setdefault(n, []).append((int(distinct[0]), number))
+                self.short.setdefault(n, {}).setdefault(int(distinct[0]), []).append(number)
                 continue
             level = max(0, int(len(distinct) - 1).bit_length())
             low = self.permutations.minima(distinct)
@@ -88,8 +88,8 @@ class Index:
         g = grams(h, SHINGLE)
         out, numbers = [], self.candidates(g)
         for n, items in self.short.items():
-            there = grams(h, n)
-            numbers.update(number for value, number in items if len(there) and (there == np.uint64(value)).any())
+            for value in items.keys() & set(grams(h, n).tolist()):
+                numbers.update(items[value])
         if not numbers:
             return out
         have = {n: np.unique(grams(h, n)) for n in {self.sets[k][1] for k in numbers}}
