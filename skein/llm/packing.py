@@ -56,6 +56,9 @@ class _WordEncoder:
         vocabulary = self.library.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that end a word
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.bytes = np.zeros(len(self.last), dtype=np.int64)  # of a word that a token stands for: one for each of its letters
+        for token, i in vocabulary.items():
+            self.bytes[i] = len(token.removesuffix("</w>"))
         self.kind = np.full(0x20AD, self.MARK, dtype=np.int8)  # of each code point of a plain text
         self.kind[[9, 10, 13, 32, 160]] = self.SPACE
         for k, spans in ((self.LETTER, "azAZ\xaa\xaa\xb5\xb5\xba\xba\xc0\xd6\xd8\xf6\xf8\u017e"), (self.DIGIT, "09\xb2\xb3\xb9\xb9\xbc\xbe")):
@@ -87,12 +90,13 @@ class _WordEncoder:
         self.used += len(ids)
 
     def _learn(self, words: list[tuple[int, str]]) -> None:
-        """Ids of new words. Many are coded as one text, and told apart by the ids that end a word."""
+        """Ids of new words. Many are coded as one text, and told apart by the ids that end a word; what doesn't spell each word's bytes is coded word by word."""
         parts = [words[i : i + 256] for i in range(0, len(words), 256)]
         for own, coded in zip(parts, self.library.encode_batch_fast([" ".join([w for _, w in p]) for p in parts], add_special_tokens=False), strict=True):
             ids = np.array(coded.ids, dtype="<u4")
             ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) == len(own):
+            spelt = np.diff(np.append(0, np.cumsum(self.bytes[ids]))[np.append(0, ends)])
+            if spelt.tolist() == [len(w.encode()) for _, w in own] and ends[-1] == len(ids):
                 self._put([h for h, _ in own], ids, ends)
                 continue
             for h, word in own:
