@@ -31,6 +31,7 @@ TEMPLATES = (
 )
 NEIGHBOURS = 2
 COVERAGE = 0.7
+MOST = 65  # words of a template: its votes are the bits of a long
 #: Fixed value: what a word is made of, after A-Z became a-z.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -39,6 +40,8 @@ def _pairs(spark: SparkSession) -> DataFrame:
     rows = []
     for number, (phrase, label) in enumerate((*BASE, *TEMPLATES)):
         words = phrase.split(" ")
+        if not 2 <= len(words) <= MOST:
+            raise ValueError(f"a template has 2 to {MOST} words: {phrase}")
         rows += [(number, label, number < len(BASE), len(words) - 1, i, a, b) for i, (a, b) in enumerate(zip(words, words[1:]))]
     table = spark.createDataFrame(rows, "template int, label string, base boolean, pairs int, tpos int, t1 string, t2 string")
     return table.withColumn("h", F.xxhash64("t1", "t2"))

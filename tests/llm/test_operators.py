@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -132,6 +133,37 @@ def test_sharding(documents, nothing):
     assert sharding.shard(nothing).count() == 0
 
 
+def test_shards_against_a_plain_network(spark):
+    rnd = random.Random(13)
+    rows = [(None if i % 50 == 7 else i % 97, "x" * rnd.randrange(5) if i % 9 else None) for i in range(211)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), shards=7, seed=5).collect()
+    n, whole = len(rows), 1 << 64
+    left = next(k for k in range(1, n + 1) if k * k >= n)
+    right = -(-n // left)
+
+    def mix(x, key):
+        x = (x + key * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) % whole
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % whole
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % whole
+        return x ^ x >> 31
+
+    def walked(x):
+        while True:
+            a, b = divmod(x, right)
+            for r in range(sharding.ROUNDS):
+                if r % 2 == 0:
+                    a = (a + mix(b, 5 * sharding.ROUNDS + r) % left) % left
+                else:
+                    b = (b + mix(a, 5 * sharding.ROUNDS + r) % right) % right
+            x = a * right + b
+            if x < n:
+                return x
+
+    keys = sorted(((i is not None, i or 0), brute.crc(t), len(t or "") + 16) for i, t in rows)
+    want = Counter((i if there else None, size, crc, walked(k) % 7, walked(k) // 7) for k, ((there, i), crc, size) in enumerate(keys))
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in got) == want
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 97, 1000, 12345])
 def test_permutation(n):
     p = sharding.permute(np.arange(n), n, 7)
@@ -180,6 +212,57 @@ def test_fingerprints(spark, documents, nothing):
     assert fingerprints.fingerprint(ties).count() == 4
 
 
+def plain_fingerprint(text):
+    """Values of a text by plain winnowing: windows one by one, least hash, rightmost among ties."""
+    import struct
+
+    import xxhash
+
+    signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
+    spelled = lambda s, seed=42: signed(xxhash.xxh64_intdigest(s.encode(), seed))
+    pair = lambda a, b: signed(xxhash.xxh64_intdigest(struct.pack("<q", b), xxhash.xxh64_intdigest(struct.pack("<q", a), 42)))
+    low = (1 << 27) - 1
+
+    def winnowed(units, start=0, every=False):
+        if len(units) < 4:
+            return None
+        grams = [pair(pair(*units[i : i + 2]), pair(*units[i + 2 : i + 4])) for i in range(len(units) - 3)]
+        values = [g & (((1 << 63) - 1) ^ low) | (low - start) - i for i, g in enumerate(grams)]
+        if every:
+            return values
+        out = []
+        for i in range(max(1, len(values) - 15)):
+            least = min(values[i : i + 16], key=lambda v: (v >> 27, v))
+            if least not in out:
+                out.append(least)
+        return out
+
+    words = [p for w in re.split(r"\s+", text) for p in (list(w) if len(w) > 24 else [w])]
+    found = winnowed([spelled(w) for w in words])
+    characters = []
+    if 0 < len(text) <= 1024 and len(text) >= 4:
+        units = [spelled(c, xxhash.xxh64_intdigest(struct.pack("<i", 1 << 26), 42)) for c in text]
+        characters = winnowed(units, 1 << 26, len(text) < 38)
+    return found and found + characters
+
+
+def test_fingerprints_against_plain_winnowing(spark):
+    rnd = random.Random(44)
+    say = lambda n: " ".join(rnd.choice(["ab", "c", "def", "gh", "i" * 30, "é", "x1"]) for _ in range(n))
+    rows = [(i, say(n)) for i, n in enumerate([4, 5, 9, 19, 20, 30, 60, 150, 400, 700, 7, 12])]
+    got = by_id(fingerprints.fingerprint(spark.createDataFrame(rows, "doc_id long, text string")), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    for k, (i, t) in enumerate(rows):
+        following = rows[(k + 1) % len(rows)][1]
+        half = len(t) // 2
+        a, e, b = map(plain_fingerprint, (t, t[: len(t) - half] + following[:half], following))
+        assert got[i][0] == " ".join(f"{v:X}" for v in a)
+        if e is None:
+            continue
+        assert got[i][1] == " ".join(f"{v:X}" for v in e)
+        sets = [{v >> 27 for v in x} for x in (a, e, b)]
+        assert abs(got[i][2] - len(sets[0] & sets[1]) / len(sets[0] | sets[1])) < 1e-12 and abs(got[i][3] - len(sets[0] & sets[2]) / len(sets[0] | sets[2])) < 1e-12
+
+
 def test_winnowing_guarantee(spark):
     shared = " ".join(f"s{i}" for i in range(fingerprints.WINDOW + fingerprints.GRAM - 1))
     rows = [(1, " ".join(f"a{i}" for i in range(57)) + " " + shared), (2, shared + " " + " ".join(f"b{i}" for i in range(83)))]
