@@ -2,27 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-_own: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one, the same all session long, only where none is named."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own.setdefault("folder", tempfile.mkdtemp(prefix="skein-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df without lineage, kept in the cluster's checkpoint folder."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()
+from ..session import cut
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
@@ -38,15 +21,20 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         labels = new
         if not moved:
             break
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return labels.select("node", F.col("label").alias("component"))
 
 
-def resolve_chain(mapping: DataFrame, rounds: int = 40) -> DataFrame:
-    """I-10: mapping(loser, winner, ordinal) with every winner followed to its end; the last row for a loser wins, and a cycle ends at its least id."""
+def resolve_chain(mapping: DataFrame) -> DataFrame:
+    """I-10: mapping(loser, winner, ordinal) with every winner followed to its end; the last row for a loser wins, and a cycle ends at its least id.
+
+    Steps double in length, so that n mappings are followed in log2(n) rounds; what is open then leads into a cycle.
+    """
     last = Window.partitionBy("loser").orderBy(F.col("ordinal").desc())
     m = mapping.where("loser <> winner").withColumn("_r", F.row_number().over(last)).where("_r = 1").select("loser", "winner")
     m = cut(m.withColumns({"seen": F.least("loser", "winner")}))
-    for _ in range(rounds):
+    for _ in range(m.count().bit_length() + 1):
         n = m.select(F.col("loser").alias("winner"), F.col("winner").alias("next"), F.col("seen").alias("low"))
         j = m.join(n, "winner", "left")
         new = cut(j.select("loser", F.when(F.col("next").isNull(), F.col("winner")).otherwise(F.col("next")).alias("winner"), F.least("seen", F.coalesce("low", "seen")).alias("seen")))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.iterative import shared_folder
+from ..session import remove, shared_folder
 from ..streaming import spool
 from .adapters import DAY, HOUR
 from .catalog import Archive, query
@@ -28,6 +28,7 @@ def drained(a: Archive, stream: DataFrame, mode: str = "append") -> DataFrame:
     put = lambda df, _: df.write.mode(kind).parquet(f"{home}/rows")
     q = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{home}/progress").trigger(availableNow=True).start()
     q.awaitTermination()
+    remove(a.spark, f"{home}/progress")
     return a.spark.read.schema(stream.schema).parquet(f"{home}/rows")
 
 
