@@ -6,8 +6,6 @@ cluster's shared folder and read again as the next one's input.
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from fractions import Fraction
 
@@ -16,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from skein.llm import decontamination, minhash, packing, quality, suffixes
 from skein.llm.common import read
 from skein.llm.queries import tokenizer_path
+from skein.session import remove, shared_folder
 
 #: Strings of this many bytes are taken out wherever they repeat, and shorter ones if they have this many words:
 #: passages of over fifty words are seldom shorter, but can have as few as 101 bytes.
@@ -61,18 +60,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage, from the table documents of sf_dir."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skein-pipeline-")
-    home = os.path.join(folder, f"pipeline-{uuid.uuid4().hex}")
+    home = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs, done = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{home}/{name}")
         docs = spark.read.parquet(f"{home}/{name}")
         if done:  # what came before the last written stage isn't read again
-            _remove(spark, f"{home}/{done}")
+            remove(spark, f"{home}/{done}")
         done = name
     return docs
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

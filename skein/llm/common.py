@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import session
+from ..session import cut
+
+__all__ = ["Recent", "components", "cut", "numbered", "read", "ship", "slices"]
 
 BATCH_ROWS = 1000
 LOCAL_BITS = 33  # monotonically_increasing_id keeps the row's place in its partition in these bits
@@ -25,15 +27,6 @@ def ship(spark: SparkSession) -> None:
     session.ship(spark)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the cluster's checkpoint folder and return it without lineage."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        given = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="skein-checkpoints-"))
-    return df.checkpoint()
-
-
 def slices(batches: Iterable, rows: int = 512) -> Iterator[dict[str, list]]:
     """Arrow batches as dicts of Python lists of at most `rows` entries, so that few texts are decoded at once."""
     for batch in batches:
