@@ -175,10 +175,12 @@ def factors(rows: DataFrame) -> DataFrame:
     """place, row, first, last: the windows of rows(place, row, text) that also stand in a document of smaller place."""
     ship(rows.sparkSession)
     indexed = cut(index(rows))
+    # cut, so that joins have exchanges of their own, which are split where one key has many rows
+    shared = cut(indexed.groupBy("anchor").agg(F.min("place").alias("low"), F.max("place").alias("high")).where("low < high").select("anchor"))
+    indexed = cut(indexed.join(shared, "anchor"))
     held = indexed.groupBy("anchor", "context").agg(F.min(F.struct("place", "row", "first", "n")).alias("who"), F.max("place").alias("high"))
     held = cut(held.select("anchor", "context", "who.*", "high"))
-    met = held.groupBy("anchor").agg(F.min("place").alias("low"), F.max("high").alias("top"), F.count("*").alias("m")).where("low < top and m > 1")
-    # cut, so that joins have exchanges of their own, which are split where one key has many rows
+    met = held.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1")
     met = cut(met.select("anchor", F.ceil(F.col("m") / BLOCK).alias("blocks")))
     asked = held.join(met, "anchor").groupBy("place", "row").agg(F.collect_list(F.struct("anchor", "context", "blocks", "first", "n")).alias("met"))  # as many as a row has windows
     texts = spelled(rows.join(asked, ["place", "row"]).select("place", "text", "met"))
