@@ -12,7 +12,7 @@ from ..session import cut
 
 __all__ = ["Recent", "components", "cut", "numbered", "read", "ship", "slices"]
 
-BATCH_ROWS = 1000
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 LOCAL_BITS = 33  # monotonically_increasing_id keeps the row's place in its partition in these bits
 
 
@@ -21,9 +21,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """The package on the executors, and small Arrow batches: rows here hold whole texts."""
+    """The package on the executors, and small Arrow batches: rows here hold whole texts, some of them very long."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     session.ship(spark)
 
 
