@@ -127,7 +127,7 @@ def categories(text: Column) -> Column:
 
 def marker(text: Column) -> Column:
     """F-24: whether a meet-up marker stands in the text."""
-    return F.lower(F.translate(text, "’", "'")).rlike("|".join(MARKERS))
+    return F.lower(F.translate(text, "‘’", "''")).rlike("|".join(MARKERS))
 
 
 def haversine(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
@@ -158,12 +158,20 @@ def is_handle(text: Column) -> Column:
 
 
 def name_forms(name: Column) -> Column:
-    """F-29: first token and full form (40 characters at most) of a nameable alias, lower-cased."""
-    clean = F.trim(F.regexp_replace(F.regexp_replace(name, r"[^\p{L}\p{N}\s'.-]", ""), r"\s+", " "))
-    first = F.substring_index(clean, " ", 1)
-    usable = ~is_handle(name) & (F.length(clean) >= 3)
-    forms = F.array_distinct(F.array(F.lower(first), F.lower(clean)))
-    return F.when(usable, F.filter(forms, lambda f: F.length(f).between(3, 40))).otherwise(F.array().cast("array<string>"))
+    """F-29: first token and full form (40 characters at most) of a nameable alias, lower-cased; decoration counts as a space."""
+    name = F.trim(name)
+    clean = F.trim(F.regexp_replace(name, r"[^\p{L}\p{N}\s'.-]", " "))
+    first = F.regexp_extract(clean, r"^\S+", 0)
+    usable = ~name.rlike(r"^[+\d]") & ~name.contains("@") & (F.length(name) >= 3) & (F.length(clean) >= 3)
+    forms = F.array(F.when((F.length(first) >= 3) & first.rlike(r"\p{L}"), F.lower(first)), F.when(F.length(clean) <= 40, F.lower(clean)))
+    return F.when(usable, F.array_distinct(F.array_compact(forms))).otherwise(F.array().cast("array<string>"))
+
+
+def iso_ms(text: Column) -> Column:
+    """F-17: an ISO bound in milliseconds: a date is its midnight in UTC, digits are milliseconds already; what is neither is an error."""
+    zoned = F.try_to_timestamp(F.when(F.length(text) == 10, F.concat(text, F.lit("T00:00:00Z"))).otherwise(text))
+    found = F.when(text.rlike(r"^-?\d+$"), text.try_cast("long")).otherwise(F.unix_millis(zoned))
+    return F.when(text.isNull(), F.lit(None).cast("long")).when(found.isNull(), F.raise_error(F.concat(F.lit("bad date: "), text)).cast("long")).otherwise(found)
 
 
 def alphabetic_forms(name: Column) -> Column:

@@ -23,17 +23,20 @@ def group_membership(threads: DataFrame, identities: DataFrame, messages: DataFr
 def mentions(messages: DataFrame, identities: DataFrame, thread_identity: DataFrame, self_id: str | None = None) -> DataFrame:
     """G-01: one row for each (person, form, message) where the form stands as whole words of a meaningful message, the person's own threads left out.
 
-    Forms are joined on their first token, so no message is scanned for each form; forms of several tokens are then looked for in the text.
+    Forms of display names and aliases are joined on their first token, so no message is scanned for each form. Only ids go
+    through that join; the texts come after it, to the hits of forms with several tokens.
     """
-    forms = identities.where(F.col("canonical_id") != F.lit(self_id or "")).select("canonical_id", F.explode("aliases").alias("alias"))
-    forms = forms.select(F.col("canonical_id").alias("mentioned_canonical_id"), F.explode(name_forms(F.col("alias"))).alias("mentioned_form")).distinct()
+    names = identities.where(F.col("canonical_id") != F.lit(self_id or "")).select("canonical_id", F.explode(F.array_union("aliases", F.array("display_name"))).alias("name"))
+    forms = names.select(F.col("canonical_id").alias("mentioned_canonical_id"), F.explode(name_forms(F.col("name"))).alias("mentioned_form")).distinct()
     token = r"[^a-z0-9_]+"
     forms = forms.withColumn("_t", F.element_at(F.filter(F.split("mentioned_form", token), lambda t: t != ""), 1))
     said = messages.where("meaningful").withColumn("_low", F.lower("body"))
-    words = said.select("id", "thread_id", "ts", "from_me", "_low", F.explode(F.array_distinct(F.filter(F.split("_low", token), lambda t: t != ""))).alias("_t"))
+    words = said.select("id", "thread_id", "ts", "from_me", F.explode(F.array_distinct(F.filter(F.split("_low", token), lambda t: t != ""))).alias("_t"))
+    hits = words.join(forms, "_t")
     quoted = F.regexp_replace("mentioned_form", r"([^\w\s])", r"\\$1")
     whole = F.expr("rlike(_low, concat('(^|[^a-z0-9_])', _q, '([^a-z0-9_]|$)'))")
-    hits = words.join(forms.withColumn("_q", quoted), "_t").where((F.col("mentioned_form") == F.col("_t")) | whole)
+    spoken = hits.where(F.col("mentioned_form") != F.col("_t")).withColumn("_q", quoted).join(said.select("id", "_low"), "id").where(whole)
+    hits = hits.where(F.col("mentioned_form") == F.col("_t")).unionByName(spoken.drop("_q", "_low"))
     own = thread_identity.select("thread_id", F.col("canonical_id").alias("mentioned_canonical_id"))
     return hits.join(own, ["thread_id", "mentioned_canonical_id"], "left_anti").select("mentioned_canonical_id", "mentioned_form", "thread_id", F.col("id").alias("message_id"), "ts", "from_me").distinct()
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from .iterative import components
 
-#: First names that are words too and don't identify on their own.
-STOP_FIRST = ("the", "and", "mom", "dad", "mum", "home", "work", "new", "old")
+#: First names that no merge may rest on.
+STOP_FIRST = ("a", "an", "the", "me", "you", "us", "them", "i", "mom", "dad", "mum", "son", "wife", "mr", "mrs", "dr", "guy")
 
 
 def alias_kind(alias: Column, source: Column) -> Column:
@@ -55,9 +55,11 @@ def resolve_greedy(threads: DataFrame) -> DataFrame:
 
 
 def display_name(aliases: DataFrame) -> DataFrame:
-    """I-03: of aliases(person, alias, ordinal) a capitalised Latin full name, else any capitalised, else any name, else the first."""
-    name = ~F.col("alias").contains("@") & F.col("alias").rlike(r"\p{L}")
-    rank = F.when(F.col("alias").rlike(r"^[A-Z][A-Za-zÀ-ž'.-]* .*[A-Z]"), 0).when(F.col("alias").rlike(r"^\p{Lu}"), 1).when(name, 2).otherwise(3)
+    """I-03: of aliases(person, alias, ordinal) a Latin full name, else any name, capitalised ones first in both; else the first alias."""
+    a = F.col("alias")
+    name = a.rlike(r"\p{L}") & ~a.rlike(r"^\+?\d") & ~a.contains("@")
+    full, capital = name & a.rlike(r"\s") & a.rlike("^[A-Za-z]"), a.rlike("^[A-Z]")
+    rank = F.when(full & capital, 0).when(full, 1).when(name & capital, 2).when(name, 3).otherwise(4)
     return aliases.groupBy("person").agg(F.min_by("alias", F.struct(rank, "ordinal")).alias("display_name"))
 
 
@@ -72,28 +74,59 @@ def person_messages(messages: DataFrame, thread_identity: DataFrame, person: str
     return messages.join(mine, "thread_id", "left_semi").orderBy("ts", "id")
 
 
+def _names(people: DataFrame) -> DataFrame:
+    """people with `names`, (norm, tokens) of name-like aliases and the display name, and `best`, the first of most tokens."""
+    like = lambda c: ~F.trim(c).rlike(r"^[+\d]") & ~c.contains("@") & c.rlike(r"\p{L}")
+    norm = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}\s'-]", " "), r"\s+", " "))
+    every = F.concat(F.filter("aliases", like), F.filter(F.array("display_name"), lambda c: c.isNotNull()))
+    norms = F.filter(F.transform(every, norm), lambda n: n != "")
+    named = F.transform(norms, lambda n: F.struct(n.alias("norm"), F.filter(F.split(n, " "), lambda t: F.length(t) >= 2).alias("tokens")))
+    p = people.withColumn("names", named)
+    most = F.array_max(F.transform("names", lambda x: F.size(x["tokens"])))
+    return p.withColumn("best", F.get(F.filter("names", lambda x: F.size(x["tokens"]) == most), F.lit(0)))
+
+
+def _alike(a: Column, b: Column) -> Column:
+    """Whether two names are one, or the tokens of one open the other's."""
+    n = F.least(F.size(a["tokens"]), F.size(b["tokens"]))
+    opens = F.slice(a["tokens"], F.lit(1), n) == F.slice(b["tokens"], F.lit(1), n)
+    return (n > 0) & ((a["norm"] == b["norm"]) | (opens & ((F.size(a["tokens"]) != F.size(b["tokens"])) | (n >= 2))))
+
+
+def _same_first(a: Column, b: Column) -> Column:
+    """Whether two names begin alike and no last names differ."""
+    first = lambda c: F.get(c["tokens"], F.lit(0))
+    rest = lambda c: F.slice(c["tokens"], F.lit(2), F.greatest(F.lit(0), F.size(c["tokens"]) - 1))
+    same = (first(a) == first(b)) & (F.length(first(a)) >= 3) & ~first(a).isin(*STOP_FIRST)
+    return F.coalesce(same & ((F.size(rest(a)) == 0) | (F.size(rest(b)) == 0) | (rest(a) == rest(b))), F.lit(False))
+
+
 def merge_pairs(people: DataFrame, least: int = 5) -> DataFrame:
-    """I-06/I-07: people(canonical_id, name, sources, msgs) that may be one: same first token, disjoint sources, no clash of last names.
+    """I-06/I-07: people(canonical_id, display_name, aliases, sources, msgs) that may be one, with disjoint sources.
 
-    Score 1.0 for equal names or one's tokens opening the other's, 0.7 for the first name alone. A first
-    name with several full names in it makes single-token matches ambiguous.
+    Score 1.0 where any of their names are one or one opens the other, 0.7 where only first names agree. A pair is
+    judged in the first bucket of a first name that both are in, buckets being in the order of who has most messages.
+    There, several full names make a pair with a single-token side ambiguous. Pairs whose best names have different
+    last names are left out.
     """
-    tokens = F.split(F.trim(F.lower("name")), r"\s+")
-    p = people.select("canonical_id", "sources", "msgs", tokens.alias("t")).withColumn("first", F.get("t", F.lit(0))).where(F.length("first") >= 3)
-    p = p.where(~F.col("first").isin(*STOP_FIRST))
-    full = p.where(F.size("t") > 1).groupBy("first").agg(F.count_distinct("t").alias("fulls"))
-    side = lambda s: p.select("first", *[F.col(c).alias(c + s) for c in ("canonical_id", "sources", "msgs", "t")])
-    j = side("_a").join(side("_b"), "first").where("canonical_id_a < canonical_id_b").where(~F.arrays_overlap("sources_a", "sources_b")).where(F.least("msgs_a", "msgs_b") >= least)
-    short, long = F.when(F.size("t_a") <= F.size("t_b"), F.col("t_a")).otherwise(F.col("t_b")), F.when(F.size("t_a") <= F.size("t_b"), F.col("t_b")).otherwise(F.col("t_a"))
-    j = j.withColumns({"s": short, "l": long}).withColumn("prefix", F.slice("l", F.lit(1), F.size("s")) == F.col("s"))
-    j = j.where(F.col("prefix")).join(full, "first", "left")
-    single = (F.size("s") == 1) & (F.size("l") > 1)
+    p = _names(people).withColumn("n_best", F.coalesce(F.size("best.tokens"), F.lit(0)))
+    firsts = p.select("canonical_id", "msgs", F.posexplode("names").alias("at", "x")).select("canonical_id", "msgs", "at", F.get("x.tokens", F.lit(0)).alias("first"))
+    firsts = firsts.where((F.length("first") >= 3) & ~F.col("first").isin(*STOP_FIRST)).groupBy("canonical_id", "msgs", "first").agg(F.min("at").alias("at"))
+    whole = F.when((F.col("n_best") >= 2) & (F.substring_index("best.norm", " ", 1) == F.col("first")), F.col("best.norm"))
+    buckets = firsts.join(p.select("canonical_id", "best", "n_best"), "canonical_id").groupBy("first").agg(F.min(F.struct(-F.col("msgs"), "canonical_id", "at")).alias("rank"), (F.count_distinct(whole) > 1).alias("several"))
+    known = firsts.where(F.col("msgs") >= least).join(buckets, "first")
+    a, b = known.select("first", "rank", "several", F.col("canonical_id").alias("a")), known.select("first", F.col("canonical_id").alias("b"))
+    pairs = a.join(b, "first").where("a < b").groupBy("a", "b").agg(F.min_by("several", "rank").alias("several"))
+    side = lambda s: p.select(*[F.col(c).alias(c + s) for c in ("canonical_id", "sources", "msgs", "names", "best", "n_best")])
+    j = pairs.join(side("_a"), F.col("a") == F.col("canonical_id_a")).join(side("_b"), F.col("b") == F.col("canonical_id_b")).where(~F.arrays_overlap("sources_a", "sources_b"))
+    last = lambda s: F.slice(F.split(F.col(f"best{s}.norm"), " "), 2, 1000)
+    j = j.where(~((F.col("n_best_a") >= 2) & (F.col("n_best_b") >= 2) & (last("_a") != last("_b"))))
+    any_pair = lambda test: F.exists("names_a", lambda x: F.exists("names_b", lambda y: test(x, y)))
+    j = j.withColumn("score", F.when(any_pair(_alike), 1.0).when(any_pair(_same_first), 0.7)).where("score is not null")
     win = F.col("msgs_a") >= F.col("msgs_b")
     pick = lambda a, b: F.when(win, F.col(a)).otherwise(F.col(b))
-    return j.select(
-        pick("canonical_id_a", "canonical_id_b").alias("winner"), pick("canonical_id_b", "canonical_id_a").alias("loser"), F.when(single, 0.7).otherwise(1.0).alias("score"),
-        (single & (F.coalesce("fulls", F.lit(0)) > 1)).alias("ambiguous"),
-    )
+    single = (F.col("n_best_a") < 2) | (F.col("n_best_b") < 2)
+    return j.select(pick("a", "b").alias("winner"), pick("b", "a").alias("loser"), "score", (F.col("several") & single).alias("ambiguous"))
 
 
 def manual_merges(rules: DataFrame, people: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ def profile(messages: DataFrame, person: str, now: int) -> DataFrame:
     days = (F.lit(now) - F.col("last_ts")) / DAY
     recency = F.when(days < 30, 1.0).when(days < 180, 0.5).otherwise(0.1)
     slow = F.when(F.col("median_ms") > 0, F.log10(F.col("median_ms") / 1000 + 1)).otherwise(0.0)
-    score = 10 * F.log10(F.col("n") + 1) + 5 * F.log10(F.col("span_days") + 1) + 0.5 * F.col("n") / F.col("span_days") + 20 * F.col("late_ratio") + 15 * F.col("reciprocity") + 10 * recency - slow
+    score = 10 * F.log10(F.col("n") + 1) + 5 * F.log10(F.col("span_days") + 1) + 0.5 * F.col("n") / F.col("active_days") + 20 * F.col("late_ratio") + 15 * F.col("reciprocity") + 10 * recency - slow
     return a.withColumn("score", _rounded(score, 1)).drop("late", "mine")
 
 
@@ -202,12 +202,18 @@ def email_summary(emails: DataFrame) -> DataFrame:
 STOP = "the a an and or of to in on at for with party night live show event you your we our me my is are be a &".split()
 
 
-def topics(events: DataFrame, name: str, key: str, least: int = 3, top: int = 50) -> DataFrame:
-    """A-25: words of event names, once for each event, with up to three sample names."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(name), F.lit(r"[a-z][a-z'-]{2,}"), F.lit(0)))
+def topics(events: DataFrame, name: str, key: str, description: str | None = None, response: str | None = None, least: int = 3, top: int = 50) -> DataFrame:
+    """A-25: words of event names and descriptions, once for each event that wasn't declined or only invited to, with the first three names by key."""
+    if response:
+        events = events.where(F.col(response).isNull() | ~F.col(response).isin("declined", "invited"))
+    text = F.concat_ws(" ", name, F.coalesce(F.col(description), F.lit(""))) if description else F.col(name)
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z][a-z'-]{2,}"), F.lit(0)))
     w = events.select(key, F.col(name).alias("_name"), F.explode(words).alias("topic")).where(~F.col("topic").isin(STOP))
-    t = w.groupBy("topic").agg(F.count("*").alias("n"), F.array_join(F.slice(F.array_sort(F.collect_set("_name")), 1, 3), "|").alias("samples"))
-    return t.where(F.col("n") >= least).orderBy(F.col("n").desc(), "topic").limit(top)
+    n = w.groupBy("topic").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.col("n").desc(), "topic").limit(top)
+    names = w.join(F.broadcast(n.select("topic")), "topic").groupBy("topic", "_name").agg(F.min(key).alias("_k"))  # at most `top` topics
+    first = names.withColumn("_r", F.row_number().over(Window.partitionBy("topic").orderBy("_k", "_name"))).where("_r <= 3")
+    samples = first.groupBy("topic").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "_name"))), lambda x: x["_name"]), "|").alias("samples"))
+    return n.join(samples, "topic")
 
 
 def facet_topics(facets: list[tuple[str, DataFrame, str, int, int]]) -> DataFrame:
@@ -249,14 +255,15 @@ def reconnect(messages: DataFrame, now: int, least: int = 100, silent: int = 60,
     return m.where((F.col("n") >= least) & (F.col("last_ts") <= now - silent * DAY)).orderBy(F.col("n").desc(), "canonical_id").limit(top)
 
 
-def closeness(identities: DataFrame, messages: DataFrame, calls: DataFrame, faces: DataFrame, gatherings: DataFrame, top: int = 80) -> DataFrame:
-    """A-35: a blend of messages, call minutes, photos, events and meet-ups."""
-    seen = gatherings.select("source", F.explode("participants").alias("canonical_id"))
+def closeness(identities: DataFrame, messages: DataFrame, calls: DataFrame, faces: DataFrame, event_photos: DataFrame, gatherings: DataFrame, self_name: str = "Demo User", top: int = 80) -> DataFrame:
+    """A-35: a blend of meaningful one-to-one messages, call minutes, photos, photo events by face, and inferred meet-ups; the owner is left out."""
+    met = gatherings.where("source = 'messages'").select("event_id", F.explode("participants").alias("canonical_id")).distinct()
+    there = event_photos.join(faces, "photo_id").select("event_id", "canonical_id").distinct()
     parts = (
-        messages.groupBy("canonical_id").agg(F.count("*").alias("msgs")), calls.groupBy("canonical_id").agg(F.sum(F.col("duration_s") / 60).alias("mins")), faces.groupBy("canonical_id").agg(F.count("*").alias("photos")),
-        seen.where("source = 'photos'").groupBy("canonical_id").agg(F.count("*").alias("events")), seen.where("source = 'messages'").groupBy("canonical_id").agg(F.count("*").alias("metups")),
+        messages.where("meaningful").groupBy("canonical_id").agg(F.count("*").alias("msgs")), calls.groupBy("canonical_id").agg((F.sum("duration_s") / 60).alias("mins")), faces.groupBy("canonical_id").agg(F.count("*").alias("photos")),
+        there.groupBy("canonical_id").agg(F.count("*").alias("events")), met.groupBy("canonical_id").agg(F.count("*").alias("metups")),
     )
-    out = identities.select("canonical_id")
+    out = identities.where(F.col("display_name") != self_name).select("canonical_id")
     for p in parts:
         out = out.join(p, "canonical_id", "left")
     l = lambda c: F.log1p(F.coalesce(F.col(c).cast("double"), F.lit(0.0)))
@@ -285,17 +292,27 @@ def cutoff(messages: DataFrame, now: int, margin: int = 2) -> DataFrame:
     return m.withColumn("preset", preset)
 
 
+def companions(gatherings: DataFrame, event_photos: DataFrame, faces: DataFrame, identities: DataFrame, self_name: str = "demo user") -> DataFrame:
+    """gatherings with `companion`: who has most faces in the event's photos (of a tie the least id), else the first participant; never the owner."""
+    owner = identities.where(F.lower("display_name") == self_name).select("canonical_id")
+    n = event_photos.join(faces.join(owner, "canonical_id", "left_anti"), "photo_id").groupBy("event_id", "canonical_id").agg(F.count("*").alias("n"))
+    face = n.groupBy("event_id").agg(F.min_by("canonical_id", F.struct(-F.col("n"), "canonical_id")).alias("face"))
+    listed = gatherings.select("event_id", F.posexplode("participants").alias("at", "canonical_id")).join(owner, "canonical_id", "left_anti")
+    first = listed.groupBy("event_id").agg(F.min_by("canonical_id", "at").alias("first"))
+    return gatherings.join(face, "event_id", "left").join(first, "event_id", "left").withColumn("companion", F.coalesce("face", "first")).drop("face", "first")
+
+
 def field_layout(gatherings: DataFrame) -> DataFrame:
-    """A-17: bearing and radius of each event from hashes of its companion and the distance from the nearest home."""
+    """A-17: bearing and radius of each event, from hashes of its companion and the distance from the nearest home."""
     from ..functions.text import haversine
 
     #: Homes.
     homes = ((-37.81, 144.96), (-33.87, 151.21), (41.88, -87.63))
-    who = F.coalesce(F.get("participants", F.lit(0)), F.col("event_id"))
     h = lambda c, k: F.pmod(rolling_hash(c), F.lit(1 << 32)) % k
     far = F.least(*[haversine(F.col("lat"), F.col("lng"), F.lit(a), F.lit(b)) for a, b in homes])
     e = F.col("event_id")
-    angle = h(who, 3600) / 3600 * 6.283185307179586 + (h(F.concat(e, F.lit("a")), 1000) / 1000 - 0.5) * 0.45
-    base = F.when(F.col("lat").isNull(), 0.45 + (h(F.concat(e, F.lit("r")), 1000) / 1000 - 0.5) * 0.18).otherwise(F.least(F.lit(1.0), 0.18 + F.log1p(far) / 9.5))
+    angle = h(F.coalesce("companion", e), 3600) / 3600 * 6.283185307179586 + (h(F.concat(e, F.lit("a")), 1000) / 1000 - 0.5) * 0.45
+    nowhere = F.col("lat").isNull() | F.col("lng").isNull()
+    base = F.when(nowhere, 0.45 + (h(F.concat(e, F.lit("r")), 1000) / 1000 - 0.5) * 0.18).otherwise(F.least(F.lit(1.0), 0.18 + F.log1p(far) / 9.5))
     radius = F.least(F.lit(1.0), F.greatest(F.lit(0.06), base + (h(F.concat(e, F.lit("j")), 1000) / 1000 - 0.5) * 0.1))
-    return gatherings.select("event_id", round_half_up(radius * F.cos(angle), 10_000).alias("x"), round_half_up(radius * F.sin(angle), 10_000).alias("y"))
+    return gatherings.select("event_id", "companion", round_half_up(radius * F.cos(angle), 10_000).alias("x"), round_half_up(radius * F.sin(angle), 10_000).alias("y"))

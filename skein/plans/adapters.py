@@ -76,10 +76,10 @@ def select(table: str, d: Dialect) -> str:
         "places": f"""SELECT 'p' || {_s('o_orderkey')} AS photo_id, -38.2e0 + (o_custkey % 80) / 1e2 AS lat, 144.4e0 + (o_custkey % 100) / 1e2 AS lng,
             'place ' || {_s('o_custkey % 40')} AS place_name, CASE WHEN o_custkey % 9 = 0 THEN NULL ELSE 'city ' || {_s('o_custkey % 12')} END AS city FROM orders WHERE o_orderkey % 3 <> 0""",
         "photo_faces": f"SELECT DISTINCT 'p' || {_s('l_orderkey')} AS photo_id, 'id-' || {_s('l_suppkey % 150')} AS canonical_id FROM lineitem",
-        "gatherings": f"""SELECT 'e' || {_s('o_orderkey')} AS event_id, {d.ms('min(o_orderdate)')} AS start_ts, {d.ms('max(l_shipdate)')} AS end_ts, min(lower(o_orderpriority)) AS place_name,
+        "gatherings": f"""SELECT 'e' || {_s('o_orderkey')} AS event_id, {d.ms('min(o_orderdate)')} AS start_ts, {d.ms('min(o_orderdate)')} + count(*) * {3 * HOUR} AS end_ts, min(lower(o_orderpriority)) AS place_name,
             {d.collected(f"'id-' || {_s('l_suppkey % 150')}")} AS participants, CAST(count(*) AS INT) AS n_photos, CAST(min(o_custkey) % 7 AS INT) AS n_messages,
             CASE WHEN min(o_orderstatus) = 'P' THEN 'messages' ELSE 'photos' END AS source, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE -38.3e0 + min(o_custkey % 500) / 1e2 END AS lat, 144.4e0 + min(o_custkey % 60) / 1e1 AS lng
-            FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 8 = 0 GROUP BY o_orderkey""",
+            FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey""",
         "calls": f"""SELECT 'c' || {_s(e)} AS call_id, {d.ms('ts')} AS ts, CAST(value AS DOUBLE) AS duration_s, CASE WHEN user_id % 2 = 0 THEN 'out' ELSE 'in' END AS direction, {e} % 5 <> 0 AS answered,
             CASE WHEN {e} % 3 = 0 THEN 'com.apple.FaceTime' ELSE 'phone' END AS provider, '+1 (555) ' || {_s('user_id % 90 + 1000')} AS address FROM events WHERE event_type = 'purchase'""",
         "chat": "SELECT 'c' || CAST(conv_id AS STRING) AS thread_id, turn, role = 'user' AS from_me, text AS body FROM conversations",

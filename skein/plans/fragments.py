@@ -15,9 +15,9 @@ FRAGMENTS = {
     "membership": """SELECT thread_id, participant_name, canonical_id FROM (
         SELECT n.thread_id, n.participant_name, a.canonical_id, row_number() OVER (PARTITION BY n.thread_id, n.participant_name ORDER BY coalesce(c.n, 0) DESC, a.canonical_id ASC NULLS LAST) AS r
         FROM (SELECT DISTINCT thread_id, unnest(participants) AS participant_name FROM threads WHERE is_group) n LEFT JOIN akeys a ON a.k = n.participant_name LEFT JOIN cnt c USING (canonical_id)) WHERE r = 1""",
-    "forms": r"""SELECT DISTINCT canonical_id, f FROM (SELECT canonical_id, unnest([lower(split_part(cl, ' ', 1)), lower(cl)]) AS f FROM (
-        SELECT canonical_id, trim(regexp_replace(regexp_replace(alias, '[^\p{L}\p{N}\s''.-]', '', 'g'), '\s+', ' ', 'g')) AS cl FROM (SELECT canonical_id, unnest(aliases) AS alias FROM identities)
-        WHERE NOT (contains(alias, '@') OR (len(regexp_replace(alias, '\D', '', 'g')) >= 7 AND NOT regexp_matches(alias, '[A-Za-z]')))) WHERE len(cl) >= 3) WHERE len(f) BETWEEN 3 AND 40""",
+    "forms": r"""SELECT DISTINCT canonical_id, f FROM (SELECT canonical_id, unnest([CASE WHEN len(split_part(cl, ' ', 1)) >= 3 AND regexp_matches(split_part(cl, ' ', 1), '\p{L}') THEN lower(split_part(cl, ' ', 1)) END, CASE WHEN len(cl) <= 40 THEN lower(cl) END]) AS f FROM (
+        SELECT canonical_id, trim(regexp_replace(trim(alias), '[^\p{L}\p{N}\s''.-]', ' ', 'g')) AS cl FROM (SELECT canonical_id, unnest(list_append(aliases, display_name)) AS alias FROM identities)
+        WHERE NOT contains(alias, '@') AND NOT regexp_matches(trim(alias), '^[+\d]') AND len(trim(alias)) >= 3) WHERE len(cl) >= 3) WHERE f IS NOT NULL""",
     "tokens": r"SELECT DISTINCT id, unnest(regexp_split_to_array(lower(body), '[^a-z0-9_]+')) AS w FROM msgs WHERE meaningful",
     "mention": """SELECT f.canonical_id AS mentioned_canonical_id, f.f AS mentioned_form, m.thread_id, m.id AS message_id, m.ts, m.from_me FROM forms f JOIN tokens t ON t.w = regexp_extract(f.f, '[a-z0-9_]+') JOIN msgs m ON m.id = t.id
         WHERE (f.f = t.w OR (contains(lower(m.body), f.f) AND regexp_matches(lower(m.body), '(^|[^a-z0-9_])' || regexp_escape(f.f) || '([^a-z0-9_]|$)'))) AND NOT EXISTS (SELECT 1 FROM thread_identity ti WHERE ti.thread_id = m.thread_id AND ti.canonical_id = f.canonical_id)""",

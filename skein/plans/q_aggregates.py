@@ -101,10 +101,10 @@ def _(a):
     return A.shares(a.photo_faces.groupBy("canonical_id").agg(F.count("*").alias("c")), "c", "canonical_id", 5)
 
 
-@query("q_q22_month_spine", """WITH m AS (SELECT source, date_trunc('month', make_timestamp(ts * 1000))::DATE AS mo, count(*) AS n FROM photos WHERE n % 37 = 0 GROUP BY ALL), s AS (SELECT source, unnest(generate_series(min(mo), max(mo), INTERVAL 1 MONTH))::DATE AS mo FROM m GROUP BY source)
+@query("q_q22_month_spine", """WITH m AS (SELECT source, date_trunc('month', make_timestamp(ts * 1000))::DATE AS mo, count(*) AS n FROM photos GROUP BY ALL), s AS (SELECT source, unnest(generate_series(min(mo), max(mo), INTERVAL 1 MONTH))::DATE AS mo FROM m GROUP BY source)
     SELECT s.source, strftime(s.mo, '%Y-%m') AS month, coalesce(m.n, 0) AS n FROM s LEFT JOIN m USING (source, mo)""", "photos")
 def _(a):
-    return A.months(a.photos.where("n % 37 = 0"), ["source"], "ts", F.count("*"))
+    return A.months(a.photos, ["source"], "ts", F.count("*"))
 
 
 @query("q_x_lag_running", "SELECT id, ts - lag(ts) OVER w AS gap, count(*) OVER (PARTITION BY thread_id ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS nth FROM messages WINDOW w AS (PARTITION BY thread_id ORDER BY ts, id)", "messages")

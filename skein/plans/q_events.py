@@ -27,11 +27,11 @@ def _(a):
     return H.participants(a.ep, a.photo_faces)
 
 
-_NEAR = "SELECT 'd' || CAST(ts // 86400000 AS STRING) AS event_id, min(ts) AS start_ts, max(ts) AS end_ts, list_sort(list(DISTINCT canonical_id)) AS participants FROM pm WHERE source = 'gmail' GROUP BY 1"
+_NEAR = "SELECT 'd' || CAST(ts // 86400000 AS STRING) AS event_id, min(ts) AS start_ts, max(ts) AS end_ts, list_sort(list(DISTINCT canonical_id)) AS participants FROM pm GROUP BY 1"
 
 
 def _near(a):
-    return a.pm.where("source = 'gmail'").groupBy(F.concat(F.lit("d"), F.floor(F.col("ts") / DAY).cast("string")).alias("event_id")).agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.array_sort(F.collect_set("canonical_id")).alias("participants"))
+    return a.pm.groupBy(F.concat(F.lit("d"), F.floor(F.col("ts") / DAY).cast("string")).alias("event_id")).agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.array_sort(F.collect_set("canonical_id")).alias("participants"))
 
 
 @query("q_e03_event_messages", f"""WITH g AS ({_NEAR}), p AS (SELECT DISTINCT event_id, start_ts, end_ts, thread_id FROM (SELECT event_id, start_ts, end_ts, unnest(participants) AS canonical_id FROM g) JOIN thread_identity USING (canonical_id))
@@ -71,10 +71,10 @@ def _(a):
     return H.confirm_window(a.msgs.where("meaningful"), 6, 2)
 
 
-@query("q_e13_uncovered", f"SELECT a.event_id FROM gatherings a WHERE a.source = 'messages' AND NOT EXISTS (SELECT 1 FROM gatherings b WHERE b.source = 'photos' AND b.n_photos = 4 AND b.start_ts <= a.end_ts + {6 * _HOUR} AND b.end_ts >= a.start_ts - {6 * _HOUR} AND (list_has_any(a.participants, b.participants) OR len(b.participants) = 0))", "gatherings")
+@query("q_e13_uncovered", f"SELECT a.event_id FROM gatherings a WHERE a.source = 'messages' AND NOT EXISTS (SELECT 1 FROM gatherings b WHERE b.source = 'photos' AND b.start_ts <= a.end_ts + {6 * _HOUR} AND b.end_ts >= a.start_ts - {6 * _HOUR} AND (list_has_any(a.participants, b.participants) OR len(b.participants) = 0))", "gatherings")
 def _(a):
     g = a.gatherings
-    return H.uncovered(g.where("source = 'messages'"), g.where("source = 'photos' AND n_photos = 4")).select("event_id")
+    return H.uncovered(g.where("source = 'messages'"), g.where("source = 'photos'")).select("event_id")
 
 
 @query("q_e14_verdict_cache", """WITH b AS (SELECT 0 AS p, event_id AS line, 'k' || CAST(user_id AS STRING) AS key, CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_type END AS verdict FROM events WHERE event_id % 2 = 0 UNION ALL SELECT 1, event_id, 'k' || CAST(user_id AS STRING), event_type FROM events WHERE event_id % 2 = 1)

@@ -32,10 +32,12 @@ def _(a):
     return I.resolve_greedy(_threads(a))
 
 
-@query("q_i03_display_name", "SELECT n AS person, display_name FROM identities", "identities")
+@query("q_i03_display_name", "SELECT n AS person, CASE WHEN n % 3 = 0 THEN lower(display_name) WHEN n % 3 = 1 THEN display_name ELSE '+1555' || CAST(n AS STRING) END AS display_name FROM identities", "identities")
 def _(a):
-    e = a.identities.select(F.col("n").alias("person"), F.posexplode(F.reverse("aliases")).alias("ordinal", "alias"))
-    return I.display_name(e)
+    # a lower-case full name before a capitalised single one; a capitalised full name before both; a number where there is nothing else
+    first, phone, n = F.substring_index("display_name", " ", 1), F.concat(F.lit("+1555"), F.col("n").cast("string")), F.col("n") % 3
+    tried = F.when(n == 0, F.array(phone, first, F.lower("display_name"))).when(n == 1, F.array(F.get("aliases", F.lit(1)), first, F.lower("display_name"), "display_name")).otherwise(F.array(phone, F.get("aliases", F.lit(1))))
+    return I.display_name(a.identities.select(F.col("n").alias("person"), F.posexplode(tried).alias("ordinal", "alias")))
 
 
 @query("q_i04_attach", f"SELECT 't' || n AS thread_id, (SELECT min(k.n) FROM ({_ALIASES}) k WHERE k.key = m.key) AS person FROM ({_ALIASES}) m WHERE x LIKE '+%'", "identities")
@@ -50,20 +52,32 @@ def _(a):
     return I.person_messages(a.messages, a.thread_identity, "id-7").select("id", "ts")
 
 
-_PEOPLE = """SELECT i.canonical_id, CASE WHEN i.n % 3 = 0 THEN lower(split_part(display_name, ' ', 1)) ELSE lower(display_name) END AS name, i.sources[1] AS s, coalesce(c.n, 0) AS msgs FROM identities i LEFT JOIN cnt c USING (canonical_id)"""
+_PEOPLE = """SELECT i.canonical_id, CASE WHEN i.n % 3 = 0 THEN lower(split_part(display_name, ' ', 1)) ELSE lower(display_name) END AS name, i.sources[1] AS s, coalesce(c.n, 0) AS msgs, aliases, sources, i.n FROM identities i LEFT JOIN cnt c USING (canonical_id)"""
 
 
 def _people(a):
     n = a.pm.groupBy("canonical_id").agg(F.count("*").alias("msgs"))
     name = F.when(F.col("n") % 3 == 0, F.lower(F.substring_index("display_name", " ", 1))).otherwise(F.lower("display_name"))
-    return a.identities.join(n, "canonical_id", "left").select("canonical_id", name.alias("name"), "sources", F.coalesce("msgs", F.lit(0)).alias("msgs"))
+    return a.identities.join(n, "canonical_id", "left").select("canonical_id", name.alias("name"), "sources", F.coalesce("msgs", F.lit(0)).alias("msgs"), "aliases", "n")
 
 
-@query("q_i06_i07_merge_pairs", f"""WITH p AS (SELECT *, string_split(name, ' ') AS t FROM ({_PEOPLE})), f AS (SELECT t[1] AS first, count(DISTINCT t) AS fulls FROM p WHERE len(t) > 1 GROUP BY 1),
-    j AS (SELECT a.canonical_id AS ai, b.canonical_id AS bi, a.msgs AS am, b.msgs AS bm, a.t[1] AS first, CASE WHEN len(a.t) <= len(b.t) THEN a.t ELSE b.t END AS s, CASE WHEN len(a.t) <= len(b.t) THEN b.t ELSE a.t END AS l FROM p a JOIN p b ON a.t[1] = b.t[1] AND a.canonical_id < b.canonical_id AND a.s <> b.s WHERE least(a.msgs, b.msgs) >= 5 AND len(a.t[1]) >= 3)
-    SELECT CASE WHEN am >= bm THEN ai ELSE bi END AS winner, CASE WHEN am >= bm THEN bi ELSE ai END AS loser, CASE WHEN len(s) = 1 AND len(l) > 1 THEN 0.7e0 ELSE 1e0 END AS score, (len(s) = 1 AND len(l) > 1 AND coalesce(fulls, 0) > 1) AS ambiguous FROM j LEFT JOIN f USING (first) WHERE l[1:len(s)] = s""", "identities cnt")
+_STOP_FIRST = "'a', 'an', 'the', 'me', 'you', 'us', 'them', 'i', 'mom', 'dad', 'mum', 'son', 'wife', 'mr', 'mrs', 'dr', 'guy'"
+
+
+@query("q_i06_i07_merge_pairs", rf"""WITH p AS (SELECT canonical_id, msgs, sources, name AS display_name, CASE WHEN n % 7 = 0 THEN [aliases[2], aliases[3], split_part(name, ' ', 1) || ' ☆ Zane'] ELSE aliases[2:3] END AS al FROM ({_PEOPLE})),
+    w AS (SELECT canonical_id, o, nm, list_filter(string_split(nm, ' '), lambda t: len(t) >= 2) AS tk FROM (SELECT canonical_id, o, trim(regexp_replace(regexp_replace(lower(raw), '[^\p{{L}}\p{{N}}\s''-]', ' ', 'g'), '\s+', ' ', 'g')) AS nm FROM (SELECT canonical_id, unnest(al) AS raw, generate_subscripts(al, 1) AS o FROM p) WHERE NOT regexp_matches(raw, '^[+\d]') AND NOT contains(raw, '@') AND regexp_matches(raw, '\p{{L}}')
+        UNION ALL SELECT canonical_id, 100, display_name FROM p)),
+    best AS (SELECT canonical_id, arg_min(nm, {{'a': -len(tk), 'b': o}}) AS bn, max(len(tk)) AS bt FROM w GROUP BY 1), k AS (SELECT canonical_id, tk[1] AS first, min(o) AS o FROM w WHERE len(tk[1]) >= 3 AND tk[1] NOT IN ({_STOP_FIRST}) GROUP BY 1, 2),
+    g AS (SELECT first, min({{'m': -msgs, 'c': canonical_id, 'o': o}}) AS rank, count(DISTINCT CASE WHEN bt >= 2 AND split_part(bn, ' ', 1) = first THEN bn END) > 1 AS several FROM k JOIN best USING (canonical_id) JOIN p USING (canonical_id) GROUP BY 1),
+    pr AS (SELECT a.canonical_id AS a, b.canonical_id AS b, arg_min(several, rank) AS several FROM k a JOIN k b USING (first) JOIN g USING (first) WHERE a.canonical_id < b.canonical_id GROUP BY 1, 2),
+    sc AS (SELECT a, b, max(CASE WHEN x.nm = y.nm OR (x.tk[1:least(len(x.tk), len(y.tk))] = y.tk[1:least(len(x.tk), len(y.tk))] AND (len(x.tk) <> len(y.tk) OR len(x.tk) >= 2)) THEN 1.0::DOUBLE WHEN x.tk[1] = y.tk[1] AND len(x.tk[1]) >= 3 AND x.tk[1] NOT IN ({_STOP_FIRST}) AND (len(x.tk) = 1 OR len(y.tk) = 1 OR x.tk[2:] = y.tk[2:]) THEN 0.7::DOUBLE END) AS score
+        FROM pr JOIN w x ON x.canonical_id = a JOIN w y ON y.canonical_id = b WHERE len(x.tk) > 0 AND len(y.tk) > 0 GROUP BY 1, 2)
+    SELECT CASE WHEN p.msgs >= q.msgs THEN a ELSE b END AS winner, CASE WHEN p.msgs >= q.msgs THEN b ELSE a END AS loser, score, several AND (m.bt < 2 OR n.bt < 2) AS ambiguous FROM pr JOIN sc USING (a, b) JOIN p ON p.canonical_id = a JOIN p q ON q.canonical_id = b JOIN best m ON m.canonical_id = a JOIN best n ON n.canonical_id = b
+    WHERE score IS NOT NULL AND p.msgs >= 5 AND q.msgs >= 5 AND NOT list_has_any(p.sources, q.sources) AND NOT (m.bt >= 2 AND n.bt >= 2 AND string_split(m.bn, ' ')[2:] <> string_split(n.bn, ' ')[2:])""", "identities cnt")
 def _(a):
-    return I.merge_pairs(_people(a))
+    p, starred = _people(a), F.concat(F.substring_index("name", " ", 1), F.lit(" ☆ Zane"))
+    own = F.slice("aliases", 2, 2)
+    return I.merge_pairs(p.select("canonical_id", F.col("name").alias("display_name"), F.when(F.col("n") % 7 == 0, F.concat(own, F.array(starred))).otherwise(own).alias("aliases"), "sources", "msgs"))
 
 
 @query("q_i08_manual_merges", "SELECT w.c AS winner, l.c AS loser, 999 AS score FROM (VALUES ('ann abel', 'bob abel'), ('nobody', 'eve abel')) r(w, l) JOIN (SELECT lower(k) AS k, arg_min(canonical_id, n) AS c FROM akeys JOIN identities USING (canonical_id) GROUP BY 1) w ON w.k = r.w JOIN (SELECT lower(k) AS k, arg_min(canonical_id, n) AS c FROM akeys JOIN identities USING (canonical_id) GROUP BY 1) l ON l.k = r.l", "identities akeys")
@@ -98,7 +112,7 @@ def _(a):
 
 @query("q_i12_case_variants", f"SELECT lower(trim(name)) AS k, count(*) AS n, arg_max(canonical_id, {{'m': msgs, 'c': canonical_id}}) AS winner, max(name) AS best_name FROM ({_PEOPLE}) GROUP BY 1 HAVING count(*) > 1", "identities cnt")
 def _(a):
-    return I.case_variants(_people(a))
+    return I.case_variants(_people(a).drop("aliases", "n"))
 
 
 @query("q_i13_duplicates", """WITH p AS (SELECT DISTINCT canonical_id, kind, key FROM (SELECT canonical_id, 'phone' AS kind, aliases[3] AS key FROM identities UNION ALL SELECT canonical_id, 'email', aliases[2] FROM identities UNION ALL SELECT canonical_id, 'token', split_part(display_name, ' ', 2) FROM identities) WHERE canonical_id <> 'id-0'),

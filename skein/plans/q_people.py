@@ -16,7 +16,7 @@ _ROUND = "floor(({}) * {} + 0.5) / {}"
 @query("q_a01_a02_profile", f"""WITH w AS (SELECT *, ts - lag(ts) OVER o AS g, lag(from_me) OVER o AS lf FROM pm WINDOW o AS (PARTITION BY canonical_id ORDER BY ts, id)), a AS (SELECT canonical_id, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, count(*) FILTER (WHERE from_me) AS mine,
     count(*) FILTER (WHERE hour({_TS}) IN (23, 0, 1, 2, 3, 4)) AS late, count(DISTINCT ts // {DAY}) AS active_days, coalesce(median(CASE WHEN lf <> from_me AND g > 0 AND g < {DAY} THEN g END), 0.0) AS median_ms FROM w GROUP BY 1),
     b AS (SELECT *, CAST(greatest(1, floor((last_ts - first_ts) / {DAY} + 0.5)) AS BIGINT) AS span_days, late / n AS late_ratio, 1 - abs(2 * mine - n) / n AS reciprocity FROM a)
-    SELECT canonical_id, n, first_ts, last_ts, active_days, median_ms, span_days, late_ratio, reciprocity, floor((10 * log10(n + 1) + 5 * log10(span_days + 1) + 0.5 * n / span_days + 20 * late_ratio + 15 * reciprocity + 10 * CASE WHEN ({LATER} - last_ts) / {DAY} < 30 THEN 1.0 WHEN ({LATER} - last_ts) / {DAY} < 180 THEN 0.5 ELSE 0.1 END
+    SELECT canonical_id, n, first_ts, last_ts, active_days, median_ms, span_days, late_ratio, reciprocity, floor((10 * log10(n + 1) + 5 * log10(span_days + 1) + 0.5 * n / active_days + 20 * late_ratio + 15 * reciprocity + 10 * CASE WHEN ({LATER} - last_ts) / {DAY} < 30 THEN 1.0 WHEN ({LATER} - last_ts) / {DAY} < 180 THEN 0.5 ELSE 0.1 END
     - CASE WHEN median_ms > 0 THEN log10(median_ms / 1000 + 1) ELSE 0 END) * 10 + 0.5) / 10 AS score FROM b ORDER BY score DESC, canonical_id LIMIT 100""", "pm")
 def _(a):
     return P.profile(a.pm, "canonical_id", LATER).orderBy(F.col("score").desc(), "canonical_id").limit(100)
@@ -104,9 +104,18 @@ def _(a):
     return P.atlas(a.gatherings)
 
 
-@query("q_a17_field_layout")
+_H = "(list_reduce(list_prepend(0::BIGINT, list_transform(string_split({}, ''), lambda c: ord(c)::BIGINT)), lambda h, c: (h * 31 + c) & 4294967295))"
+_KM = "(2 * 6371 * asin(least(1.0, sqrt(power(sin(radians({0} - lat) / 2), 2) + cos(radians(lat)) * cos(radians({0})) * power(sin(radians({1} - lng) / 2), 2)))))"
+
+
+@query("q_a17_field_layout", f"""WITH n AS (SELECT event_id, canonical_id, count(*) AS c FROM ep JOIN photo_faces USING (photo_id) WHERE canonical_id <> 'id-3' GROUP BY 1, 2), f AS (SELECT event_id, arg_min(canonical_id, {{'n': -c, 'i': canonical_id}}) AS face FROM n GROUP BY 1),
+    g AS (SELECT g.event_id, lat, lng, coalesce(face, list_filter(participants, lambda p: p <> 'id-3')[1]) AS companion FROM gatherings g LEFT JOIN f USING (event_id)),
+    r AS (SELECT event_id, companion, {_H.format("coalesce(companion, event_id)")} % 3600 / 3600 * 6.283185307179586::DOUBLE + ({_H.format("event_id || 'a'")} % 1000 / 1000 - 0.5) * 0.45::DOUBLE AS angle,
+        CASE WHEN lat IS NULL THEN 0.45::DOUBLE + ({_H.format("event_id || 'r'")} % 1000 / 1000 - 0.5) * 0.18::DOUBLE ELSE least(1.0, 0.18::DOUBLE + ln(1 + least({_KM.format(-37.81, 144.96)}, {_KM.format(-33.87, 151.21)}, {_KM.format(41.88, -87.63)})) / 9.5::DOUBLE) END + ({_H.format("event_id || 'j'")} % 1000 / 1000 - 0.5) * 0.1::DOUBLE AS base FROM g)
+    SELECT event_id, companion, floor(least(1.0, greatest(0.06, base)) * cos(angle) * 10000 + 0.5) / 10000 AS x, floor(least(1.0, greatest(0.06, base)) * sin(angle) * 10000 + 0.5) / 10000 AS y FROM r""", "gatherings ep photo_faces")
 def _(a):
-    return P.field_layout(a.gatherings)
+    people = a.identities.select("canonical_id", F.when(F.col("canonical_id") == "id-3", "Demo User").otherwise(F.col("display_name")).alias("display_name"))
+    return P.field_layout(P.companions(a.gatherings, a.ep, a.photo_faces, people))
 
 
 @query("q_a18_person_series", f"""WITH y AS (SELECT canonical_id, year, sum(e) AS events, sum(m) AS messages FROM (SELECT canonical_id, y AS year, 1 AS e, 0 AS m FROM seen UNION ALL SELECT canonical_id, year({_TS}), 0, 1 FROM pm) GROUP BY 1, 2), b AS (SELECT min(year) AS a, max(year) AS z FROM y),
@@ -160,9 +169,11 @@ def _(a):
 _STOPS = ", ".join(f"'{w}'" for w in P.STOP)
 
 
-@query("q_a25_topics", f"""WITH w AS (SELECT p_partkey, p_name, unnest(list_distinct(regexp_extract_all(lower(p_name), '[a-z][a-z''-]{{2,}}'))) AS topic FROM part) SELECT topic, count(*) AS n, array_to_string(list_sort(list(DISTINCT p_name))[1:3], '|') AS samples FROM w WHERE topic NOT IN ({_STOPS}) GROUP BY 1 HAVING count(*) >= 3 ORDER BY 2 DESC, 1 LIMIT 50""")
+@query("q_a25_topics", f"""WITH w AS (SELECT p_partkey, p_name, unnest(list_distinct(regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z][a-z''-]{{2,}}'))) AS topic FROM part WHERE p_size % 4 NOT IN (1, 2)), n AS (SELECT topic, count(*) AS n FROM w WHERE topic NOT IN ({_STOPS}) GROUP BY 1 HAVING count(*) >= 3 ORDER BY 2 DESC, 1 LIMIT 50),
+    s AS (SELECT topic, p_name, row_number() OVER (PARTITION BY topic ORDER BY min(p_partkey)) AS r FROM w GROUP BY 1, 2) SELECT n.topic, n.n, string_agg(p_name, '|' ORDER BY r) AS samples FROM n JOIN s USING (topic) WHERE r <= 3 GROUP BY 1, 2""")
 def _(a):
-    return P.topics(a.table("part"), "p_name", "p_partkey")
+    answer = F.element_at(F.array(F.lit("joined"), F.lit("declined"), F.lit("invited"), F.lit(None)), F.col("p_size") % 4 + 1)
+    return P.topics(a.table("part").withColumn("response", answer), "p_name", "p_partkey", "p_type", "response")
 
 
 @query("q_a26_a27_facet_topics", """WITH f AS (SELECT * FROM (SELECT 'brand' AS facet, p_brand AS topic, count(*) AS n FROM part GROUP BY 2 HAVING count(*) >= 5 ORDER BY 3 DESC, 2 LIMIT 10) UNION ALL SELECT * FROM (SELECT 'type' AS facet, p_type AS topic, count(*) AS n FROM part GROUP BY 2 HAVING count(*) >= 3 ORDER BY 3 DESC, 2 LIMIT 5))
@@ -208,12 +219,13 @@ def _(a):
     return P.reconnect(a.pm, LATER, least=20)
 
 
-@query("q_a35_closeness", """SELECT i.canonical_id, round(ln(1 + coalesce(m.n, 0)) + 2.5 * ln(1 + coalesce(c.n, 0)) + 2 * ln(1 + coalesce(f.n, 0)) + 2.5 * ln(1 + coalesce(e.n, 0)) + 1.5 * ln(1 + coalesce(u.n, 0)), 6) AS closeness FROM identities i LEFT JOIN cnt m USING (canonical_id)
-    LEFT JOIN (SELECT 'id-' || CAST(o.x AS STRING) AS canonical_id, sum(duration_s / 60) AS n FROM (SELECT CAST(substr(call_id, 2) AS BIGINT) % 40 AS x, duration_s FROM calls) o GROUP BY 1) c USING (canonical_id) LEFT JOIN (SELECT canonical_id, count(*) AS n FROM photo_faces GROUP BY 1) f USING (canonical_id)
-    LEFT JOIN (SELECT canonical_id, count(*) AS n FROM seen WHERE source = 'photos' GROUP BY 1) e USING (canonical_id) LEFT JOIN (SELECT canonical_id, count(*) AS n FROM seen WHERE source = 'messages' GROUP BY 1) u USING (canonical_id) ORDER BY 2 DESC, 1 LIMIT 80""", "identities cnt calls photo_faces seen")
+@query("q_a35_closeness", """SELECT i.canonical_id, round(ln(1 + coalesce(m.n, 0)) + 2.5 * ln(1 + coalesce(c.n, 0)) + 2 * ln(1 + coalesce(f.n, 0)) + 2.5 * ln(1 + coalesce(e.n, 0)) + 1.5 * ln(1 + coalesce(u.n, 0)), 6) AS closeness FROM identities i LEFT JOIN (SELECT canonical_id, count(*) AS n FROM pm WHERE meaningful GROUP BY 1) m USING (canonical_id)
+    LEFT JOIN (SELECT 'id-' || CAST(o.x AS STRING) AS canonical_id, sum(duration_s) / 60 AS n FROM (SELECT CAST(substr(call_id, 2) AS BIGINT) % 40 AS x, duration_s FROM calls) o GROUP BY 1) c USING (canonical_id) LEFT JOIN (SELECT canonical_id, count(*) AS n FROM photo_faces GROUP BY 1) f USING (canonical_id)
+    LEFT JOIN (SELECT canonical_id, count(DISTINCT event_id) AS n FROM ep JOIN photo_faces USING (photo_id) GROUP BY 1) e USING (canonical_id) LEFT JOIN (SELECT canonical_id, count(DISTINCT event_id) AS n FROM seen WHERE source = 'messages' GROUP BY 1) u USING (canonical_id) WHERE i.canonical_id <> 'id-3' ORDER BY 2 DESC, 1 LIMIT 80""", "identities pm calls photo_faces seen ep")
 def _(a):
     calls = a.calls.selectExpr("'id-' || (CAST(substr(call_id, 2) AS BIGINT) % 40) AS canonical_id", "duration_s")
-    return P.closeness(a.identities, a.pm, calls, a.photo_faces, a.gatherings)
+    people = a.identities.withColumn("display_name", F.when(F.col("canonical_id") == "id-3", "Demo User").otherwise(F.col("display_name")))
+    return P.closeness(people, a.pm, calls, a.photo_faces, a.ep, a.gatherings)
 
 
 @query("q_a36_freshness", f"""SELECT source, max(ts) AS newest, CASE source WHEN 'imessage' THEN 7 WHEN 'whatsapp' THEN 14 WHEN 'gmail' THEN 60 WHEN 'instagram' THEN 60 WHEN 'messenger' THEN 90 ELSE 30 END AS threshold, ({NOW} - max(ts)) / {DAY} > CASE source WHEN 'imessage' THEN 7 WHEN 'whatsapp' THEN 14 WHEN 'gmail' THEN 60 WHEN 'instagram' THEN 60 WHEN 'messenger' THEN 90 ELSE 30 END AS stale FROM messages GROUP BY 1""", "messages")
@@ -226,11 +238,11 @@ def _(a):
     return P.cutoff(a.messages, NOW)
 
 
-@query("q_a38_self_bundle", "SELECT p_partkey, p_name FROM (SELECT *, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS r, count(*) OVER () AS n FROM part WHERE p_size < 5) WHERE (r - 1) = 17 % n OR r <= 3")
+@query("q_a38_self_bundle", "SELECT p_partkey, p_name FROM (SELECT *, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS r, count(*) OVER () AS n FROM part) WHERE (r - 1) = 17 % n OR r <= 3")
 def _(a):
     from ..operators.quotes import daily_pick
 
-    return daily_pick(a.table("part").where("p_size < 5"), [F.col("p_retailprice").desc(), F.col("p_partkey")], 17, 3).select("p_partkey", "p_name")
+    return daily_pick(a.table("part"), [F.col("p_retailprice").desc(), F.col("p_partkey")], 17, 3).select("p_partkey", "p_name")
 
 
 @query("q_a40_name_dictionary", "SELECT display_name AS name, canonical_id FROM identities UNION ALL SELECT split_part(display_name, ' ', 1), min(canonical_id) FROM identities WHERE len(split_part(display_name, ' ', 1)) >= 4 GROUP BY 1", "identities")

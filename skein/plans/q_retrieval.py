@@ -121,9 +121,9 @@ def _(a):
     return S.append_new(a.photos.where("n % 3 = 0"), a.photos.where("n % 2 = 0"), ["id"]).select("id")
 
 
-@query("q_s29_numbered_lines", "SELECT doc_id, generate_subscripts(x, 1) AS line, unnest(x) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE lang = 'de')")
+@query("q_s29_numbered_lines", "SELECT doc_id, generate_subscripts(x, 1) AS line, unnest(x) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)")
 def _(a):
-    d = a.table("documents").where("lang = 'de'")
+    d = a.table("documents")
     return d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t")).select("doc_id", (F.col("line") + 1).cast("long").alias("line"), "t")
 
 

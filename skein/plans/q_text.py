@@ -121,7 +121,14 @@ def _(a):
 
 @query("q_f28_f29_name_forms", "SELECT canonical_id, f AS form FROM forms", "forms")
 def _(a):
-    return a.identities.select("canonical_id", F.explode("aliases").alias("x")).select("canonical_id", F.explode(T.name_forms(F.col("x"))).alias("form")).distinct()
+    return a.identities.select("canonical_id", F.explode(F.array_union("aliases", F.array("display_name"))).alias("x")).select("canonical_id", F.explode(T.name_forms(F.col("x"))).alias("form")).distinct()
+
+
+@query("q_f17_iso_bounds", "SELECT id, CASE WHEN n % 3 = 0 THEN epoch_ms(make_timestamp(ts * 1000)::DATE::TIMESTAMP) WHEN n % 3 = 1 THEN ts ELSE ts // 1000 * 1000 - 36000000 END AS bound FROM photos", "photos")
+def _(a):
+    at = F.timestamp_millis("ts")
+    text = F.when(F.col("n") % 3 == 0, F.date_format(at, "yyyy-MM-dd")).when(F.col("n") % 3 == 1, F.col("ts").cast("string")).otherwise(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'+10:00'"))
+    return a.photos.select("id", T.iso_ms(text).alias("bound"))
 
 
 @query("q_f30_alphabetic_forms", r"SELECT DISTINCT canonical_id, unnest(list_distinct([display_name, split_part(display_name, ' ', 1)])) AS form FROM identities WHERE regexp_matches(display_name, '^\p{L}[\p{L}'' -]+$') AND display_name <> lower(display_name)", "identities")
@@ -184,27 +191,27 @@ def _(a):
     return J.by_any_alias(a.identities, a.messages.select("sender_name").distinct(), "sender_name").select("sender_name", "canonical_id")
 
 
-_A, _B = "SELECT * FROM gatherings WHERE source = 'messages'", "SELECT * FROM gatherings WHERE source = 'photos' AND n_photos = 4"
+_A, _B = "SELECT * FROM gatherings WHERE source = 'messages'", "SELECT * FROM gatherings WHERE source = 'photos'"
 
 
 @query("q_j10_interval_overlap", f"SELECT a.event_id AS id, b.event_id AS rid FROM ({_A}) a JOIN ({_B}) b ON b.start_ts <= a.end_ts + {DAY} AND b.end_ts >= a.start_ts - {DAY} AND list_has_any(a.participants, b.participants)", "gatherings")
 def _(a):
     g = a.gatherings
     left = g.where("source = 'messages'").selectExpr("event_id AS id", "start_ts AS lo", "end_ts AS hi", "participants AS p")
-    right = g.where("source = 'photos' AND n_photos = 4").selectExpr("event_id AS rid", "start_ts AS rlo", "end_ts AS rhi", "participants AS rp")
-    return J.overlapping(left, right, DAY, 180 * DAY, F.arrays_overlap("p", "rp")).select("id", "rid")
+    right = g.where("source = 'photos'").selectExpr("event_id AS rid", "start_ts AS rlo", "end_ts AS rhi", "participants AS rp")
+    return J.overlapping(left, right, DAY, 30 * DAY, F.arrays_overlap("p", "rp")).select("id", "rid")
 
 
-@query("q_j11_point_in_interval", f"SELECT p.id, g.event_id FROM photos p JOIN (SELECT * FROM gatherings WHERE n_photos = 7) g ON p.ts BETWEEN g.start_ts - {DAY} AND g.start_ts + {2 * DAY}", "photos gatherings")
+@query("q_j11_point_in_interval", f"SELECT p.id, g.event_id FROM photos p JOIN gatherings g ON p.ts BETWEEN g.start_ts - {DAY} AND g.start_ts + {2 * DAY}", "photos gatherings")
 def _(a):
-    g = a.gatherings.where("n_photos = 7").select("event_id", "start_ts", (F.col("start_ts") + DAY).alias("stop_ts"))
+    g = a.gatherings.select("event_id", "start_ts", (F.col("start_ts") + DAY).alias("stop_ts"))
     return J.within(a.photos, "ts", g, "start_ts", "stop_ts", DAY).select("id", "event_id")
 
 
-@query("q_j12_e06_nearest", f"""WITH n AS (SELECT c.call_id AS k, s.h, greatest(0, s.lo - c.ts, c.ts - s.hi) AS gap FROM calls c JOIN (SELECT ts // {DAY} AS h, min(ts) AS lo, min(ts) + 3600000 AS hi FROM messages WHERE source = 'gmail' GROUP BY 1) s ON c.ts BETWEEN s.lo - 7200000 AND s.hi + 7200000),
+@query("q_j12_e06_nearest", f"""WITH n AS (SELECT c.call_id AS k, s.h, greatest(0, s.lo - c.ts, c.ts - s.hi) AS gap FROM calls c JOIN (SELECT ts // {DAY} AS h, min(ts) AS lo, min(ts) + 3600000 AS hi FROM messages GROUP BY 1) s ON c.ts BETWEEN s.lo - 7200000 AND s.hi + 7200000),
     one AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY gap, h) AS r FROM n), two AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY gap, k) AS q FROM one WHERE r = 1) SELECT k AS call_id, h, CAST(gap AS BIGINT) AS gap FROM two WHERE q = 1""", "calls messages")
 def _(a):
-    s = a.messages.where("source = 'gmail'").groupBy(F.floor(F.col("ts") / DAY).alias("h")).agg(F.min("ts").alias("lo")).withColumn("hi", F.col("lo") + 3_600_000)
+    s = a.messages.groupBy(F.floor(F.col("ts") / DAY).alias("h")).agg(F.min("ts").alias("lo")).withColumn("hi", F.col("lo") + 3_600_000)
     return J.nearest(a.calls.select("call_id", "ts"), "call_id", "ts", s, "h", "lo", "hi", 7_200_000).select("call_id", "h", "gap")
 
 
@@ -215,11 +222,10 @@ def _(a):
     return a.gatherings.select("event_id").join(t, "event_id", "left").join(n, "event_id", "left").na.fill(0, ["faces"])
 
 
-@query("q_j15_spatial", "SELECT a.photo_id AS id, b.photo_id AS rid FROM (SELECT * FROM places WHERE place_name = 'place 7') a JOIN (SELECT * FROM places WHERE city = 'city 3') b ON abs(a.lat - b.lat) < 0.001 AND abs(a.lng - b.lng) < 0.001", "places")
+@query("q_j15_spatial", "SELECT a.photo_id AS id, b.photo_id AS rid FROM places a JOIN places b ON a.photo_id < b.photo_id AND abs(a.lat - b.lat) < 0.001 AND abs(a.lng - b.lng) < 0.001", "places")
 def _(a):
-    left = a.places.where("place_name = 'place 7'").selectExpr("photo_id AS id", "lat", "lng")
-    right = a.places.where("city = 'city 3'").selectExpr("photo_id AS rid", "lat AS rlat", "lng AS rlng")
-    return J.spatial(left, right).select("id", "rid")
+    left, right = a.places.selectExpr("photo_id AS id", "lat", "lng"), a.places.selectExpr("photo_id AS rid", "lat AS rlat", "lng AS rlng")
+    return J.spatial(left, right).select("id", "rid").where("id < rid")
 
 
 @query("q_j16_name_lookup", "SELECT m.sender_name, arg_max(i.canonical_id, i.n) AS canonical_id FROM (SELECT DISTINCT sender_name FROM messages) m LEFT JOIN identities i ON lower(i.display_name) = lower(m.sender_name) GROUP BY 1", "messages identities")

@@ -60,11 +60,27 @@ def test_fold(spark):
 
 def test_mentions_whole_words(spark):
     m = spark.createDataFrame([("m1", "t1", 1, True, "saw ann abel today", True), ("m2", "t2", 2, True, "annual plan", True), ("m3", "t9", 3, False, "ann!", True)], "id string, thread_id string, ts long, from_me boolean, body string, meaningful boolean")
-    i = spark.createDataFrame([("id-1", ["Ann Abel", "ann@x.y"])], "canonical_id string, aliases array<string>")
+    i = spark.createDataFrame([("id-1", "Ann❤Abel", ["ann@x.y"])], "canonical_id string, display_name string, aliases array<string>")
     ti = spark.createDataFrame([("t9", "id-1")], "thread_id string, canonical_id string")
     assert rows(graph.mentions(m, i, ti).select("mentioned_form", "message_id")) == [("ann", "m1"), ("ann abel", "m1")]
 
 
+def test_merge_pairs(spark):
+    rows_ = [
+        ("a", "Robin", ["Robin"], ["instagram"], 40), ("b", "Robin Vasquez", ["+1555", "Robin Vasquez"], ["imessage"], 90),  # one opens the other
+        ("c", "Robin Lee", ["Robin Lee"], ["gmail"], 9), ("d", "Mom", ["Mom"], ["gmail"], 50), ("e", "mom", [], ["imessage"], 50),
+        ("f", "kit", ["Kit Ode ✨"], ["whatsapp"], 3), ("g", "Kit Ode", [], ["gmail"], 30), ("h", "+1777", ["Zoe Fox", "zed"], ["gmail"], 20), ("i", "zed", [], ["imessage"], 21), ("j", "Zoe-Fox", [], ["imessage"], 22),
+    ]
+    people = spark.createDataFrame(rows_, "canonical_id string, display_name string, aliases array<string>, sources array<string>, msgs long")
+    assert rows(identity.merge_pairs(people).select("winner", "loser", "score", "ambiguous")) == [("a", "c", 1.0, True), ("b", "a", 1.0, True), ("i", "h", 1.0, False)]
+
+
+def test_full_names_come_first(spark):
+    tried = {1: ["Robin", "robin vasquez"], 2: ["robin vasquez", "Robin Vasquez"], 3: ["+1 Ann", "zoe", "Bea"], 4: ["x@y.z", "+1555"], 5: ["Élan Vital", "Jo"]}
+    df = spark.createDataFrame([(p, a, k) for p, names in tried.items() for k, a in enumerate(names)], "person int, alias string, ordinal int")
+    assert rows(identity.display_name(df)) == [(1, "robin vasquez"), (2, "Robin Vasquez"), (3, "Bea"), (4, "x@y.z"), (5, "Jo")]
+
+
 def test_nearest_is_one_to_one(spark):
     p = spark.createDataFrame([("p1", 10), ("p2", 12), ("p3", 500)], "k string, ts long")
     s = spark.createDataFrame([("s1", 11, 11), ("s2", 400, 450)], "s string, lo long, hi long")

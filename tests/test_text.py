@@ -41,6 +41,9 @@ def test_markers_and_forms(spark):
     assert one(spark, T.marker(F.col("b")), b="my homework") is False
     assert sorted(one(spark, T.name_forms(F.col("b")), b="Maya Torres")) == ["maya", "maya torres"]
     assert one(spark, T.name_forms(F.col("b")), b="+15550100100") == []
+    assert sorted(one(spark, T.name_forms(F.col("b")), b="Ann❤Lee")) == ["ann", "ann lee"]
+    assert one(spark, T.name_forms(F.col("b")), b="7of9") == [] and one(spark, T.name_forms(F.col("b")), b="Jo") == []
+    assert one(spark, T.marker(F.col("b")), b="i‘m here") is True
 
 
 def test_footers_and_quotes(spark):
