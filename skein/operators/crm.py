@@ -28,7 +28,7 @@ def people(rows: DataFrame, tags: DataFrame, interactions: DataFrame) -> DataFra
 
 
 def log_interaction(ops: DataFrame, key: str, kind: str, at: int, amount: float = 0.0) -> DataFrame:
-    """C-03/M-08/M-09: the log with one more op; a person comes to be with its first op."""
+    """C-03/M-08: the log with one more op; a person comes to be with its first op."""
     last = F.coalesce(F.max("op"), F.lit(-1)) + 1
     new = ops.agg(last.alias("op")).select("op", F.lit(key).alias("key"), F.lit(kind).alias("kind"), F.lit(amount).alias("amount"), F.lit(at).cast("long").alias("updated_at"))
     return ops.unionByName(new)
@@ -44,3 +44,21 @@ def history(notes: DataFrame) -> DataFrame:
     w = Window.partitionBy("key").orderBy("updated_at", "op")
     n = notes.withColumn("version", F.row_number().over(w))
     return n.withColumn("current", F.col("version") == F.max("version").over(Window.partitionBy("key")))
+
+
+def set_follow_up(people: DataFrame, identities: DataFrame, person: str, text: str | None, now: int) -> DataFrame:
+    """M-09: people(id, name, anchor, follow_up, deleted_at, created_at, updated_at) with one person's follow-up set.
+
+    A person without a live row is made from their identity, anchored by their aliases; one that no identity has is an error.
+    """
+    found = people.where((F.col("id") == person) & F.col("deleted_at").isNull()).limit(1).count()
+    if not found:
+        new = identities.where(F.col("canonical_id") == person).limit(1)
+        if not new.count():
+            raise ValueError(f"unknown person: {person}")
+        anchor = F.to_json(F.struct(F.col("display_name").alias("name"), F.col("aliases").alias("handles")))
+        stamp = F.lit(now).cast("long")
+        row = new.select(F.lit(person).alias("id"), F.col("display_name").alias("name"), anchor.alias("anchor"), F.lit(None).cast("string").alias("follow_up"), F.lit(None).cast("long").alias("deleted_at"), stamp.alias("created_at"), stamp.alias("updated_at"))
+        people = people.unionByName(row)
+    mine = (F.col("id") == person) & F.col("deleted_at").isNull()
+    return people.withColumns({"follow_up": F.when(mine, F.lit(text)).otherwise(F.col("follow_up")), "updated_at": F.when(mine, F.lit(now).cast("long")).otherwise(F.col("updated_at"))})

@@ -69,4 +69,4 @@ def query(name: str, sql: str | None = None, uses: str = "", ints: str = ""):
     return put
 
 
-from . import q_aggregates, q_events, q_graph, q_identity, q_people, q_retrieval, q_streaming, q_text  # noqa: E402,F401
+from . import q_aggregates, q_events, q_graph, q_identity, q_people, q_retrieval, q_sources, q_streaming, q_text  # noqa: E402,F401

@@ -130,3 +130,19 @@ def _(a):
 @query("q_s02_s24_html_titles", r"SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(html, '<a href=')) AS links FROM pages")
 def _(a):
     return a.table("pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.size(F.regexp_extract_all("html", F.lit("<a href="), F.lit(0))).cast("long").alias("links"))
+
+
+@query("q_t09_overlap_fetch", f"""WITH b AS (SELECT source, thread_id, ts, body FROM messages WHERE ts < 1706000000000 AND source <> 'gmail'), s AS (SELECT source, max(ts) - {2 * 86_400_000} AS since FROM b GROUP BY 1), f AS (SELECT m.source, thread_id, ts, body FROM messages m LEFT JOIN s USING (source) WHERE since IS NULL OR ts >= since)
+    SELECT source, thread_id, ts, body, max(c) AS copies FROM (SELECT *, count(*) AS c FROM b GROUP BY ALL UNION ALL SELECT *, count(*) FROM f GROUP BY ALL) GROUP BY 1, 2, 3, 4""", "messages")
+def _(a):
+    base = a.messages.where("ts < 1706000000000 AND source <> 'gmail'")
+    out = S.overlap_fetch(base, a.messages, ["thread_id", "ts", "body"])
+    return out.groupBy("source", "thread_id", "ts", "body").agg(F.count("*").alias("copies"))
+
+
+@query("q_m09_set_follow_up", f"""SELECT canonical_id AS id, display_name AS name, CASE canonical_id WHEN 'id-4' THEN 'call back' WHEN 'id-5' THEN 'write' END AS follow_up, CASE WHEN canonical_id IN ('id-4', 'id-5') THEN {LATER} ELSE n END AS updated_at FROM identities WHERE n % 2 = 0 OR canonical_id = 'id-5'""", "identities")
+def _(a):
+    nothing = F.lit(None).cast("string")
+    people = a.identities.where("n % 2 = 0").select(F.col("canonical_id").alias("id"), F.col("display_name").alias("name"), nothing.alias("anchor"), nothing.alias("follow_up"), F.lit(None).cast("long").alias("deleted_at"), F.col("n").alias("created_at"), F.col("n").alias("updated_at"))
+    people = C.set_follow_up(people, a.identities, "id-4", "call back", LATER)
+    return C.set_follow_up(people, a.identities, "id-5", "write", LATER).select("id", "name", "follow_up", "updated_at")

@@ -54,3 +54,14 @@ def strongest_response(rows: DataFrame, ranks: tuple[str, ...]) -> DataFrame:
 def append_new(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """S-28/K-03: old rows and those new ones whose key isn't there yet."""
     return old.unionByName(new.dropDuplicates(key).join(old.select(*key).distinct(), key, "left_anti").select(*old.columns))
+
+
+def overlap_fetch(base: DataFrame, fetched: DataFrame, key: list[str], margin_days: int = 2) -> DataFrame:
+    """T-09: base and what was fetched since its newest row of a source less a margin; of what stands in the overlap twice, by content, one copy stays.
+
+    Contents come as often as on the side that has them most, as rows alike may be two messages; a source without base rows comes whole.
+    """
+    since = base.groupBy("source").agg((F.max("ts") - margin_days * 86_400_000).alias("_since"))
+    late = fetched.join(since, "source", "left").where(F.col("_since").isNull() | (F.col("ts") >= F.col("_since"))).drop("_since")
+    both = base.select(F.lit("base").alias("export"), "source", *key).unionByName(late.select(F.lit("fetched").alias("export"), "source", *key))
+    return multiset_union(both, ["source", *key]).drop("copy")

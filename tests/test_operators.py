@@ -118,9 +118,17 @@ def test_guard():
 
 
 def test_safe_select_denies_files(spark):
-    for bad in ("select * from parquet.`/etc`", "select java_method('a', 'b')", "select reflect('a','b')"):
-        with pytest.raises(ValueError):
-            retrieval.safe_select(spark, bad)
+    spark.range(3).createOrReplaceTempView("seen_v")
+    where = "`/root/testdata/sf0.001/region.parquet`"
+    for bad in (
+        f"select * from parquet.{where}", f"select * from `parquet`.{where}", f"select id from seen_v where id in (select r_regionkey from `parquet`.{where})", f"select (select max(r_regionkey) from parquet . {where}) from seen_v",
+        f"with c as (select * from `parquet`.{where}) select * from c", "select java_method('java.lang.System', 'getProperty', 'user.home')", "select `reflect`('java.lang.System', 'getProperty', 'user.home') from seen_v", "select try_reflect('java.lang.System', 'getenv', 'PATH')",
+    ):
+        for run in (retrieval.safe_select, retrieval.query):
+            with pytest.raises(ValueError):
+                run(spark, bad)
+    for good in ("with c as (select id from seen_v) select * from c where id in (select id from seen_v)", "select (select max(id) from seen_v) as m", "select * from values (1), (2) t(a)", "select id, row_number() over (order by id) as r from seen_v"):
+        assert retrieval.safe_select(spark, good).count() and retrieval.query(spark, good)[0].count()
     assert retrieval.safe_select(spark, "```sql\nselect 1 as x\n```").first()["x"] == 1
     df, more = retrieval.query(spark, "select id from range(5)", limit=3)
     assert df.count() == 3 and more
