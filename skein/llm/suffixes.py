@@ -27,14 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, ship
-from .shingles import EMPTY, mixed, prefix_hashes
-from .substrings import NO_ID, covered, keyed
+from .shingles import EMPTY, mixed, prefix_hashes, word_hashes
+from .substrings import NO_ID, covered, keyed, run_hashes
 
 GRAM = 32
 RUN_ENTRIES = 40_000  # suffixes that a task sorts at once
 CHUNK_ENTRIES = 2_000
 PART_ENTRIES = 40_000  # suffixes merged together, about
 HOT = 400_000  # occurrences of an anchor in one partition; equal ones take little room there
+WORD_GRAM, WORD_BLOCK = 8, 2_000  # words of an anchor of word runs, and contexts that are compared together
 HEAD = 8  # bytes of the anchor's hash before each suffix
 _POSITION_BITS = 24
 _POSITIONS = np.uint64((1 << _POSITION_BITS) - 1)
@@ -325,8 +326,8 @@ def _marks(word: bytes) -> tuple[int, int]:
     return len(text[:lead].encode()), len(text[len(text) - _EDGE.match(text[::-1]).end() :].encode())
 
 
-def short_passages(raw: bytes, n_words: int, size: int) -> list[tuple[int, int]]:
-    """(begin, end) of all runs of n_words words that have less than `size` bytes without the marks around them."""
+def short_passages(raw: bytes, n_words: int, size: int) -> list[tuple[int, int, int]]:
+    """(number of the first word, begin, end) of all runs of n_words words that have less than `size` bytes without the marks around them."""
     b = np.frombuffer(raw, np.uint8)
     gap = np.r_[True, (b == 32) | ((b >= 9) & (b <= 13)), True]
     edges = np.flatnonzero(gap[1:] != gap[:-1])
@@ -339,15 +340,107 @@ def short_passages(raw: bytes, n_words: int, size: int) -> list[tuple[int, int]]
         begin, end = int(begins[i]), int(ends[j])
         begin, end = begin + _marks(raw[begin : ends[i]])[0], end - _marks(raw[begins[j] : end])[1]
         if end - begin < size:
-            out.append((begin, end))
+            out.append((i, begin, end))
     return out
 
 
+_WINDOW = np.dtype([("passage", "V16"), ("begin", "<i8"), ("length", "<i8")])
+
+
+def word_contexts(raw: bytes, n_words: int, size: int) -> list[tuple[int, bytes, int, bytes]]:
+    """(anchor, hash of the context, its begin, its windows) of the short runs of n_words words, by the least gram of their inner words.
+
+    Neighbouring runs with one anchor are a context; equal contexts hold equal runs at equal places.
+    """
+    found = short_passages(raw, n_words, size)
+    if not found:
+        return []
+    g = run_hashes(word_hashes(raw), WORD_GRAM)
+    width = n_words - 1 - WORD_GRAM  # grams of the words between the first and the last
+    out, now = [], []
+
+    def close() -> None:
+        windows = np.array([(hashlib.blake2b(raw[a:b], digest_size=16).digest(), a - now[0][1], b - a) for _, a, b, _ in now], dtype=_WINDOW)
+        context = hashlib.blake2b(windows.tobytes() + (now[0][3] - now[0][0]).to_bytes(8, "big"), digest_size=16).digest()
+        out.append((int(g[now[0][3]].view(np.int64)), context, now[0][1], windows.tobytes()))
+
+    for i, a, b in found:
+        at = i + 1 + int(np.argmin(g[i + 1 : i + 1 + width]))
+        if now and (now[-1][0] + 1, now[-1][3]) != (i, at):
+            close()
+            now = []
+        now.append((i, a, b, at))
+    close()
+    return out
+
+
+def met_elsewhere(contexts: list[tuple]) -> tuple[list[list[bool]], dict[bytes, list]]:
+    """Which windows of (place, row, several, lo, hi, windows) stand elsewhere too, as far as these contexts tell; and what they tell of each passage.
+
+    Elsewhere is another row, or a place of the same one that the run doesn't reach into: one word said sixty times is no
+    repeated passage. `several` says that a context stands in several rows, lo and hi where it first and last begins.
+    """
+    known: dict[bytes, list] = {}  # least and greatest row, first and last place, whether in several rows
+    for place, row, several, lo, hi, windows in contexts:
+        for passage, begin, _ in windows.tolist():
+            k = known.get(passage)
+            if k is None:
+                known[passage] = [(place, row), (place, row), lo + begin, hi + begin, several]
+            else:
+                k[0], k[1], k[2], k[3], k[4] = min(k[0], (place, row)), max(k[1], (place, row)), min(k[2], lo + begin), max(k[3], hi + begin), k[4] or several
+    met = []
+    for *_, windows in contexts:
+        met.append([k[4] or k[0] != k[1] or k[3] - k[2] >= length for k, length in ((known[p], n) for p, _, n in windows.tolist())])
+    return met, known
+
+
+_DECIDED = "anchor long, context binary, passage binary, place long, row long, first long, last long, several boolean, kind int"
+
+
+def decided(contexts: DataFrame) -> DataFrame:
+    """Of contexts dealt by (anchor, block): kind 0, stretches (first, length in last) of runs that stand elsewhere; where an anchor
+    has several blocks also kind 1, what the block has of each passage, and kind 2, runs to ask other blocks about (begin, length)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def settle(group: list[dict]) -> Iterator[tuple]:
+            rows = [(c["place"], c["row"], c["several"], c["lo"], c["hi"], np.frombuffer(c["windows"], _WINDOW)) for c in group]
+            met, known = met_elsewhere(rows)
+            for c, m, (*_, windows) in zip(group, met, rows, strict=True):
+                own = np.flatnonzero(m)
+                cuts = np.flatnonzero(np.diff(own) != 1)
+                for a, b in zip(own[np.r_[0, cuts + 1]].tolist(), own[np.r_[cuts, len(own) - 1]].tolist(), strict=True) if len(own) else ():
+                    begin = int(windows["begin"][a])
+                    yield c["anchor"], c["context"], None, None, None, begin, int(windows["begin"][b] + windows["length"][b]) - begin, None, 0
+                if c["blocks"] > 1:
+                    for k in np.flatnonzero(~np.array(m)).tolist():
+                        yield c["anchor"], c["context"], windows["passage"][k].tobytes(), None, None, int(windows["begin"][k]), int(windows["length"][k]), None, 2
+            if group and group[0]["blocks"] > 1:
+                for passage, (low, high, first, last, several) in known.items():
+                    yield group[0]["anchor"], None, passage, *low, first, last, several or low != high, 1
+
+        def packed(out: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+            kinds = (pa.int64(), pa.binary(), pa.binary(), *[pa.int64()] * 4, pa.bool_(), pa.int32())
+            while part := list(itertools.islice(out, 20_000)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), kinds, strict=True)], [c.split(" ")[0] for c in _DECIDED.split(", ")])
+
+        now, group = None, []
+        for batch in batches:
+            for c in batch.to_pylist():
+                if (c["anchor"], c["block"]) != now:
+                    yield from packed(settle(group))
+                    now, group = (c["anchor"], c["block"]), []
+                group.append(c)
+        yield from packed(settle(group))
+
+    return contexts.repartition("anchor", "block").sortWithinPartitions("anchor", "block").mapInArrow(run, _DECIDED)
+
+
 def word_spans_of(rows: DataFrame, n_words: int, size: int) -> DataFrame:
     """place, row, first and last, as of windows of `size` bytes, of the runs of n_words words under that size that stand elsewhere too.
 
-    Elsewhere is another row or a place of the same one that the run doesn't reach into: one word said sixty
-    times is no repeated passage. Runs are compared by 128 bits of hash; few texts have words short enough for any.
+    Runs are compared by 128 bits of hash; few texts have words short enough for any. Equal contexts are one, so that only
+    contexts that differ, those at the edges of a common passage, are compared, in blocks of about WORD_BLOCK; what blocks
+    lack is asked of an anchor's other blocks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,16 +448,25 @@ def word_spans_of(rows: DataFrame, n_words: int, size: int) -> DataFrame:
             for start in range(0, batch.num_rows, 128):
                 part, out = batch.slice(start, 128).to_pydict(), []
                 for place, row, text in zip(part["place"], part["row"], part["text"], strict=True):
-                    raw = text.encode()
-                    out += [(hashlib.blake2b(raw[a:b], digest_size=16).digest(), place, row, a, b - size) for a, b in short_passages(raw, n_words, size)]
-                for at in range(0, len(out), 50_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[at : at + 50_000], strict=True), (pa.binary(), *[pa.int64()] * 4), strict=True)], ["passage", "place", "row", "first", "last"])
-
-    found = rows.mapInArrow(run, "passage binary, place long, row long, first long, last long")
-    found = cut(found.groupBy("passage", "place", "row", "first", "last").agg(F.count("*").alias("n")))  # n > 1: rows that are equal as a whole
-    elsewhere = F.expr(f"min(place) <> max(place) or min(row) <> max(row) or max(n) > 1 or max(first) - min(first) >= min(last - first) + {size}")
-    shared = cut(found.groupBy("passage").agg(elsewhere.alias("elsewhere")).where("elsewhere").select("passage"))
-    return found.join(shared, "passage", "left_semi").select("place", "row", "first", "last")
+                    out += [(anchor, context, place, row, at, windows) for anchor, context, at, windows in word_contexts(text.encode(), n_words, size)]
+                for at in range(0, len(out), 5_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[at : at + 5_000], strict=True), (pa.int64(), pa.binary(), *[pa.int64()] * 3, pa.binary()), strict=True)], ["anchor", "context", "place", "row", "at", "windows"])
+
+    key = ["anchor", "context"]
+    found = rows.mapInArrow(run, "anchor long, context binary, place long, row long, at long, windows binary")
+    found = cut(found.groupBy(*key, "place", "row", "at").agg(F.count("*").alias("n"), F.any_value("windows").alias("windows")))  # n > 1: rows that are equal as a whole
+    one, other = F.min(F.struct("place", "row")), F.max(F.struct("place", "row"))
+    held = found.groupBy(*key).agg(one.alias("one"), ((one != other) | (F.max("n") > 1)).alias("several"), F.min("at").alias("lo"), F.max("at").alias("hi"), F.any_value("windows").alias("windows"))
+    held = cut(held.select(*key, "one.place", "one.row", "several", "lo", "hi", "windows"))
+    dealt = held.groupBy("anchor").agg(F.count("*").alias("m"), F.bool_or("several").alias("any"), F.max(F.col("hi") - F.col("lo")).alias("far")).where("m > 1 or any or far > 0")
+    dealt = held.join(cut(dealt.select("anchor", F.ceil(F.col("m") / WORD_BLOCK).alias("blocks"))), "anchor").withColumn("block", F.pmod(F.xxhash64("context"), "blocks"))
+    told = cut(decided(dealt))
+    passages = told.where("kind = 1").groupBy("anchor", "passage").agg((F.bool_or("several") | (F.min(F.struct("place", "row")) != F.max(F.struct("place", "row")))).alias("several"), (F.max("last") - F.min("first")).alias("far"))
+    asked = told.where("kind = 2").select(*key, "passage", "first", "last").join(cut(passages), ["anchor", "passage"]).where("several or far >= last")
+    spans = told.where("kind = 0").select(*key, "first", "last").union(asked.select(*key, "first", "last"))
+    spans = cut(spans.groupBy(*key).agg(F.collect_set(F.struct("first", "last")).alias("spans")))  # as many as a context has windows
+    there = found.select(*key, "place", "row", "at").join(spans, key).select("place", "row", "at", F.explode("spans").alias("s"))
+    return there.select("place", "row", (F.col("at") + F.col("s.first")).alias("first"), (F.col("at") + F.col("s.first") + F.col("s.last") - size).alias("last"))
 
 
 def dedup(documents: DataFrame, size: int = 400) -> DataFrame:

@@ -49,6 +49,41 @@ def test_passages_of_short_words(spark):
     assert single not in corpus_pipeline.drop_repeated_passages(spark, twice, SF).first()["text"]
 
 
+@pytest.mark.parametrize("block", [2_000, 2])
+def test_short_word_runs_against_a_plain_version(spark, monkeypatch, block):
+    # texts made of a common run of short words between their own ones, cut, repeated and marked in many ways
+    from skein.llm import suffixes
+
+    monkeypatch.setattr(suffixes, "WORD_BLOCK", block)
+    rnd, n, size = random.Random(15), 12, 60
+    say = lambda k, most=3: [rnd.choice("abcdefg") * rnd.randint(1, most) for _ in range(k)]
+    common, texts = say(30, 2), []
+    for k in range(40):
+        a, b = sorted(rnd.sample(range(31), 2))
+        own = say(rnd.randint(0, 9), 4) + common[a:b] + say(rnd.randint(0, 9), 4)
+        if k % 5 == 0:
+            own += say(rnd.randint(0, 3)) + common[5:22]
+        if k % 7 == 0:
+            own[len(own) // 2 : len(own) // 2 + 1] = ["(x)."]
+        texts.append(" ".join(own))
+    texts += [texts[3], " ".join(["one"] * 40), " ".join(common[:11]), "", "x"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    places = {}
+    for i, t in rows:
+        for _, a, b in suffixes.short_passages(t.encode(), n, size):
+            places.setdefault(t.encode()[a:b], []).append((i, a))
+    want = {}
+    for passage, at in places.items():
+        if len({i for i, _ in at}) > 1 or max(a for _, a in at) - min(a for _, a in at) >= len(passage):
+            for i, a in at:
+                want.setdefault(i, set()).update(range(a, a + len(passage)))
+    df = spark.createDataFrame([(i, hash(t), t) for i, t in rows], "place long, row long, text string").repartition(3)
+    got = {}
+    for r in suffixes.word_spans_of(df, n, size).collect():
+        got.setdefault(r["place"], set()).update(range(r["first"], r["last"] + size))
+    assert got == want and len(want) > 15
+
+
 def test_run(spark):
     import __spark_entry__
 
