@@ -309,9 +309,11 @@ def spans_of(rows: DataFrame, size: int, n_words: int | None = None) -> DataFram
     met = cut(indexed.join(shared, "anchor").groupBy("place", "row").agg(F.collect_set(F.struct("at", "blocks")).alias("met")))  # as many as a row has windows
     parts = 1 + (met.agg(F.sum(F.size("met"))).first()[0] or 0) // PART_ENTRIES  # so that a part is as large at any size of corpus
     spans = merged(runs(rows.join(met, ["place", "row"]).select("place", "row", "text", "met"), size, parts), size)
-    if n_words is not None:
-        spans = spans.unionByName(word_spans_of(rows, n_words, size))
-    return spans.groupBy("place", "row").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    spans = spans.groupBy("place", "row").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    if n_words is None:
+        return spans
+    both = spans.unionByName(word_spans_of(rows, n_words, size))
+    return both.groupBy("place", "row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 _EDGE = re.compile(r"[\W_]*")
@@ -436,7 +438,7 @@ def decided(contexts: DataFrame) -> DataFrame:
 
 
 def word_spans_of(rows: DataFrame, n_words: int, size: int) -> DataFrame:
-    """place, row, first and last, as of windows of `size` bytes, of the runs of n_words words under that size that stand elsewhere too.
+    """place, row and spans (first, last), as of windows of `size` bytes, of the runs of n_words words under that size that stand elsewhere too.
 
     Runs are compared by 128 bits of hash; few texts have words short enough for any. Equal contexts are one, so that only
     contexts that differ, those at the edges of a common passage, are compared, in blocks of about WORD_BLOCK; what blocks
@@ -454,9 +456,11 @@ def word_spans_of(rows: DataFrame, n_words: int, size: int) -> DataFrame:
 
     key = ["anchor", "context"]
     found = rows.mapInArrow(run, "anchor long, context binary, place long, row long, at long, windows binary")
-    found = cut(found.groupBy(*key, "place", "row", "at").agg(F.count("*").alias("n"), F.any_value("windows").alias("windows")))  # n > 1: rows that are equal as a whole
+    # a place that comes twice is in rows that are equal as a whole
+    found = found.groupBy(*key, "place", "row").agg(F.collect_list("at").alias("all"), F.any_value("windows").alias("windows"))  # as many as a text has places
+    found = cut(found.withColumn("at", F.array_distinct("all")).withColumn("twice", F.size("all") > F.size("at")).drop("all"))
     one, other = F.min(F.struct("place", "row")), F.max(F.struct("place", "row"))
-    held = found.groupBy(*key).agg(one.alias("one"), ((one != other) | (F.max("n") > 1)).alias("several"), F.min("at").alias("lo"), F.max("at").alias("hi"), F.any_value("windows").alias("windows"))
+    held = found.groupBy(*key).agg(one.alias("one"), ((one != other) | F.bool_or("twice")).alias("several"), F.min(F.array_min("at")).alias("lo"), F.max(F.array_max("at")).alias("hi"), F.any_value("windows").alias("windows"))
     held = cut(held.select(*key, "one.place", "one.row", "several", "lo", "hi", "windows"))
     dealt = held.groupBy("anchor").agg(F.count("*").alias("m"), F.bool_or("several").alias("any"), F.max(F.col("hi") - F.col("lo")).alias("far")).where("m > 1 or any or far > 0")
     dealt = held.join(cut(dealt.select("anchor", F.ceil(F.col("m") / WORD_BLOCK).alias("blocks"))), "anchor").withColumn("block", F.pmod(F.xxhash64("context"), "blocks"))
@@ -465,8 +469,8 @@ def word_spans_of(rows: DataFrame, n_words: int, size: int) -> DataFrame:
     asked = told.where("kind = 2").select(*key, "passage", "first", "last").join(cut(passages), ["anchor", "passage"]).where("several or far >= last")
     spans = told.where("kind = 0").select(*key, "first", "last").union(asked.select(*key, "first", "last"))
     spans = cut(spans.groupBy(*key).agg(F.collect_set(F.struct("first", "last")).alias("spans")))  # as many as a context has windows
-    there = found.select(*key, "place", "row", "at").join(spans, key).select("place", "row", "at", F.explode("spans").alias("s"))
-    return there.select("place", "row", (F.col("at") + F.col("s.first")).alias("first"), (F.col("at") + F.col("s.first") + F.col("s.last") - size).alias("last"))
+    at_each = lambda a: F.transform("spans", lambda s: F.struct((a + s["first"]).alias("first"), (a + s["first"] + s["last"] - size).alias("last")))
+    return found.select(*key, "place", "row", "at").join(spans, key).select("place", "row", F.flatten(F.transform("at", at_each)).alias("spans"))
 
 
 def dedup(documents: DataFrame, size: int = 400) -> DataFrame:
