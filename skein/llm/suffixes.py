@@ -450,14 +450,17 @@ def word_spans_of(rows: DataFrame, n_words: int, size: int) -> DataFrame:
             for start in range(0, batch.num_rows, 128):
                 part, out = batch.slice(start, 128).to_pydict(), []
                 for place, row, text in zip(part["place"], part["row"], part["text"], strict=True):
-                    out += [(anchor, context, place, row, at, windows) for anchor, context, at, windows in word_contexts(text.encode(), n_words, size)]
+                    places: dict[tuple, list[int]] = {}
+                    for anchor, context, at, windows in word_contexts(text.encode(), n_words, size):
+                        places.setdefault((anchor, context, windows), []).append(at)
+                    out += [(anchor, context, place, row, at, windows) for (anchor, context, windows), at in places.items()]
                 for at in range(0, len(out), 5_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[at : at + 5_000], strict=True), (pa.int64(), pa.binary(), *[pa.int64()] * 3, pa.binary()), strict=True)], ["anchor", "context", "place", "row", "at", "windows"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[at : at + 5_000], strict=True), (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()), strict=True)], ["anchor", "context", "place", "row", "at", "windows"])
 
     key = ["anchor", "context"]
-    found = rows.mapInArrow(run, "anchor long, context binary, place long, row long, at long, windows binary")
+    found = rows.mapInArrow(run, "anchor long, context binary, place long, row long, at array<long>, windows binary")
     # a place that comes twice is in rows that are equal as a whole
-    found = found.groupBy(*key, "place", "row").agg(F.collect_list("at").alias("all"), F.any_value("windows").alias("windows"))  # as many as a text has places
+    found = found.groupBy(*key, "place", "row").agg(F.flatten(F.collect_list("at")).alias("all"), F.any_value("windows").alias("windows"))  # as many as a text has places
     found = cut(found.withColumn("at", F.array_distinct("all")).withColumn("twice", F.size("all") > F.size("at")).drop("all"))
     one, other = F.min(F.struct("place", "row")), F.max(F.struct("place", "row"))
     held = found.groupBy(*key).agg(one.alias("one"), ((one != other) | F.bool_or("twice")).alias("several"), F.min(F.array_min("at")).alias("lo"), F.max(F.array_max("at")).alias("hi"), F.any_value("windows").alias("windows"))
