@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import name_forms
+from ..functions.text import name_forms, strip_footers
 from .joins import by_any_alias, pairs
 
 DAY = 86_400_000
@@ -41,6 +41,20 @@ def mentions(messages: DataFrame, identities: DataFrame, thread_identity: DataFr
     return hits.join(own, ["thread_id", "mentioned_canonical_id"], "left_anti").select("mentioned_canonical_id", "mentioned_form", "thread_id", F.col("id").alias("message_id"), "ts", "from_me").distinct()
 
 
+def mention_quotes(mention: DataFrame, messages: DataFrame, top: int, least: int = 3) -> DataFrame:
+    """G-12: what was said of the `top` people with most texts in others' one-to-one threads, if it's `least` quotes: one row for each, with the owner's and the person's counts.
+
+    messages are one-to-one ones with canonical_id. Texts are 5 to 500 characters long, without footers and on one line.
+    """
+    first = messages.where(F.coalesce("body", F.lit("")) != "").groupBy("canonical_id").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "canonical_id").limit(top)
+    said = messages.where(F.length("body").between(5, 500)).select(F.col("id").alias("message_id"), F.col("canonical_id").alias("owner"), "body")
+    m = mention.join(F.broadcast(first.select(F.col("canonical_id").alias("mentioned_canonical_id"))), "mentioned_canonical_id").join(said, "message_id").where("owner <> mentioned_canonical_id")  # `top` ids
+    n = m.groupBy("mentioned_canonical_id", "owner").agg(F.count("*").alias("in_thread"))
+    n = n.withColumn("mentions", F.sum("in_thread").over(Window.partitionBy("mentioned_canonical_id"))).where(F.col("mentions") >= least)
+    quote = F.trim(F.regexp_replace(strip_footers(F.col("body")), r"\n+", " / "))
+    return m.join(n, ["mentioned_canonical_id", "owner"]).select("mentioned_canonical_id", "owner", "message_id", F.date_format(F.timestamp_millis("ts"), "yyyy-MM-dd").alias("day"), "from_me", quote.alias("quote"), "mentions", "in_thread")
+
+
 def shared_groups(membership: DataFrame) -> DataFrame:
     """G-02: links in both directions, one for each shared group."""
     m = membership.where("canonical_id is not null")

@@ -191,20 +191,39 @@ def saved_merges(rules: DataFrame, people: DataFrame) -> DataFrame:
     return j.select("rule", F.when(F.col("n") == 1, F.col("canonical_id")).alias("canonical_id"), F.when(F.col("n").isNull(), "not-found").when(F.col("n") > 1, "ambiguous").otherwise("ok").alias("state"))
 
 
-def third_party_overlap(mention: DataFrame, people: DataFrame, least_signature: int = 5, least: float = 0.10) -> DataFrame:
-    """I-15: pairs (side A, side B) of people(canonical_id, side) alike in whom else their threads mention: weighted Jaccard of counts times ln((N+1)/df).
+def audited(messages: DataFrame, identities: DataFrame, top: int = 60, over: int = 100) -> DataFrame:
+    """I-15's candidates: of the `top` people with most texts, those with over `over` and one source of the two compared: canonical_id, side, first_ts, last_ts.
 
-    mention(canonical_id, third, n); thirds known to max(3, half) of all people or more don't count.
+    messages are one-to-one ones with canonical_id. The bound keeps the comparison of pairs as small at any size of archive.
     """
-    m = mention.join(people.select("canonical_id", "side"), "canonical_id")
-    everyone = people.agg(F.count("*")).scalar()
+    m = messages.where(F.coalesce("body", F.lit("")) != "").groupBy("canonical_id").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    m = m.where(F.col("n") > over).orderBy(F.col("n").desc(), "canonical_id").limit(top)
+    one = identities.where(F.size("sources") == 1).select("canonical_id", F.get("sources", F.lit(0)).alias("side"))
+    return m.join(one, "canonical_id").where(F.col("side").isin("instagram", "imessage")).select("canonical_id", "side", "first_ts", "last_ts")
+
+
+def third_party_overlap(mention: DataFrame, people: DataFrame, least_signature: int = 5, least: float = 0.10, shown: int = 6) -> DataFrame:
+    """I-15: pairs of the two sides of people(canonical_id, side, first_ts, last_ts) alike in whom else their threads mention.
+
+    mention(canonical_id, third, n); the weighted Jaccard takes counts times ln((N+1)/df) of N people with mentions, without thirds
+    known to max(3, half) of them or more. Signatures have five thirds at least; days of overlap and the strongest thirds come along.
+    """
+    m = mention.where(F.col("canonical_id") != F.col("third")).join(F.broadcast(people), "canonical_id")  # as many as audited() lets through
+    everyone = m.agg(F.count_distinct("canonical_id")).scalar()
+    size = m.groupBy("canonical_id").agg(F.count("*").alias("k")).where(F.col("k") >= least_signature).select("canonical_id")
     df = m.groupBy("third").agg(F.count_distinct("canonical_id").alias("df")).withColumn("everyone", everyone).where(F.col("df") < F.greatest(F.lit(3), F.ceil(F.col("everyone") / 2)))
-    w = m.join(df, "third").withColumn("w", F.col("n") * F.log((F.col("everyone") + 1) / F.col("df")))
-    size = w.groupBy("canonical_id").agg(F.count("*").alias("k"), F.sum("w").alias("total")).where(F.col("k") >= least_signature)
-    w = w.join(size, "canonical_id")
-    a, b = (w.where(F.col("side") == s).select("third", F.col("canonical_id").alias(x), F.col("w").alias("w" + x), F.col("total").alias("t" + x)) for s, x in (("A", "a"), ("B", "b")))
-    j = a.join(b, "third").groupBy("a", "b", "ta", "tb").agg(F.sum(F.least("wa", "wb")).alias("low"), F.count("*").alias("shared"))
-    return j.withColumn("jaccard", F.round(F.col("low") / (F.col("ta") + F.col("tb") - F.col("low")), 6)).where(F.col("jaccard") >= least).select("a", "b", "shared", "jaccard")
+    w = m.join(size, "canonical_id").join(df, "third").withColumn("idf", F.log((F.col("everyone") + 1) / F.col("df")))
+    total = w.groupBy("canonical_id").agg(F.sum(F.col("n") * F.col("idf")).alias("total"))
+    w = w.join(total, "canonical_id")
+    side = lambda s, x: w.where(F.col("side") == s).select("third", "idf", *[F.col(c).alias(c + x) for c in ("canonical_id", "n", "total", "first_ts", "last_ts")])
+    j = side("instagram", "_a").join(side("imessage", "_b").drop("idf"), "third").withColumn("low", F.least("n_a", "n_b") * F.col("idf"))
+    j = j.groupBy("canonical_id_a", "canonical_id_b").agg(
+        F.sum("low").alias("low"), F.count("*").alias("shared"), F.any_value(F.col("total_a") + F.col("total_b")).alias("total"), F.any_value(F.least("last_ts_a", "last_ts_b") - F.greatest("first_ts_a", "first_ts_b")).alias("ms"),
+        F.array_sort(F.collect_list(F.struct(-F.col("low"), "third"))).alias("t"),
+    )
+    j = j.withColumn("jaccard", F.round(F.col("low") / (F.col("total") - F.col("low")), 6)).where(F.col("jaccard") >= least)
+    days = F.floor(F.greatest(F.lit(0), "ms") / 86_400_000 + 0.5).cast("long")
+    return j.select(F.col("canonical_id_a").alias("a"), F.col("canonical_id_b").alias("b"), "shared", "jaccard", days.alias("overlap_days"), F.array_join(F.transform(F.slice("t", 1, shown), lambda x: x["third"]), ",").alias("top_shared"))
 
 
 def misclassified_groups(messages: DataFrame, threads: DataFrame, least: int = 3) -> DataFrame:

@@ -102,10 +102,11 @@ def _(a):
     return months(a.pm.where("body is not null and body <> ''"), ["canonical_id"], "ts", F.count("*"))
 
 
-@query("q_g12_mention_quotes", "SELECT n.mentioned_canonical_id, n.thread_id, count(*) AS quotes FROM mention n JOIN messages m ON m.id = n.message_id JOIN thread_identity ti ON ti.thread_id = n.thread_id WHERE len(m.body) BETWEEN 5 AND 500 GROUP BY ALL HAVING count(*) >= 2", "mention")
+@query("q_g12_mention_quotes", f"""WITH t AS (SELECT canonical_id FROM pm WHERE coalesce(body, '') <> '' GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 30), q AS (SELECT n.mentioned_canonical_id, ti.canonical_id AS owner, n.message_id, strftime(make_timestamp(n.ts * 1000), '%Y-%m-%d') AS day, m.from_me, trim(regexp_replace(m.body, '\n+', ' / ', 'g')) AS quote
+        FROM mention n JOIN messages m ON m.id = n.message_id JOIN thread_identity ti ON ti.thread_id = n.thread_id JOIN t ON t.canonical_id = n.mentioned_canonical_id WHERE len(m.body) BETWEEN 5 AND 500)
+    SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY mentioned_canonical_id) AS mentions, count(*) OVER (PARTITION BY mentioned_canonical_id, owner) AS in_thread FROM q) WHERE mentions >= 3""", "mention pm")
 def _(a):
-    m = a.mention.join(a.messages.select(F.col("id").alias("message_id"), "body"), "message_id").join(a.thread_identity.select("thread_id"), "thread_id", "left_semi")
-    return m.where(F.length("body").between(5, 500)).groupBy("mentioned_canonical_id", "thread_id").agg(F.count("*").alias("quotes")).where("quotes >= 2")
+    return G.mention_quotes(a.mention, a.pm, top=30)
 
 
 @query("q_g13_writing_mentions", """SELECT DISTINCT f.canonical_id, c.thread_id, c.line FROM (SELECT id AS thread_id, 0 AS line, body FROM messages) c JOIN (SELECT canonical_id, f FROM forms WHERE NOT contains(f, ' ')) f ON list_contains(regexp_split_to_array(lower(c.body), '[^a-z0-9_]+'), f.f)""", "forms messages")

@@ -133,14 +133,14 @@ def _(a):
 _THIRD = "SELECT ti.canonical_id, n.mentioned_canonical_id AS third, count(*) AS n FROM mention n JOIN thread_identity ti USING (thread_id) GROUP BY ALL"
 
 
-@query("q_i15_third_party_overlap", f"""WITH m AS ({_THIRD}), p AS (SELECT canonical_id, CASE WHEN n % 2 = 0 THEN 'A' ELSE 'B' END AS side FROM identities), d AS (SELECT third, count(DISTINCT canonical_id) AS df FROM m GROUP BY 1), c AS (SELECT count(*) AS k FROM p),
-    w AS (SELECT m.canonical_id, third, m.n * ln((c.k + 1) / df) AS w FROM m JOIN d USING (third), c WHERE df < greatest(3, ceil(c.k / 2))), s AS (SELECT canonical_id, sum(w) AS t FROM w GROUP BY 1 HAVING count(*) >= 5)
-    SELECT * FROM (SELECT a.canonical_id AS a, b.canonical_id AS b, count(*) AS shared, round(sum(least(a.w, b.w)) / (any_value(sa.t) + any_value(sb.t) - sum(least(a.w, b.w))), 6) AS jaccard FROM w a JOIN w b USING (third) JOIN p pa ON pa.canonical_id = a.canonical_id AND pa.side = 'A' JOIN p pb ON pb.canonical_id = b.canonical_id AND pb.side = 'B'
-    JOIN s sa ON sa.canonical_id = a.canonical_id JOIN s sb ON sb.canonical_id = b.canonical_id GROUP BY 1, 2) WHERE jaccard >= 0.3""", "mention thread_identity identities")
+@query("q_i15_third_party_overlap", f"""WITH c AS (SELECT canonical_id, count(*) AS n, min(ts) AS f, max(ts) AS l FROM pm WHERE coalesce(body, '') <> '' GROUP BY 1 HAVING count(*) > 20 ORDER BY 2 DESC, 1 LIMIT 60), p AS (SELECT c.canonical_id, sources[1] AS side, f, l FROM c JOIN identities USING (canonical_id) WHERE len(sources) = 1 AND sources[1] IN ('instagram', 'imessage')),
+    m AS (SELECT t.* FROM ({_THIRD}) t JOIN p USING (canonical_id) WHERE t.canonical_id <> third), k AS (SELECT count(DISTINCT canonical_id) AS k FROM m), d AS (SELECT third, count(DISTINCT canonical_id) AS df FROM m GROUP BY 1), z AS (SELECT canonical_id FROM m GROUP BY 1 HAVING count(*) >= 5),
+    w AS (SELECT m.*, p.side, p.f, p.l, ln((k.k + 1) / df) AS idf FROM m JOIN z USING (canonical_id) JOIN p USING (canonical_id) JOIN d USING (third), k WHERE df < greatest(3, ceil(k.k / 2))), s AS (SELECT canonical_id, sum(n * idf) AS t FROM w GROUP BY 1),
+    j AS (SELECT a.canonical_id AS a, b.canonical_id AS b, third, least(a.n, b.n) * a.idf AS low, greatest(0, least(a.l, b.l) - greatest(a.f, b.f)) AS ms FROM w a JOIN w b USING (third) WHERE a.side = 'instagram' AND b.side = 'imessage')
+    SELECT a, b, shared, round(low / (x.t + y.t - low), 6) AS jaccard, CAST(floor(ms / 86400000 + 0.5) AS BIGINT) AS overlap_days, top_shared FROM (SELECT a, b, count(*) AS shared, sum(low) AS low, any_value(ms) AS ms, array_to_string(list(third ORDER BY low DESC, third)[1:6], ',') AS top_shared FROM j GROUP BY 1, 2) JOIN s x ON x.canonical_id = a JOIN s y ON y.canonical_id = b WHERE round(low / (x.t + y.t - low), 6) >= 0.1""", "mention thread_identity identities pm")
 def _(a):
     m = a.mention.join(a.thread_identity, "thread_id").groupBy("canonical_id", F.col("mentioned_canonical_id").alias("third")).agg(F.count("*").alias("n"))
-    p = a.identities.select("canonical_id", F.when(F.col("n") % 2 == 0, "A").otherwise("B").alias("side"))
-    return I.third_party_overlap(m, p, least=0.3)
+    return I.third_party_overlap(m, I.audited(a.pm, a.identities, over=20))
 
 
 @query("q_i17_misclassified_groups", "SELECT m.thread_id, CAST(count(DISTINCT sender_name) AS INT) AS senders FROM (SELECT 't' || substr(thread_id, 2) AS thread_id, sender_name FROM messages WHERE NOT from_me AND thread_id LIKE 'g%') m JOIN threads t ON t.thread_id = m.thread_id AND NOT t.is_group GROUP BY 1 HAVING count(DISTINCT sender_name) >= 3", "messages threads")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import CATEGORIES, categories
 from ..operators import people as P
 from ..operators.aggregates import head_middle_tail, systematic
 from .catalog import query
@@ -22,13 +23,12 @@ def _(a):
     return P.profile(a.pm, "canonical_id", LATER).orderBy(F.col("score").desc(), "canonical_id").limit(100)
 
 
-@query("q_a03_loaded_sample", """WITH c AS (SELECT id, ts FROM messages WHERE len(body) BETWEEN 10 AND 400 AND regexp_matches(lower(body), '\\b(we need to talk|fight)\\b')), i AS (SELECT *, row_number() OVER (ORDER BY ts, id) - 1 AS i, count(*) OVER () AS n FROM c)
-    SELECT 'conflict' AS c, id FROM i WHERE n <= 12 OR i IN (SELECT unnest(list_transform(range(12), lambda k: k * n // 12)))""", "messages")
-def _(a):
-    from ..functions.text import categories
+_LOADED = " UNION ALL ".join(f"SELECT '{name}' AS c, id, ts FROM messages WHERE len(body) BETWEEN 10 AND 400 AND regexp_matches(lower(body), '{pattern.replace(chr(39), chr(39) * 2)}')" for name, pattern in CATEGORIES.items())
+
 
-    e = a.messages.select("id", "ts", F.explode(categories(F.col("body"))).alias("c")).where("c = 'conflict'")
-    return systematic(e, ["c"], ["ts", "id"], 12).select("c", "id")
+@query("q_a03_loaded_sample", f"""WITH i AS (SELECT c, id, row_number() OVER (PARTITION BY c ORDER BY ts, id) - 1 AS i, count(*) OVER (PARTITION BY c) AS n FROM ({_LOADED})) SELECT c, id FROM i WHERE n <= 12 OR list_contains(list_transform(range(12), lambda k: k * n // 12), i)""", "messages")
+def _(a):
+    return systematic(a.messages.select("id", "ts", F.explode(categories(F.col("body"))).alias("c")), ["c"], ["ts", "id"], 12).select("c", "id")
 
 
 @query("q_a04_late_sample", f"""WITH c AS (SELECT id, ts FROM messages WHERE len(body) BETWEEN 10 AND 279 AND hour({_TS}) IN (23, 0, 1, 2, 3, 4)), i AS (SELECT *, row_number() OVER (ORDER BY ts, id) - 1 AS i, count(*) OVER () AS n FROM c) SELECT id FROM i WHERE n <= 20 OR i IN (SELECT unnest(list_transform(range(20), lambda k: k * n // 20)))""", "messages")
