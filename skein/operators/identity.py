@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .iterative import components
 
 #: First names that no merge may rest on.
@@ -208,7 +209,7 @@ def third_party_overlap(mention: DataFrame, people: DataFrame, least_signature:
     mention(canonical_id, third, n); the weighted Jaccard takes counts times ln((N+1)/df) of N people with mentions, without thirds
     known to max(3, half) of them or more. Signatures have five thirds at least; days of overlap and the strongest thirds come along.
     """
-    m = mention.where(F.col("canonical_id") != F.col("third")).join(F.broadcast(people), "canonical_id")  # as many as audited() lets through
+    m = cut(mention.where(F.col("canonical_id") != F.col("third")).join(F.broadcast(people), "canonical_id"))  # as many people as audited() lets through
     everyone = m.agg(F.count_distinct("canonical_id")).scalar()
     size = m.groupBy("canonical_id").agg(F.count("*").alias("k")).where(F.col("k") >= least_signature).select("canonical_id")
     df = m.groupBy("third").agg(F.count_distinct("canonical_id").alias("df")).withColumn("everyone", everyone).where(F.col("df") < F.greatest(F.lit(3), F.ceil(F.col("everyone") / 2)))
