@@ -276,13 +276,21 @@ def _settled(group: list[list], size: int) -> Iterator[tuple[int, int, int, int]
 
 
 def merged(coded: DataFrame, size: int) -> DataFrame:
-    """place, row, first, last of repeated windows, from front-coded runs; a part's runs are merged when all are there."""
+    """place, row and spans (first, last) of repeated windows, from front-coded runs; a part's runs are merged when all are there.
+
+    Spans that a part finds in one text leave it together, but for those of different batches.
+    """
+    kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(part: dict[int, list[dict]]) -> Iterator[pa.RecordBatch]:
             spans = repeated(merge([decoded(pieces) for pieces in part.values()]), size) if part else iter(())
             while out := list(itertools.islice(spans, 50_000)):
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["place", "row", "first", "last"])
+                texts: dict[tuple[int, int], list[dict]] = {}
+                for place, row, first, last in out:
+                    texts.setdefault((place, row), []).append({"first": first, "last": last})
+                places, rows = zip(*texts, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(rows, pa.int64()), pa.array(list(texts.values()), kind)], ["place", "row", "spans"])
 
         now, part = None, {}
         for batch in batches:
@@ -293,7 +301,7 @@ def merged(coded: DataFrame, size: int) -> DataFrame:
                 part.setdefault(piece["run"], []).append(piece)
         yield from found(part)
 
-    return coded.repartition("part").sortWithinPartitions("part", "run", "seq").mapInArrow(run, "place long, row long, first long, last long")
+    return coded.repartition("part").sortWithinPartitions("part", "run", "seq").mapInArrow(run, "place long, row long, spans array<struct<first: bigint, last: bigint>>")
 
 
 def spans_of(rows: DataFrame, size: int, n_words: int | None = None) -> DataFrame:
@@ -309,11 +317,9 @@ def spans_of(rows: DataFrame, size: int, n_words: int | None = None) -> DataFram
     met = cut(indexed.join(shared, "anchor").groupBy("place", "row").agg(F.collect_set(F.struct("at", "blocks")).alias("met")))  # as many as a row has windows
     parts = 1 + (met.agg(F.sum(F.size("met"))).first()[0] or 0) // PART_ENTRIES  # so that a part is as large at any size of corpus
     spans = merged(runs(rows.join(met, ["place", "row"]).select("place", "row", "text", "met"), size, parts), size)
-    spans = spans.groupBy("place", "row").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    if n_words is None:
-        return spans
-    both = spans.unionByName(word_spans_of(rows, n_words, size))
-    return both.groupBy("place", "row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    if n_words is not None:
+        spans = spans.unionByName(word_spans_of(rows, n_words, size))
+    return spans.groupBy("place", "row").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 _EDGE = re.compile(r"[\W_]*")
