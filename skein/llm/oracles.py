@@ -55,6 +55,32 @@ REPEATED_BYTES = """WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(t
     e AS (SELECT doc_id, first, stop, lag(stop, 1, 0) OVER (PARTITION BY doc_id ORDER BY first) AS since FROM r), k AS (SELECT e.doc_id, string_agg(substr(x, 2 * since + 1, 2 * (first - since)), '' ORDER BY first) || substr(any_value(x), 2 * max(stop) + 1) AS h, sum(stop - first) AS gone, count(*) AS spans FROM e JOIN d USING (doc_id) GROUP BY 1)
     SELECT d.doc_id, len(d.x) // 2 AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(h, d.x))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
 
+FILTER_AUDIT = rf"""WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents), w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+    f AS (SELECT doc_id, part, CASE WHEN len(w) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END || CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t) THEN 'C' ELSE '' END
+        || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > least THEN 'E' ELSE '' END AS fails FROM w),
+    l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY 1), c AS (SELECT part, fails, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY 1, 2),
+    x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x), o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a JOIN x b ON b.x <> a.x JOIN x c ON c.x NOT IN (a.x, b.x) JOIN x d ON d.x NOT IN (a.x, b.x, c.x) JOIN x e ON e.x NOT IN (a.x, b.x, c.x, d.x)),
+    s AS (SELECT filter_order, step, substr(filter_order, step, 1) AS filter, '[' || substr(filter_order, 1, step) || ']' AS upto, CASE WHEN step = 1 THEN '[^A-E]' ELSE '[' || substr(filter_order, 1, step - 1) || ']' END AS earlier FROM o, (SELECT unnest(range(1, 6)) AS step)),
+    r AS (SELECT part, filter_order, step, filter, n, good, toxic, regexp_matches(fails, upto) AS gone, regexp_matches(fails, earlier) AS before, contains(fails, filter) AS fails_it, fails = filter AS alone FROM c, s),
+    g AS (SELECT part, filter_order, CAST(step AS INT) AS step, filter, sum(CASE WHEN gone THEN 0 ELSE n END) AS kept, sum(CASE WHEN fails_it AND NOT before THEN n ELSE 0 END) AS removed, sum(CASE WHEN fails_it AND before THEN n ELSE 0 END) AS redundant, sum(CASE WHEN alone THEN n ELSE 0 END) AS unique_fails,
+        sum(CASE WHEN fails_it AND NOT before THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN fails_it AND NOT before THEN toxic ELSE 0 END) AS toxic_lost FROM r GROUP BY 1, 2, 3, 4)
+    SELECT part, filter_order, step, filter, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM g"""
+
+
+def _runs(table: str, key: str) -> str:
+    words = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""SELECT id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM (SELECT {key} AS id, {words} AS w FROM {table})"""
+
+
+RESAMPLING = rf"""WITH tab AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, j: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS tab FROM (SELECT unnest(range(256)) AS i)),
+    df AS MATERIALIZED ({_runs('documents', 'doc_id')}), tf AS MATERIALIZED ({_runs('benchmark', 'item_id')}), v AS (SELECT f, hex(encode(f)) AS x FROM (SELECT f FROM df UNION SELECT f FROM tf)),
+    b AS MATERIALIZED (SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, len(x) // 2), lambda k: 16 * (strpos('0123456789ABCDEF', x[2 * k + 1]) - 1) + strpos('0123456789ABCDEF', x[2 * k + 2]) - 1)), lambda c, y: xor(c // 256, tab[xor(c, y) % 256 + 1])), 4294967295) % 10000 AS b FROM v, tab),
+    s AS (SELECT b, count(*) AS n FROM df JOIN b USING (f) GROUP BY 1), t AS (SELECT b, count(*) AS n FROM tf JOIN b USING (f) GROUP BY 1), e AS (SELECT (SELECT count(*) FROM df) AS s, (SELECT count(*) FROM tf) AS t),
+    g AS (SELECT s.b, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * (e.s + 10000) / ((s.n + 1)::DOUBLE * (e.t + 10000)))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (b), e),
+    m AS (SELECT id, count(*) AS n, sum(gain) AS gain FROM df JOIN b USING (f) JOIN g USING (b) GROUP BY 1), p AS (SELECT doc_id, coalesce(n, 0) AS n_features, CAST(CASE WHEN n > 0 THEN (gain - ((gain % n) + n) % n) // n ELSE 0 END AS BIGINT) AS weight, list_reduce(list_prepend(0::BIGINT, list_transform(range(1, 9), lambda i: strpos('0123456789abcdef', substr(sha256('7:' || doc_id), i, 1)) - 1)), lambda a, c: 16 * a + c) AS h FROM documents LEFT JOIN m ON id = doc_id),
+    q AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM p), r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM q WHERE n_features >= 39)
+    SELECT q.*, CASE WHEN rank <= 25 * n // 100 THEN rank END AS rank FROM q LEFT JOIN r USING (doc_id)"""
+
 ORACLE_SQL = {
-    "op1_minhash_dedup": NEAR_DUPLICATES, "op3_decontamination": DECONTAMINATION, "op6_suffix_dedup": REPEATED_BYTES, "op8_substring_dedup": SUBSTRINGS, "op9_license_scan": LICENSES,
+    "op1_minhash_dedup": NEAR_DUPLICATES, "op3_decontamination": DECONTAMINATION, "op6_suffix_dedup": REPEATED_BYTES, "op8_substring_dedup": SUBSTRINGS, "op9_license_scan": LICENSES, "op11_filter_audit": FILTER_AUDIT, "op12_resampling": RESAMPLING,
 }

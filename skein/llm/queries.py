@@ -6,7 +6,7 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprints, licenses, minhash, packing, quality, sharding, substrings, suffixes, token_counts
+from . import decontamination, filters, fingerprints, licenses, minhash, packing, quality, resampling, sharding, simhash, substrings, suffixes, token_counts
 from .common import read
 from .oracles import ORACLE_SQL
 
@@ -57,11 +57,24 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.interactions(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).where("not whole").drop("whole")
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_minhash_dedup, op2_sharding, op3_decontamination, op4_fingerprints, op5_packing,
         op6_suffix_dedup, op7_token_counts, op8_substring_dedup, op9_license_scan, op10_quality_classifier,
+        op11_filter_audit, op12_resampling, op13_simhash_dedup,
     )
 }
 

@@ -15,7 +15,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables he
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_twin(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "labels"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     rel = con.sql(ORACLE_SQL[name])
     got = QUERIES[name](spark, SF).select(*rel.columns)
