@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Keyword categories of the loaded-language scan.
@@ -200,20 +200,3 @@ def label_category(labels: Column) -> Column:
 def url_key(text: Column) -> Column:
     """F-36: base64url without padding."""
     return F.rtrim(F.translate(F.base64(text.cast("binary")), "+/=\n", "-_"))
-
-
-def local_time(df: DataFrame, ts: str, person: str, rules: DataFrame, fallback: str = "UTC?") -> DataFrame:
-    """F-15: df with `zone`, `zone_label` and `local` (a zone-less timestamp): the first rule whose window [from_day, to_day) holds the UTC day.
-
-    rules: rule (its order), canonical_id, from_day, to_day, zone, label; a bounded configuration table.
-    """
-    from pyspark.sql import Window
-
-    day = F.to_date(at(F.col(f"d.{ts}")))
-    keyed = df.withColumn("_rid", F.monotonically_increasing_id())
-    hits = keyed.alias("d").join(
-        F.broadcast(rules).alias("r"), (F.col(f"d.{person}") == F.col("r.canonical_id")) & (day >= F.col("r.from_day")) & (day < F.col("r.to_day")), "left"
-    )
-    ranked = hits.withColumn("_rn", F.row_number().over(Window.partitionBy("_rid").orderBy(F.col("rule").asc_nulls_last()))).where("_rn = 1")
-    zone = F.coalesce("zone", F.lit("UTC"))
-    return ranked.select(*[F.col(f"d.{c}") for c in df.columns], zone.alias("zone"), F.coalesce("label", F.lit(fallback)).alias("zone_label"), F.from_utc_timestamp(at(F.col(f"d.{ts}")), zone).alias("local"))

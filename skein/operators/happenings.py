@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import at, haversine, marker, round_half_up
+from ..functions.text import haversine, marker, round_half_up
 from ..session import ship
+from .density import merge_near
 from .joins import nearest, overlapping
 
 HOUR = 3_600_000
@@ -106,9 +107,8 @@ def co_present_events(gatherings: DataFrame) -> DataFrame:
     return p.join(q, "event_id").where("a <> b").groupBy("a", "b").agg(F.count_distinct("event_id").alias("weight"))
 
 
-def meetup_candidates(messages: DataFrame) -> DataFrame:
-    """E-11: days of a thread with a meet-up marker and both sides active."""
-    day = F.date_format(at(F.col("ts")), "yyyy-MM-dd")
+def meetup_candidates(messages: DataFrame, day: Column) -> DataFrame:
+    """E-11: days of a thread, as `day` keys them, with a meet-up marker and both sides active."""
     hit = marker(F.col("body"))
     g = messages.withColumns({"day": day, "_m": hit}).groupBy("thread_id", "day").agg(
         F.count_if("_m").alias("markers"), F.count_if("from_me").alias("mine"), F.count_if(~F.col("from_me")).alias("theirs"), F.min(F.when(F.col("_m"), F.col("ts"))).alias("start_ts"), F.max("ts").alias("end_ts")
@@ -116,10 +116,10 @@ def meetup_candidates(messages: DataFrame) -> DataFrame:
     return g.where("markers > 0 and mine > 0 and theirs > 0").select("thread_id", "day", "markers", "start_ts", "end_ts")
 
 
-def confirm_window(messages: DataFrame, size: int = 60, before: int = 20) -> DataFrame:
+def confirm_window(messages: DataFrame, day: Column, size: int = 60, before: int = 20) -> DataFrame:
     """E-12: up to 60 messages of a candidate day that start 20 before its first marker, moved back at the end."""
     w = Window.partitionBy("thread_id", "day")
-    m = messages.withColumn("day", F.date_format(at(F.col("ts")), "yyyy-MM-dd"))
+    m = messages.withColumn("day", day)
     m = m.withColumns({"_i": F.row_number().over(w.orderBy("ts", "id")) - 1, "_n": F.count("*").over(w)}).withColumn("_m", marker(F.col("body")))
     m = m.withColumn("_first", F.min(F.when(F.col("_m"), F.col("_i"))).over(w)).where("_first is not null")
     start = F.greatest(F.lit(0), F.least(F.col("_first") - before, F.col("_n") - size))
@@ -174,19 +174,12 @@ def geocode_misses(places: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def merge_clusters(vectors: DataFrame, cosine: float = 0.5) -> DataFrame:
-    """E-20: clusters (label, embedding) whose centroids' cosine reaches the threshold become one; the pair join is over centroids only."""
-    from .iterative import components
-
-    dims = vectors.select(F.size("embedding").alias("d")).first()
-    d = dims["d"] if dims else 0
-    mean = vectors.groupBy("label").agg(F.array(*[F.avg(F.get("embedding", F.lit(i)).cast("double")) for i in range(d)]).alias("c"), F.count("*").alias("n"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
-    mean = mean.withColumn("norm", F.sqrt(dot("c", "c")))
-    a, b = mean.select(F.col("label").alias("a"), F.col("c").alias("ca"), F.col("norm").alias("na")), mean.select(F.col("label").alias("b"), F.col("c").alias("cb"), F.col("norm").alias("nb"))
-    near = a.join(b, (F.col("a") < F.col("b")) & (dot("ca", "cb") >= cosine * F.col("na") * F.col("nb"))).select("a", "b")
-    merged = components(near)
-    sizes = mean.join(merged, mean.label == merged.node, "left").select("label", F.coalesce("component", "label").alias("cluster"), "n")
-    return sizes.groupBy("cluster").agg(F.sum("n").alias("n_faces"), F.array_join(F.array_sort(F.collect_set(F.col("label").cast("string"))), ",").alias("labels"))
+    """E-20: clusters (label, embedding) whose centroids' cosine reaches the threshold become one; centroids are searched in cells."""
+    each = vectors.select("label", F.posexplode("embedding").alias("i", "v")).groupBy("label", "i").agg(F.avg(F.col("v").cast("double")).alias("v"))
+    mean = each.groupBy(F.col("label").cast("long").alias("cluster")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda e: e["v"]).alias("x"))
+    merged = merge_near(mean, cosine).select(F.col("cluster").alias("label"), "merged")
+    sizes = vectors.groupBy(F.col("label").cast("long").alias("label")).agg(F.count("*").alias("n")).join(merged, "label")
+    return sizes.groupBy(F.col("merged").cast("int").alias("cluster")).agg(F.sum("n").alias("n_faces"), F.array_join(F.array_sort(F.collect_set(F.col("label").cast("string"))), ",").alias("labels"))
 
 
 def cluster_sheet(dets: DataFrame, low: float = 0.70) -> DataFrame:

@@ -253,12 +253,32 @@ def relink(stored: DataFrame, people: DataFrame) -> DataFrame:
     return j.select("key", F.when(same, F.col("canonical_id")).when(F.col("_n") == 1, F.col("_to")).alias("canonical_id"), state.alias("state"))
 
 
-def search(identities: DataFrame, messages: DataFrame, thread_identity: DataFrame, query: str, top: int = 20) -> DataFrame:
-    """I-18/I-22/M-01: people whose name or any alias holds the query, by messages."""
+def same_as(identities: DataFrame, merges: DataFrame) -> DataFrame:
+    """canonical_id and `same_as`, the sorted ids that proposed merges(winner_name, loser_name) pair it with.
+
+    Pairs are told by name, as ids are renumbered; a name that no person has, or several, pairs nobody.
+    """
+    one = identities.groupBy("display_name").agg(F.min("canonical_id").alias("id"), F.count("*").alias("n")).where("n = 1")
+    name = lambda c, out: one.select(F.col("display_name").alias(c), F.col("id").alias(out))
+    pairs = merges.join(name("winner_name", "a"), "winner_name").join(name("loser_name", "b"), "loser_name").where("a <> b").select("a", "b")
+    both = pairs.union(pairs.select("b", "a"))
+    return both.groupBy(F.col("a").alias("canonical_id")).agg(F.array_sort(F.collect_set("b")).alias("same_as"))
+
+
+def with_links(people: DataFrame, identities: DataFrame, merges: DataFrame, portraits: DataFrame) -> DataFrame:
+    """people(canonical_id, display_name, ...) with same_as (comma-joined) and has_portrait."""
+    linked = people.join(same_as(identities, merges), "canonical_id", "left").withColumn("same_as", F.coalesce(F.array_join("same_as", ","), F.lit("")))
+    pictured = portraits.select(F.col("name").alias("display_name")).distinct().withColumn("_p", F.lit(True))
+    return linked.join(pictured, "display_name", "left").withColumn("has_portrait", F.coalesce("_p", F.lit(False))).drop("_p")
+
+
+def search(identities: DataFrame, messages: DataFrame, thread_identity: DataFrame, query: str, merges: DataFrame, portraits: DataFrame, top: int = 20) -> DataFrame:
+    """I-18/I-22/M-01: people whose name or any alias holds the query, by messages, with aliases, sources, same_as and has_portrait."""
     like = f"%{query}%"
     hit = identities.where(F.col("display_name").ilike(like) | F.exists("aliases", lambda a: a.ilike(like)))
     n = messages.join(thread_identity, "thread_id").groupBy("canonical_id").agg(F.count("*").alias("message_count"))
-    return hit.join(n, "canonical_id", "left").select("canonical_id", "display_name", F.coalesce("message_count", F.lit(0)).alias("message_count")).orderBy(F.col("message_count").desc(), "canonical_id").limit(top)
+    found = hit.join(n, "canonical_id", "left").select("canonical_id", "display_name", "aliases", "sources", F.coalesce("message_count", F.lit(0)).alias("message_count"))
+    return with_links(found.orderBy(F.col("message_count").desc(), "canonical_id").limit(top), identities, merges, portraits)
 
 
 def apply_config(identities: DataFrame, thread_identity: DataFrame, messages: DataFrame, renames: DataFrame, splits: DataFrame) -> tuple[DataFrame, DataFrame]:

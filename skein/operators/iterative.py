@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 40, cut: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
     """G-06: (node, component) with the least node reachable, by min-label propagation with pointer jumping."""
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     labels = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"))

@@ -70,10 +70,10 @@ def current_state(messages: DataFrame, group: str, now: int) -> DataFrame:
     return messages.groupBy(group).agg(F.floor((F.lit(now) - F.max("ts")) / DAY).alias("days_since"), F.max_by("from_me", F.struct("ts", "id")).alias("last_from_me"), recent)
 
 
-def rhythm(messages: DataFrame) -> DataFrame:
-    """A-10: messages by week of the year and hour, UTC."""
+def rhythm(messages: DataFrame, local: str = "local") -> DataFrame:
+    """A-10: messages by week of the year and hour of the day, in the local time that column `local` has; weeks go by UTC."""
     year, week = week_index(at(F.col("ts")))
-    return messages.where("meaningful").groupBy(year.alias("year"), week.alias("week"), F.hour(at(F.col("ts"))).alias("hour")).agg(F.count("*").alias("n"), F.count_if("from_me").alias("n_from_me"))
+    return messages.where("meaningful").groupBy(year.alias("year"), week.alias("week"), F.hour(local).alias("hour")).agg(F.count("*").alias("n"), F.count_if("from_me").alias("n_from_me"))
 
 
 def almanac(gatherings: DataFrame, year: int, self_id: str) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import datetime
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import contains_like, preview, redacted, row_redacted, word_match
+from ..functions.local_time import formatted, local_time
+from ..functions.text import contains_like, is_handle, preview, redacted, row_redacted, word_match
+from .aggregates import stride
+from .identity import with_links
 
 
 def search_messages(messages: DataFrame, query: str, *, source: str | None = None, after: int | None = None, before: int | None = None, threads: list[str] | None = None, limit: int = 50, match: str = "word", redactions: tuple[str, ...] = (), over_fetch: bool = False) -> DataFrame:
@@ -42,12 +46,18 @@ def conversation(messages: DataFrame, thread: str, around: int, before: int = 20
     return window(messages.where(F.col("thread_id") == thread), "ts", around, before, after, "id")
 
 
-def person_summary(messages: DataFrame, thread_identity: DataFrame, identities: DataFrame) -> DataFrame:
-    """M-04 for every person: messages, first and last, sources and threads."""
+def person_summary(messages: DataFrame, thread_identity: DataFrame, identities: DataFrame, rules: DataFrame, merges: DataFrame, portraits: DataFrame) -> DataFrame:
+    """M-04 for every person: messages, first and last (in their local time too), sources and threads, same_as ids, and whether there's a portrait.
+
+    merges(winner_name, loser_name) are proposed pairs, portraits(name) the names that have one.
+    """
     s = messages.join(thread_identity, "thread_id").groupBy("canonical_id").agg(
         F.count("*").alias("messages"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count_distinct("source").alias("sources"), F.count_distinct("thread_id").alias("threads")
     )
-    return s.join(identities.select("canonical_id", "display_name"), "canonical_id")
+    for end in ("first", "last"):
+        s = local_time(s, f"{end}_ts", "canonical_id", rules).withColumn(f"{end}_local", formatted(f"{end}_ts")).drop("zone", "zone_label", "local")
+    named = s.join(identities.select("canonical_id", "display_name"), "canonical_id")
+    return with_links(named, identities, merges, portraits)
 
 
 def strip_sql(sql: str) -> str:
@@ -141,17 +151,29 @@ def thread_window(messages: DataFrame, ids: list[str], patterns: list[str], star
     return messages.where(hit & (F.col("ts") >= start) & (F.col("ts") < end)).orderBy("ts", "id")
 
 
-def on_this_day(messages: DataFrame, month: int, day: int, this_year: int, per_year: int = 8) -> DataFrame:
-    """M-05/A-31: samples of each former year: from the best tier that has rows (two-way and named, two-way, mapped, all), every n-th by time.
+def on_this_day(messages: DataFrame, rules: DataFrame, month: int, day: int, now: int, per_year: int = 8, me: str = "me", redactions: tuple[str, ...] = ()) -> DataFrame:
+    """M-05/A-31: of each former year's month and day, in the rememberer's local time: how many messages, with whom most, and samples.
 
-    messages carries canonical_id (null if unmapped) and two_way; dates are UTC.
+    messages(id, ts, from_me, sender_name, body, thread_id, canonical_id, display_name, two_way) are meaningful ones; canonical_id
+    is null where a thread has no person, two_way says that the rememberer ever wrote there. Samples come from the best tier that
+    has any: two-way with a named person, two-way with a person, with a person, all; every n-th by time. A band of a day on
+    either side in UTC is filtered before local time is looked up. Redacted messages don't count.
     """
-    from pyspark.sql import Window
-
-    from .aggregates import stride
-
-    d = F.timestamp_millis("ts")
-    m = messages.where((F.month(d) == month) & (F.dayofmonth(d) == day) & (F.year(d) < this_year)).withColumn("year", F.year(d))
-    tier = F.when(F.col("two_way") & F.col("canonical_id").isNotNull(), 0).when(F.col("two_way"), 1).when(F.col("canonical_id").isNotNull(), 2).otherwise(3)
-    m = m.withColumn("tier", tier).withColumn("_t", F.min("tier").over(Window.partitionBy("year"))).where("tier = _t")
-    return stride(m, ["year"], ["ts", "id"], per_year).select("year", "tier", "id")
+    at = F.timestamp_millis("ts")
+    days = [(datetime.date(2020, month, day) + datetime.timedelta(k)).strftime("%m-%d") for k in (-1, 0, 1)]  # a leap year
+    near = messages.where(F.date_format(at, "MM-dd").isin(days) & ~redacted([F.col("body"), F.col("sender_name")], redactions))
+    here = local_time(near.withColumn("_me", F.lit(me)), "ts", "_me", rules).withColumn("_now", F.lit(now))
+    here = local_time(here.withColumnsRenamed({"local": "then", "zone": "_z", "zone_label": "_l"}), "_now", "_me", rules)
+    m = here.where((F.month("then") == month) & (F.dayofmonth("then") == day) & (F.year("then") != F.year("local"))).withColumn("year", F.year("then"))
+    m = m.drop("zone", "zone_label", "local").withColumnsRenamed({"then": "local", "_z": "zone", "_l": "zone_label"}).withColumn("local_time", formatted("ts")).drop("zone", "zone_label", "local", "_now", "_me")
+    person = F.coalesce("canonical_id", "thread_id")
+    with_whom = m.groupBy("year", person.alias("who")).agg(F.count("*").alias("n"), F.min(F.coalesce("display_name", "thread_id")).alias("name"))
+    place = F.row_number().over(Window.partitionBy("year").orderBy(F.col("n").desc(), "who"))
+    five = with_whom.withColumn("_r", place).withColumn("all", F.sum("n").over(Window.partitionBy("year"))).where("_r <= 5")
+    entry = F.struct("_r", F.concat(F.col("name"), F.lit(" "), F.col("n").cast("string")).alias("text"))
+    top = five.groupBy("year").agg(F.max("all").alias("message_count"), F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["text"]), "; ").alias("top_people"))
+    known = F.col("canonical_id").isNotNull()
+    tier = F.when(F.col("two_way") & known & ~is_handle(F.coalesce("display_name", F.lit(""))), 0).when(F.col("two_way") & known, 1).when(known, 2).otherwise(3)
+    best = m.withColumn("tier", tier).withColumn("_t", F.min("tier").over(Window.partitionBy("year"))).where("tier = _t")
+    shown = stride(best, ["year"], ["ts", "id"], per_year)
+    return shown.join(top, "year").select("year", "message_count", "top_people", "tier", "id", "local_time", F.when(F.col("from_me"), "ME").otherwise("THEM").alias("speaker"), "thread_id", F.substring(F.coalesce("body", F.lit("")), 1, 300).alias("body"))

@@ -6,11 +6,12 @@ from collections.abc import Callable
 from types import SimpleNamespace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.text import meaningful
 from ..operators import graph
 from . import adapters
-from .fragments import FRAGMENTS, NEEDS
+from .fragments import FRAGMENTS, NEEDS, ZONE_RULES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -34,6 +35,9 @@ class Archive(SimpleNamespace):
             "pm": lambda: self.msgs.join(self.thread_identity, "thread_id"),
             "membership": lambda: graph.group_membership(self.threads, self.identities, self.messages, self.thread_identity),
             "mention": lambda: graph.mentions(self.msgs, self.identities, self.thread_identity),
+            "rules": lambda: self.spark.createDataFrame([r[:6] for r in ZONE_RULES], "rule int, canonical_id string, from_day string, to_day string, zone string, label string").selectExpr("rule", "canonical_id", "CAST(from_day AS DATE) AS from_day", "CAST(to_day AS DATE) AS to_day", "zone", "label"),
+            "merges": lambda: self.identities.alias("a").join(self.identities.alias("b"), F.expr("b.n = a.n + 7")).selectExpr("a.display_name AS winner_name", "b.display_name AS loser_name"),
+            "portraits": lambda: self.messages.where("contains(body, 'birthday')").selectExpr("sender_name AS name").distinct(),
             "ep": lambda: self.gatherings.selectExpr("event_id", "'p' || substr(event_id, 2) AS photo_id"),
         }
         value = derived[name]() if name in derived else adapters.archive(self.spark, self.sf_dir, name)[0]

@@ -7,7 +7,33 @@ DAY = 86_400_000
 NOW = 1_709_251_200_000  # 2024-03-01, after the last event
 LATER = 1_719_792_000_000  # 2024-07-01
 
+#: Zone rules: order, person, first and last day, zone, label; and for the SQL twins its short name and offset in minutes, in January.
+ZONE_RULES = (
+    (0, "me", None, "2024-01-16", "Australia/Melbourne", "MEL", "MEL", 660), (1, "me", "2024-01-16", None, "America/Chicago", "CHI", "CST", -360),
+    (2, "id-1", "2024-01-01", "2024-01-15", "Asia/Tokyo", "TYO", "TYO", 540), (3, "id-1", "2024-01-10", "2024-12-31", "America/New_York", "NYC", "EST", -300),
+    (4, "id-2", "2024-01-05", "2024-01-25", "Asia/Kolkata", None, "GMT+5:30", 330), (5, "id-3", None, None, "Pacific/Auckland", "AKL", "AKL", 780), (6, "id-4", None, None, "America/Chicago", "CHI", "CST", -360),
+)
+
+
+def _rules() -> str:
+    day = lambda d: f"DATE '{d}'" if d else "NULL::DATE"
+    rows = ", ".join(f"({n}, '{who}', {day(a)}, {day(b)}, '{label or zone}', '{tag}', {off})" for n, who, a, b, zone, label, tag, off in ZONE_RULES)
+    return f"SELECT * FROM (VALUES {rows}) v(n, cid, a, b, label, tag, off)"
+
+
+def zone_of(person: str, ts: str) -> str:
+    """SQL for the first rule of a person that holds a moment's UTC day, as a struct."""
+    day = f"make_timestamp({ts} * 1000)::DATE"
+    return f"(SELECT arg_min(struct_pack(label := label, tag := tag, off := off), n) FROM rules WHERE cid = {person} AND (a IS NULL OR {day} >= a) AND (b IS NULL OR {day} < b))"
+
+
 FRAGMENTS = {
+    "rules": _rules(),
+    "merges": "SELECT a.display_name AS winner_name, b.display_name AS loser_name FROM identities a JOIN identities b ON b.n = a.n + 7",
+    "portraits": "SELECT DISTINCT sender_name AS name FROM messages WHERE contains(body, 'birthday')",
+    "same": "SELECT a AS canonical_id, string_agg(DISTINCT b, ',' ORDER BY b) AS same_as FROM (SELECT x.id AS a, y.id AS b FROM one x JOIN merges ON x.name = winner_name JOIN one y ON y.name = loser_name UNION SELECT y.id, x.id FROM one x JOIN merges ON x.name = winner_name JOIN one y ON y.name = loser_name) WHERE a <> b GROUP BY 1",
+    "one": "SELECT display_name AS name, min(canonical_id) AS id FROM identities GROUP BY 1 HAVING count(*) = 1",
+    "mine": f"SELECT *, make_timestamp(ts * 1000) + to_minutes(CAST(coalesce(z.off, 0) AS BIGINT)) AS local, coalesce(z.tag, 'UTC') AS tag FROM (SELECT *, {zone_of("'me'", 'ts')} AS z FROM msgs)",
     "msgs": f"SELECT *, {MEANINGFUL} AS meaningful FROM messages",
     "pm": "SELECT m.*, ti.canonical_id FROM msgs m JOIN thread_identity ti USING (thread_id)",
     "akeys": "SELECT DISTINCT canonical_id, k FROM (SELECT canonical_id, unnest(list_append(aliases, display_name)) AS k FROM identities)",
@@ -28,6 +54,7 @@ FRAGMENTS = {
 }
 #: What each fragment needs ahead of it: archive tables and fragments.
 NEEDS = {
+    "mine": ("messages", "msgs", "rules"), "merges": ("identities",), "portraits": ("messages",), "same": ("identities", "merges", "one"),
     "msgs": ("messages",), "pm": ("messages", "thread_identity", "msgs"), "akeys": ("identities",), "cnt": ("messages", "thread_identity"),
     "membership": ("messages", "thread_identity", "identities", "threads", "akeys", "cnt"), "forms": ("identities",),
     "mention": ("messages", "thread_identity", "identities", "msgs", "forms", "tokens"), "seen": ("gatherings",), "ep": ("gatherings",),

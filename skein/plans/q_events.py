@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.local_time import local_time
+from ..operators import density
 from ..operators import happenings as H
 from .catalog import query
 from .fragments import DAY
@@ -59,16 +61,21 @@ def _(a):
 _MARK = r"regexp_matches(lower(body), '\bomw\b|\bi''?m here\b|\bout front\b|\bsee (?:you|u) (?:there|soon|at|in)\b|\bjust left\b|\brunning late\b')"
 
 
-@query("q_e11_meetup_candidates", f"""SELECT thread_id, strftime(make_timestamp(ts * 1000), '%Y-%m-%d') AS day, count(*) FILTER (WHERE {_MARK}) AS markers, min(CASE WHEN {_MARK} THEN ts END) AS start_ts, max(ts) AS end_ts FROM msgs WHERE meaningful GROUP BY 1, 2
-    HAVING count(*) FILTER (WHERE {_MARK}) > 0 AND count(*) FILTER (WHERE from_me) > 0 AND count(*) FILTER (WHERE NOT from_me) > 0""", "msgs")
+def _mine(a):
+    """Meaningful messages with the rememberer's local time."""
+    return local_time(a.msgs.where("meaningful").withColumn("me", F.lit("me")), "ts", "me", a.rules)
+
+
+@query("q_e11_meetup_candidates", f"""SELECT thread_id, strftime(local, '%Y-%m-%d') AS day, count(*) FILTER (WHERE {_MARK}) AS markers, min(CASE WHEN {_MARK} THEN ts END) AS start_ts, max(ts) AS end_ts FROM mine WHERE meaningful GROUP BY 1, 2
+    HAVING count(*) FILTER (WHERE {_MARK}) > 0 AND count(*) FILTER (WHERE from_me) > 0 AND count(*) FILTER (WHERE NOT from_me) > 0""", "mine")
 def _(a):
-    return H.meetup_candidates(a.msgs.where("meaningful"))
+    return H.meetup_candidates(_mine(a), F.date_format("local", "yyyy-MM-dd"))
 
 
-@query("q_e12_confirm_window", f"""WITH i AS (SELECT thread_id, id, strftime(make_timestamp(ts * 1000), '%Y-%m-%d') AS day, {_MARK} AS m, ts FROM msgs WHERE meaningful), j AS (SELECT *, row_number() OVER (PARTITION BY thread_id, day ORDER BY ts, id) - 1 AS i, count(*) OVER (PARTITION BY thread_id, day) AS n FROM i),
-    k AS (SELECT *, min(CASE WHEN m THEN i END) OVER (PARTITION BY thread_id, day) AS f FROM j) SELECT thread_id, day, id FROM k WHERE f IS NOT NULL AND i >= greatest(0, least(f - 2, n - 6)) AND i < greatest(0, least(f - 2, n - 6)) + 6""", "msgs")
+@query("q_e12_confirm_window", f"""WITH i AS (SELECT thread_id, id, strftime(local, '%Y-%m-%d') AS day, {_MARK} AS m, ts FROM mine WHERE meaningful), j AS (SELECT *, row_number() OVER (PARTITION BY thread_id, day ORDER BY ts, id) - 1 AS i, count(*) OVER (PARTITION BY thread_id, day) AS n FROM i),
+    k AS (SELECT *, min(CASE WHEN m THEN i END) OVER (PARTITION BY thread_id, day) AS f FROM j) SELECT thread_id, day, id FROM k WHERE f IS NOT NULL AND i >= greatest(0, least(f - 2, n - 6)) AND i < greatest(0, least(f - 2, n - 6)) + 6""", "mine")
 def _(a):
-    return H.confirm_window(a.msgs.where("meaningful"), 6, 2)
+    return H.confirm_window(_mine(a), F.date_format("local", "yyyy-MM-dd"), 6, 2)
 
 
 @query("q_e13_uncovered", f"SELECT a.event_id FROM gatherings a WHERE a.source = 'messages' AND NOT EXISTS (SELECT 1 FROM gatherings b WHERE b.source = 'photos' AND b.start_ts <= a.end_ts + {6 * _HOUR} AND b.end_ts >= a.start_ts - {6 * _HOUR} AND (list_has_any(a.participants, b.participants) OR len(b.participants) = 0))", "gatherings")
@@ -123,6 +130,12 @@ def _(a):
     return H.merge_clusters(a.table("embeddings"), 0.5)
 
 
+@query("q_e20_face_clusters")
+def _(a):
+    dets = a.table("embeddings").selectExpr("vec_id AS det_id", "concat('p', vec_id div 3) AS photo_id", "embedding", "CASE WHEN vec_id % 23 = 0 THEN 0.4D ELSE 0.5D + (vec_id * 37 % 50) / 100D END AS det_score")
+    return density.cluster_report(dets, density.face_clusters(dets))
+
+
 @query("q_e21_face_ingest", "SELECT p.id, count(f.canonical_id) > 0 AS has_named_face FROM photos p LEFT JOIN (SELECT * FROM photo_faces WHERE canonical_id NOT IN ('id-1', 'id-2')) f ON f.photo_id = p.id GROUP BY 1", "photos photo_faces")
 def _(a):
     named = a.photo_faces.where("canonical_id NOT IN ('id-1', 'id-2')").select(F.col("photo_id").alias("id")).distinct().withColumn("_f", F.lit(True))

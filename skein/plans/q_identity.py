@@ -168,9 +168,9 @@ def _(a):
     return a.spark.createDataFrame([("id-1",), ("id-2",), ("id-999999",)], "canonical_id string").join(a.identities, "canonical_id", "left_anti")
 
 
-@query("q_i18_i22_m01_search", "SELECT i.canonical_id, i.display_name, coalesce(c.n, 0) AS message_count FROM identities i LEFT JOIN cnt c USING (canonical_id) WHERE i.display_name ILIKE '%ann%' OR len(list_filter(i.aliases, lambda x: x ILIKE '%ann%')) > 0 ORDER BY 3 DESC, 1 LIMIT 20", "identities cnt")
+@query("q_i18_i22_m01_search", "SELECT i.canonical_id, i.display_name, array_to_string(i.aliases, ',') AS aliases, array_to_string(i.sources, ',') AS sources, coalesce(c.n, 0) AS message_count, coalesce(same_as, '') AS same_as, i.display_name IN (SELECT name FROM portraits) AS has_portrait FROM identities i LEFT JOIN cnt c USING (canonical_id) LEFT JOIN same USING (canonical_id) WHERE i.display_name ILIKE '%ann%' OR len(list_filter(i.aliases, lambda x: x ILIKE '%ann%')) > 0 ORDER BY coalesce(c.n, 0) DESC, 1 LIMIT 20", "identities cnt same portraits")
 def _(a):
-    return I.search(a.identities, a.messages, a.thread_identity, "ann")
+    return I.search(a.identities, a.messages, a.thread_identity, "ann", a.merges, a.portraits).withColumns({c: F.array_join(c, ",") for c in ("aliases", "sources")})
 
 
 @query("q_i16_alias_config", """WITH s(thread_id, name) AS (VALUES ('t1', 'Zed Two'), ('t2', 'Zed Two'), ('t3', 'Amy Three')), n AS (SELECT name, 'id-' || CAST((SELECT max(n) FROM identities) + row_number() OVER (ORDER BY name) AS STRING) AS id FROM (SELECT DISTINCT name FROM s))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.local_time import local_time
 from ..functions.text import CATEGORIES, categories
 from ..operators import people as P
 from ..operators.aggregates import head_middle_tail, systematic
@@ -61,9 +62,9 @@ def _(a):
     return P.current_state(a.pm, "canonical_id", NOW)
 
 
-@query("q_a10_t07_rhythm", f"""SELECT year(date_trunc('week', {_TS})) AS year, CAST(date_diff('day', date_trunc('week', make_date(year(date_trunc('week', {_TS})), 1, 1)::TIMESTAMP)::DATE, date_trunc('week', {_TS})::DATE) // 7 AS INT) AS week, hour({_TS}) AS hour, count(*) AS n, count(*) FILTER (WHERE from_me) AS n_from_me FROM msgs WHERE meaningful GROUP BY 1, 2, 3""", "msgs", ints="year hour")
+@query("q_a10_t07_rhythm", f"""SELECT year(date_trunc('week', {_TS})) AS year, CAST(date_diff('day', date_trunc('week', make_date(year(date_trunc('week', {_TS})), 1, 1)::TIMESTAMP)::DATE, date_trunc('week', {_TS})::DATE) // 7 AS INT) AS week, hour(local) AS hour, count(*) AS n, count(*) FILTER (WHERE from_me) AS n_from_me FROM mine WHERE meaningful GROUP BY 1, 2, 3""", "mine", ints="year hour")
 def _(a):
-    return P.rhythm(a.msgs)
+    return P.rhythm(local_time(a.msgs.withColumn("me", F.lit("me")), "ts", "me", a.rules))
 
 
 @query("q_a12_almanac", "WITH s AS (SELECT * FROM seen WHERE canonical_id <> 'id-0'), n AS (SELECT canonical_id, count(*) AS n FROM s WHERE y = 1998 GROUP BY 1) SELECT canonical_id, n, n / (SELECT sum(n) FROM n) AS share, (SELECT min(y) FROM s WHERE s.canonical_id = n.canonical_id) = 1998 AS new_face FROM n", "seen")

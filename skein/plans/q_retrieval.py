@@ -9,7 +9,7 @@ from ..operators import gates as D
 from ..operators import retrieval as M
 from ..sources import tables as S
 from .catalog import query
-from .fragments import LATER
+from .fragments import LATER, zone_of
 
 
 @query("q_m02_search", r"""SELECT id, ts, thread_id, sender_name, substr(body, 1, 500) AS body, len(body) > 500 AS body_truncated FROM messages WHERE body ILIKE '%late%' AND source = 'gmail' AND ts >= 1704500000000 AND ts < 1706000000000 AND NOT (regexp_matches(body, '(?i)ann') OR regexp_matches(sender_name, '(?i)ann'))
@@ -18,17 +18,25 @@ def _(a):
     return M.search_messages(a.messages, "late", source="gmail", after=1_704_500_000_000, before=1_706_000_000_000, redactions=("(?i)ann",))
 
 
-@query("q_m04_person_summary", "SELECT canonical_id, count(*) AS messages, min(ts) AS first_ts, max(ts) AS last_ts, count(DISTINCT source) AS sources, count(DISTINCT thread_id) AS threads, any_value(display_name) AS display_name FROM pm JOIN identities USING (canonical_id) GROUP BY 1", "pm identities")
+_LOCAL = "strftime(make_timestamp({t} * 1000) + to_minutes(CAST(coalesce({z}.off, 0) AS BIGINT)), '%Y-%m-%d %H:%M') || ' ' || coalesce({z}.tag, 'UTC')"
+
+
+@query("q_m04_person_summary", f"""WITH s AS (SELECT canonical_id, count(*) AS messages, min(ts) AS first_ts, max(ts) AS last_ts, count(DISTINCT source) AS sources, count(DISTINCT thread_id) AS threads FROM pm GROUP BY 1), z AS (SELECT *, {zone_of('canonical_id', 'first_ts')} AS a, {zone_of('canonical_id', 'last_ts')} AS b FROM s)
+    SELECT canonical_id, messages, first_ts, last_ts, sources, threads, {_LOCAL.format(t='first_ts', z='a')} AS first_local, {_LOCAL.format(t='last_ts', z='b')} AS last_local, display_name, coalesce(same_as, '') AS same_as, display_name IN (SELECT name FROM portraits) AS has_portrait FROM z JOIN (SELECT canonical_id, display_name FROM identities) USING (canonical_id) LEFT JOIN same USING (canonical_id)""", "pm identities rules same portraits")
 def _(a):
-    return M.person_summary(a.messages, a.thread_identity, a.identities)
+    return M.person_summary(a.messages, a.thread_identity, a.identities, a.rules, a.merges, a.portraits)
 
 
-@query("q_m05_a31_on_this_day", """WITH t AS (SELECT thread_id, count(DISTINCT from_me) = 2 AS two_way FROM messages GROUP BY 1), m AS (SELECT m.id, m.ts, year(make_timestamp(m.ts * 1000)) AS year, CASE WHEN t.two_way AND ti.canonical_id IS NOT NULL THEN 0 WHEN t.two_way THEN 1 WHEN ti.canonical_id IS NOT NULL THEN 2 ELSE 3 END AS tier
-    FROM messages m JOIN t USING (thread_id) LEFT JOIN thread_identity ti USING (thread_id) WHERE month(make_timestamp(m.ts * 1000)) = 1 AND day(make_timestamp(m.ts * 1000)) = 12), k AS (SELECT * FROM (SELECT *, min(tier) OVER (PARTITION BY year) AS lo FROM m) WHERE tier = lo),
-    i AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY ts, id) - 1 AS i, count(*) OVER (PARTITION BY year) AS n FROM k) SELECT CAST(year AS INT) AS year, tier, id FROM i WHERE i % greatest(1, n // 8) = 0 AND i // greatest(1, n // 8) < 8""", "messages thread_identity")
+@query("q_m05_a31_on_this_day", """WITH t AS (SELECT thread_id, bool_or(from_me) AS two_way FROM messages GROUP BY 1), m AS (SELECT m.*, year(local) AS year, strftime(local, '%Y-%m-%d %H:%M') || ' ' || tag AS local_time, ti.canonical_id, i.display_name, two_way FROM mine m JOIN t USING (thread_id) LEFT JOIN thread_identity ti USING (thread_id) LEFT JOIN identities i USING (canonical_id)
+    WHERE meaningful AND strftime(local, '%m-%d') = '01-16' AND year(local) <> 2025 AND NOT contains(body, 'lunch')), w AS (SELECT year, coalesce(canonical_id, thread_id) AS who, count(*) AS n, min(coalesce(display_name, thread_id)) AS name FROM m GROUP BY 1, 2),
+    f AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY n DESC, who) AS r, sum(n) OVER (PARTITION BY year) AS every FROM w), p AS (SELECT year, CAST(max(every) AS BIGINT) AS message_count, string_agg(name || ' ' || n, '; ' ORDER BY r) AS top_people FROM f WHERE r <= 5 GROUP BY 1),
+    c AS (SELECT *, CASE WHEN two_way AND canonical_id IS NOT NULL AND NOT (contains(display_name, '@') OR (len(regexp_replace(display_name, '[^0-9]', '', 'g')) >= 7 AND NOT regexp_matches(display_name, '[A-Za-z]'))) THEN 0 WHEN two_way AND canonical_id IS NOT NULL THEN 1 WHEN canonical_id IS NOT NULL THEN 2 ELSE 3 END AS tier FROM m),
+    i AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY ts, id) - 1 AS i, count(*) OVER (PARTITION BY year) AS n FROM (SELECT *, min(tier) OVER (PARTITION BY year) AS lo FROM c) WHERE tier = lo)
+    SELECT CAST(year AS INT) AS year, message_count, top_people, tier, id, local_time, CASE WHEN from_me THEN 'ME' ELSE 'THEM' END AS speaker, thread_id, substr(body, 1, 300) AS body FROM i JOIN p USING (year) WHERE i % greatest(1, n // 8) = 0 AND i // greatest(1, n // 8) < 8""", "mine thread_identity identities")
 def _(a):
-    t = a.messages.groupBy("thread_id").agg((F.count_distinct("from_me") == 2).alias("two_way"))
-    return M.on_this_day(a.messages.join(t, "thread_id").join(a.thread_identity, "thread_id", "left"), 1, 12, 2025)
+    t = a.messages.groupBy("thread_id").agg(F.max("from_me").alias("two_way"))
+    named = a.thread_identity.join(a.identities.select("canonical_id", "display_name"), "canonical_id", "left")
+    return M.on_this_day(a.msgs.where("meaningful").join(t, "thread_id").join(named, "thread_id", "left"), a.rules, 1, 16, 1_736_985_600_000, redactions=("lunch",))
 
 
 @query("q_m06_m10_m11_guarded_sql", "SELECT o_orderpriority, count(*) AS n, avg(o_totalprice) > 100 AS dear FROM orders GROUP BY 1")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import local_time as L
 from ..functions import text as T
 from ..operators import joins as J
 from .catalog import query
-from .fragments import DAY, MEANINGFUL
+from .fragments import DAY, MEANINGFUL, zone_of
 
 
 @query("q_f01_meaningful", f"SELECT id, {MEANINGFUL} AS meaningful FROM messages", "messages")
@@ -65,22 +66,20 @@ def _(a):
     return a.photos.select("id", y.alias("y"), w.alias("w"))
 
 
-_RULES = "(0, 'id-1', DATE '2024-01-01', DATE '2024-01-15', 'Asia/Tokyo', 'JST'), (1, 'id-1', DATE '2024-01-10', DATE '2024-12-31', 'America/New_York', 'EST'), (2, 'id-2', DATE '2024-01-05', DATE '2024-02-01', 'Asia/Kolkata', 'IST')"
+_LOCAL = "make_timestamp(ts * 1000) + to_minutes(CAST(coalesce({z}.off, 0) AS BIGINT))"
 
 
-@query("q_f15_j13_local_time", f"""SELECT id, coalesce(label, 'UTC?') AS zone_label, strftime(make_timestamp(ts * 1000) + to_hours(coalesce(h, 0)) + to_minutes(coalesce(mi, 0)), '%Y-%m-%d %H:%M') AS local FROM (
-    SELECT m.id, m.ts, r.label, r.h, r.mi, row_number() OVER (PARTITION BY m.id ORDER BY r.n NULLS LAST) AS k FROM pm m LEFT JOIN (SELECT *, CASE z WHEN 'Asia/Tokyo' THEN 9 WHEN 'America/New_York' THEN -5 ELSE 5 END AS h, CASE z WHEN 'Asia/Kolkata' THEN 30 ELSE 0 END AS mi
-    FROM (VALUES {_RULES}) v(n, cid, a, b, z, label)) r ON r.cid = m.canonical_id AND make_timestamp(m.ts * 1000)::DATE >= r.a AND make_timestamp(m.ts * 1000)::DATE < r.b) WHERE k = 1""", "pm")
+@query("q_f15_j13_local_time", f"""SELECT id, coalesce(z.label, 'UTC?') AS zone_label, strftime({_LOCAL.format(z='z')}, '%Y-%m-%d %H:%M') || ' ' || coalesce(z.tag, 'UTC') AS local FROM (SELECT *, {zone_of('canonical_id', 'ts')} AS z FROM pm)""", "pm rules")
 def _(a):
-    rules = a.spark.sql(f"SELECT * FROM VALUES {_RULES} AS v(rule, canonical_id, from_day, to_day, zone, label)")
-    return T.local_time(a.pm.select("id", "ts", "canonical_id"), "ts", "canonical_id", rules).select("id", "zone_label", F.date_format("local", "yyyy-MM-dd HH:mm").alias("local"))
+    return L.local_time(a.pm.select("id", "ts", "canonical_id"), "ts", "canonical_id", a.rules).select("id", "zone_label", L.formatted("ts").alias("local"))
 
 
-@query("q_f16_two_sided", """SELECT id, strftime(make_timestamp(ts * 1000), '%Y-%m-%d %H:%M') || CASE WHEN from_me THEN '' ELSE ' / ' || strftime(make_timestamp(ts * 1000) + INTERVAL 9 HOUR, '%Y-%m-%d %H:%M') END AS shown FROM messages""", "messages")
+@query("q_f16_two_sided", f"""WITH s AS (SELECT id, ts, CASE WHEN from_me THEN 'me' ELSE canonical_id END AS s, CASE WHEN from_me THEN canonical_id ELSE 'me' END AS r FROM pm), z AS (SELECT *, {zone_of('s', 'ts')} AS a, {zone_of('r', 'ts')} AS b FROM s),
+    t AS (SELECT id, {_LOCAL.format(z='a')} AS ta, {_LOCAL.format(z='b')} AS tb, coalesce(a.tag, 'UTC') AS ga, coalesce(b.tag, 'UTC') AS gb, coalesce(a.label, 'UTC?') AS la, coalesce(b.label, 'UTC?') AS lb FROM z)
+    SELECT id, strftime(ta, '%Y-%m-%d %H:%M') || ' ' || ga || CASE WHEN strftime(ta, '%H:%M') || ga = strftime(tb, '%H:%M') || gb AND la = lb THEN '' ELSE ' / ' || strftime(tb, '%H:%M') || ' ' || gb END AS shown FROM t""", "pm rules")
 def _(a):
-    t = T.at(F.col("ts"))
-    mine, theirs = F.date_format(t, "yyyy-MM-dd HH:mm"), F.date_format(F.from_utc_timestamp(t, "Asia/Tokyo"), "yyyy-MM-dd HH:mm")
-    return a.messages.select("id", F.concat_ws(" / ", mine, F.when(~F.col("from_me"), theirs)).alias("shown"))
+    sides = a.pm.select("id", "ts", F.when(F.col("from_me"), "me").otherwise(F.col("canonical_id")).alias("s"), F.when(F.col("from_me"), F.col("canonical_id")).otherwise("me").alias("r"))
+    return L.two_sided(sides, "ts", "s", "r", a.rules).select("id", "shown")
 
 
 @query("q_f18_redaction", "SELECT id FROM messages WHERE NOT (regexp_matches(body, '(?i)lunch|\\bann\\b') OR regexp_matches(sender_name, '(?i)lunch|\\bann\\b'))", "messages")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +44,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class Scratch:
+    """Tables of a loop, written to the shared folder, until the loop's result is.
+
+    A checkpoint keeps the size that was guessed for its plan, and the guess for a join is a product: in a loop of
+    joins it gets twice as many digits every round. A table that is read again has the size that it has.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.home, self.n = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}", 0
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        df.write.parquet(f"{self.home}/{self.n}")
+        return self.spark.read.parquet(f"{self.home}/{self.n}")
+
+    def end(self, df: DataFrame) -> DataFrame:
+        """df without lineage; the loop's tables go."""
+        out = cut(df)
+        if self.n:
+            remove(self.spark, self.home)
+        return out
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder, through the file system of its path."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
