@@ -193,11 +193,6 @@ def birthday_inference(messages: DataFrame, known: DataFrame) -> DataFrame:
     return c.select("canonical_id", "month", "day", "years", "greetings", F.when(F.col("years") >= 2, "HIGH").when(F.col("_days") == 1, "MEDIUM").otherwise("LOW").alias("confidence"))
 
 
-def email_summary(emails: DataFrame) -> DataFrame:
-    """A-24: correspondents and messages by category."""
-    return emails.groupBy(F.coalesce("category", F.lit("uncategorized")).alias("category")).agg(F.count("*").alias("correspondents"), F.sum("n_messages").alias("messages"))
-
-
 #: Words that name no topic.
 STOP = "the a an and or of to in on at for with party night live show event you your we our me my is are be a &".split()
 
@@ -226,23 +221,6 @@ def facet_topics(facets: list[tuple[str, DataFrame, str, int, int]]) -> DataFram
     return out.withColumn("weight", F.col("n") / F.sum("n").over(Window.partitionBy("facet")))
 
 
-def milestones(messages: DataFrame, gatherings: DataFrame, years: tuple[int, int] = (2005, 2035)) -> DataFrame:
-    """A-28: each year's messages with its first person (of a tie the least id), and events."""
-    m = messages.withColumn("year", F.year(at(F.col("ts")))).where(F.col("year").between(*years))
-    n = m.groupBy("year", "canonical_id").agg(F.count("*").alias("n"))
-    t = n.groupBy("year").agg(F.sum("n").alias("messages"), F.min_by("canonical_id", F.struct(-F.col("n"), "canonical_id")).alias("top_person"))
-    e = gatherings.withColumn("year", F.year(at(F.col("start_ts")))).where(F.col("year").between(*years)).groupBy("year").agg(F.count("*").alias("events"))
-    return t.join(e, "year", "full").select("year", F.coalesce("messages", F.lit(0)).alias("messages"), "top_person", F.coalesce("events", F.lit(0)).alias("events"))
-
-
-def on_this_day(messages: DataFrame, month: int, day: int, this_year: int) -> DataFrame:
-    """A-30: counts of this date in former years with the first person of each."""
-    d = at(F.col("ts"))
-    m = messages.where((F.month(d) == month) & (F.dayofmonth(d) == day) & (F.year(d) < this_year)).withColumn("year", F.year(d))
-    n = m.groupBy("year", "canonical_id").agg(F.count("*").alias("n"))
-    return n.groupBy("year").agg(F.sum("n").alias("messages"), F.min_by("canonical_id", F.struct(-F.col("n"), "canonical_id")).alias("top_person"))
-
-
 def life_map(places: DataFrame, top: int = 400) -> DataFrame:
     """A-33: mean position and photos of each city."""
     c = places.where("city is not null").groupBy("city").agg(F.avg("lat").alias("lat"), F.avg("lng").alias("lng"), F.count("*").alias("photos"))

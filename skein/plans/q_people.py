@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 from ..functions.local_time import local_time
 from ..functions.text import CATEGORIES, categories
 from ..operators import people as P
+from ..operators import reports as R
 from ..operators.aggregates import head_middle_tail, systematic
+from ..operators.joins import by_address
 from .catalog import query
 from .fragments import DAY, LATER, NOW
 
 _TS = "make_timestamp(ts * 1000)"
+_W0 = "make_timestamp(start_ts * 1000)"
 _ROUND = "floor(({}) * {} + 0.5) / {}"
 
 
@@ -72,6 +75,22 @@ def _(a):
     return P.almanac(a.gatherings, 1998, "id-0")
 
 
+_BACK = 820_454_400_000  # messages of January 2024 as of January 1998, a year that has events
+
+
+@query("q_a12_year", f"""WITH g AS (SELECT *, year({_W0}) AS y FROM gatherings), s AS (SELECT y, unnest(participants) AS p FROM g), n AS (SELECT p, count(*) FILTER (WHERE y = 1998) AS now, count(*) FILTER (WHERE y = 1997) AS before, min(y) AS first FROM s WHERE p <> 'id-0' GROUP BY 1),
+    m AS (SELECT canonical_id AS c FROM msgs LEFT JOIN thread_identity USING (thread_id) WHERE meaningful AND year(make_timestamp((ts - {_BACK}) * 1000)) = 1998), d AS (SELECT c, count(*) AS n FROM m WHERE c IS NOT NULL AND c <> 'id-0' GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, c) AS r, sum(n) OVER () AS t FROM d),
+    b AS (SELECT * FROM g WHERE y = 1998 ORDER BY n_photos DESC, event_id LIMIT 1), o AS (SELECT 'counts' AS section, NULL::INT AS place, 'events' AS item, count(*) AS n, NULL::DOUBLE AS share FROM g WHERE y = 1998 UNION ALL SELECT 'counts', NULL, 'inferred', count(*), NULL FROM g WHERE y = 1998 AND source = 'messages'
+    UNION ALL SELECT 'counts', NULL, 'messages', count(*), NULL FROM m UNION ALL SELECT 'counts', NULL, 'photos', count(*), NULL FROM photos WHERE year({_TS}) = 1998 UNION ALL SELECT 'counts', NULL, 'people', count(*), NULL FROM n WHERE now > 0
+    UNION ALL SELECT 'months', NULL, CAST(k AS STRING), count(g.event_id), NULL FROM (SELECT unnest(range(1, 13)) AS k) LEFT JOIN g ON y = 1998 AND month({_W0}) = k GROUP BY k UNION ALL SELECT 'most_seen', NULL, p, now, NULL FROM n WHERE now > 0 UNION ALL SELECT 'new_faces', NULL, p, now, NULL FROM n WHERE first = 1998
+    UNION ALL SELECT 'lapsed', NULL, p, before, NULL FROM n WHERE before > 0 AND now = 0 UNION ALL (SELECT 'top_places', row_number() OVER (ORDER BY count(*) DESC, place_name), place_name, count(*), NULL FROM g WHERE y = 1998 AND place_name IS NOT NULL GROUP BY 3 ORDER BY 4 DESC, 3 LIMIT 8) UNION ALL SELECT 'biggest_event', 1, event_id, n_photos, NULL FROM b
+    UNION ALL SELECT 'biggest_event_people', NULL, p, start_ts, NULL FROM (SELECT unnest(participants) AS p, start_ts FROM b) WHERE p <> 'id-0' UNION ALL SELECT 'concentration', NULL, 'people', count(*), NULL FROM d
+    UNION ALL SELECT 'concentration', NULL, 'top1', coalesce(max(n), 0), coalesce(max(n) / max(t), 0) FROM r WHERE r = 1 UNION ALL SELECT 'concentration', NULL, 'top5', coalesce(sum(n), 0), coalesce(sum(n) / max(t), 0) FROM r WHERE r <= 5)
+    SELECT section, CAST(place AS INT) AS place, item, display_name AS name, CAST(o.n AS BIGINT) AS n, share FROM o LEFT JOIN identities ON canonical_id = item""", "gatherings msgs thread_identity photos identities")
+def _(a):
+    return R.almanac(a.gatherings, a.msgs.withColumn("ts", F.col("ts") - _BACK), a.photos, a.thread_identity, a.identities, 1998, "id-0")
+
+
 @query("q_a12_lapsed", "SELECT DISTINCT canonical_id FROM seen WHERE y = 1997 AND canonical_id NOT IN (SELECT canonical_id FROM seen WHERE y = 1998)", "seen")
 def _(a):
     return P.lapsed(a.gatherings, 1998)
@@ -162,9 +181,11 @@ def _(a):
     return P.birthday_inference(a.pm, a.spark.createDataFrame([("id-1",)], "canonical_id string"))
 
 
-@query("q_a24_email_summary", "SELECT coalesce(category, 'uncategorized') AS category, count(*) AS correspondents, CAST(sum(n_messages) AS BIGINT) AS messages FROM emails GROUP BY 1", "emails")
+@query("q_a24_email_summary", """WITH o AS (SELECT 'totals' AS section, NULL::INT AS place, 'correspondents' AS item, count(*) AS n FROM emails UNION ALL SELECT 'totals', NULL, 'messages', sum(n_messages) FROM emails UNION ALL SELECT 'by_category', NULL, coalesce(category, 'uncategorized'), sum(n_messages) FROM emails GROUP BY 3
+    UNION ALL (SELECT 'top_domains', row_number() OVER (ORDER BY sum(n_messages) DESC, domain), domain, sum(n_messages) FROM emails WHERE domain IS NOT NULL GROUP BY domain ORDER BY 2 LIMIT 50) UNION ALL (SELECT 'top_correspondents', row_number() OVER (ORDER BY n_messages DESC, addr), addr, n_messages FROM emails ORDER BY 2 LIMIT 50))
+    SELECT section, CAST(place AS INT) AS place, item, CAST(o.n AS BIGINT) AS n, e.display_name, e.list_unsubscribe FROM o LEFT JOIN emails e ON section = 'top_correspondents' AND addr = item""", "emails")
 def _(a):
-    return P.email_summary(a.emails)
+    return R.email_summary(a.emails)
 
 
 _STOPS = ", ".join(f"'{w}'" for w in P.STOP)
@@ -184,30 +205,51 @@ def _(a):
     return P.facet_topics([("brand", p, "p_brand", 5, 10), ("type", p, "p_type", 3, 5)])
 
 
-@query("q_a28_milestones", f"""WITH n AS (SELECT year({_TS}) AS year, canonical_id, count(*) AS n FROM pm GROUP BY 1, 2), t AS (SELECT year, CAST(sum(n) AS BIGINT) AS messages FROM n GROUP BY 1), p AS (SELECT year, canonical_id FROM (SELECT *, row_number() OVER (PARTITION BY year ORDER BY n DESC, canonical_id) AS r FROM n) WHERE r = 1), e AS (SELECT year({_W}) AS year, count(*) AS events FROM gatherings GROUP BY 1)
-    SELECT CAST(coalesce(t.year, e.year) AS INT) AS year, coalesce(t.messages, 0) AS messages, p.canonical_id AS top_person, coalesce(e.events, 0) AS events FROM t FULL JOIN e ON t.year = e.year LEFT JOIN p ON p.year = t.year WHERE coalesce(t.year, e.year) BETWEEN 1990 AND 2035""", "pm gatherings")
+@query("q_a28_milestones", f"""WITH alone AS (SELECT thread_id, canonical_id FROM threads JOIN thread_identity USING (thread_id) WHERE NOT is_group AND canonical_id <> 'id-0'), m AS (SELECT year({_TS}) AS year, canonical_id AS c FROM msgs LEFT JOIN alone USING (thread_id) WHERE meaningful), p AS (SELECT year({_TS}) AS year, id, source FROM photos),
+    f AS (SELECT year, canonical_id AS c, count(*) AS n FROM p JOIN photo_faces ON photo_id = id WHERE canonical_id <> 'id-0' GROUP BY 1, 2), w AS (SELECT year, c, count(*) AS n FROM m WHERE c IS NOT NULL GROUP BY 1, 2), e AS (SELECT *, year({_W0}) AS year FROM gatherings), y AS (SELECT year FROM m UNION SELECT year FROM p UNION SELECT year FROM e),
+    l AS (SELECT year, string_agg(place_name, '; ' ORDER BY r) AS latest FROM (SELECT year, place_name, row_number() OVER (PARTITION BY year ORDER BY start_ts DESC, event_id) AS r FROM e) WHERE r <= 10 GROUP BY 1),
+    tw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY year ORDER BY n DESC, c) AS r FROM w) WHERE r = 1), tf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY year ORDER BY n DESC, c) AS r FROM f) WHERE r = 1)
+    SELECT CAST(y.year AS INT) AS year, (SELECT count(*) FROM m WHERE m.year = y.year) AS messages, tw.c AS top_person, tw.n AS top_n, (SELECT count(*) FROM p WHERE p.year = y.year AND p.source = '1-urgent') AS photos, tf.c AS most_photographed, tf.n AS photographed_n, (SELECT count(*) FROM e WHERE e.year = y.year) AS events, coalesce(latest, '') AS latest
+    FROM y LEFT JOIN tw ON tw.year = y.year LEFT JOIN tf ON tf.year = y.year LEFT JOIN l ON l.year = y.year WHERE y.year BETWEEN 1990 AND 2035""", "threads msgs thread_identity photos photo_faces gatherings")
 def _(a):
-    return P.milestones(a.pm, a.gatherings, years=(1990, 2035))
+    return R.milestones(a.msgs, a.threads, a.thread_identity, a.photos, a.photo_faces, a.gatherings, "id-0", "1-urgent", years=(1990, 2035))
 
 
-@query("q_a29_person_360", "SELECT 'messages' AS facet, count(*) AS n FROM pm WHERE canonical_id = 'id-4' UNION ALL SELECT 'photos', count(*) FROM photo_faces WHERE canonical_id = 'id-4' UNION ALL SELECT 'events', count(*) FROM seen WHERE canonical_id = 'id-4' UNION ALL SELECT 'mentions', count(*) FROM mention WHERE mentioned_canonical_id = 'id-4'", "pm photo_faces seen mention")
+_BORN = "SELECT canonical_id, CAST(n % 12 + 1 AS INT) AS month, CAST(n % 28 + 1 AS INT) AS day FROM {identities}"
+
+
+@query("q_a29_person_360", f"""WITH mp AS (SELECT * FROM pm WHERE canonical_id = 'id-4' AND meaningful), c AS (SELECT * FROM calls WHERE '+' || regexp_replace(address, '[^0-9]', '', 'g') IN (SELECT unnest(aliases) FROM identities WHERE canonical_id = 'id-4')), f AS (SELECT photo_id FROM photo_faces WHERE canonical_id = 'id-4'), g AS (SELECT *, list_contains(participants, 'id-4') AS there FROM gatherings),
+    o AS (SELECT 'stat' AS facet, NULL::INT AS place, 'messages' AS item, count(*) AS n FROM mp HAVING count(*) > 0 UNION ALL SELECT 'stat', NULL, 'first_ts', min(ts) FROM mp HAVING count(*) > 0 UNION ALL SELECT 'stat', NULL, 'last_ts', max(ts) FROM mp HAVING count(*) > 0 UNION ALL SELECT 'by_source', NULL, source, count(*) FROM mp GROUP BY 3
+    UNION ALL SELECT x, NULL, CAST(year({_TS}) AS STRING), count(*) FROM mp, (SELECT unnest(['by_year', 'series_messages']) AS x) GROUP BY 1, 3 UNION ALL SELECT 'birthday', NULL, printf('%02d-%02d', month, day), 1 FROM ({_BORN.format(identities='identities')}) WHERE canonical_id = 'id-4' UNION ALL SELECT 'mentions', NULL, 'messages', count(*) FROM mention WHERE mentioned_canonical_id = 'id-4' HAVING count(*) > 0
+    UNION ALL SELECT 'calls', NULL, 'calls', count(*) FROM c HAVING count(*) > 0 UNION ALL SELECT 'calls', NULL, 'seconds', sum(trunc(duration_s)) FROM c HAVING count(*) > 0 UNION ALL SELECT 'calls', NULL, 'missed', count(*) FROM c WHERE NOT answered HAVING count(*) > 0 UNION ALL SELECT 'calls', NULL, 'last_ts', max(ts) FROM c HAVING count(*) > 0
+    UNION ALL (SELECT 'photos', row_number() OVER (ORDER BY ts DESC, asset_path), asset_path, ts FROM photos JOIN f ON photo_id = id ORDER BY 2 LIMIT 24) UNION ALL (SELECT 'co_present', row_number() OVER (ORDER BY count(*) DESC, canonical_id), canonical_id, count(*) FROM photo_faces JOIN f USING (photo_id) WHERE canonical_id NOT IN ('id-4', 'id-0') GROUP BY canonical_id ORDER BY 2 LIMIT 12)
+    UNION ALL (SELECT 'events', row_number() OVER (ORDER BY start_ts DESC, event_id), event_id, start_ts FROM g WHERE event_id IN (SELECT event_id FROM ep JOIN f USING (photo_id)) ORDER BY 2 LIMIT 40) UNION ALL (SELECT 'meetups', row_number() OVER (ORDER BY start_ts DESC, event_id), event_id, start_ts FROM g WHERE there AND source = 'messages' ORDER BY 2 LIMIT 40)
+    UNION ALL SELECT 'series_events', NULL, CAST(year({_W0}) AS STRING), count(*) FROM g WHERE there GROUP BY 3 UNION ALL (SELECT 'partners', row_number() OVER (ORDER BY count(*) DESC, p), p, count(*) FROM (SELECT unnest(participants) AS p FROM g WHERE there) WHERE p NOT IN ('id-4', 'id-0') GROUP BY p ORDER BY 2 LIMIT 12))
+    SELECT facet, CAST(place AS INT) AS place, item, CAST(n AS BIGINT) AS n FROM o""", "pm calls identities photo_faces gatherings mention photos ep")
 def _(a):
-    facet = lambda name, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("facet"), "n")
-    seen = a.gatherings.select(F.explode("participants").alias("canonical_id"))
-    out = facet("messages", a.pm.where("canonical_id = 'id-4'"))
-    for name, df in (("photos", a.photo_faces.where("canonical_id = 'id-4'")), ("events", seen.where("canonical_id = 'id-4'")), ("mentions", a.mention.where("mentioned_canonical_id = 'id-4'"))):
-        out = out.unionByName(facet(name, df))
-    return out
+    tables = {n: getattr(a, n) for n in ("pm", "photos", "photo_faces", "gatherings")} | {"mentions": a.mention, "event_photos": a.ep, "birthdays": a.spark.sql(_BORN, identities=a.identities)}
+    tables["calls"] = by_address(a.calls.withColumn("duration_s", F.floor("duration_s")), "address", a.identities, "n")
+    return R.person_360("id-4", tables, "id-0")
 
 
-@query("q_a30_on_this_day", f"WITH n AS (SELECT year({_TS}) AS year, canonical_id, count(*) AS n FROM pm WHERE month({_TS}) = 1 AND day({_TS}) = 12 AND year({_TS}) < 2025 GROUP BY 1, 2) SELECT CAST(year AS INT) AS year, CAST(sum(n) AS BIGINT) AS messages, (SELECT canonical_id FROM n m WHERE m.year = n.year ORDER BY m.n DESC, canonical_id LIMIT 1) AS top_person FROM n GROUP BY year", "pm")
+@query("q_a30_on_this_day", f"""WITH alone AS (SELECT thread_id, canonical_id FROM threads JOIN thread_identity USING (thread_id) WHERE NOT is_group), m AS (SELECT year({_TS}) AS year, canonical_id AS c FROM msgs LEFT JOIN alone USING (thread_id) WHERE meaningful AND month({_TS}) = 1 AND day({_TS}) = 12), w AS (SELECT year, c, row_number() OVER (PARTITION BY year ORDER BY count(*) DESC, c) AS r FROM m WHERE c IS NOT NULL GROUP BY 1, 2)
+    SELECT 'photos' AS section, CAST(year({_TS}) AS INT) AS year, asset_path AS item, NULL::BIGINT AS n FROM (SELECT * FROM photos WHERE source = '1-urgent' AND month({_TS}) = 1 AND day({_TS}) = 12 ORDER BY ts DESC, id LIMIT 60) UNION ALL SELECT 'events', CAST(year({_W0}) AS INT), place_name, n_photos FROM gatherings WHERE month({_W0}) = 1 AND day({_W0}) = 12
+    UNION ALL SELECT 'people', CAST(year AS INT), c, (SELECT count(*) FROM m WHERE m.year = w.year) FROM w WHERE r = 1""", "threads msgs thread_identity photos gatherings")
 def _(a):
-    return P.on_this_day(a.pm, 1, 12, 2025)
+    return R.on_this_day(a.msgs, a.threads, a.thread_identity, a.photos, a.gatherings, 1, 12, "1-urgent")
+
+
+_KIND = "CASE WHEN list_unsubscribe THEN 'bulk' WHEN n % 4 = 0 THEN 'automated' ELSE 'person' END"
 
 
-@query("q_a32_interests", "SELECT p_brand AS item, count(*) AS n FROM part GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+@query("q_a32_interests", f"""WITH v AS (SELECT unnest(['topic', 'artist', 'channel']) AS kind, unnest([p_type, p_brand, 'size ' || p_size]) AS topic FROM part), o AS (SELECT 'video_' || kind AS section, topic AS item, count(*) AS n FROM v GROUP BY 1, 2 UNION ALL SELECT 'events', place_name, count(*) FROM gatherings GROUP BY 2
+    UNION ALL SELECT 'mailing_lists', display_name, sum(n_messages) FROM emails WHERE {_KIND} <> 'person' AND display_name IS NOT NULL GROUP BY 2 UNION ALL SELECT 'mail_categories', category, count(*) FROM emails WHERE category IS NOT NULL GROUP BY 2), r AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY n DESC, item) AS place FROM o)
+    SELECT section, CASE WHEN section <> 'mail_categories' THEN CAST(place AS INT) END AS place, item, CAST(n AS BIGINT) AS n FROM r WHERE place <= CASE section WHEN 'video_artist' THEN 20 WHEN 'video_channel' THEN 20 WHEN 'mail_categories' THEN 1000000000 ELSE 30 END""", "gatherings emails")
 def _(a):
-    return a.table("part").groupBy(F.col("p_brand").alias("item")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "item").limit(10)
+    kinds = F.explode(F.create_map(F.lit("topic"), F.col("p_type"), F.lit("artist"), F.col("p_brand"), F.lit("channel"), F.concat(F.lit("size "), F.col("p_size").cast("string")))).alias("kind", "topic")
+    videos = a.table("part").select(kinds).groupBy("kind", "topic").agg(F.count("*").alias("n"))
+    events = a.gatherings.groupBy(F.col("place_name").alias("topic")).agg(F.count("*").alias("n"))
+    return R.interests(videos, events, a.emails.withColumn("kind", F.expr(_KIND)))
 
 
 @query("q_a33_life_map", "SELECT city, round(avg(lat), 6) AS lat, round(avg(lng), 6) AS lng, count(*) AS photos FROM places WHERE city IS NOT NULL GROUP BY 1 ORDER BY 4 DESC, 1 LIMIT 400", "places")
