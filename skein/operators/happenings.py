@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import haversine, marker, round_half_up
 from ..session import ship
 from .density import merge_near
-from .joins import nearest, overlapping
+from .joins import overlapping, within
 
 HOUR = 3_600_000
 
@@ -90,9 +90,25 @@ def majority_place(event_photos: DataFrame, places: DataFrame) -> DataFrame:
     return top.join(c, "event_id").select("event_id", F.coalesce("city", "place_name").alias("place"), "lat", "lng")
 
 
-def named(clusters: DataFrame, outside: DataFrame, reach: int = 6 * HOUR) -> DataFrame:
-    """E-06: each outside event (key, ts) with its nearest cluster (event_id, start_ts, end_ts), one to one."""
-    return nearest(outside, "key", "ts", clusters, "event_id", "start_ts", "end_ts", reach).select("key", "event_id", "gap")
+#: Responses of those who came.
+ATTENDED = ("hosted", "created", "ticket", "joined")
+
+
+def named(clusters: DataFrame, outside: DataFrame, reach: int = 6 * HOUR, near_km: float = 5.0, alone: int = 3 * HOUR) -> DataFrame:
+    """E-06: clusters(event_id, start_ts, end_ts, lat, lng) named by attended outside events (key, name, ts, lat, lng, response).
+
+    An outside event goes to the one cluster within reach whose start is nearest. There it counts as `geo` if it's within 5 km of the
+    cluster, as `time` if either has no position and it begins within 3 hours; one that is known to be far away doesn't count.
+    A cluster takes the nearest `geo` event, else the nearest `time` one. Of equal gaps the least id is taken.
+    """
+    came = outside.where(F.col("response").isin(*ATTENDED)).select("key", "name", "ts", F.col("lat").alias("olat"), F.col("lng").alias("olng"))
+    gap = F.abs(F.col("ts") - F.col("start_ts"))
+    near = within(came, "ts", clusters.select("event_id", "start_ts", "end_ts", "lat", "lng"), "start_ts", "end_ts", reach).withColumn("gap", gap)
+    one = near.groupBy("key").agg(F.min_by(F.struct("event_id", "name", "gap", "lat", "lng", "olat", "olng"), F.struct("gap", "event_id")).alias("c")).select("key", "c.*")
+    km = haversine(F.col("olat"), F.col("olng"), F.col("lat"), F.col("lng"))
+    match = F.when(km <= near_km, "geo").when(km.isNull() & (F.col("gap") <= alone), "time")
+    best = F.struct((F.col("match") != "geo").alias("far"), "gap", "key")
+    return one.withColumn("match", match).where("match is not null").groupBy("event_id").agg(F.min_by(F.struct("key", "name", "match", "gap"), best).alias("b")).select("event_id", "b.*")
 
 
 def person_events(event_photos: DataFrame, faces: DataFrame) -> DataFrame:
@@ -147,10 +163,32 @@ def unique_ids(events: DataFrame, wanted: str, order: list[str]) -> DataFrame:
     return events.withColumn("event_id", F.when(n == 1, F.col(wanted)).otherwise(F.concat_ws("-", F.col(wanted), n)))
 
 
-def best_invite(rows: DataFrame) -> DataFrame:
-    """E-16: of each invited event the best source (page, invite, other), then the newest."""
+def best_invite(rows: DataFrame, fields: list[str]) -> DataFrame:
+    """E-16: of each invited event every field from the best source that has it (page, invite, other; the newest of a kind)."""
     rank = F.when(F.col("kind") == "page", 2).when(F.col("kind") == "invite", 1).otherwise(0)
-    return rows.groupBy("event_id").agg(F.max_by(F.struct("kind", "title", "email_ts"), F.struct(rank, "email_ts", "title")).alias("b")).select("event_id", "b.*")
+    order = F.struct(rank, "email_ts", "row")
+    return rows.groupBy("event_id").agg(*(F.max_by(f, F.when(F.col(f).isNotNull(), order)).alias(f) for f in fields))
+
+
+def invitations(rows: DataFrame, details: DataFrame, messages: DataFrame, thread_identity: DataFrame, identities: DataFrame, link: str) -> DataFrame:
+    """E-16: events of invitation rows(event_id, row, kind, email_ts, name, start_ts, end_ts, host) and pages' details(event_id, hosts, venue).
+
+    Begin and end default to the mail's time and three hours later. Hosts are the page's, else the mail's, resolved by name (of a name that
+    several have the least id). The inviter is the person in whose thread the event's link was sent most often, not by oneself; links are
+    mined from bodies by the pattern `link`, whose first group is the event. Both are participants.
+    """
+    best = best_invite(rows, ["email_ts", "name", "start_ts", "end_ts", "host"])
+    e = best.join(details, "event_id", "left").withColumn("start_ts", F.coalesce("start_ts", "email_ts"))
+    e = e.withColumn("end_ts", F.coalesce(F.col("end_ts"), F.col("start_ts") + 3 * HOUR))
+    hosted = e.select("event_id", F.posexplode(F.when(F.size(F.coalesce("hosts", F.array().cast("array<string>"))) > 0, F.col("hosts")).otherwise(F.array_compact(F.array("host")))).alias("k", "who"))
+    by_name = identities.groupBy(F.lower("display_name").alias("_k")).agg(F.min("canonical_id").alias("id"))
+    known = hosted.join(by_name, F.lower("who") == F.col("_k")).groupBy("event_id").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("k", "id"))), lambda x: x["id"])).alias("host_ids"))
+    sent = messages.where("not from_me").select("thread_id", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(link)))).alias("event_id"))
+    who = sent.join(thread_identity, "thread_id").join(identities.select("canonical_id"), "canonical_id").groupBy("event_id", "canonical_id").agg(F.count("*").alias("n"))
+    inviter = who.groupBy("event_id").agg(F.min_by("canonical_id", F.struct(-F.col("n"), "canonical_id")).alias("inviter"))
+    out = e.join(known, "event_id", "left").join(inviter, "event_id", "left").withColumn("host_ids", F.coalesce("host_ids", F.array().cast("array<string>")))
+    venue = F.when(~F.lower("venue").isin("private location"), F.col("venue"))
+    return out.select("event_id", "name", "start_ts", "end_ts", venue.alias("venue"), "host_ids", "inviter", F.array_union("host_ids", F.array_compact(F.array("inviter"))).alias("participants"))
 
 
 def event_index(gatherings: DataFrame, event_photos: DataFrame, photos: DataFrame) -> DataFrame:
@@ -188,3 +226,22 @@ def cluster_sheet(dets: DataFrame, low: float = 0.70) -> DataFrame:
     return g.withColumn("low_quality", F.col("mean_score") < low)
 
 
+
+
+def face_tables(dets: DataFrame, clusters: DataFrame, labels: DataFrame, identities: DataFrame, photos: DataFrame, photo_faces: DataFrame, source: str) -> dict[str, DataFrame]:
+    """E-21: face_clusters, photo_faces and photos after labelled clusters of one source were taken in; other sources' rows stay.
+
+    dets(photo_id, cluster_id), clusters(cluster_id, n_faces), labels(cluster_id, label). A label "skip" or an empty one names nobody;
+    names are told apart by case no more than people's are, and of a name that several have the least id is taken.
+    """
+    said = labels.select("cluster_id", F.trim("label").alias("label")).where("label <> '' and lower(label) <> 'skip'").groupBy("cluster_id").agg(F.max("label").alias("label"))
+    by_name = identities.where("display_name is not null").groupBy(F.lower("display_name").alias("_k")).agg(F.min("canonical_id").alias("canonical_id"))
+    named_ = clusters.join(said, "cluster_id", "left").join(by_name, F.lower("label") == F.col("_k"), "left").drop("_k")
+    of_source = photos.where(F.col("source") == source).select(F.col("id").alias("photo_id"))
+    kept = photo_faces.join(of_source, "photo_id", "left_anti").select("photo_id", "canonical_id", "face_cluster")
+    who = named_.where("canonical_id is not null").select("cluster_id", "canonical_id")
+    found = dets.join(who, "cluster_id").groupBy("photo_id", "canonical_id").agg(F.min("cluster_id").alias("c")).select("photo_id", "canonical_id", F.concat(F.lit(f"{source}:cluster:"), F.col("c").cast("string")).alias("face_cluster"))
+    faces = kept.union(found.join(kept.select("photo_id", "canonical_id"), ["photo_id", "canonical_id"], "left_anti"))
+    shown = faces.select(F.col("photo_id").alias("id")).distinct().withColumn("_f", F.lit(True))
+    flagged = photos.join(shown, "id", "left").withColumn("has_named_face", F.when(F.col("source") == source, F.coalesce("_f", F.lit(False))).otherwise(F.col("has_named_face"))).drop("_f")
+    return {"face_clusters": named_, "photo_faces": faces, "photos": flagged}

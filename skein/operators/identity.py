@@ -228,9 +228,18 @@ def third_party_overlap(mention: DataFrame, people: DataFrame, least_signature:
 
 
 def misclassified_groups(messages: DataFrame, threads: DataFrame, least: int = 3) -> DataFrame:
-    """I-17: one-to-one threads with several senders: groups after all, with their senders."""
-    s = messages.where("not from_me").groupBy("thread_id").agg(F.array_sort(F.collect_set("sender_name")).alias("s")).where(F.size("s") >= least)
-    return threads.where("not is_group").join(s, "thread_id").select("thread_id", F.size("s").alias("senders"))
+    """I-17: one-to-one threads in whose messages several names write, with these names."""
+    s = messages.where("sender_name is not null").groupBy("thread_id").agg(F.array_sort(F.collect_set("sender_name")).alias("senders")).where(F.size("senders") >= least)
+    return threads.where("not is_group").join(s, "thread_id").select("thread_id", "senders")
+
+
+def reclassified(messages: DataFrame, threads: DataFrame, thread_identity: DataFrame, least: int = 3) -> dict[str, DataFrame]:
+    """I-17: threads and thread_identity with such threads as groups of their senders that belong to nobody; to be published together."""
+    wrong = misclassified_groups(messages, threads, least)
+    fixed = threads.join(wrong, "thread_id", "left")
+    fixed = fixed.withColumn("participants", F.when(F.col("senders").isNotNull(), F.filter("senders", lambda x: F.trim(x) != "")).otherwise(F.col("participants")))
+    fixed = fixed.withColumn("is_group", F.col("is_group") | F.col("senders").isNotNull()).select(threads.columns)
+    return {"threads": fixed, "thread_identity": thread_identity.join(wrong.select("thread_id"), "thread_id", "left_anti")}
 
 
 def anchors(people: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -5,28 +5,66 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-KEY_WORDS = 3
+from ..functions.text import normal_quote
+
+KEY_WORDS, KEY_CHARACTERS = 3, 3
+BLOCK_QUOTE = r"(?i)^>\s*(Them|You|They|Me)\s*:\s*(.*)$"
+PROSE_QUOTE = r'["“”]([^"“”]{8,300})["“”]'
 
 
 def _plain(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), r"[ \t\n\x0B\f\r]+", " "))
 
 
+def _runs(words: Column, size: int) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - size + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, size), " "))
+
+
+def _grams(text: Column, size: int) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1))), lambda i: F.substr(text, i, F.lit(size)))
+
+
 def verify(quotes: DataFrame, sources: DataFrame) -> DataFrame:
     """A-20: (item_id, doc_id) where a quote's text stands in a source, white space and case aside.
 
-    Quotes meet sources by a run of words from their inside, so that no text is searched for every quote;
-    quotes too short for that are compared by their first word's containing texts.
+    Quotes meet sources by a phrase from their inside (the first and last word may be cut inside a word of the source, inner runs
+    can't be); quotes too short for one meet them by their first characters. Only ids go through these joins, and only phrases that
+    some quote has; texts are fetched for the pairs that are left, and compared.
     """
     q = quotes.select("item_id", _plain(F.col("text")).alias("quote")).where("quote <> ''").withColumn("w", F.split("quote", " "))
-    # the first and last word may be cut inside a word of the source; inner runs can't be
-    q = q.withColumn("key", F.when(F.size("w") >= KEY_WORDS + 2, F.array_join(F.slice("w", 2, KEY_WORDS), " ")))
-    s = sources.select("doc_id", _plain(F.col("text")).alias("body")).withColumn("w", F.split("body", " "))
-    spots = s.select("doc_id", "body", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - KEY_WORDS + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, KEY_WORDS), " ")))).alias("key"))
-    long = spots.join(q.where("key is not null").select("item_id", "quote", "key"), "key").where(F.col("body").contains(F.col("quote")))
-    brief = q.where("key is null").select("item_id", "quote")
-    short = s.select("doc_id", "body").join(brief, F.col("body").contains(F.col("quote")))
-    return long.select("item_id", "doc_id").union(short.select("item_id", "doc_id")).distinct()
+    phrase = F.array_join(F.slice("w", 2, KEY_WORDS), " ")
+    start = F.substring("quote", 1, KEY_CHARACTERS)
+    q = q.select("item_id", "quote", F.when(F.size("w") >= KEY_WORDS + 2, phrase).otherwise(start).alias("key"), F.when(F.size("w") >= KEY_WORDS + 2, 0).otherwise(F.length(start)).alias("kind"))
+    s = sources.select("doc_id", _plain(F.col("text")).alias("body"))
+    words = F.split("body", " ")
+    keys = [F.transform(F.array_distinct(_runs(words, KEY_WORDS)), lambda k: F.struct(F.lit(0).alias("kind"), k.alias("key")))]
+    kinds = {r["kind"] for r in q.select("kind").distinct().collect()}  # at most four
+    keys += [F.transform(F.array_distinct(_grams(F.col("body"), n)), lambda k, n=n: F.struct(F.lit(n).alias("kind"), k.alias("key"))) for n in sorted(kinds - {0})]
+    spots = s.select("doc_id", F.explode(F.flatten(F.array(*keys))).alias("k")).select("doc_id", "k.kind", "k.key")
+    pairs = spots.join(q.select("item_id", "kind", "key"), ["kind", "key"]).select("item_id", "doc_id").distinct()
+    found = pairs.join(q.select("item_id", "quote"), "item_id").join(s, "doc_id").where(F.col("body").contains(F.col("quote")))
+    return found.select("item_id", "doc_id").distinct()
+
+
+def quoted_lines(portraits: DataFrame) -> DataFrame:
+    """Quotes of Markdown portraits(doc, text): doc, line, kind, speaker (of block quotes: You or Them) and body."""
+    lines = portraits.select("doc", F.posexplode(F.split("text", "\r?\n")).alias("line", "t"))
+    who = F.lower(F.regexp_extract("t", BLOCK_QUOTE, 1))
+    block = F.array(F.struct(F.lit("blockquote").alias("kind"), F.when(who.isin("me", "you"), "You").otherwise("Them").alias("speaker"), F.trim(F.regexp_extract("t", BLOCK_QUOTE, 2)).alias("body")))
+    prose = F.transform(F.regexp_extract_all("t", F.lit(PROSE_QUOTE), F.lit(1)), lambda x: F.struct(F.lit("prose").alias("kind"), F.lit(None).cast("string").alias("speaker"), F.trim(x).alias("body")))
+    return lines.select("doc", "line", F.explode(F.when(who != "", block).otherwise(prose)).alias("q")).select("doc", "line", "q.*")
+
+
+def unverified(portraits: DataFrame, messages: DataFrame) -> DataFrame:
+    """A-20: quotes of portraits(doc, text) that no message(from_me, body) is, quotes, dashes, white space and case aside.
+
+    Block quotes must be a message of the speaker's, quotes in prose anybody's. Quotes and messages meet by a digest of the normal
+    text and the turn's speaker, so that bodies aren't shuffled.
+    """
+    digest = lambda c: F.sha2(normal_quote(c), 256)
+    asked = quoted_lines(portraits).withColumns({"said": digest(F.col("body")), "turn": F.coalesce("speaker", F.lit(""))}).where(normal_quote(F.col("body")) != "")
+    turns = messages.select(digest(F.coalesce("body", F.lit(""))).alias("said"), F.explode(F.array(F.when(F.col("from_me"), "You").otherwise("Them"), F.lit(""))).alias("turn")).distinct()
+    return asked.join(turns, ["said", "turn"], "left_anti").select("doc", "line", "kind", "speaker", "body")
 
 
 def daily_pick(rows: DataFrame, order: list[Column], day: int, new: int) -> DataFrame:

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..session import ship
+
+FORMS = 200_000  # forms of one trie; more are dealt over several, each another pass over the lines
+_TOKEN = re.compile(r"[A-Za-z0-9_]+|[^A-Za-z0-9_]")
 
 
 def writing_index(files: DataFrame, excerpt: int = 200) -> DataFrame:
@@ -24,3 +32,75 @@ def engagement(target: str, **lists: DataFrame) -> DataFrame:
         n = rows.agg(F.count_if(F.to_json(F.struct(*rows.columns)).contains(target)).alias("n")).select(F.lit(name).alias("list"), "n", (F.col("n") > 0).alias("any"))
         out = n if out is None else out.unionByName(n)
     return out
+
+
+def writing_forms(identities: DataFrame) -> DataFrame:
+    """G-13: canonical_id and form: display names and aliases of letters that aren't all lower case, of two characters or more."""
+    names = identities.select("canonical_id", F.explode(F.array_compact(F.array_union(F.array("display_name"), "aliases"))).alias("form"))
+    return names.where(F.col("form").rlike(r"^[\p{L}][\p{L}' -]+$") & (F.col("form") != F.lower("form")) & (F.length("form") >= 2)).distinct()
+
+
+class Trie:
+    """Forms as runs of tokens (words, and single characters between them); long forms whatever their case, those of two characters as they are."""
+
+    def __init__(self, forms: list[tuple[str, str]]):
+        self.long: dict = {}
+        self.short: dict[str, list[str]] = {}
+        for person, form in forms:
+            if len(form) == 2:
+                self.short.setdefault(form, []).append(person)
+                continue
+            node = self.long
+            for token in _TOKEN.findall(form.lower()):
+                node = node.setdefault(token, {})
+            node.setdefault("", []).append(person)
+
+    def met(self, line: str) -> Iterator[tuple[str, int, int]]:
+        """(person, start, end) of all forms in a line that begin and end at a word's edge."""
+        spans = [m.span() for m in _TOKEN.finditer(line)]
+        word = lambda k: 0 <= k < len(line) and (line[k] == "_" or (line[k].isascii() and line[k].isalnum()))
+        low = [line[a:b].lower() for a, b in spans]
+        for i, (a, _) in enumerate(spans):
+            if word(a - 1) == word(a):
+                continue
+            for person in self.short.get(line[a : a + 2], ()) if word(a + 1) != word(a + 2) else ():
+                yield person, a, a + 2
+            node = self.long.get(low[i])
+            k = i
+            while node is not None:
+                end = spans[k][1]
+                if "" in node and word(end - 1) != word(end):
+                    for person in node[""]:
+                        yield person, a, end
+                k += 1
+                node = node.get(low[k]) if k < len(low) else None
+
+
+def writing_mentions(files: DataFrame, identities: DataFrame) -> DataFrame:
+    """G-13: canonical_id, file, line (from 1) and the first form found, of files(file, text), once for each person and line.
+
+    Lines are walked in place: the forms' trie goes to them, FORMS at a time.
+    """
+    ship(files.sparkSession)
+    forms = writing_forms(identities)
+    blocks = max(1, -(-forms.count() // FORMS))
+    schema = "canonical_id string, file string, line int, form string"
+    out = None
+    for block in range(blocks):
+        trie = Trie([tuple(r) for r in forms.where(F.pmod(F.xxhash64("form"), F.lit(blocks)) == block).select("canonical_id", "form").collect()])  # about FORMS of them
+
+        def walk(batches: Iterator[pa.RecordBatch], trie: Trie = trie) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for start in range(0, batch.num_rows, 64):
+                    part, rows = batch.slice(start, 64), []
+                    for file, text in zip(part.column("file").to_pylist(), part.column("text").to_pylist(), strict=True):
+                        for number, line in enumerate(re.split(r"\r?\n", text or ""), 1):
+                            first: dict[str, tuple[int, int, int]] = {}
+                            for person, a, b in trie.met(line):
+                                first[person] = min(first.get(person, (b - a == 2, a, -b)), (b - a == 2, a, -b))
+                            rows += [(person, file, number, line[a:-b]) for person, (_, a, b) in first.items()]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int32(), pa.string()))], ["canonical_id", "file", "line", "form"])
+
+        found = files.select(F.col("file").cast("string").alias("file"), "text").mapInArrow(walk, schema)
+        out = found if out is None else out.union(found)
+    return out if blocks == 1 else out.groupBy("canonical_id", "file", "line").agg(F.min("form").alias("form"))

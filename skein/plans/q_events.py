@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.local_time import local_time
 from ..operators import density
 from ..operators import happenings as H
+from ..session import shared_folder
+from ..sources import sinks
 from .catalog import query
 from .fragments import DAY
 
@@ -97,11 +101,23 @@ def _(a):
     return H.unique_ids(c, "w", ["ts", "call_id"]).select("call_id", "event_id")
 
 
-@query("q_e16_best_invite", """WITH r AS (SELECT 'e' || CAST(user_id AS STRING) AS event_id, CASE event_type WHEN 'view' THEN 'page' WHEN 'click' THEN 'invite' ELSE 'other' END AS kind, 't' || CAST(event_id AS STRING) AS title, (epoch_us(ts) // 1000) AS email_ts FROM events)
-    SELECT event_id, kind, title, email_ts FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY CASE kind WHEN 'page' THEN 2 WHEN 'invite' THEN 1 ELSE 0 END DESC, email_ts DESC, title DESC) AS k FROM r) WHERE k = 1""")
+_ROWS = """SELECT 'e' || CAST(user_id AS STRING) AS event_id, event_id AS row, CASE event_type WHEN 'view' THEN 'page' WHEN 'click' THEN 'invite' ELSE 'other' END AS kind, {ms} AS email_ts, CASE WHEN event_type <> 'error' THEN 't' || CAST(event_id AS STRING) END AS name,
+    CASE WHEN event_type = 'view' AND value > 50 THEN {ms} + 86400000 END AS start_ts, CASE WHEN event_type = 'view' AND value > 90 THEN {ms} + 90000000 END AS end_ts, CASE WHEN event_type = 'click' THEN display_name END AS host FROM {events} e JOIN {identities} i ON i.n = (user_id + 3) % 150"""
+_PAGES = "SELECT 'e' || CAST(n AS STRING) AS event_id, CASE WHEN n % 3 = 0 THEN {hosts} END AS hosts, CASE WHEN n % 5 = 0 THEN 'Private Location' ELSE 'hall ' || CAST(n AS STRING) END AS venue FROM {identities}"
+
+
+@query("q_e16_invitations", f"""WITH r AS ({_ROWS.format(ms='(epoch_us(ts) // 1000)', events='events', identities='identities')}), k AS (SELECT *, {{'k': CASE kind WHEN 'page' THEN 2 WHEN 'invite' THEN 1 ELSE 0 END, 't': email_ts, 'r': row}} AS o FROM r), d AS ({_PAGES.format(hosts="[upper(display_name), 'Nobody']", identities='identities')}),
+    b AS (SELECT event_id, max(email_ts) FILTER (WHERE o = m) AS email_ts, arg_max(name, o) FILTER (WHERE name IS NOT NULL) AS name, arg_max(start_ts, o) FILTER (WHERE start_ts IS NOT NULL) AS start_ts, arg_max(end_ts, o) FILTER (WHERE end_ts IS NOT NULL) AS end_ts, arg_max(host, o) FILTER (WHERE host IS NOT NULL) AS host FROM (SELECT *, max(o) OVER (PARTITION BY event_id) AS m FROM k) GROUP BY 1),
+    e AS (SELECT b.event_id, name, coalesce(start_ts, email_ts) AS start_ts, coalesce(end_ts, coalesce(start_ts, email_ts) + 10800000) AS end_ts, CASE WHEN venue <> 'Private Location' THEN venue END AS venue, unnest(CASE WHEN hosts IS NULL THEN [host] ELSE hosts[1:1] END) AS h FROM b LEFT JOIN d USING (event_id)),
+    x AS (SELECT DISTINCT id AS mid, thread_id, regexp_extract(link, '/e/(e[0-9]+)', 1) AS event_id FROM (SELECT id, thread_id, from_me, 'https://partiful.example/e/e' || CAST(CAST(substr(id, 2) AS BIGINT) % 97 AS STRING) AS link FROM messages) WHERE NOT from_me), w AS (SELECT event_id, canonical_id, count(*) AS n FROM x JOIN thread_identity USING (thread_id) GROUP BY 1, 2),
+    v AS (SELECT event_id, canonical_id AS inviter FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY n DESC, canonical_id) AS r FROM w) WHERE r = 1), i AS (SELECT lower(display_name) AS k, min(canonical_id) AS host FROM identities GROUP BY 1)
+    SELECT e.event_id, e.name, e.start_ts, e.end_ts, e.venue, coalesce(i.host, '') AS host_ids, v.inviter, concat_ws(',', i.host, CASE WHEN v.inviter IS DISTINCT FROM i.host THEN v.inviter END) AS participants FROM e LEFT JOIN i ON i.k = lower(e.h) LEFT JOIN v ON v.event_id = e.event_id""", "identities messages thread_identity")
 def _(a):
-    r = a.table("events").selectExpr("'e' || user_id AS event_id", "CASE event_type WHEN 'view' THEN 'page' WHEN 'click' THEN 'invite' ELSE 'other' END AS kind", "'t' || event_id AS title", "unix_millis(CAST(ts AS TIMESTAMP)) AS email_ts")
-    return H.best_invite(r)
+    rows = a.spark.sql(_ROWS.format(ms="unix_millis(CAST(ts AS TIMESTAMP))", events="{events}", identities="{identities}"), events=a.table("events"), identities=a.identities)
+    pages = a.spark.sql(_PAGES.format(hosts="array(upper(display_name), 'Nobody')", identities="{identities}"), identities=a.identities)
+    linked = a.messages.withColumn("body", F.expr("'see https://partiful.example/e/e' || CAST(CAST(substr(id, 2) AS BIGINT) % 97 AS STRING) || ' join us'"))
+    out = H.invitations(rows, pages, linked, a.thread_identity, a.identities, r"partiful\.example/e/(\w+)")
+    return out.withColumns({c: F.array_join(c, ",") for c in ("host_ids", "participants")})
 
 
 @query("q_e17_event_index", "SELECT g.event_id, g.start_ts, CAST(len(g.participants) AS INT) AS people, (SELECT arg_min(p.asset_path, p.ts) FROM ep JOIN photos p ON p.id = ep.photo_id WHERE ep.event_id = g.event_id) AS thumb FROM gatherings g", "gatherings ep photos")
@@ -136,10 +152,35 @@ def _(a):
     return density.cluster_report(dets, density.face_clusters(dets))
 
 
-@query("q_e21_face_ingest", "SELECT p.id, count(f.canonical_id) > 0 AS has_named_face FROM photos p LEFT JOIN (SELECT * FROM photo_faces WHERE canonical_id NOT IN ('id-1', 'id-2')) f ON f.photo_id = p.id GROUP BY 1", "photos photo_faces")
+_OUTSIDE = """SELECT 'f' || CAST(o_orderkey AS STRING) AS key, 'party ' || CAST(o_custkey AS STRING) AS name, {ms} + (o_custkey % 11 - 5) * 3600000 AS ts, CASE WHEN o_custkey % 3 > 0 THEN -38.3e0 + (o_custkey % 500) / 1e2 END AS lat,
+    CASE WHEN o_custkey % 3 > 0 THEN 144.4e0 + (o_custkey % 60) / 1e1 END AS lng, CASE o_orderstatus WHEN 'F' THEN 'joined' WHEN 'P' THEN 'hosted' ELSE 'interested' END AS response FROM {orders}"""
+
+
+@query("q_e06_named", f"""WITH o AS ({_OUTSIDE.format(ms='(epoch_us(o_orderdate) // 1000)', orders='orders')}), n AS (SELECT key, name, event_id, abs(ts - start_ts) AS gap, o.lat AS a, o.lng AS b, g.lat AS c, g.lng AS d FROM o JOIN gatherings g ON ts BETWEEN start_ts - {6 * _HOUR} AND end_ts + {6 * _HOUR} WHERE response IN ('joined', 'hosted', 'ticket', 'created')),
+    k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY gap, event_id) AS r FROM n) WHERE r = 1), m AS (SELECT *, 2 * 6371.0 * asin(least(1, sqrt(sin(radians(c - a) / 2) ** 2 + cos(radians(a)) * cos(radians(c)) * sin(radians(d - b) / 2) ** 2))) AS km FROM k), z AS (SELECT *, CASE WHEN km <= 5 THEN 'geo' WHEN km IS NULL AND gap <= {3 * _HOUR} THEN 'time' END AS match FROM m)
+    SELECT event_id, key, name, match, gap FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY match <> 'geo', gap, key) AS q FROM z WHERE match IS NOT NULL) WHERE q = 1""", "gatherings")
+def _(a):
+    outside = a.spark.sql(_OUTSIDE.format(ms="unix_millis(CAST(o_orderdate AS TIMESTAMP))", orders="{orders}"), orders=a.table("orders"))
+    return H.named(a.gatherings, outside)
+
+
+_LABELS = "SELECT DISTINCT label AS cluster_id, CASE WHEN label % 4 = 0 THEN 'skip' WHEN label % 4 = 1 THEN '' ELSE i.display_name END AS label FROM {embeddings} e JOIN {identities} i ON i.n = e.label"
+
+
+@query("q_e21_face_ingest", f"""WITH d AS (SELECT 'p' || CAST(o_orderkey AS STRING) AS photo_id, CAST(l_partkey % 20 AS INT) AS cluster_id FROM orders JOIN lineitem ON l_orderkey = o_orderkey), l AS ({_LABELS.format(embeddings='embeddings', identities='identities')}), n AS (SELECT cluster_id, min(canonical_id) AS c FROM l JOIN identities ON lower(display_name) = lower(label) WHERE label NOT IN ('', 'skip') GROUP BY 1),
+    s AS (SELECT id FROM photos WHERE source = '1-urgent'), f AS (SELECT photo_id, canonical_id, 'old' AS face_cluster FROM photo_faces WHERE photo_id NOT IN (SELECT id FROM s) UNION ALL SELECT photo_id, c, '1-urgent:cluster:' || CAST(min(cluster_id) AS STRING) FROM d JOIN n USING (cluster_id) WHERE (photo_id, c) NOT IN (SELECT photo_id, canonical_id FROM photo_faces WHERE photo_id NOT IN (SELECT id FROM s)) GROUP BY 1, 2)
+    SELECT p.id, CASE WHEN p.source = '1-urgent' THEN count(f.photo_id) > 0 ELSE p.n % 2 = 0 END AS has_named_face, count(f.photo_id) AS faces, coalesce(string_agg(f.canonical_id || ' ' || f.face_cluster, ',' ORDER BY f.canonical_id), '') AS named FROM photos p LEFT JOIN f ON f.photo_id = p.id GROUP BY p.id, p.source, p.n""", "photos photo_faces identities")
 def _(a):
-    named = a.photo_faces.where("canonical_id NOT IN ('id-1', 'id-2')").select(F.col("photo_id").alias("id")).distinct().withColumn("_f", F.lit(True))
-    return a.photos.select("id").join(named, "id", "left").select("id", F.coalesce("_f", F.lit(False)).alias("has_named_face"))
+    dets = a.spark.sql("SELECT 'p' || CAST(o_orderkey AS STRING) AS photo_id, CAST(l_partkey % 20 AS INT) AS cluster_id FROM {o} JOIN {l} ON l_orderkey = o_orderkey", o=a.table("orders"), l=a.table("lineitem"))
+    labels = a.spark.sql(_LABELS, embeddings=a.table("embeddings"), identities=a.identities)
+    clusters = dets.groupBy("cluster_id").agg(F.count("*").alias("n_faces"))
+    photos = a.photos.withColumn("has_named_face", F.col("n") % 2 == 0)
+    root = f"{shared_folder(a.spark)}/faces-{uuid.uuid4().hex}"
+    sinks.publish_together(a.spark, H.face_tables(dets, clusters, labels, a.identities, photos, a.photo_faces.withColumn("face_cluster", F.lit("old")), "1-urgent"), root, "v1")
+    new = sinks.together(a.spark, root)
+    each = F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "canonical_id", "face_cluster"))), ",")
+    faces = new["photo_faces"].groupBy(F.col("photo_id").alias("id")).agg(F.count("*").alias("faces"), each.alias("named"))
+    return new["photos"].join(faces, "id", "left").select("id", "has_named_face", F.coalesce("faces", F.lit(0)).alias("faces"), F.coalesce("named", F.lit("")).alias("named"))
 
 
 @query("q_e22_cluster_sheet", "SELECT user_id % 20 AS cluster_id, count(*) AS n_faces, min((epoch_us(ts) // 1000)) AS first_ts, max((epoch_us(ts) // 1000)) AS last_ts, round(avg(value % 1), 6) AS mean_score, round(avg(value % 1), 6) < 0.5 AS low_quality FROM events GROUP BY 1")

@@ -8,6 +8,7 @@ from ..operators import graph as G
 from ..operators.aggregates import months
 from ..operators.iterative import components
 from ..operators.joins import pairs
+from ..operators.writing import writing_mentions
 from .catalog import query
 from .fragments import LATER
 
@@ -109,13 +110,15 @@ def _(a):
     return G.mention_quotes(a.mention, a.pm, top=30)
 
 
-@query("q_g13_writing_mentions", """SELECT DISTINCT f.canonical_id, c.thread_id, c.line FROM (SELECT id AS thread_id, 0 AS line, body FROM messages) c JOIN (SELECT canonical_id, f FROM forms WHERE NOT contains(f, ' ')) f ON list_contains(regexp_split_to_array(lower(c.body), '[^a-z0-9_]+'), f.f)""", "forms messages")
-def _(a):
-    from ..functions.text import name_forms
+_PEOPLE = "SELECT item_id, 'b' || CAST(item_id AS STRING) AS canonical_id, split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) AS display_name, upper(substr(split_part(text, ' ', 3), 1, 1)) || substr(split_part(text, ' ', 3), 2) AS third, upper(substr(split_part(text, ' ', 4), 1, 1)) || lower(substr(split_part(text, ' ', 4), 2, 1)) AS short FROM {benchmark}"
+
 
-    f = a.identities.select("canonical_id", F.explode("aliases").alias("x")).select("canonical_id", F.explode(name_forms(F.col("x"))).alias("w")).where(~F.col("w").contains(" ")).distinct()
-    lines = a.messages.select(F.col("id").alias("thread_id"), F.lit(0).alias("line"), F.explode(F.array_distinct(F.split(F.lower("body"), "[^a-z0-9_]+"))).alias("w"))
-    return lines.join(f, "w").select("canonical_id", "thread_id", "line").distinct()
+@query("q_g13_writing_mentions", rf"""WITH p AS ({_PEOPLE.format(benchmark='benchmark')}), f AS (SELECT DISTINCT canonical_id, f FROM (SELECT canonical_id, unnest([display_name, third, short]) AS f FROM p) WHERE regexp_matches(f, '^[\p{{L}}][\p{{L}}'' -]+$') AND f <> lower(f) AND length(f) >= 2),
+    l AS (SELECT doc_id, CAST(generate_subscripts(x, 1) AS INT) AS line, unnest(x) AS t FROM (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '\r?\n') AS x FROM documents))
+    SELECT DISTINCT canonical_id, CAST(doc_id AS STRING) AS file, line FROM l JOIN f ON contains(lower(t), lower(f)) AND regexp_matches(t, CASE WHEN length(f) = 2 THEN '' ELSE '(?i)' END || '\b' || regexp_escape(f) || '\b')""")
+def _(a):
+    people = a.spark.sql(_PEOPLE, benchmark=a.table("benchmark")).select("canonical_id", "display_name", F.array("third", "short").alias("aliases"))
+    return writing_mentions(a.table("documents").select(F.col("doc_id").alias("file"), "text"), people).select("canonical_id", "file", "line")
 
 
 @query("q_g14_context_packet", "SELECT x, CAST(sum(weight) AS BIGINT) AS total FROM (SELECT b AS x, weight FROM co WHERE a = 'id-1' UNION ALL SELECT a, weight FROM co WHERE b = 'id-1') GROUP BY 1", "co")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import identity as I
 from ..operators.iterative import resolve_chain
+from ..session import shared_folder
+from ..sources import sinks
 from .catalog import query
 
 _KEY = r"""CASE WHEN s IN ('imessage', 'gmail') AND contains(x, '@') THEN 'email:' || lower(trim(x)) WHEN s IN ('imessage', 'gmail') AND len(regexp_replace(x, '\D', '', 'g')) >= 7 AND NOT regexp_matches(x, '[A-Za-z]') THEN 'phone:+' || regexp_replace(x, '\D', '', 'g') ELSE 'name:' || lower(trim(x)) END"""
@@ -143,10 +147,18 @@ def _(a):
     return I.third_party_overlap(m, I.audited(a.pm, a.identities, over=20))
 
 
-@query("q_i17_misclassified_groups", "SELECT m.thread_id, CAST(count(DISTINCT sender_name) AS INT) AS senders FROM (SELECT 't' || substr(thread_id, 2) AS thread_id, sender_name FROM messages WHERE NOT from_me AND thread_id LIKE 'g%') m JOIN threads t ON t.thread_id = m.thread_id AND NOT t.is_group GROUP BY 1 HAVING count(DISTINCT sender_name) >= 3", "messages threads")
+_MIXED = "CASE WHEN ts % 7 < 3 AND thread_id LIKE 'g%' THEN 't' || substr(thread_id, 2) ELSE thread_id END"
+
+
+@query("q_i17_misclassified_groups", f"""WITH w AS (SELECT thread_id, list_sort(list(DISTINCT sender_name)) AS s FROM (SELECT {_MIXED} AS thread_id, sender_name FROM messages) GROUP BY 1 HAVING count(DISTINCT sender_name) >= 3)
+    SELECT t.thread_id, t.source, t.is_group OR w.s IS NOT NULL AS is_group, array_to_string(CASE WHEN NOT t.is_group AND w.s IS NOT NULL THEN w.s ELSE t.participants END, ',') AS participants, CASE WHEN t.is_group OR w.s IS NULL THEN ti.canonical_id END AS canonical_id FROM threads t LEFT JOIN w USING (thread_id) LEFT JOIN thread_identity ti USING (thread_id)""", "messages threads thread_identity")
 def _(a):
-    moved = a.messages.where("thread_id LIKE 'g%'").withColumn("thread_id", F.expr("'t' || substr(thread_id, 2)"))
-    return I.misclassified_groups(moved, a.threads)
+    root = f"{shared_folder(a.spark)}/groups-{uuid.uuid4().hex}"
+    sinks.publish_together(a.spark, {"threads": a.threads, "thread_identity": a.thread_identity}, root, "v1")
+    old = sinks.together(a.spark, root)
+    sinks.publish_together(a.spark, I.reclassified(a.messages.withColumn("thread_id", F.expr(_MIXED)), old["threads"], old["thread_identity"]), root, "v2")
+    new = sinks.together(a.spark, root)
+    return new["threads"].withColumn("participants", F.array_join("participants", ",")).join(new["thread_identity"], "thread_id", "left")
 
 
 @query("q_i19_anchors", """WITH d AS (SELECT lower(display_name) AS k, count(*) AS c, min(canonical_id) AS v FROM identities GROUP BY 1), h AS (SELECT lower(k) AS k, count(DISTINCT canonical_id) AS c, min(canonical_id) AS v FROM akeys WHERE contains(k, '@') GROUP BY 1)

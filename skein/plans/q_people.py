@@ -160,6 +160,26 @@ def _(a):
     return verify(a.table("benchmark"), a.table("documents"))
 
 
+_NORMAL = r"trim(lower(regexp_replace(translate(trim(coalesce({}, ''), ' '), '‘’“”–— ', '''''""-- '), '[ \t\n\x0B\f\r]+', ' ', 'g')), ' ')"
+#: Portraits of each turn: a block quote of its first line by a guessed speaker, a cut one, and a prose quote of the last line.
+_PORTRAIT = "'# Turn ' || {turn} || chr(10) || '> ' || {who} || ': ' || {first} || chr(10) || '> Them: ' || substr({first}, 2) || chr(10) || 'They said \"' || {last} || '\" that day'"
+_PARTS = {"who": "CASE WHEN {turn} % 3 = 0 THEN 'Me' ELSE 'they' END", "first": "split_part(body, chr(10), 1)", "last": "substr({first}, 1, 60)"}
+
+
+def _portrait(turn: str) -> str:
+    first = _PARTS["first"]
+    return _PORTRAIT.format(turn=f"CAST({turn} AS STRING)", who=_PARTS["who"].format(turn=turn), first=first, last=_PARTS["last"].format(first=first))
+
+
+@query("q_a20_portrait_quotes", rf"""WITH p AS (SELECT thread_id || '/' || CAST(turn AS STRING) AS doc, {_portrait('turn')} AS text FROM chat), l AS (SELECT doc, CAST(generate_subscripts(x, 1) - 1 AS INT) AS line, unnest(x) AS t FROM (SELECT doc, string_split(text, chr(10)) AS x FROM p)), b AS (SELECT doc, line, t, lower(regexp_extract(t, '^>\s*([Tt]hem|[Yy]ou|[Tt]hey|[Mm]e)\s*:\s*(.*)$', 1)) AS w FROM l),
+    q AS (SELECT doc, line, 'blockquote' AS kind, CASE WHEN w IN ('me', 'you') THEN 'You' ELSE 'Them' END AS speaker, trim(regexp_extract(t, '^>\s*([Tt]hem|[Yy]ou|[Tt]hey|[Mm]e)\s*:\s*(.*)$', 2)) AS body FROM b WHERE w <> '' UNION ALL SELECT doc, line, 'prose', NULL, trim(unnest(regexp_extract_all(t, '["“”]([^"“”]{{8,300}})["“”]', 1))) FROM b WHERE w = ''),
+    m AS (SELECT DISTINCT from_me, {_NORMAL.format('body')} AS k FROM chat) SELECT doc, line, kind, speaker, body FROM q WHERE {_NORMAL.format('body')} <> '' AND NOT EXISTS (SELECT 1 FROM m WHERE m.k = {_NORMAL.format('q.body')} AND (speaker IS NULL OR from_me = (speaker = 'You')))""", "chat")
+def _(a):
+    from ..operators.quotes import unverified
+
+    return unverified(a.chat.selectExpr("thread_id || '/' || CAST(turn AS STRING) AS doc", f"{_portrait('turn')} AS text"), a.chat)
+
+
 @query("q_a21_timeline", f"""SELECT canonical_id, 'first_contact' AS kind, strftime(make_timestamp(min(ts) * 1000), '%Y-%m-%d') AS date FROM pm GROUP BY 1 UNION ALL SELECT canonical_id, 'last_contact', strftime(make_timestamp(max(ts) * 1000), '%Y-%m-%d') FROM pm GROUP BY 1 UNION ALL SELECT canonical_id, 'birthday', strftime(make_date(2024, CAST(n % 12 AS INT) + 1, CAST(n % 28 AS INT) + 1), '%Y-%m-%d') FROM identities""", "pm identities")
 def _(a):
     b = a.identities.selectExpr("canonical_id", "CAST(n % 12 AS INT) + 1 AS month", "CAST(n % 28 AS INT) + 1 AS day")

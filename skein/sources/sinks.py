@@ -41,10 +41,22 @@ def _files(spark: SparkSession, path: str):
     return make(path).getFileSystem(spark._jsc.hadoopConfiguration()), make
 
 
+def _point(spark: SparkSession, root: str, entry: dict) -> None:
+    """Let the pointer name a version: a small file, written whole and renamed over the old one in one step."""
+    fs, make = _files(spark, root)
+    out = fs.create(make(f"{root}/.next"), True)
+    out.write(bytearray(json.dumps(entry).encode()))
+    out.close()
+    gateway, hadoop = spark.sparkContext._gateway, spark._jvm.org.apache.hadoop.fs
+    options = gateway.new_array(hadoop.Options.Rename, 1)
+    options[0] = hadoop.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(make(f"{root}/.next"), make(f"{root}/current.json"), options)
+
+
 def publish(df: DataFrame, root: str, version: str, gate=None) -> dict:
     """K-07: write a version, gate it, then let the pointer name it; a failed gate leaves the pointer and takes the version away.
 
-    The pointer is a small file that is written whole and renamed; readers see the old version or the new one.
+    Readers see the old version or the new one.
     """
     spark, path = df.sparkSession, f"{root}/{version}"
     fs, make = _files(spark, root)
@@ -54,14 +66,26 @@ def publish(df: DataFrame, root: str, version: str, gate=None) -> dict:
     if gate and not gate(manifest):
         fs.delete(make(path), True)
         raise ValueError(f"gate refused {version}: {manifest}")
-    out = fs.create(make(f"{root}/.next"), True)
-    out.write(bytearray(json.dumps({"version": version, **manifest}).encode()))
-    out.close()
-    fs.delete(make(f"{root}/current.json"), False)
-    fs.rename(make(f"{root}/.next"), make(f"{root}/current.json"))
+    _point(spark, root, {"version": version, **manifest})
     return manifest
 
 
+def publish_together(spark: SparkSession, tables: dict[str, DataFrame], root: str, version: str) -> None:
+    """Rewrite several tables as one: all are written beside the old ones, then one pointer names the new set.
+
+    A run that ends in between leaves the old set current; the same version can be written again.
+    """
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{root}/{version}/{name}")
+    _point(spark, root, {"version": version, "tables": sorted(tables)})
+
+
+def together(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The tables of the current set."""
+    entry = json.loads(spark.read.text(f"{root}/current.json", wholetext=True).first()[0])
+    return {name: spark.read.parquet(f"{root}/{entry['version']}/{name}") for name in entry["tables"]}
+
+
 def active(spark: SparkSession, root: str) -> str:
     """The version that the pointer names."""
     return json.loads(spark.read.text(f"{root}/current.json", wholetext=True).first()[0])["version"]
