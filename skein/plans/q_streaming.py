@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +33,48 @@ def drained(a: Archive, stream: DataFrame, mode: str = "append") -> DataFrame:
     return a.spark.read.schema(stream.schema).parquet(f"{home}/rows")
 
 
+def _photos(a: Archive, rows: DataFrame) -> DataFrame:
+    """Events as photos of their user, two of three with a position that changes every two hours or so."""
+    at = F.unix_millis(F.col("ts").cast("timestamp"))
+    spot = (F.floor(at / (2 * HOUR)) % 5).cast("double")
+    placed = F.col("event_id") % 3 > 0
+    return rows.select(F.concat(F.lit("o"), F.col("user_id").cast("string")).alias("owner"), F.concat(F.lit("p"), F.col("event_id").cast("string")).alias("id"), at.alias("ts"), F.when(placed, spot / 50).alias("lat"), F.when(placed, spot / 60).alias("lng"))
+
+
+@query("q_t11_stream_outings")
+def _(a):
+    # one photo of nobody's, far in the future, lets the watermark pass all others
+    home = f"{shared_folder(a.spark)}/photos-{uuid.uuid4().hex}"
+    rows = _photos(a, a.table("events"))
+    end = rows.agg(F.max("ts").alias("ts")).select(F.lit("nobody").alias("owner"), F.lit("end").alias("id"), (F.col("ts") + 90 * DAY).alias("ts"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lng"))
+    rows.unionByName(end).write.parquet(home)
+    out = drained(a, spool.outings(a.spark.readStream.schema("owner string, id string, ts long, lat double, lng double").parquet(home)))
+    remove(a.spark, home)
+    return out
+
+
+@query("q_t08_resumed_extract", "SELECT 'm' || CAST(event_id AS STRING) AS id, upper(event_type) AS found FROM events")
+def _(a):
+    # four files, one a batch; the first run dies between the second batch's results and its entry, and its checkpoint is lost
+    home = f"{shared_folder(a.spark)}/extract-{uuid.uuid4().hex}"
+    a.table("events").selectExpr("'m' || event_id AS id", "event_type").repartition(4).write.parquet(f"{home}/in")
+    stream = lambda: a.spark.readStream.schema("id string, event_type string").option("maxFilesPerTrigger", 1).parquet(f"{home}/in")
+    work = lambda items: items.selectExpr("id", "upper(event_type) AS found")
+    left = [1]
+
+    def dies() -> None:
+        if not left:
+            raise InterruptedError("killed")
+        left.pop()
+
+    try:
+        spool.resumable(stream(), "id", work, f"{home}/out", f"{home}/progress-1", dies).awaitTermination()
+    except StreamingQueryException:
+        pass
+    spool.resumable(stream(), "id", work, f"{home}/out", f"{home}/progress-2").awaitTermination()
+    return spool.Ledger(a.spark, f"{home}/out").results("id string, found string")
+
+
 _MS = "(epoch_us(ts) // 1000)"
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 MESSAGE = "id string, thread_id string, ts long, from_me boolean, sender_name string, body string"
 
@@ -41,35 +43,125 @@ def sessions(stream: DataFrame, gap: str = "6 hours", delay: str = "1 day") -> D
     return timed.groupBy(F.session_window("at", gap).alias("w"), "thread_id").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")).select("thread_id", "n", "first_ts", "last_ts")
 
 
-def outings(stream: DataFrame, far_km: float = 1.0, gap_ms: int = 6 * 3_600_000, move_ms: int = 3_600_000) -> DataFrame:
-    """T-11: running outings of an owner's photos(owner, id, ts, lat, lng) with the mean position as state.
+class Outings(StatefulProcessor):
+    """An owner's photos in the order of their time, and the outing that is open.
 
-    Every photo comes out with its outing's ordinal; photos of a batch are taken in order of time.
+    Photos wait until the watermark has passed them, so that late ones find their place; a timer at the first that waits takes them on.
+    An outing is given up by a timer too, when nothing can join it any more: an owner without photos leaves no state.
     """
-    from ..operators.happenings import _km
-    from ..session import ship
-
-    ship(stream.sparkSession)
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        k, lat, lng, n, last = state.get if state.exists else (0, 0.0, 0.0, 0, -1)
-        rows = pd.concat(list(batches)).sort_values(["ts", "id"])
+    def __init__(self, far_km: float, gap_ms: int, move_ms: int):
+        self.far_km, self.gap_ms, self.move_ms = far_km, gap_ms, move_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "id string, ts long, lat double, lng double")
+        self.open = handle.getValueState("open", "start long, lat double, lng double, n int, last long")
+
+    def _wake(self, at: int) -> None:
+        for old in self.handle.listTimers():
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(at)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows))[["id", "ts", "lat", "lng"]]
+        new = new[new.ts >= timerValues.getCurrentWatermarkInMs()]  # those before it are too late, and their neighbours gone
+        if new.empty:
+            return iter(())
+        first = int(new.ts.min())
+        old = [r[1] for r in self.waiting.get()] if self.waiting.exists() else []
+        for r in new.itertuples(index=False):
+            self.waiting.appendValue((r.id, int(r.ts), None if pd.isna(r.lat) else float(r.lat), None if pd.isna(r.lng) else float(r.lng)))
+        self._wake(min([first, *old]) + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        from ..operators.happenings import _km
+
+        now = timerValues.getCurrentWatermarkInMs()
+        held = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: (r[1], r[0])) if self.waiting.exists() else []
+        start, lat, lng, n, last = tuple(self.open.get()) if self.open.exists() else (None, 0.0, 0.0, 0, None)
         out = []
-        for id_, ts, a, b in rows[["id", "ts", "lat", "lng"]].itertuples(index=False):
-            placed = not (pd.isna(a) or pd.isna(b))
-            moved = placed and n and ts - last > move_ms and _km(lat / n, lng / n, a, b) > far_km
-            if last >= 0 and (ts - last > gap_ms or moved):
-                k, lat, lng, n = k + 1, 0.0, 0.0, 0
+        for id_, ts, a, b in (r for r in held if r[1] < now):
+            placed = a is not None and b is not None
+            moved = placed and n and ts - last > self.move_ms and _km(lat / n, lng / n, a, b) > self.far_km
+            if start is None or ts - last > self.gap_ms or moved:
+                start, lat, lng, n = ts, 0.0, 0.0, 0
             if placed:
                 lat, lng, n = lat + a, lng + b, n + 1
-            last = int(ts)
-            out.append((key[0], id_, int(ts), k))
-        state.update((k, lat, lng, n, last))
+            last = ts
+            out.append((key[0], id_, ts, start))
+        left = [r for r in held if r[1] >= now]
+        self.waiting.put(left) if left else self.waiting.clear()
+        if last is not None and (left or now <= last + self.gap_ms):
+            self.open.update((start, lat, lng, n, last))
+            self._wake(left[0][1] + 1 if left else last + self.gap_ms + 1)
+        else:
+            self.open.clear()
         yield pd.DataFrame(out, columns=["owner", "id", "ts", "outing"])
 
-    return stream.groupBy("owner").applyInPandasWithState(step, "owner string, id string, ts long, outing int", "k int, lat double, lng double, n int, last long", "append", "NoTimeout")
+    def close(self) -> None:
+        pass
+
+
+def outings(stream: DataFrame, far_km: float = 1.0, gap_ms: int = 6 * 3_600_000, move_ms: int = 3_600_000, delay: str = "1 day") -> DataFrame:
+    """T-11: photos(owner, id, ts, lat, lng) with the beginning of their outing, as E-01 tells outings apart, the mean position as state.
+
+    A photo comes out when the watermark has passed it; what is later than the delay is dropped.
+    """
+    from ..session import ship
+
+    spark = stream.sparkSession
+    ship(spark)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # what timers and lists need
+    timed = stream.select("owner", "id", "ts", "lat", "lng", F.timestamp_millis("ts").alias("at")).withWatermark("at", delay)
+    return timed.groupBy("owner").transformWithStateInPandas(Outings(far_km, gap_ms, move_ms), "owner string, id string, ts long, outing long", "Append", "EventTime")
+
+
+class Ledger:
+    """Results of a resumable extract, and which items they are of (T-08).
+
+    A batch's results go to a folder of their own first; then its ledger entry, which names the folder and the items, is written. Only
+    folders that a finished entry names count: what a run that died left behind is never read, and its items are still to do.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root
+
+    def _finished(self) -> list[str]:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs = path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found = fs.globStatus(path(f"{self.root}/done/*/_SUCCESS"))
+        return [f.getPath().getParent().getName() for f in found] if found else []
+
+    def done(self) -> DataFrame:
+        """key of every item that is done."""
+        names = self._finished()
+        return self.spark.read.parquet(*(f"{self.root}/done/{n}" for n in names)) if names else self.spark.createDataFrame([], "key string")
+
+    def results(self, schema: str) -> DataFrame:
+        names = self._finished()
+        return self.spark.read.schema(schema).parquet(*(f"{self.root}/data/{n}" for n in names)) if names else self.spark.createDataFrame([], schema)
+
+    def commit(self, items: DataFrame, key: str, work: Callable[[DataFrame], DataFrame], before_marking: Callable[[], None] = lambda: None) -> None:
+        """`work` on the items that aren't done yet, results before entry."""
+        name = uuid.uuid4().hex
+        todo = items.withColumn("_key", F.col(key).cast("string")).dropDuplicates(["_key"]).join(self.done().withColumnRenamed("key", "_key"), "_key", "left_anti").persist()
+        try:
+            work(todo.drop("_key")).write.parquet(f"{self.root}/data/{name}")
+            before_marking()
+            todo.select(F.col("_key").alias("key")).write.parquet(f"{self.root}/done/{name}")
+        finally:
+            todo.unpersist()
+
+
+def resumable(stream: DataFrame, key: str, work: Callable[[DataFrame], DataFrame], root: str, checkpoint: str, before_marking: Callable[[], None] = lambda: None):
+    """T-08: every item of a stream is worked on once, whatever run dies when, and whether or not the checkpoint is kept."""
+    ledger = Ledger(stream.sparkSession, root)
+    put = lambda items, _: ledger.commit(items, key, work, before_marking)
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def sync(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str):
-    """T-08/T-10: each micro-batch of ops goes to `apply` once; progress is kept in the checkpoint folder."""
+    """T-10: each micro-batch of ops goes to `apply` once; progress is kept in the checkpoint folder."""
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,6 +1,8 @@
 import json
+import os
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skein.streaming import spool
@@ -44,12 +46,47 @@ def test_sessions(spark, folder):
     assert sorted((r["thread_id"], r["n"]) for r in got.collect()) == [("t0", 10), ("t1", 11)]
 
 
-def test_outings_keep_state_over_batches(spark, tmp_path):
-    for k, (ts, lat) in enumerate([(T0, 1.0), (T0 + 1000, 1.0), (T0 + 2 * HOUR, 2.0), (T0 + 20 * HOUR, 2.0)]):
-        (tmp_path / f"p{k}.json").write_text(json.dumps({"owner": "o", "id": f"p{k}", "ts": ts, "lat": lat, "lng": 0.0}))
+def test_outings_wait_for_late_photos(spark, tmp_path):
+    batches = [[(T0, 1.0), (T0 + 2 * HOUR, 2.0)], [(T0 + 1000, 1.0)], [(T0 + 20 * HOUR, 2.0), (T0 + 20 * HOUR + 5, None)], [(T0 + 90 * DAY, 5.0)], [(T0 + 3 * HOUR, 1.0)]]  # the last is too late
+    n = 0
+    for k, rows in enumerate(batches):
+        (tmp_path / f"p{k}.json").write_text("\n".join(json.dumps({"owner": "o", "id": f"p{n + j}", "ts": ts, "lat": lat, "lng": None if lat is None else 0.0}) for j, (ts, lat) in enumerate(rows)))
+        os.utime(tmp_path / f"p{k}.json", (1_700_000_000 + k, 1_700_000_000 + k))
+        n += len(rows)
     s = spool.read_spool(spark, str(tmp_path), "owner string, id string, ts long, lat double, lng double", files=1)
-    got = drained(spark, spool.outings(s), "outings")
-    assert [r["outing"] for r in got.orderBy("id").collect()] == [0, 0, 1, 2]
+    got = {r["id"]: r["outing"] - T0 for r in drained(spark, spool.outings(s), "outings").collect()}
+    assert got == {"p0": 0, "p2": 0, "p1": 2 * HOUR, "p3": 20 * HOUR, "p4": 20 * HOUR}
+
+
+def test_outings_agree_with_batch(spark):
+    from skein.operators.happenings import cluster
+    from skein.plans.catalog import QUERIES, Archive
+    from skein.plans.q_streaming import _photos
+
+    sf = "/root/testdata/sf0.001"
+    a = Archive(spark, sf)
+    batch = cluster(_photos(a, a.table("events")), least=1)
+    want = {(r["owner"], r["id"]): r["outing"] for r in batch.withColumn("outing", F.min("ts").over(Window.partitionBy("owner", "session", "part"))).collect()}
+    got = {(r["owner"], r["id"]): r["outing"] for r in QUERIES["q_t11_stream_outings"](spark, sf).collect()}
+    assert got == want and len(set(want.values())) > 20
+
+
+def test_ledger_survives_deaths(spark, folder, tmp_path_factory):
+    root = str(tmp_path_factory.mktemp("ledger"))
+    work = lambda d: d.select("id", F.length("body").alias("n"))
+    rows = spark.createDataFrame(ROWS, spool.MESSAGE)
+    ledger = spool.Ledger(spark, root)
+
+    def dies():
+        raise InterruptedError
+
+    ledger.commit(rows.where("thread_id = 't0'"), "id", work)
+    with pytest.raises(InterruptedError):
+        ledger.commit(rows, "id", work, dies)
+    assert ledger.results("id string, n int").count() == 10 and len(list(os.scandir(f"{root}/data"))) == 2
+    for k in range(2):  # another checkpoint each time: nothing is done twice
+        spool.resumable(spool.read_spool(spark, folder, files=1), "id", work, root, f"{root}/c{k}").awaitTermination()
+        assert sorted(r["id"] for r in ledger.results("id string, n int").collect()) == sorted({r[0] for r in ROWS})
 
 
 def test_sync_applies_each_batch_once(spark, folder, tmp_path_factory):
