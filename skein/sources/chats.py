@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import html
 import os
 
 import pandas as pd
@@ -10,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import repair, strip
+from .markup import MESSAGES, Layout, records
 from .tables import reindexed
 
 SELF = "Me"
@@ -122,31 +122,28 @@ def spool(spark: SparkSession, path: str, floors: DataFrame | None = None, stric
     return rows.dropDuplicates(["id"])
 
 
-def unescape(text: Column) -> Column:
-    """HTML entities as text."""
-
-    @F.pandas_udf("string")
-    def plain(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: None if t is None else html.unescape(t))
-
-    return plain(text)
-
-
-def chat_html(spark: SparkSession, glob: str, prefix: str = "ig:") -> DataFrame:
-    """S-02: HTML threads: message blocks with sender, text and wall clock; the header's actual time gives the offset from UTC."""
-    raw = spark.read.text(glob, wholetext=True).withColumn("_path", F.input_file_name())
-    thread = F.element_at(F.split(F.regexp_replace("_path", r"/[^/]*$", ""), "/"), -1)
-    clock = "MMM d, yyyy h:mm a"
-    actual = F.to_timestamp(F.regexp_extract("value", r'<time datetime="([^"]+)"', 1))
-    naive = F.try_to_timestamp(F.regexp_extract("value", r"<time [^>]*>([^<]+)</time>", 1), F.lit(clock))
-    shift = F.coalesce(F.unix_millis(naive) - F.unix_millis(actual), F.lit(0))
-    b = raw.select(thread.alias("thread_id"), shift.alias("_shift"), F.posexplode(F.slice(F.split("value", r'<div class="message">'), 2, 1_000_000)).alias("_pos", "b"))
-    field = lambda name: F.regexp_extract("b", rf'<div class="{name}">(?s:(.*?))</div>', 1)
-    rows = b.select(
-        "thread_id", "_pos", unescape(field("sender")).alias("sender_name"), unescape(F.regexp_replace(field("body"), "<[^>]+>", "")).alias("body"),
-        (F.unix_millis(F.try_to_timestamp(field("time"), F.lit(clock))) - F.col("_shift")).alias("ts"), F.when(F.col("b").rlike("<img"), "image").when(F.col("b").rlike("<video"), "video").alias("attachment_type"),
-    )
-    return reindexed(rows.where("ts is not null"), prefix, ["ts", "_pos"]).drop("_pos")
+def wall_clock(text: Column) -> Column:
+    """Milliseconds of a written time such as "May 31, 2026 7:57 am" or "May 31, 2026 at 8:36 PM", as if it were UTC."""
+    m = r"([A-Za-z]+)\s+(\d{1,2}),\s+(\d{4})(?:\s+at)?\s+(\d{1,2}):(\d{2})\s*([AaPp][Mm])?"
+    part = lambda k: F.regexp_extract(text, m, k)
+    hour = part(4).try_cast("int")
+    hour = F.when(F.lower(part(6)) == "pm", hour % 12 + 12).when(F.lower(part(6)) == "am", hour % 12).otherwise(hour)
+    day = F.try_to_timestamp(F.concat_ws(" ", F.initcap(F.substring(part(1), 1, 3)), part(2), part(3)), F.lit("MMM d yyyy"))
+    return F.unix_millis(day) + (hour * 60 + part(5).try_cast("int")) * 60_000
+
+
+def chat_html(spark: SparkSession, glob: str, prefix: str = "ig:", layout: Layout = MESSAGES) -> DataFrame:
+    """S-02: HTML threads, a folder each: message blocks with sender, text, attachment and wall clock; the page's own time, written both
+    as a wall clock and in UTC, gives the offset. Blocks without a time are dropped."""
+    raw = spark.read.text(glob, wholetext=True).withColumn("source", F.input_file_name())
+    thread = F.element_at(F.split(F.regexp_replace("source", r"/[^/]*$", ""), "/"), -1)
+    r = records(raw, layout)
+    shift = F.coalesce(wall_clock(F.col("page")["exported"]) - F.unix_millis(F.try_to_timestamp(F.col("page")["exported_datetime"])), F.lit(0))
+    of = lambda name: F.coalesce(F.col("fields")[name], F.lit(""))
+    markup = F.lower(F.coalesce(F.col("markup")["body"], F.lit("")))
+    kind = F.when(markup.rlike(r"<video|\.mp4|sent a video"), "video").when(markup.rlike(r"<img|\.jpe?g|\.png|\.webp|\.heic|\.gif|sent an attachment|sent a photo|photos/"), "image")
+    rows = r.select(thread.alias("thread_id"), F.col("source").alias("_file"), F.col("pos").alias("_pos"), of("sender").alias("sender_name"), of("body").alias("body"), (wall_clock(of("time")) - shift).alias("ts"), kind.alias("attachment_type"))
+    return reindexed(rows.where("ts is not null"), prefix, ["ts", "_file", "_pos"]).drop("_file", "_pos")
 
 
 def sqlite_rows(spark: SparkSession, path: str, sql: str, schema: str) -> DataFrame:

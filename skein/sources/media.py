@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import repair
-from .chats import unescape
+from .markup import ACTIVITY, records
 
 APPLE = "uuid string, date string, original_filename string, width int, height int, latitude double, longitude double, albums array<string>, persons array<string>"
 
@@ -74,18 +74,24 @@ def takeout_csv(spark: SparkSession, glob: str, names: dict[str, str], ints: tup
 
 
 def watch_history(spark: SparkSession, glob: str) -> DataFrame:
-    """S-24: entries of a history page: video, title (null where it's only the address), channel, and time with its offset."""
-    raw = spark.read.text(glob, wholetext=True)
-    c = raw.select(F.explode(F.slice(F.split("value", r'<div class="outer-cell'), 2, 10_000_000)).alias("c"))
-    title = unescape(F.regexp_extract("c", r'watch\?v=[^"]*">([^<]*)</a>', 1))
-    when = F.regexp_extract("c", r"([A-Z][a-z]{2} \d{1,2}, \d{4}, \d{1,2}:\d{2}:\d{2}[\s ][AP]M) (?:GMT)?([+-]\d{2}:\d{2}|UTC)", 1)
-    shift = F.regexp_extract("c", r"[AP]M (?:GMT)?([+-]\d{2}:\d{2})", 1)
-    naive = F.unix_millis(F.try_to_timestamp(F.regexp_replace(when, r"[\s ]+", " "), F.lit("MMM d, yyyy, h:mm:ss a")))
-    sign = F.when(shift.startswith("-"), -1).otherwise(1)
-    minutes = F.when(shift == "", 0).otherwise(sign * (F.substring(shift, 2, 2).try_cast("int") * 60 + F.substring(shift, 5, 2).try_cast("int")))
-    return c.select(
-        F.nullif(F.regexp_extract("c", r"watch\?v=([\w-]+)", 1), F.lit("")).alias("video_id"), F.when(~title.startswith("http"), F.nullif(title, F.lit(""))).alias("title"),
-        F.nullif(unescape(F.regexp_extract("c", r'channel/[^"]*">([^<]*)</a>', 1)), F.lit("")).alias("channel"), (naive - minutes * 60_000).alias("ts"),
+    """S-24: watched videos of a history page: video, title (null where it's only the address), channel, and time with its offset.
+
+    The time is the first in the cell's text, day or month first, with an offset from GMT or UTC; other zones' are null.
+    """
+    raw = spark.read.text(glob, wholetext=True).withColumn("source", F.input_file_name())
+    r = records(raw, ACTIVITY)
+    first = lambda pattern: F.get(F.filter("links", lambda x: x["href"].rlike(pattern)), F.lit(0))
+    video, channel = first(r"watch\?v=[\w-]+"), first(r"/channel/[\w-]+")
+    stamp = F.regexp_extract("text", r"(\d{1,2} [A-Za-z]{3,9} \d{4}, \d{1,2}:\d{2}:\d{2}|[A-Za-z]{3,9} \d{1,2}, \d{4}, \d{1,2}:\d{2}:\d{2} [AP]M) ?(?:GMT[+-]\d{2}:?\d{2}|UTC)", 1)
+    zone = F.regexp_extract("text", r"\d{1,2}:\d{2}:\d{2}(?: [AP]M)? ?(?:GMT)?([+-]\d{2}:?\d{2})", 1)
+    short = F.regexp_replace(stamp, r"([A-Z][a-z]{2})[a-z]*", "$1")
+    naive = F.unix_millis(F.coalesce(F.try_to_timestamp(short, F.lit("d MMM yyyy, H:mm:ss")), F.try_to_timestamp(F.regexp_replace(stamp, r"([A-Z][a-z]{2})[a-z]+", "$1"), F.lit("MMM d, yyyy, h:mm:ss a"))))
+    minutes = F.substring(zone, 2, 2).try_cast("int") * 60 + F.right(zone, F.lit(2)).try_cast("int")
+    shift = F.when(zone == "", 0).otherwise(F.when(zone.startswith("-"), -minutes).otherwise(minutes))
+    title = F.nullif(video["text"], F.lit(""))
+    return r.where(video.isNotNull()).select(
+        F.regexp_extract(video["href"], r"watch\?v=([\w-]+)", 1).alias("video_id"), F.when(~title.rlike("(?i)^https?://"), title).alias("title"),
+        F.nullif(F.regexp_extract(channel["href"], r"/channel/([\w-]+)", 1), F.lit("")).alias("channel_id"), F.nullif(channel["text"], F.lit("")).alias("channel"), (naive - shift * 60_000).alias("ts"),
     )
 
 

@@ -55,9 +55,12 @@ def test_spool(spark, tmp_path):
 
 
 def test_html_thread(spark, tmp_path):
-    put(tmp_path, "h/bo/messages.html", '<time datetime="2024-01-05T12:00:00Z">Jan 5, 2024 2:00 pm</time><div class="message"><div class="sender">Bo &amp; Co</div><div class="body">hi <b>you</b></div><div class="time">Jan 5, 2024 2:30 pm</div></div>')
-    r = chats.chat_html(spark, f"{tmp_path}/h/*/*.html").first()
-    assert (r["sender_name"], r["body"], r["ts"]) == ("Bo & Co", "hi you", 1_704_457_800_000)
+    block = '<div id=x class="pam _3-95 _2ph- _a6-g uiBoxWhite noborder"><h2 class="y">{}</h2><div class="_3-95 _a6-p"><div>{}</div></div><div class="_3-94 _a6-o">{}</div></div>'
+    head = '<h1>Bo &amp; Co</h1>Contains data you requested from <time datetime="2024-01-05T12:00:00Z">Jan 5, 2024 2:00 pm</time><script>"<div class=\'_a6-g\'>"</script>'
+    messages = block.format("Bo &amp; Co", "hi <b>you<i></b> &#x1F44D;&hellip;<br>there", "Jan 05, 2024 2:30 pm") + block.format("Me", '<a href="u"><img src="a.png"></a>', "January 6, 2024 at 12:05 AM") + block.format("Me", "no time", "soon")
+    put(tmp_path, "h/bo/message_1.html", f"<html><body>{head}{messages}</body>")
+    got = sorted((r["ts"], r["sender_name"], r["body"], r["attachment_type"], r["thread_id"]) for r in chats.chat_html(spark, f"{tmp_path}/h/*/*.html").collect())
+    assert got == [(1_704_457_800_000, "Bo & Co", "hi you 👍… there", None, "bo"), (1_704_492_300_000, "Me", "", "image", "bo")]
 
 
 def test_mailbox(spark, tmp_path):
@@ -92,9 +95,12 @@ def test_media(spark, tmp_path):
     put(tmp_path, "y.csv", 'Video ID,Title,Plays,Artist 1,Artist 2\nv1,"two\nlines ""q""",x,A,\n,,,,\nv2,t,5,,B\n')
     got = media.takeout_csv(spark, f"{tmp_path}/y.csv", {"id": "Video ID", "title": "Title", "plays": "Plays"}, ("plays",), {"artists": ["Artist 1", "Artist 2"]}).orderBy("id").collect()
     assert [(r["id"], r["title"], r["plays"], r["artists"]) for r in got] == [("v1", 'two\nlines "q"', None, ["A"]), ("v2", "t", 5, ["B"])]
-    put(tmp_path, "h.html", '<div class="outer-cell"><a href="https://www.youtube.com/watch?v=abc">A &amp; B</a><br><a href="https://www.youtube.com/channel/c1">Chan</a><br>Jan 5, 2024, 2:00:00 PM GMT+02:00</div>')
-    r = media.watch_history(spark, f"{tmp_path}/h.html").first()
-    assert (r["video_id"], r["title"], r["channel"], r["ts"]) == ("abc", "A & B", "Chan", 1_704_456_000_000)
+    cell = '<div class="outer-cell mdl-cell"><div><p class="t">YouTube</p></div><div class="content">Watched&nbsp;<a target=_blank href="https://www.youtube.com/watch?v={}">{}</a><br>{}<br>{}<br></div></div>'
+    channel = '<a href="https://www.youtube.com/channel/c1">Ch <b>an</b></a>'
+    cells = [cell.format("abc", "A &amp; B", channel, "Jan 5, 2024, 2:00:00 PM GMT+02:00"), cell.format("d-_", "https://x", "", "13 January 2019, 19:37:22 GMT-0530"), cell.format("e", "E", channel, "5 Jan 2024, 12:00:00 UTC"), '<div class="outer-cell">Visited</div>']
+    put(tmp_path, "h.html", f"<div>{''.join(cells)}</div>")
+    got = [tuple(r) for r in media.watch_history(spark, f"{tmp_path}/h.html").collect()]
+    assert got == [("abc", "A & B", "c1", "Ch an", 1_704_456_000_000), ("d-_", None, None, None, 1_547_428_042_000), ("e", "E", "c1", "Ch an", 1_704_456_000_000)]
     g = media.guest_list(spark.createDataFrame([("Hosted by Ann\nBob\nWhen\n12 Going\n3 Maybe\nGuest List\nCy\nD***\n",)], "text string")).first()
     assert (g["hosts"], g["going"], g["maybe"], g["guests"]) == (["Ann", "Bob"], 12, 3, ["Cy"])
 
