@@ -9,7 +9,8 @@ that two texts share leaves a common fingerprint in both, and positions are kept
 
 Texts of up to SHORT characters have values of runs of GRAM characters besides, at positions from
 CHARACTERS on: the minima of windows of WINDOW, or all of them in texts of less than 2 * (WINDOW + GRAM - 1)
-characters. A larger window's minima are among a smaller one's, so texts of any two lengths can be compared.
+characters. Like is compared with like: two such texts by all their values, and a pair of which either is longer by
+the words' values alone, which every text has.
 Half of a longer text holds a run of WINDOW + GRAM - 1 words, and half of a shorter one a run of characters
 that leaves a common value, from 2 * GRAM - 1 characters on (white space in long runs aside).
 """
@@ -80,9 +81,19 @@ def shown(name: str) -> Column:
     return F.array_join(F.transform(name, lambda v: F.hex(v)), " ")
 
 
-def likeness(a: str, b: str) -> Column:
-    """Jaccard likeness of two columns of hashes."""
-    return F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
+def _of_words(name: str) -> Column:
+    """The values of words among those of a fingerprint: their positions are below CHARACTERS."""
+    return F.filter(name, lambda v: v.bitwiseAND(F.lit(_POSITIONS)) > _POSITIONS - CHARACTERS)
+
+
+def likeness(df: DataFrame, name: str, a: str, b: str) -> DataFrame:
+    """df with `name`: the Jaccard likeness of two fingerprints' hashes, of characters too if both have them, else of words."""
+    df = df.withColumns({"_wa": _of_words(a), "_wb": _of_words(b)})
+    both = (F.size("_wa") < F.size(a)) & (F.size("_wb") < F.size(b))
+    side = lambda full, words: F.when(both, F.col(full)).otherwise(F.col(words))
+    df = df.withColumns({"_wa": side(a, "_wa"), "_wb": side(b, "_wb")})
+    df = df.withColumns({"_wa": _hashes("_wa"), "_wb": _hashes("_wb")})
+    return df.withColumn(name, F.size(F.array_intersect("_wa", "_wb")) / F.size(F.array_union("_wa", "_wb"))).drop("_wa", "_wb")
 
 
 def _choose(key: Column, bounds: list[int], low: int = 0) -> Column:
@@ -133,8 +144,8 @@ def fingerprint(documents: DataFrame) -> DataFrame:
     df = df.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next_text", F.lit(1), half)))
     df = df.select("doc_id", "n_chars", "edited", "sel", "next_sel")
     df = with_both(df, "edited", "edited_sel")
-    df = df.withColumns({"_a": _hashes("sel"), "_e": _hashes("edited_sel"), "_b": _hashes("next_sel")})
+    df = likeness(likeness(df, "near_edited", "sel", "edited_sel"), "near_next", "sel", "next_sel")
     return df.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), shown("sel").alias("fingerprint"), shown("edited_sel").alias("edited_fingerprint"),
-        likeness("_a", "_e").alias("near_edited"), likeness("_a", "_b").alias("near_next"),
+        "near_edited", "near_next",
     )

@@ -259,8 +259,32 @@ def test_fingerprints_against_plain_winnowing(spark):
         if e is None:
             continue
         assert got[i][1] == " ".join(f"{v:X}" for v in e)
-        sets = [{v >> 27 for v in x} for x in (a, e, b)]
-        assert abs(got[i][2] - len(sets[0] & sets[1]) / len(sets[0] | sets[1])) < 1e-12 and abs(got[i][3] - len(sets[0] & sets[2]) / len(sets[0] | sets[2])) < 1e-12
+        assert abs(got[i][2] - plain_likeness(a, e)) < 1e-12 and abs(got[i][3] - plain_likeness(a, b)) < 1e-12
+
+
+def plain_likeness(a, b):
+    """Of characters too if both texts have values of them, else of words alone."""
+    of_words = lambda x: [v for v in x if (1 << 27) - 1 - (v & ((1 << 27) - 1)) < 1 << 26]
+    if len(of_words(a)) == len(a) or len(of_words(b)) == len(b):
+        a, b = of_words(a), of_words(b)
+    a, b = ({v >> 27 for v in x} for x in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_long_texts_with_a_short_edit_keep_their_likeness(spark):
+    rnd = random.Random(8)
+    say = lambda n: " ".join("".join(rnd.choice("abcdefghijklmno") for _ in range(rnd.randint(2, 9))) for _ in range(n))
+    rows = []
+    for k, n in enumerate([190, 200, 215, 230, 250, 260]):
+        rows += [(2 * k, say(n)), (2 * k + 1, ["", "x y z", say(8)][k % 3])]
+    got = by_id(fingerprints.fingerprint(spark.createDataFrame(rows, "doc_id long, text string")), "near_edited", "near_next")
+    for k in range(0, len(rows), 2):
+        text, following = rows[k][1], rows[k + 1][1]
+        half = len(text) // 2
+        edited = text[: len(text) - half] + following[:half]
+        assert len(text) > fingerprints.SHORT >= len(edited)
+        low = lambda t: {v >> 27 for v in plain_fingerprint(t) if (1 << 27) - 1 - (v & ((1 << 27) - 1)) < 1 << 26}
+        assert got[rows[k][0]][0] >= len(low(text) & low(edited)) / len(low(text) | low(edited)) > 0.3
 
 
 def test_winnowing_guarantee(spark):
