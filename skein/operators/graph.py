@@ -77,23 +77,132 @@ def co_mentioned(mention: DataFrame) -> DataFrame:
     return a.join(b, keys).where("a < b").groupBy("a", "b", "thread_id", "day").agg(F.sum(F.col("na") * F.col("nb")).alias("weight"))
 
 
-def ego_nodes(messages: DataFrame, thread_identity: DataFrame, least: int = 100, top: int = 80) -> DataFrame:
-    """G-05: people of the ego graph by meaningful one-to-one messages."""
-    n = messages.where("meaningful").join(thread_identity, "thread_id").groupBy("canonical_id").agg(F.count("*").alias("msg_count"))
-    return n.where(F.col("msg_count") >= least).orderBy(F.col("msg_count").desc(), "canonical_id").limit(top)
+#: First names that are common words too, and don't count as mentions on their own.
+AMBIGUOUS = (
+    "will", "mark", "grace", "hope", "faith", "joy", "pat", "daisy", "rose", "lily", "holly", "sam", "bob", "kit", "frank", "drew", "tim", "jack",
+    "art", "rich", "wade", "penny", "star", "may", "ray", "pearl", "angel", "crystal", "rocky", "ace", "win", "reed", "lance", "major", "brave",
+    "tom", "jay", "don", "rod", "olive", "sandy", "sunny", "rain", "storm",
+)
 
 
-def edge_weights(membership: DataFrame, mention: DataFrame, least: int = 12) -> DataFrame:
-    """G-05b: shared groups plus co-mentions of pairs, as far as they reach `least`."""
-    g = pairs(membership.where("canonical_id is not null"), "thread_id", "canonical_id").groupBy("a", "b").agg(F.count_distinct("thread_id").alias("groups"))
-    m = co_mentioned(mention).groupBy("a", "b").agg(F.sum("weight").alias("mentions"))
-    both = g.join(m, ["a", "b"], "full").select("a", "b", F.coalesce("groups", F.lit(0)).alias("groups"), F.coalesce("mentions", F.lit(0)).alias("mentions"))
+#: What the names of accounts that stand for many hold.
+SERVICES = ("facebook user", "instagram user")
+
+
+def ego_nodes(messages: DataFrame, threads: DataFrame, thread_identity: DataFrame, identities: DataFrame, owner_id: str, least: int = 100, top: int = 80) -> DataFrame:
+    """G-05: people of the ego graph by meaningful one-to-one messages, without the owner and without names of services."""
+    alone = threads.where("not is_group").select("thread_id").join(thread_identity, "thread_id")
+    service = F.lower("display_name").rlike("|".join(SERVICES))
+    named = identities.where((F.col("canonical_id") != owner_id) & ~service).select("canonical_id", "display_name")
+    n = messages.where("meaningful").join(alone, "thread_id").groupBy("canonical_id").agg(F.count("*").alias("msg_count"))
+    return n.where(F.col("msg_count") >= least).join(named, "canonical_id").orderBy(F.col("msg_count").desc(), "canonical_id").limit(top).select("canonical_id", "display_name", "msg_count")
+
+
+def told_of(mention: DataFrame, threads: DataFrame, thread_identity: DataFrame) -> DataFrame:
+    """Mentions of a person in another's one-to-one thread: owner, mentioned_canonical_id, message_id, mentioned_form, thread_id and ts."""
+    alone = threads.where("not is_group").select("thread_id").join(thread_identity, "thread_id").select("thread_id", F.col("canonical_id").alias("owner"))
+    return mention.join(alone, "thread_id").where("owner <> mentioned_canonical_id")
+
+
+def _unordered(df: DataFrame, a: str, b: str, *keys: str) -> DataFrame:
+    """Pairs in either direction as one, a < b, counted."""
+    return df.groupBy(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), *keys).agg(F.count("*").alias("n"))
+
+
+def edge_weights(nodes: DataFrame, membership: DataFrame, mention: DataFrame, threads: DataFrame, thread_identity: DataFrame, least: int = 12) -> DataFrame:
+    """G-05b: of pairs of nodes the groups they share plus mentions of one in the other's one-to-one thread, as far as they reach `least`.
+
+    First names that are words too don't count; forms of several words do.
+    """
+    ids = nodes.select("canonical_id")
+    g = pairs(membership.join(ids, "canonical_id", "left_semi"), "thread_id", "canonical_id").groupBy("a", "b").agg(F.count_distinct("thread_id").alias("groups"))
+    told = told_of(mention.where(~F.lower("mentioned_form").isin(*AMBIGUOUS)), threads, thread_identity)
+    told = told.join(ids.withColumnRenamed("canonical_id", "owner"), "owner", "left_semi").join(ids.withColumnRenamed("canonical_id", "mentioned_canonical_id"), "mentioned_canonical_id", "left_semi")
+    both = g.join(_unordered(told, "owner", "mentioned_canonical_id").withColumnRenamed("n", "mentions"), ["a", "b"], "full").fillna(0, ["groups", "mentions"])
     return both.withColumn("weight", F.col("groups") + F.col("mentions")).where(F.col("weight") >= least)
 
 
-def co_present(faces: DataFrame, least: int = 2) -> DataFrame:
-    """G-05c: pairs seen in the same photos."""
-    return pairs(faces, "photo_id", "canonical_id").groupBy("a", "b").agg(F.count("*").alias("photos")).where(F.col("photos") >= least)
+def co_present(faces: DataFrame, nodes: DataFrame, identities: DataFrame, owner_id: str, least: int = 2) -> tuple[DataFrame, DataFrame]:
+    """G-05c: pairs seen together in photos, and photo-only nodes.
+
+    A person in photos who isn't a node but has a node's name, case aside, is that node: pairs are told anew and added up. Others
+    (the owner aside) become nodes of their own. Of nodes with one name the one that comes first by messages is meant.
+    """
+    seen = pairs(faces, "photo_id", "canonical_id").groupBy("a", "b").agg(F.count("*").alias("photos")).where(F.col("photos") >= least)
+    people = seen.select(F.explode(F.array("a", "b")).alias("canonical_id")).distinct().join(nodes.select("canonical_id"), "canonical_id", "left_anti").where(F.col("canonical_id") != owner_id)
+    name = F.lower(F.trim("display_name"))
+    by_name = nodes.groupBy(name.alias("_k")).agg(F.min_by("canonical_id", F.struct(-F.col("msg_count"), "canonical_id")).alias("node"))
+    known = people.join(identities.select("canonical_id", "display_name"), "canonical_id").join(by_name, name == F.col("_k"), "left")
+    same = known.where("node is not null").select("canonical_id", "node")
+    for end in ("a", "b"):
+        seen = seen.join(same.select(F.col("canonical_id").alias(end), F.col("node").alias(f"_{end}")), end, "left").withColumn(end, F.coalesce(f"_{end}", end)).drop(f"_{end}")
+    edges = seen.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("photos").alias("photos"))
+    return edges, known.where("node is null").select("canonical_id", "display_name")
+
+
+def storyline(messages: DataFrame, threads: DataFrame, thread_identity: DataFrame, mention: DataFrame, top: int = 30, over: int = 50) -> tuple[DataFrame, DataFrame]:
+    """G-11: months of the people with most one-to-one messages (more than `over`), and who is told of in whose thread by month.
+
+    Every person has every month from the first message of them all to the last, with messages and mentions; edges are
+    unordered pairs of these people by month.
+    """
+    month = lambda c: F.date_format(F.timestamp_millis(c), "yyyy-MM").alias("month")
+    alone = threads.where("not is_group").select("thread_id").join(thread_identity, "thread_id")
+    m = messages.where("body is not null and body <> ''").join(alone, "thread_id").groupBy("canonical_id", month("ts")).agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    total = m.groupBy("canonical_id").agg(F.sum("n").alias("total"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"))
+    people = total.where(F.col("total") > over).orderBy(F.col("total").desc(), "canonical_id").limit(top)
+    day = lambda c: F.trunc(F.timestamp_millis(c).cast("date"), "month")
+    spine = people.agg(F.min("first_ts").alias("lo"), F.max("last_ts").alias("hi")).where("lo is not null")
+    spine = spine.select(F.explode(F.sequence(day("lo"), day("hi"), F.expr("interval 1 month"))).alias("d")).select(F.date_format("d", "yyyy-MM").alias("month"), F.lit(1).alias("_one"))
+    named = mention.select(F.col("mentioned_canonical_id").alias("canonical_id"), month("ts")).groupBy("canonical_id", "month").agg(F.count("*").alias("mentions"))
+    ids = people.select("canonical_id")
+    months_of = ids.withColumn("_one", F.lit(1)).join(F.broadcast(spine), "_one").drop("_one")  # at most `top` people
+    rows = months_of.join(m.select("canonical_id", "month", F.col("n").alias("msgs")), ["canonical_id", "month"], "left").join(named, ["canonical_id", "month"], "left").fillna(0, ["msgs", "mentions"])
+    told = told_of(mention, threads, thread_identity).join(ids.withColumnRenamed("canonical_id", "owner"), "owner", "left_semi").join(ids.withColumnRenamed("canonical_id", "mentioned_canonical_id"), "mentioned_canonical_id", "left_semi")
+    edges = _unordered(told.withColumn("month", month("ts")), "owner", "mentioned_canonical_id", "month")
+    return rows, edges
+
+
+def edge_detail(a: str, b: str, membership: DataFrame, messages: DataFrame, threads: DataFrame, thread_identity: DataFrame, mention: DataFrame, faces: DataFrame, photos: DataFrame) -> DataFrame:
+    """G-15: of a pair the groups they share (30), the newest mentions of each in the other's thread (12), and photos of both (200): section, place, item, ts and text."""
+    both = membership.where(F.col("canonical_id").isin(a, b)).groupBy("thread_id").agg(F.count_distinct("canonical_id").alias("n")).where("n = 2")
+    groups = both.orderBy("thread_id").limit(30).select(F.lit("shared_groups").alias("section"), F.col("thread_id").alias("item"), F.lit(None).cast("long").alias("ts"), F.lit(None).cast("string").alias("text"))
+    told = told_of(mention.where(F.col("mentioned_canonical_id").isin(a, b)), threads, thread_identity).where(F.col("owner").isin(a, b))
+    side = F.when(F.col("mentioned_canonical_id") == a, "a_in_b").otherwise("b_in_a")
+    newest = F.row_number().over(Window.partitionBy("section").orderBy(F.col("ts").desc(), "item"))
+    samples = told.select(side.alias("section"), F.col("message_id").alias("item"), "ts").distinct().withColumn("_r", newest).where("_r <= 12").drop("_r")
+    samples = samples.join(messages.select(F.col("id").alias("item"), F.substring(F.coalesce("body", F.lit("")), 1, 240).alias("text")), "item").select("section", "item", "ts", "text")
+    shown = faces.where(F.col("canonical_id").isin(a, b)).groupBy("photo_id").agg(F.count_distinct("canonical_id").alias("n")).where("n = 2")
+    pictures = shown.join(photos.where("asset_path is not null").select(F.col("id").alias("photo_id"), "ts", "asset_path"), "photo_id").orderBy(F.col("ts").desc(), "photo_id").limit(200)
+    return groups.union(samples).union(pictures.select(F.lit("photos"), F.col("photo_id"), "ts", F.col("asset_path")))
+
+
+def context_packet(person: str, messages: DataFrame, threads: DataFrame, thread_identity: DataFrame, membership: DataFrame, mention: DataFrame, identities: DataFrame, top: int = 15, recent: int = 8) -> DataFrame:
+    """G-14: what there is to know of a person: direct threads, groups with up to eight others, who is mentioned on the same days, the threads
+    where they're talked about, and recent messages that mention them: section, item, n, first_ts, last_ts and text."""
+    m = messages.where("meaningful")
+    mine = thread_identity.where(F.col("canonical_id") == person).select("thread_id").distinct()
+    direct = m.join(mine, "thread_id").join(threads.select("thread_id", F.col("source").alias("of")), "thread_id").groupBy("thread_id", "of").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count_if("from_me").alias("from_me"))
+    out = direct.select(F.lit("direct").alias("section"), F.col("thread_id").alias("item"), "n", "first_ts", "last_ts", F.concat_ws(" ", "of", F.col("from_me").cast("string")).alias("text"))
+    theirs = membership.where(F.col("canonical_id") == person).select("thread_id").distinct()
+    self_name = identities.where(F.col("canonical_id") == person).select(F.col("display_name").alias("_self"))
+    others = membership.join(theirs, "thread_id").join(F.broadcast(self_name), F.col("participant_name") == F.col("_self"), "left_anti").groupBy("thread_id").agg(F.slice(F.array_sort(F.collect_set("participant_name")), 1, 8).alias("w"), F.count_distinct("participant_name").alias("k"))
+    size = m.join(theirs, "thread_id").groupBy("thread_id").agg(F.count("*").alias("n"))
+    more = F.when(F.col("k") > 8, F.concat(F.lit(", +"), (F.col("k") - 8).cast("string"), F.lit(" more"))).otherwise("")
+    none = F.lit(None).cast("long")
+    out = out.union(theirs.join(size, "thread_id", "left").join(others, "thread_id", "left").select(F.lit("groups"), "thread_id", F.coalesce("n", F.lit(0)), none, none, F.concat(F.coalesce(F.array_join("w", ", "), F.lit("")), F.coalesce(more, F.lit("")))))
+    c = co_mentioned(mention).where((F.col("a") == person) | (F.col("b") == person))
+    along = c.groupBy(F.when(F.col("a") == person, F.col("b")).otherwise(F.col("a")).alias("canonical_id")).agg(F.sum("weight").alias("n")).orderBy(F.col("n").desc(), "canonical_id").limit(top)
+    out = out.union(along.join(identities.select("canonical_id", "display_name"), "canonical_id", "left").select(F.lit("alongside"), "canonical_id", "n", none, none, F.coalesce("display_name", F.lit("(unknown)"))))
+    told = mention.where(F.col("mentioned_canonical_id") == person)
+    places = told.groupBy("thread_id").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")).orderBy(F.col("n").desc(), "thread_id").limit(top)
+    owner = thread_identity.join(identities, "canonical_id").groupBy("thread_id").agg(F.min("display_name").alias("owner"))
+    who = membership.groupBy("thread_id").agg(F.array_sort(F.collect_set("participant_name")).alias("who"))
+    of_group = F.concat(F.lit("group: "), F.array_join(F.slice("who", 1, 3), ", "), F.when(F.size("who") > 3, "...").otherwise(""))
+    label = F.when(F.col("is_group"), F.coalesce(of_group, F.col("thread_id"))).otherwise(F.coalesce(F.concat(F.lit("1-on-1 with "), "owner"), F.col("thread_id")))
+    out = out.union(places.join(threads.select("thread_id", "is_group"), "thread_id").join(owner, "thread_id", "left").join(who, "thread_id", "left").select(F.lit("talked_about"), "thread_id", "n", "first_ts", "last_ts", label))
+    latest = told.select("message_id", "ts").distinct().orderBy(F.col("ts").desc(), "message_id").limit(recent)
+    return out.union(latest.join(messages.select(F.col("id").alias("message_id"), "body"), "message_id").select(F.lit("recent"), "message_id", F.lit(1).cast("long"), "ts", "ts", F.substring("body", 1, 200)))
 
 
 def cohorts(messages: DataFrame, membership: DataFrame, least_messages: int = 50, senders: tuple[int, int] = (3, 10), least_members: int = 3) -> DataFrame:

@@ -197,6 +197,16 @@ def event_index(gatherings: DataFrame, event_photos: DataFrame, photos: DataFram
     return gatherings.join(t, "event_id", "left").select("event_id", "start_ts", F.size("participants").alias("people"), "thumb")
 
 
+def event_stream(event_photos: DataFrame, photos: DataFrame, event_messages: DataFrame, messages: DataFrame, gatherings: DataFrame, identities: DataFrame) -> DataFrame:
+    """A-44: an event's photos and messages in order of time, with its people's names (an id stands for whom nobody knows)."""
+    p = event_photos.join(photos.select(F.col("id").alias("photo_id"), "ts"), "photo_id").select("event_id", F.lit("photo").alias("kind"), F.col("photo_id").alias("id"), "ts")
+    m = event_messages.join(messages.select(F.col("id").alias("message_id"), "ts"), "message_id").select("event_id", F.lit("message"), "message_id", "ts")
+    who = gatherings.select("event_id", F.explode("participants").alias("canonical_id")).join(identities.select("canonical_id", "display_name"), "canonical_id", "left")
+    names = who.groupBy("event_id").agg(F.array_join(F.array_sort(F.collect_list(F.coalesce("display_name", "canonical_id"))), ", ").alias("people"))
+    place = F.row_number().over(Window.partitionBy("event_id").orderBy("ts", "kind", "id"))
+    return p.union(m).join(names, "event_id", "left").withColumn("place", place).select("event_id", "place", "kind", "id", "ts", "people")
+
+
 def dedupe_photos(photos: DataFrame, preferred: str) -> DataFrame:
     """E-18: one photo of each hash, the preferred source first, with the others' ids; without hash all stay."""
     key = F.coalesce(F.col("hash_sha256"), F.concat(F.lit("id:"), F.col("id")))
@@ -221,11 +231,12 @@ def merge_clusters(vectors: DataFrame, cosine: float = 0.5) -> DataFrame:
 
 
 def cluster_sheet(dets: DataFrame, low: float = 0.70) -> DataFrame:
-    """E-22: span, mean score and quality of each face cluster."""
+    """E-22: span, mean score, quality and first three cities of each face cluster; dets(cluster_id, ts, det_score, city)."""
     g = dets.groupBy("cluster_id").agg(F.count("*").alias("n_faces"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.round(F.avg("det_score"), 6).alias("mean_score"))
-    return g.withColumn("low_quality", F.col("mean_score") < low)
-
-
+    n = dets.where("city is not null").groupBy("cluster_id", "city").agg(F.count("*").alias("n"))
+    three = n.withColumn("_r", F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.col("n").desc(), "city"))).where("_r <= 3")
+    cities = three.groupBy("cluster_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "city"))), lambda x: x["city"]), ", ").alias("cities"))
+    return g.join(cities, "cluster_id", "left").withColumn("cities", F.coalesce("cities", F.lit(""))).withColumn("low_quality", F.col("mean_score") < low)
 
 
 def face_tables(dets: DataFrame, clusters: DataFrame, labels: DataFrame, identities: DataFrame, photos: DataFrame, photo_faces: DataFrame, source: str) -> dict[str, DataFrame]:

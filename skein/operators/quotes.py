@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normal_quote
+from .ranking import ranked
 
 KEY_WORDS, KEY_CHARACTERS = 3, 3
 BLOCK_QUOTE = r"(?i)^>\s*(Them|You|They|Me)\s*:\s*(.*)$"
@@ -68,10 +69,16 @@ def unverified(portraits: DataFrame, messages: DataFrame) -> DataFrame:
 
 
 def daily_pick(rows: DataFrame, order: list[Column], day: int, new: int) -> DataFrame:
-    """A-38: the row whose turn it is by day, and the first few of the order."""
-    w = Window.partitionBy(F.lit(1))
-    d = rows.withColumn("_r", F.row_number().over(w.orderBy(*order))).withColumn("_n", F.count("*").over(w))
-    return d.where((F.col("_r") - 1 == F.lit(day) % F.col("_n")) | (F.col("_r") <= new)).drop("_r", "_n")
+    """A-38: the row whose turn it is by day, and the first few of the order; rows are ranked by ranges, not in one task."""
+    d = ranked(rows, *order, name="_r")
+    n = d.count()
+    return d.where((F.col("_r") == day % max(1, n)) | (F.col("_r") < new)).drop("_r")
+
+
+def self_bundle(notes: DataFrame, day: int, new: int = 3) -> DataFrame:
+    """A-38: of notes(id, confidence, lens) those for a day, by confidence (high, medium, low) times the weight of the lens, then id."""
+    weight = F.when(F.col("confidence") == "high", 3).when(F.col("confidence") == "medium", 2).otherwise(1) * F.col("lens")
+    return daily_pick(notes.withColumn("weight", weight), [F.col("weight").desc(), F.col("id")], day, new)
 
 
 def headings(documents: DataFrame, levels: tuple[int, ...] = (1, 2)) -> DataFrame:

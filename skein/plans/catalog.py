@@ -35,6 +35,7 @@ class Archive(SimpleNamespace):
             "pm": lambda: self.msgs.join(self.thread_identity, "thread_id"),
             "membership": lambda: graph.group_membership(self.threads, self.identities, self.messages, self.thread_identity),
             "mention": lambda: graph.mentions(self.msgs, self.identities, self.thread_identity),
+            "nodes": lambda: graph.ego_nodes(self.msgs, self.threads, self.thread_identity, self.identities, "id-0", least=30),
             "rules": lambda: self.spark.createDataFrame([r[:6] for r in ZONE_RULES], "rule int, canonical_id string, from_day string, to_day string, zone string, label string").selectExpr("rule", "canonical_id", "CAST(from_day AS DATE) AS from_day", "CAST(to_day AS DATE) AS to_day", "zone", "label"),
             "merges": lambda: self.identities.alias("a").join(self.identities.alias("b"), F.expr("b.n = a.n + 7")).selectExpr("a.display_name AS winner_name", "b.display_name AS loser_name"),
             "portraits": lambda: self.messages.where("contains(body, 'birthday')").selectExpr("sender_name AS name").distinct(),

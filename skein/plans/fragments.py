@@ -29,6 +29,8 @@ def zone_of(person: str, ts: str) -> str:
 
 FRAGMENTS = {
     "rules": _rules(),
+    "nodes": "SELECT canonical_id, display_name, count(*) AS msg_count FROM pm JOIN (SELECT thread_id, is_group FROM threads) USING (thread_id) JOIN (SELECT canonical_id, display_name FROM identities) USING (canonical_id) WHERE meaningful AND NOT is_group AND canonical_id <> 'id-0' AND NOT regexp_matches(lower(display_name), 'facebook user|instagram user') GROUP BY 1, 2 HAVING count(*) >= 30 ORDER BY 3 DESC, 1 LIMIT 80",
+    "told": "SELECT ti.canonical_id AS owner, n.* FROM mention n JOIN threads t ON t.thread_id = n.thread_id AND NOT t.is_group JOIN thread_identity ti ON ti.thread_id = n.thread_id WHERE ti.canonical_id <> n.mentioned_canonical_id",
     "merges": "SELECT a.display_name AS winner_name, b.display_name AS loser_name FROM identities a JOIN identities b ON b.n = a.n + 7",
     "portraits": "SELECT DISTINCT sender_name AS name FROM messages WHERE contains(body, 'birthday')",
     "same": "SELECT a AS canonical_id, string_agg(DISTINCT b, ',' ORDER BY b) AS same_as FROM (SELECT x.id AS a, y.id AS b FROM one x JOIN merges ON x.name = winner_name JOIN one y ON y.name = loser_name UNION SELECT y.id, x.id FROM one x JOIN merges ON x.name = winner_name JOIN one y ON y.name = loser_name) WHERE a <> b GROUP BY 1",
@@ -59,5 +61,7 @@ NEEDS = {
     "membership": ("messages", "thread_identity", "identities", "threads", "akeys", "cnt"), "forms": ("identities",),
     "mention": ("messages", "thread_identity", "identities", "msgs", "forms", "tokens"), "seen": ("gatherings",), "ep": ("gatherings",),
 }
+NEEDS["nodes"] = (*NEEDS["pm"], "pm", "threads", "identities")
+NEEDS["told"] = (*NEEDS["mention"], "mention", "threads")
 NEEDS["perday"] = (*NEEDS["mention"], "mention")
 NEEDS["co"] = (*NEEDS["perday"], "perday")

@@ -106,6 +106,13 @@ _ROWS = """SELECT 'e' || CAST(user_id AS STRING) AS event_id, event_id AS row, C
 _PAGES = "SELECT 'e' || CAST(n AS STRING) AS event_id, CASE WHEN n % 3 = 0 THEN {hosts} END AS hosts, CASE WHEN n % 5 = 0 THEN 'Private Location' ELSE 'hall ' || CAST(n AS STRING) END AS venue FROM {identities}"
 
 
+@query("q_e16_best_invite", """WITH r AS (SELECT 'e' || CAST(user_id AS STRING) AS event_id, CASE event_type WHEN 'view' THEN 'page' WHEN 'click' THEN 'invite' ELSE 'other' END AS kind, 't' || CAST(event_id AS STRING) AS title, (epoch_us(ts) // 1000) AS email_ts, event_id AS row FROM events)
+    SELECT event_id, kind, title, email_ts FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY CASE kind WHEN 'page' THEN 2 WHEN 'invite' THEN 1 ELSE 0 END DESC, email_ts DESC, row DESC) AS k FROM r) WHERE k = 1""")
+def _(a):
+    r = a.table("events").selectExpr("'e' || user_id AS event_id", "event_id AS row", "CASE event_type WHEN 'view' THEN 'page' WHEN 'click' THEN 'invite' ELSE 'other' END AS kind", "'t' || event_id AS title", "unix_millis(CAST(ts AS TIMESTAMP)) AS email_ts")
+    return H.best_invite(r, ["kind", "title", "email_ts"])
+
+
 @query("q_e16_invitations", f"""WITH r AS ({_ROWS.format(ms='(epoch_us(ts) // 1000)', events='events', identities='identities')}), k AS (SELECT *, {{'k': CASE kind WHEN 'page' THEN 2 WHEN 'invite' THEN 1 ELSE 0 END, 't': email_ts, 'r': row}} AS o FROM r), d AS ({_PAGES.format(hosts="[upper(display_name), 'Nobody']", identities='identities')}),
     b AS (SELECT event_id, max(email_ts) FILTER (WHERE o = m) AS email_ts, arg_max(name, o) FILTER (WHERE name IS NOT NULL) AS name, arg_max(start_ts, o) FILTER (WHERE start_ts IS NOT NULL) AS start_ts, arg_max(end_ts, o) FILTER (WHERE end_ts IS NOT NULL) AS end_ts, arg_max(host, o) FILTER (WHERE host IS NOT NULL) AS host FROM (SELECT *, max(o) OVER (PARTITION BY event_id) AS m FROM k) GROUP BY 1),
     e AS (SELECT b.event_id, name, coalesce(start_ts, email_ts) AS start_ts, coalesce(end_ts, coalesce(start_ts, email_ts) + 10800000) AS end_ts, CASE WHEN venue <> 'Private Location' THEN venue END AS venue, unnest(CASE WHEN hosts IS NULL THEN [host] ELSE hosts[1:1] END) AS h FROM b LEFT JOIN d USING (event_id)),
@@ -183,10 +190,12 @@ def _(a):
     return new["photos"].join(faces, "id", "left").select("id", "has_named_face", F.coalesce("faces", F.lit(0)).alias("faces"), F.coalesce("named", F.lit("")).alias("named"))
 
 
-@query("q_e22_cluster_sheet", "SELECT user_id % 20 AS cluster_id, count(*) AS n_faces, min((epoch_us(ts) // 1000)) AS first_ts, max((epoch_us(ts) // 1000)) AS last_ts, round(avg(value % 1), 6) AS mean_score, round(avg(value % 1), 6) < 0.5 AS low_quality FROM events GROUP BY 1")
+@query("q_e22_cluster_sheet", """WITH d AS (SELECT CAST(l_partkey % 20 AS INT) AS cluster_id, p.ts, l_tax + 0.65 AS det_score, city FROM lineitem JOIN photos p ON p.id = 'p' || CAST(l_orderkey AS STRING) LEFT JOIN places ON photo_id = p.id), c AS (SELECT cluster_id, string_agg(city, ', ' ORDER BY r) AS cities FROM (SELECT cluster_id, city, row_number() OVER (PARTITION BY cluster_id ORDER BY count(*) DESC, city) AS r FROM d WHERE city IS NOT NULL GROUP BY 1, 2) WHERE r <= 3 GROUP BY 1)
+    SELECT d.cluster_id, count(*) AS n_faces, min(ts) AS first_ts, max(ts) AS last_ts, round(avg(det_score), 6) AS mean_score, coalesce(any_value(cities), '') AS cities, round(avg(det_score), 6) < 0.69 AS low_quality FROM d LEFT JOIN c USING (cluster_id) GROUP BY 1""", "photos places")
 def _(a):
-    d = a.table("events").selectExpr("user_id % 20 AS cluster_id", "unix_millis(CAST(ts AS TIMESTAMP)) AS ts", "value % 1 AS det_score")
-    return H.cluster_sheet(d, 0.5)
+    faces = a.table("lineitem").selectExpr("CAST(l_partkey % 20 AS INT) AS cluster_id", "'p' || l_orderkey AS id", "l_tax + 0.65D AS det_score")
+    d = faces.join(a.photos.select("id", "ts"), "id").join(a.places.select(F.col("photo_id").alias("id"), "city"), "id", "left")
+    return H.cluster_sheet(d, 0.69)
 
 
 @query("q_t02_t03_floor_dedupe", "WITH f AS (SELECT thread_id, max(ts) AS floor FROM messages WHERE source = 'gmail' GROUP BY 1) SELECT DISTINCT m.id FROM messages m LEFT JOIN f USING (thread_id) WHERE m.source <> 'gmail' AND m.ts > coalesce(f.floor, -1)", "messages")

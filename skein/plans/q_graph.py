@@ -38,22 +38,26 @@ def _(a):
     return G.co_mentioned(a.mention)
 
 
-@query("q_g05_ego_nodes", "SELECT canonical_id, count(*) AS msg_count FROM pm WHERE meaningful GROUP BY 1 HAVING count(*) >= 30 ORDER BY 2 DESC, 1 LIMIT 80", "pm")
+@query("q_g05_ego_nodes", "SELECT * FROM nodes", "nodes")
 def _(a):
-    return G.ego_nodes(a.msgs, a.thread_identity, least=30)
+    return a.nodes
 
 
 _PAIRS = "SELECT a.canonical_id AS a, b.canonical_id AS b, count(DISTINCT a.thread_id) AS groups FROM membership a JOIN membership b ON a.thread_id = b.thread_id AND a.canonical_id < b.canonical_id GROUP BY ALL"
+_WORDS = ", ".join(f"'{w}'" for w in G.AMBIGUOUS)
 
 
-@query("q_g05b_edge_weights", f"SELECT a, b, coalesce(g.groups, 0) AS groups, coalesce(c.m, 0) AS mentions, coalesce(g.groups, 0) + coalesce(c.m, 0) AS weight FROM ({_PAIRS}) g FULL JOIN (SELECT a, b, CAST(sum(weight) AS BIGINT) AS m FROM co GROUP BY ALL) c USING (a, b) WHERE coalesce(g.groups, 0) + coalesce(c.m, 0) >= 3", "membership co")
+@query("q_g05b_edge_weights", f"""WITH g AS (SELECT * FROM ({_PAIRS}) WHERE a IN (SELECT canonical_id FROM nodes) AND b IN (SELECT canonical_id FROM nodes)), c AS (SELECT least(owner, mentioned_canonical_id) AS a, greatest(owner, mentioned_canonical_id) AS b, count(*) AS m FROM told
+    WHERE lower(mentioned_form) NOT IN ({_WORDS}) AND owner IN (SELECT canonical_id FROM nodes) AND mentioned_canonical_id IN (SELECT canonical_id FROM nodes) GROUP BY 1, 2) SELECT a, b, coalesce(g.groups, 0) AS groups, coalesce(c.m, 0) AS mentions, coalesce(g.groups, 0) + coalesce(c.m, 0) AS weight FROM g FULL JOIN c USING (a, b) WHERE coalesce(g.groups, 0) + coalesce(c.m, 0) >= 2""", "membership nodes told")
 def _(a):
-    return G.edge_weights(a.membership, a.mention, least=3)
+    return G.edge_weights(a.nodes, a.membership, a.mention, a.threads, a.thread_identity, least=2)
 
 
-@query("q_g05c_co_present", "SELECT a.canonical_id AS a, b.canonical_id AS b, count(*) AS photos FROM photo_faces a JOIN photo_faces b ON a.photo_id = b.photo_id AND a.canonical_id < b.canonical_id GROUP BY ALL HAVING count(*) >= 2", "photo_faces")
+@query("q_g05c_co_present", """WITH s AS (SELECT a.canonical_id AS a, b.canonical_id AS b, count(*) AS photos FROM photo_faces a JOIN photo_faces b ON a.photo_id = b.photo_id AND a.canonical_id < b.canonical_id GROUP BY ALL HAVING count(*) >= 2), p AS (SELECT DISTINCT unnest([a, b]) AS c FROM s)
+    SELECT 'edge' AS kind, a, b, photos FROM s UNION ALL SELECT 'node', c, display_name, NULL FROM p JOIN identities ON canonical_id = c WHERE c <> 'id-0' AND c NOT IN (SELECT canonical_id FROM nodes)""", "photo_faces nodes")
 def _(a):
-    return G.co_present(a.photo_faces)
+    edges, only = G.co_present(a.photo_faces, a.nodes, a.identities, "id-0")
+    return edges.select(F.lit("edge").alias("kind"), "a", "b", "photos").union(only.select(F.lit("node"), "canonical_id", "display_name", F.lit(None).cast("long")))
 
 
 @query("q_g05d_label_propagation")
@@ -97,10 +101,14 @@ def _(a):
     return G.group_profile(a.messages, a.threads, LATER)
 
 
-@query("q_g11_storyline", """WITH m AS (SELECT canonical_id, date_trunc('month', make_timestamp(ts * 1000))::DATE AS mo, count(*) AS n FROM pm WHERE body <> '' GROUP BY ALL), s AS (SELECT canonical_id, unnest(generate_series(min(mo), max(mo), INTERVAL 1 MONTH))::DATE AS mo FROM m GROUP BY 1)
-    SELECT s.canonical_id, strftime(s.mo, '%Y-%m') AS month, coalesce(m.n, 0) AS n FROM s LEFT JOIN m USING (canonical_id, mo)""", "pm")
+@query("q_g11_storyline", """WITH m AS (SELECT canonical_id, ts, strftime(make_timestamp(ts * 1000), '%Y-%m') AS mo FROM pm JOIN (SELECT thread_id, is_group FROM threads) USING (thread_id) WHERE NOT is_group AND body <> ''), p AS (SELECT canonical_id, min(ts) AS lo, max(ts) AS hi FROM m GROUP BY 1 HAVING count(*) > 20 ORDER BY count(*) DESC, 1 LIMIT 30),
+    s AS (SELECT strftime(unnest(generate_series(date_trunc('month', make_timestamp(min(lo) * 1000)), date_trunc('month', make_timestamp(max(hi) * 1000)), INTERVAL 1 MONTH)), '%Y-%m') AS mo FROM p), n AS (SELECT mentioned_canonical_id AS c, strftime(make_timestamp(ts * 1000), '%Y-%m') AS mo, count(*) AS n FROM mention GROUP BY 1, 2), k AS (SELECT canonical_id, mo, count(*) AS n FROM m GROUP BY 1, 2)
+    SELECT 'person' AS kind, p.canonical_id AS a, NULL AS b, s.mo AS month, coalesce(k.n, 0) AS n, coalesce(n.n, 0) AS mentions FROM p CROSS JOIN s LEFT JOIN k ON k.canonical_id = p.canonical_id AND k.mo = s.mo LEFT JOIN n ON n.c = p.canonical_id AND n.mo = s.mo
+    UNION ALL SELECT 'edge', least(owner, mentioned_canonical_id), greatest(owner, mentioned_canonical_id), strftime(make_timestamp(ts * 1000), '%Y-%m'), count(*), NULL FROM told WHERE owner IN (SELECT canonical_id FROM p) AND mentioned_canonical_id IN (SELECT canonical_id FROM p) GROUP BY 2, 3, 4""", "pm told")
 def _(a):
-    return months(a.pm.where("body is not null and body <> ''"), ["canonical_id"], "ts", F.count("*"))
+    people, edges = G.storyline(a.messages, a.threads, a.thread_identity, a.mention, over=20)
+    none = F.lit(None)
+    return people.select(F.lit("person").alias("kind"), F.col("canonical_id").alias("a"), none.cast("string").alias("b"), "month", F.col("msgs").alias("n"), "mentions").union(edges.select(F.lit("edge"), "a", "b", "month", "n", none.cast("long")))
 
 
 @query("q_g12_mention_quotes", f"""WITH t AS (SELECT canonical_id FROM pm WHERE coalesce(body, '') <> '' GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 30), q AS (SELECT n.mentioned_canonical_id, ti.canonical_id AS owner, n.message_id, strftime(make_timestamp(n.ts * 1000), '%Y-%m-%d') AS day, m.from_me, trim(regexp_replace(m.body, '\n+', ' / ', 'g')) AS quote
@@ -121,10 +129,21 @@ def _(a):
     return writing_mentions(a.table("documents").select(F.col("doc_id").alias("file"), "text"), people).select("canonical_id", "file", "line")
 
 
-@query("q_g14_context_packet", "SELECT x, CAST(sum(weight) AS BIGINT) AS total FROM (SELECT b AS x, weight FROM co WHERE a = 'id-1' UNION ALL SELECT a, weight FROM co WHERE b = 'id-1') GROUP BY 1", "co")
+@query("q_g14_context_packet", """WITH t AS (SELECT thread_id, source AS of, is_group FROM threads), d AS (SELECT thread_id, of, count(*) AS n, min(ts) AS lo, max(ts) AS hi, count(*) FILTER (WHERE from_me) AS f FROM pm JOIN t USING (thread_id) WHERE canonical_id = 'id-1' AND meaningful GROUP BY 1, 2), g AS (SELECT DISTINCT thread_id FROM membership WHERE canonical_id = 'id-1'), z AS (SELECT thread_id, count(*) AS n FROM msgs WHERE meaningful GROUP BY 1),
+    o AS (SELECT thread_id, list_sort(list(DISTINCT participant_name)) AS w FROM membership JOIN g USING (thread_id) WHERE participant_name <> (SELECT display_name FROM identities WHERE canonical_id = 'id-1') GROUP BY 1), a AS (SELECT x, CAST(sum(weight) AS BIGINT) AS n FROM (SELECT b AS x, weight FROM co WHERE a = 'id-1' UNION ALL SELECT a, weight FROM co WHERE b = 'id-1') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15),
+    p AS (SELECT thread_id, count(*) AS n, min(ts) AS lo, max(ts) AS hi FROM mention WHERE mentioned_canonical_id = 'id-1' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15), w AS (SELECT thread_id, list_sort(list(DISTINCT participant_name)) AS w FROM membership GROUP BY 1), r AS (SELECT DISTINCT message_id, ts FROM mention WHERE mentioned_canonical_id = 'id-1' ORDER BY ts DESC, message_id LIMIT 8)
+    SELECT 'direct' AS section, thread_id AS item, n, lo AS first_ts, hi AS last_ts, of || ' ' || CAST(f AS STRING) AS text FROM d UNION ALL SELECT 'groups', g.thread_id, coalesce(z.n, 0), NULL, NULL, coalesce(array_to_string(o.w[1:8], ', ') || CASE WHEN len(o.w) > 8 THEN ', +' || CAST(len(o.w) - 8 AS STRING) || ' more' ELSE '' END, '') FROM g LEFT JOIN z USING (thread_id) LEFT JOIN o USING (thread_id)
+    UNION ALL SELECT 'alongside', x, a.n, NULL, NULL, coalesce(display_name, '(unknown)') FROM a LEFT JOIN identities ON canonical_id = x UNION ALL SELECT 'talked_about', p.thread_id, p.n, lo, hi, CASE WHEN is_group THEN 'group: ' || array_to_string(w.w[1:3], ', ') || CASE WHEN len(w.w) > 3 THEN '...' ELSE '' END ELSE coalesce('1-on-1 with ' || (SELECT min(display_name) FROM thread_identity ti JOIN identities USING (canonical_id) WHERE ti.thread_id = p.thread_id), p.thread_id) END FROM p JOIN t USING (thread_id) LEFT JOIN w USING (thread_id)
+    UNION ALL SELECT 'recent', message_id, 1, r.ts, r.ts, substr(body, 1, 200) FROM r JOIN messages m ON m.id = message_id""", "pm membership co threads")
 def _(a):
-    c = G.co_mentioned(a.mention)
-    return c.where("a = 'id-1'").select(F.col("b").alias("x"), "weight").union(c.where("b = 'id-1'").select("a", "weight")).groupBy("x").agg(F.sum("weight").alias("total"))
+    return G.context_packet("id-1", a.msgs, a.threads, a.thread_identity, a.membership, a.mention, a.identities)
+
+
+@query("q_g15_edge_detail", """WITH g AS (SELECT 'shared_groups' AS section, a.thread_id AS item, NULL::BIGINT AS ts, NULL AS text FROM membership a JOIN membership b USING (thread_id) WHERE a.canonical_id = 'id-3' AND b.canonical_id = 'id-15' GROUP BY 2 ORDER BY 2 LIMIT 30), s AS (SELECT DISTINCT CASE WHEN mentioned_canonical_id = 'id-3' THEN 'a_in_b' ELSE 'b_in_a' END AS section, message_id AS item, ts FROM told WHERE owner IN ('id-3', 'id-15') AND mentioned_canonical_id IN ('id-3', 'id-15')),
+    k AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY ts DESC, item) AS r FROM s), p AS (SELECT 'photos' AS section, p.id AS item, ts, asset_path AS text FROM photos p WHERE id IN (SELECT photo_id FROM photo_faces WHERE canonical_id = 'id-3') AND id IN (SELECT photo_id FROM photo_faces WHERE canonical_id = 'id-15') ORDER BY ts DESC, item LIMIT 200)
+    SELECT * FROM g UNION ALL SELECT section, item, k.ts, substr(coalesce(body, ''), 1, 240) FROM k JOIN messages m ON m.id = item WHERE r <= 12 UNION ALL SELECT * FROM p""", "membership told photos photo_faces")
+def _(a):
+    return G.edge_detail("id-3", "id-15", a.membership, a.messages, a.threads, a.thread_identity, a.mention, a.photo_faces, a.photos)
 
 
 @query("q_g15_co_photos", "SELECT a.photo_id FROM photo_faces a JOIN photo_faces b USING (photo_id) JOIN photos p ON p.id = a.photo_id WHERE a.canonical_id = 'id-3' AND b.canonical_id = 'id-5' ORDER BY p.ts DESC, a.photo_id LIMIT 200", "photo_faces photos")

@@ -301,11 +301,11 @@ def _(a):
     return P.cutoff(a.messages, NOW)
 
 
-@query("q_a38_self_bundle", "SELECT p_partkey, p_name FROM (SELECT *, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS r, count(*) OVER () AS n FROM part) WHERE (r - 1) = 17 % n OR r <= 3")
+@query("q_a38_self_bundle", "WITH n AS (SELECT p_partkey AS id, CASE p_size % 3 WHEN 2 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS confidence, CAST(p_partkey % 4 + 1 AS INT) AS lens FROM part), w AS (SELECT *, CAST(CASE confidence WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END * lens AS INT) AS weight FROM n) SELECT id, confidence, lens, weight FROM (SELECT *, row_number() OVER (ORDER BY weight DESC, id) AS r, count(*) OVER () AS n FROM w) WHERE r - 1 = 17 % n OR r <= 3")
 def _(a):
-    from ..operators.quotes import daily_pick
+    from ..operators.quotes import self_bundle
 
-    return daily_pick(a.table("part"), [F.col("p_retailprice").desc(), F.col("p_partkey")], 17, 3).select("p_partkey", "p_name")
+    return self_bundle(a.table("part").selectExpr("p_partkey AS id", "CASE p_size % 3 WHEN 2 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS confidence", "CAST(p_partkey % 4 + 1 AS INT) AS lens"), 17)
 
 
 @query("q_a40_name_dictionary", "SELECT display_name AS name, canonical_id FROM identities UNION ALL SELECT split_part(display_name, ' ', 1), min(canonical_id) FROM identities WHERE len(split_part(display_name, ' ', 1)) >= 4 GROUP BY 1", "identities")
@@ -320,17 +320,33 @@ def _(a):
     return a.table("orders").groupBy(F.col("o_orderstatus").alias("response"), F.year("o_orderdate").alias("year")).agg(F.count("*").alias("n"))
 
 
-@query("q_a42_row_order", "WITH m AS (SELECT canonical_id, strftime(make_timestamp(ts * 1000), '%Y-%m') AS mo, count(*) AS n FROM pm GROUP BY 1, 2), t AS (SELECT canonical_id, CAST(sum(n) AS BIGINT) AS total FROM m GROUP BY 1) SELECT t.canonical_id, t.total, round(sqrt(t.total), 6) AS thickness, (SELECT mo FROM m WHERE m.canonical_id = t.canonical_id ORDER BY n DESC, mo LIMIT 1) AS peak FROM t ORDER BY total DESC, 1 LIMIT 30", "pm")
+@query("q_a42_row_order", "WITH m AS (SELECT canonical_id, strftime(make_timestamp(ts * 1000), '%Y-%m') AS mo, count(*) AS n FROM pm GROUP BY 1, 2), t AS (SELECT canonical_id, CAST(sum(n) AS BIGINT) AS total FROM m GROUP BY 1), h AS (SELECT t.*, display_name IN (SELECT name FROM portraits) AS has_portrait FROM t JOIN (SELECT canonical_id, display_name FROM identities) USING (canonical_id)) SELECT h.canonical_id, h.total, has_portrait, round(sqrt(h.total), 6) AS thickness, (SELECT mo FROM m WHERE m.canonical_id = h.canonical_id ORDER BY n DESC, mo LIMIT 1) AS peak FROM h ORDER BY has_portrait DESC, total DESC, 1 LIMIT 30", "pm portraits identities")
 def _(a):
     m = a.pm.groupBy("canonical_id", F.date_format(F.timestamp_millis("ts"), "yyyy-MM").alias("mo")).agg(F.count("*").alias("n"))
     t = m.groupBy("canonical_id").agg(F.sum("n").alias("total"), F.min_by("mo", F.struct(-F.col("n"), "mo")).alias("peak"))
-    return t.orderBy(F.col("total").desc(), "canonical_id").limit(30).select("canonical_id", "total", F.round(F.sqrt("total"), 6).alias("thickness"), "peak")
+    pictured = a.identities.join(a.portraits.withColumnRenamed("name", "display_name"), "display_name", "left_semi").select("canonical_id", F.lit(True).alias("_p"))
+    t = t.join(a.identities.select("canonical_id"), "canonical_id").join(pictured, "canonical_id", "left").withColumn("has_portrait", F.coalesce("_p", F.lit(False)))
+    return t.orderBy(F.col("has_portrait").desc(), F.col("total").desc(), "canonical_id").limit(30).select("canonical_id", "total", "has_portrait", F.round(F.sqrt("total"), 6).alias("thickness"), "peak")
 
 
-@query("q_a44_event_stream", "SELECT 'photo' AS kind, p.id, p.ts FROM photos p JOIN ep ON ep.photo_id = p.id UNION ALL SELECT 'message', m.id, m.ts FROM messages m WHERE m.thread_id = 't5'", "photos ep messages")
+@query("q_a44_event_stream", f"""WITH t AS (SELECT DISTINCT event_id, start_ts, end_ts, thread_id FROM (SELECT event_id, start_ts, end_ts, unnest(participants) AS canonical_id FROM gatherings) JOIN thread_identity USING (canonical_id)), x AS (SELECT id, ts - {_BACK} AS ts, thread_id FROM msgs WHERE meaningful),
+    m AS (SELECT * FROM (SELECT event_id, x.id, x.ts, row_number() OVER (PARTITION BY event_id ORDER BY x.ts, x.id) AS r FROM t JOIN x ON x.thread_id = t.thread_id AND x.ts BETWEEN start_ts - 43200000 AND end_ts + 43200000) WHERE r <= 200), n AS (SELECT event_id, string_agg(coalesce(display_name, p), ', ' ORDER BY coalesce(display_name, p)) AS people FROM (SELECT event_id, unnest(participants) AS p FROM gatherings) LEFT JOIN identities ON canonical_id = p GROUP BY 1),
+    s AS (SELECT event_id, 'photo' AS kind, p.id, p.ts FROM photos p JOIN ep ON ep.photo_id = p.id UNION ALL SELECT event_id, 'message', id, ts FROM m) SELECT event_id, CAST(row_number() OVER (PARTITION BY event_id ORDER BY ts, kind, id) AS INT) AS place, kind, id, ts, people FROM s LEFT JOIN n USING (event_id)""", "photos ep msgs gatherings thread_identity identities")
 def _(a):
-    photos = a.photos.join(a.ep, a.photos.id == a.ep.photo_id).select(F.lit("photo").alias("kind"), "id", "ts")
-    return photos.unionByName(a.messages.where("thread_id = 't5'").select(F.lit("message").alias("kind"), "id", "ts"))
+    from ..operators.happenings import event_messages, event_stream
+
+    messages = a.msgs.withColumn("ts", F.col("ts") - _BACK)
+    return event_stream(a.ep, a.photos, event_messages(a.gatherings, messages, a.thread_identity), messages, a.gatherings, a.identities)
+
+
+@query("q_a45_headings", rf"""WITH r AS (SELECT doc_id AS doc, CAST(generate_subscripts(x, 1) - 1 AS INT) AS line, unnest(x) AS t FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)), m AS (SELECT doc, line, CASE WHEN line % 3 = 0 THEN substr('###', 1, line % 9 // 3 + 1) || ' ' || substr(t, 1, 12) ELSE t END AS t FROM r),
+    l AS (SELECT *, len(regexp_extract(t, '^(#+)\s', 1)) AS level FROM m), s AS (SELECT *, sum(CASE WHEN level IN (1, 2) THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY line) AS section FROM l), g AS (SELECT doc, section, max(CASE WHEN level IN (1, 2) THEN regexp_extract(t, '^#+\s+(.*)$', 1) END) AS heading, arg_min(trim(t, ' '), line) FILTER (WHERE level = 0 AND trim(t, ' ') <> '') AS excerpt FROM s WHERE section > 0 GROUP BY 1, 2),
+    k AS (SELECT *, regexp_replace(lower(heading), '[^a-z0-9]+', '-', 'g') AS slug FROM g) SELECT doc, CAST(section AS BIGINT) AS section, heading, CASE WHEN row_number() OVER w > 1 THEN slug || '-' || CAST(row_number() OVER w AS STRING) ELSE slug END AS slug, excerpt FROM k WINDOW w AS (PARTITION BY doc, slug ORDER BY section)""")
+def _(a):
+    from ..operators.quotes import headings
+
+    marked = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda t, i: F.when(i % 3 == 0, F.concat(F.substring(F.lit("###"), F.lit(1), (i % 9 / 3).cast("int") + 1), F.lit(" "), F.substring(t, 1, 12))).otherwise(t))
+    return headings(a.table("documents").select(F.col("doc_id").alias("doc"), F.array_join(marked, "\n").alias("text")))
 
 
 @query("q_a45_document_lines", r"WITH l AS (SELECT doc_id, generate_subscripts(x, 1) - 1 AS line, unnest(x) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)) SELECT doc_id, CAST(count(*) AS BIGINT) AS lines, CAST(min(CASE WHEN trim(t) <> '' THEN line END) AS INT) AS first_line FROM l GROUP BY 1")

@@ -96,9 +96,9 @@ def _(a):
     return D.health(a.messages, a.identities, a.thread_identity, 100)
 
 
-@query("q_s03_tail_merge", "WITH a AS (SELECT * FROM messages WHERE source IN ('gmail', 'imessage')), b AS (SELECT * FROM messages WHERE source IN ('whatsapp', 'messenger')) SELECT id FROM a UNION ALL SELECT b.id FROM b LEFT JOIN (SELECT thread_id, max(ts) AS c FROM a GROUP BY 1) x USING (thread_id) WHERE x.c IS NULL OR b.ts > x.c", "messages")
+@query("q_s03_tail_merge", "WITH a AS (SELECT * FROM messages WHERE source IN ('gmail', 'imessage', 'instagram')), b AS (SELECT * FROM messages WHERE source IN ('whatsapp', 'messenger')) SELECT id FROM a UNION ALL SELECT b.id FROM b LEFT JOIN (SELECT thread_id, max(ts) AS c FROM a GROUP BY 1) x USING (thread_id) WHERE x.c IS NULL OR b.ts > x.c", "messages")
 def _(a):
-    return S.tail_merge(a.messages.where("source IN ('gmail', 'imessage')"), a.messages.where("source IN ('whatsapp', 'messenger')")).select("id")
+    return S.tail_merge(a.messages.where("source IN ('gmail', 'imessage', 'instagram')"), a.messages.where("source IN ('whatsapp', 'messenger')")).select("id")
 
 
 @query("q_s05_multiset_union", "SELECT thread_id, body, max(c) AS copies FROM (SELECT source, thread_id, body, count(*) AS c FROM messages GROUP BY ALL) GROUP BY 1, 2", "messages")
@@ -124,9 +124,9 @@ def _(a):
     return S.strongest_response(e, ("error", "view", "click", "signup", "purchase")).select("name", "start_ts", "response")
 
 
-@query("q_s28_k03_append_new", "SELECT id FROM photos WHERE n % 3 = 0 UNION ALL SELECT id FROM photos WHERE n % 2 = 0 AND NOT n % 3 = 0", "photos")
+@query("q_s28_k03_append_new", "SELECT id FROM photos", "photos")
 def _(a):
-    return S.append_new(a.photos.where("n % 3 = 0"), a.photos.where("n % 2 = 0"), ["id"]).select("id")
+    return S.append_new(a.photos.where("n % 3 = 0"), a.photos.where("n % 3 > 0 OR n % 2 = 0"), ["id"]).select("id")
 
 
 @query("q_s29_numbered_lines", "SELECT doc_id, generate_subscripts(x, 1) AS line, unnest(x) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)")
@@ -148,9 +148,9 @@ def _(a):
     return out.groupBy("source", "thread_id", "ts", "body").agg(F.count("*").alias("copies"))
 
 
-@query("q_m09_set_follow_up", f"""SELECT canonical_id AS id, display_name AS name, CASE canonical_id WHEN 'id-4' THEN 'call back' WHEN 'id-5' THEN 'write' END AS follow_up, CASE WHEN canonical_id IN ('id-4', 'id-5') THEN {LATER} ELSE n END AS updated_at FROM identities WHERE n % 2 = 0 OR canonical_id = 'id-5'""", "identities")
+@query("q_m09_set_follow_up", f"""SELECT canonical_id AS id, display_name AS name, CASE canonical_id WHEN 'id-4' THEN 'call back' WHEN 'id-5' THEN 'write' END AS follow_up, CASE WHEN canonical_id IN ('id-4', 'id-5') THEN {LATER} ELSE n END AS updated_at FROM identities""", "identities")
 def _(a):
     nothing = F.lit(None).cast("string")
-    people = a.identities.where("n % 2 = 0").select(F.col("canonical_id").alias("id"), F.col("display_name").alias("name"), nothing.alias("anchor"), nothing.alias("follow_up"), F.lit(None).cast("long").alias("deleted_at"), F.col("n").alias("created_at"), F.col("n").alias("updated_at"))
+    people = a.identities.where("canonical_id <> 'id-5'").select(F.col("canonical_id").alias("id"), F.col("display_name").alias("name"), nothing.alias("anchor"), nothing.alias("follow_up"), F.lit(None).cast("long").alias("deleted_at"), F.col("n").alias("created_at"), F.col("n").alias("updated_at"))
     people = C.set_follow_up(people, a.identities, "id-4", "call back", LATER)
     return C.set_follow_up(people, a.identities, "id-5", "write", LATER).select("id", "name", "follow_up", "updated_at")

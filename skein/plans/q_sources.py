@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_folder
 from ..sources import chats, mail, media, sinks
+from .adapters import DAY
 from .catalog import Archive, query
 
 
@@ -35,16 +36,46 @@ _SENT = "CASE WHEN from_me THEN 'Me' ELSE sender_name END"
 
 @query("q_s01_s04_chat_json", f"""SELECT 'thread=' || thread_id AS thread_id, 'ig:thread=' || thread_id || '#' || CAST(row_number() OVER (PARTITION BY thread_id ORDER BY ts, id) - 1 AS STRING) AS id, ts, {_SENT} AS sender_name, body, attachment_type, from_me FROM messages""", "messages")
 def _(a):
-    # one file for each thread
+    # a folder for each thread, with a file of some days in it for every so many messages, as exports have them
     sender = F.expr(_SENT)
     m = F.struct(sender.alias("sender_name"), F.col("ts").alias("timestamp_ms"), F.encode("body", "UTF-8").alias("_b"), F.col("id"), F.when(F.col("attachment_type") == "image", F.array(F.struct(F.lit("x").alias("uri")))).alias("photos"))
-    rows = a.messages.withColumn("thread", F.col("thread_id")).groupBy("thread").agg(F.array_sort(F.collect_list(F.struct("ts", "id", m.alias("m")))).alias("all"))
+    rows = a.messages.groupBy(F.col("thread_id").alias("thread"), F.floor(F.col("ts") / (3 * DAY)).alias("part")).agg(F.array_sort(F.collect_list(F.struct("ts", "id", m.alias("m")))).alias("all"))
     # text as these exports have it: each byte of UTF-8 a character
     broken = F.transform("all", lambda x: F.struct(x["m"]["sender_name"].alias("sender_name"), x["ts"].alias("timestamp_ms"), F.decode(x["m"]["_b"], "ISO-8859-1").alias("content"), x["m"]["photos"].alias("photos")))
-    path = lines(a, rows, json_of(participants=F.array(F.struct(F.lit("Me").alias("name")), F.struct(F.lit("Bo").alias("name"))), messages=broken), "thread")
+    text = json_of(participants=F.array(F.struct(F.lit("Me").alias("name")), F.struct(F.lit("Bo").alias("name"))), messages=broken)
+    path = folder(a)
+    rows.select("thread", text.alias("value")).write.option("maxRecordsPerFile", 1).partitionBy("thread").text(path)
     return chats.chat_json(a.spark, f"{path}/thread=*/*.txt", "ig:", "Me").select("thread_id", "id", "ts", "sender_name", "body", "attachment_type", "from_me")
 
 
+_ARTICLE = "regexp_extract(html, '(?s)<article>(.*)</article>', 1)"
+_PLAIN = f"trim(regexp_replace(replace(replace(replace(replace(regexp_replace({_ARTICLE}, '<[^>]*>', ' ', 'g'), '&quot;', '\"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\\s+', ' ', 'g'))"
+_TITLED = "trim(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&quot;', '\"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'))"
+
+
+@query("q_s02_chat_html", f"SELECT 'thread=' || CAST(page_id % 12 AS STRING) AS thread_id, 'P & ' || CAST(page_id AS STRING) AS sender_name, {_PLAIN} AS body, 1704456000000 + page_id * 60000 AS ts, CASE WHEN page_id % 5 = 0 THEN 'image' END AS attachment_type FROM pages")
+def _(a):
+    # a message holds a whole page; clocks are two hours ahead of UTC
+    at = F.timestamp_millis(F.lit(1_704_456_000_000 + 7_200_000) + F.col("page_id") * 60_000)
+    block = ['Contains data you requested from <time datetime="2024-01-05T12:00:00Z">Jan 05, 2024 2:00 pm</time><div class="pam _3-95 _2ph- _a6-g uiBoxWhite noborder"><h2 class="z">P &amp; ', '</h2><div class="_3-95 _a6-p"><div>', '</div></div><div class="_3-94 _a6-o">', "</div></div>"]
+    image = F.when(F.col("page_id") % 5 == 0, F.lit("<br><img src=x.png>")).otherwise("")
+    text = F.concat(F.lit(block[0]), F.col("page_id").cast("string"), F.lit(block[1]), F.regexp_extract("html", "(?s)<article>(.*)</article>", 1), image, F.lit(block[2]), F.date_format(at, "MMM dd, yyyy h:mm a"), F.lit(block[3]))
+    path = lines(a, a.table("pages").withColumn("thread", F.col("page_id") % 12), text, "thread")
+    return chats.chat_html(a.spark, f"{path}/thread=*/*.txt").select("thread_id", "sender_name", "body", "ts", "attachment_type")
+
+
+@query("q_s24_watch_history", f"SELECT 'v' || CAST(page_id AS STRING) AS video_id, nullif({_TITLED}, '') AS title, 'c' || CAST(page_id % 7 AS STRING) AS channel_id, regexp_extract(url, '^https?://([^/]+)', 1) AS channel, 1704456000000 - 7200000 + page_id * 60000 AS ts FROM pages")
+def _(a):
+    # every page was watched, its own markup follows in the cell
+    at = F.timestamp_millis(F.lit(1_704_456_000_000) + F.col("page_id") * 60_000)
+    k = F.col("page_id").cast("string")
+    text = F.concat(
+        F.lit('<div class="outer-cell mdl-cell"><div><p>Videos</p></div><div class="content">Watched <a href="https://www.youtube.com/watch?v=v'), k, F.lit('">'), F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit('</a><br><a href="https://www.youtube.com/channel/c'), (F.col("page_id") % 7).cast("string"), F.lit('">'),
+        F.regexp_extract("url", "^https?://([^/]+)", 1), F.lit("</a><br>"), F.date_format(at, "d MMM yyyy, HH:mm:ss"), F.lit(" GMT+02:00<br></div>"), F.regexp_extract("html", "(?s)(<article>.*</article>)", 1), F.lit("</div>"),
+    )
+    return media.watch_history(a.spark, f"{lines(a, a.table('pages'), text)}/*.txt")
+
+
 @query("q_s07_text_blocks", f"SELECT ts // 1000 * 1000 AS ts, CASE WHEN from_me THEN 'self' ELSE sender_name END AS sender_name, from_me, body FROM messages WHERE NOT starts_with(body, 'Tapback')", "messages")
 def _(a):
     clock = F.date_format(F.timestamp_millis("ts"), "MMM dd, yyyy  h:mm:ss a")
@@ -142,16 +173,12 @@ def _(a):
     return media.sidecars(a.spark, lines(a, arrays, F.col("value"), "part") + "/*/*.txt", found).select("id", "ts", "lat", "lng", "asset_path")
 
 
-@query("q_s21_attachment_images", "SELECT DISTINCT sha256(text) AS hash_sha256, CAST(strlen(text) AS BIGINT) AS length FROM (SELECT doc_id % 40 AS k, min(text) AS text FROM documents GROUP BY 1)")
+@query("q_s21_attachment_images", "SELECT DISTINCT sha256(coalesce(text, '') || chr(10)) AS hash_sha256, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS length FROM documents")
 def _(a):
-    d = a.table("documents").groupBy((F.col("doc_id") % 40).alias("k")).agg(F.min("text").alias("text"))
-    path, home = folder(a), a.spark._jvm.org.apache.hadoop.fs.Path
-    fs = home(path).getFileSystem(a.spark._jsc.hadoopConfiguration())
-    for r in d.collect():  # 40 files
-        out = fs.create(home(f"{path}/{r['k']}/{r['k']}.jpg"), True)
-        out.write(bytearray(r["text"].encode()))
-        out.close()
-    return media.attachments(a.spark, path).select("hash_sha256", "length")
+    # each text is a file: Spark writes one for every so many rows, and a limit of one row a file
+    path = folder(a)
+    a.table("documents").select(F.coalesce("text", F.lit("")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return media.attachments(a.spark, path, r"\.txt$").select("hash_sha256", "length")
 
 
 @query("q_s23_takeout_csv", "SELECT 'v' || CAST(p_partkey AS STRING) AS id, p_name || chr(10) || '\"quoted\", twice' AS title, CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS BIGINT) END AS plays, p_brand || ',' || p_type AS artists FROM part")

@@ -39,9 +39,9 @@ def sidecars(spark: SparkSession, glob: str, media: DataFrame | None = None) ->
     return s.join(first, F.lower("name") == F.col("_k"), "left").drop("_k")
 
 
-def attachments(spark: SparkSession, folder: str) -> DataFrame:
-    """S-21: images below a folder, named by the checksum of their content."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where(F.lower("path").rlike(r"\.(jpe?g|png|gif|heic|webp)$"))
+def attachments(spark: SparkSession, folder: str, kinds: str = r"\.(jpe?g|png|gif|heic|webp)$") -> DataFrame:
+    """S-21: images below a folder, or files of other kinds, named by the checksum of their content."""
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where(F.lower("path").rlike(kinds))
     return f.select(F.sha2("content", 256).alias("hash_sha256"), "path", "length").groupBy("hash_sha256").agg(F.min("path").alias("path"), F.min("length").alias("length"))
 
 
