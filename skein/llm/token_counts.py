@@ -9,11 +9,12 @@ further words are determinised when first met, as far as STATES goes; the few wo
 
 Texts of every length are cut into chunks. A boundary is certain where white space follows another
 character: no token of this family of splits can span it, and nothing to its left changes what is right of
-it. So the map of a chunk, from any state that it may be entered in, is (open head, emitted count, open
-tail); the identity map of a chunk without certain boundary leaves open what was open. Two maps compose by
-closing the tail of one with the head of the other. A prefix scan over the maps gives the open tail at each
-chunk's entry (running maxima) and the count at its end (running sums). All chunks of a batch, and all
-closings, step through the transition table together, one byte of every word at a time.
+it. So the map of a chunk, from any state that it may be entered in, is (characters of its head, tokens emitted
+between its boundaries, characters that it leaves open); a chunk without certain boundary adds all its
+characters to what is open. Two maps compose by closing what one leaves open with the head of the other. A
+prefix scan over the maps gives what is open at each chunk's entry and exit; what the scan doesn't hand on isn't
+counted. A text's tokens are those of its chunks' insides, of the closings and of what is open at its end. All
+of them, each by itself, step through the transition table together, one byte of every word at a time.
 """
 
 from __future__ import annotations
@@ -87,22 +88,23 @@ def word_starts(codes: np.ndarray, kind: np.ndarray, edge: np.ndarray) -> np.nda
     return start
 
 
-def chunk_maps(starts: np.ndarray, certain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last certain boundary within each chunk (heads end and tails begin there), or -1 for identity maps."""
+def chunk_maps(starts: np.ndarray, stops: np.ndarray, certain: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each chunk whether it has a certain boundary within, the characters before the first, and those that it leaves open."""
     chunk = np.searchsorted(starts, certain, "right") - 1
     inside = certain > starts[chunk]  # what is at a chunk's beginning can't be seen from within
     certain, chunk = certain[inside], chunk[inside]
-    first, last = np.full(len(starts), -1, np.int64), np.full(len(starts), -1, np.int64)
-    last[chunk] = certain
-    first[chunk[::-1]] = certain[::-1]
-    return first, last
+    closes, head, open_ = np.zeros(len(starts), bool), np.zeros(len(starts), np.int64), stops - starts
+    closes[chunk] = True
+    head[chunk[::-1]] = certain[::-1] - starts[chunk[::-1]]
+    open_[chunk] = stops[chunk] - certain
+    return closes, head, open_
 
 
-def scan(last: np.ndarray, opens: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the open tail begins when each chunk is entered and left; opens: a text's first chunk, which begins at `begin`."""
-    left = np.maximum.accumulate(np.where(opens, np.maximum(last, begin), last))
-    entered = np.where(opens, begin, np.r_[0, left[:-1]])
-    return entered, left
+def scan(closes: np.ndarray, open_: np.ndarray, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Characters that are open when each chunk is entered and left; opens: a text's first chunk, where nothing is."""
+    total = np.cumsum(open_)
+    left = total - np.maximum.accumulate(np.where(closes | opens, total - open_, 0))
+    return np.where(opens, 0, np.r_[0, left[:-1]]), left
 
 
 class Transducer:
@@ -214,7 +216,7 @@ class Transducer:
         joined, n = "".join(texts), int(ends[-1])
         if not n:
             return np.zeros(len(texts), dtype=np.int64)
-        raw, codes = joined.encode(), np.frombuffer(joined.encode("utf-32-le"), dtype="<u4")
+        codes = np.frombuffer(joined.encode("utf-32-le"), dtype="<u4")
         kind = classes()[codes]
         edge = np.zeros(n + 1, dtype=bool)
         edge[ends - lengths] = edge[n] = True
@@ -222,16 +224,33 @@ class Transducer:
         certain = np.flatnonzero(white[1:] & ~white[:-1] & ~edge[1:n]) + 1
         # chunks, their maps, and the scan: what is open at a chunk's entry is closed by its head
         per = -(-lengths // chunk)
-        which = np.repeat(np.arange(len(texts)), per)
-        begin = (ends - lengths)[which]
-        number = np.arange(len(which)) - np.repeat(np.cumsum(per) - per, per)
-        starts = begin + number * chunk
-        first, last = chunk_maps(starts, certain)
-        entered, left = scan(last, number == 0, begin)
+        text = np.repeat(np.arange(len(texts)), per)
+        number = np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)
+        starts = (ends - lengths)[text] + number * chunk
+        stops = np.minimum(starts + chunk, ends[text])
+        closes, head, open_ = chunk_maps(starts, stops, certain)
+        entered, left = scan(closes, open_, number == 0)
         final = np.cumsum(per)[per > 0] - 1
-        own = np.flatnonzero(first >= 0)
-        runs = np.r_[entered[own], first[own], left[final]]  # closings, what lies between a chunk's boundaries, and each text's tail
-        edge[runs[runs < n]] = True
+        own = np.flatnonzero(closes)
+        # what lies between a chunk's boundaries, closings, and what is open at each text's end: counted one by one
+        a = np.r_[(starts + head)[own], (starts - entered)[own], (stops - left)[final]]
+        b = np.r_[(stops - open_)[own], (starts + head)[own], stops[final]]
+        of = np.r_[text[own], text[own], text[final]]
+        some = np.flatnonzero(b > a)
+        some = some[np.argsort(a[some], kind="stable")]
+        tokens = self.stretches(codes, kind, a[some], b[some])
+        return np.bincount(of[some], tokens, len(texts)).astype(np.int64)
+
+    def stretches(self, codes: np.ndarray, kind: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Tokens of each stretch [a, b) of some characters, as if it stood alone."""
+        if not len(a):
+            return np.zeros(0, dtype=np.int64)
+        codes = np.concatenate([codes[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)])
+        kind = np.concatenate([kind[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)])
+        n, begin = len(codes), np.cumsum(b - a) - (b - a)
+        edge = np.zeros(n + 1, dtype=bool)
+        edge[begin] = edge[n] = True
+        raw = codes.tobytes().decode("utf-32-le").encode()
         word = np.flatnonzero(word_starts(codes, kind, edge))
         if len(raw) == n:
             begin_b = word
@@ -239,8 +258,7 @@ class Transducer:
             width = 1 + (codes >= 0x80).astype(np.int8) + (codes >= 0x800) + (codes >= 0x10000)
             begin_b = (np.cumsum(width, dtype=np.int64) - width)[word]
         tokens = self.emitted(raw, begin_b, np.r_[begin_b[1:], len(raw)])
-        summed = np.r_[0, np.cumsum(tokens)]
-        return summed[np.searchsorted(word, ends)] - summed[np.searchsorted(word, ends - lengths)]
+        return np.add.reduceat(tokens, np.searchsorted(word, begin))
 
     def pieces(self, text: str) -> Iterator[str]:
         """Parts of at most STRETCH characters between certain boundaries, or more where there is none."""

@@ -401,6 +401,23 @@ def test_token_counts(documents, nothing):
     assert token_counts.count_tokens(nothing, BYTE).count() == 0
 
 
+def test_counts_come_from_the_maps_and_the_scan(monkeypatch):
+    from tokenizers import Tokenizer
+
+    coder, machine = Tokenizer.from_file(BYTE), token_counts.transducer(BYTE)
+    texts = [t or "" for _, t in DOCS]
+    want = [len(coder.encode(t, add_special_tokens=False).ids) for t in texts]
+    for chunk in (1, 2, 7, 100, 4096, 1 << 20):
+        assert machine.counts(texts, chunk) == want
+    maps, scan = token_counts.chunk_maps, token_counts.scan
+    identity = lambda a, b, c: (np.zeros(len(a), bool), np.zeros(len(a), np.int64), np.zeros(len(a), np.int64))
+    headless = lambda a, b, c: (maps(a, b, c)[0], np.zeros(len(a), np.int64), maps(a, b, c)[2])
+    for name, broken in (("chunk_maps", identity), ("chunk_maps", headless), ("scan", lambda c, o, s: (np.zeros(len(o), np.int64), np.zeros(len(o), np.int64))), ("scan", lambda c, o, s: (np.zeros(len(o), np.int64), scan(c, o, s)[1]))):
+        with monkeypatch.context() as m:
+            m.setattr(token_counts, name, broken)
+            assert machine.counts(texts, 50) != want
+
+
 def test_chunk_maps_compose():
     from tokenizers import Tokenizer
 
