@@ -22,7 +22,8 @@ def _runs(words: Column, size: int) -> Column:
 
 
 def _grams(text: Column, size: int) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1))), lambda i: F.substr(text, i, F.lit(size)))
+    characters = F.split(text, "")  # an array: a place in a string is only found from its beginning
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1))), lambda i: F.array_join(F.slice(characters, i, size), ""))
 
 
 def verify(quotes: DataFrame, sources: DataFrame) -> DataFrame:
