@@ -173,7 +173,12 @@ def case_variants(people: DataFrame) -> DataFrame:
 
 
 def duplicates(people: DataFrame, self_id: str, keys: tuple = (("phone", 3, 6), ("email", 3, 6), ("name", 2, 8), ("token", 1, 12)), least: int = 2) -> DataFrame:
-    """I-13: pairs that share keys. people(canonical_id, kind, key); points of a kind count for each shared key, keys of too many people don't count."""
+    """I-13: pairs that share keys. people(canonical_id, kind, key); points of a kind count for each shared key, keys of too many people don't count.
+
+    A shared token counts only where the display names (kind `display`, each of their tokens a key) share one too, and either has three at most.
+    """
+    display = people.where("kind = 'display' and key <> ''").groupBy("canonical_id").agg(F.collect_set("key").alias("tokens"))
+    people = people.where("kind <> 'display'")
     p = people.where(F.col("canonical_id") != self_id).distinct()
     size = p.groupBy("kind", "key").agg(F.count("*").alias("_n"))
     points, most = F.lit(0), F.lit(0)
@@ -181,6 +186,9 @@ def duplicates(people: DataFrame, self_id: str, keys: tuple = (("phone", 3, 6),
         points, most = F.when(F.col("kind") == kind, score).otherwise(points), F.when(F.col("kind") == kind, limit).otherwise(most)
     small = p.join(size, ["kind", "key"]).where((F.col("_n") > 1) & (F.col("_n") <= most)).drop("_n")
     j = small.withColumnRenamed("canonical_id", "a").join(small.withColumnRenamed("canonical_id", "b"), ["kind", "key"]).where("a < b")
+    side = lambda c: display.select(F.col("canonical_id").alias(c), F.col("tokens").alias(f"_{c}"))
+    alike = F.arrays_overlap("_a", "_b") & ((F.size("_a") <= 3) | (F.size("_b") <= 3))
+    j = j.join(side("a"), "a", "left").join(side("b"), "b", "left").where((F.col("kind") != "token") | F.coalesce(alike, F.lit(False))).drop("_a", "_b")
     rules = j.withColumn("_p", points).groupBy("a", "b").agg(F.sum("_p").alias("score"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("reasons"))
     return rules.where(F.col("score") >= least)
 

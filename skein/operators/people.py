@@ -294,3 +294,21 @@ def field_layout(gatherings: DataFrame) -> DataFrame:
     base = F.when(nowhere, 0.45 + (h(F.concat(e, F.lit("r")), 1000) / 1000 - 0.5) * 0.18).otherwise(F.least(F.lit(1.0), 0.18 + F.log1p(far) / 9.5))
     radius = F.least(F.lit(1.0), F.greatest(F.lit(0.06), base + (h(F.concat(e, F.lit("j")), 1000) / 1000 - 0.5) * 0.1))
     return gatherings.select("event_id", "companion", round_half_up(radius * F.cos(angle), 10_000).alias("x"), round_half_up(radius * F.sin(angle), 10_000).alias("y"))
+
+
+def video_summary(videos: DataFrame, library: DataFrame, topics: DataFrame, **collections: DataFrame) -> DataFrame:
+    """A-27: how much of everything there is, how many videos are songs of the library, and the first topics (25), channels (15) and artists (15): section, place, item, n."""
+    from .reports import counted, fact, facts, tops
+
+    flagged = is_song(videos, library)
+    parts = [facts(flagged, fact("counts", "videos"), fact("counts", "songs_among_videos", when=F.col("is_song"))), facts(library, fact("counts", "songs"))]
+    parts += [facts(rows, fact("counts", name)) for name, rows in collections.items()]
+    kind = F.when(F.col("kind").isin("topic", "category"), "top_topics").when(F.col("kind") == "channel", "top_channels").when(F.col("kind") == "artist", "top_artists")
+    parts.append(topics.select(kind.alias("section"), F.col("topic").alias("item"), F.col("n").cast("long").alias("n")).where("section is not null"))
+    return tops(counted(*parts), {"top_topics": 25, "top_channels": 15, "top_artists": 15})
+
+
+def is_song(videos: DataFrame, library: DataFrame) -> DataFrame:
+    """A-27: videos(video_id, ...) with whether the music library has them."""
+    songs = library.select("video_id").distinct().withColumn("_s", F.lit(True))
+    return videos.join(songs, "video_id", "left").withColumn("is_song", F.coalesce("_s", F.lit(False))).drop("_s")

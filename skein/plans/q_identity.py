@@ -119,13 +119,14 @@ def _(a):
     return I.case_variants(_people(a).drop("aliases", "n"))
 
 
-@query("q_i13_duplicates", """WITH p AS (SELECT DISTINCT canonical_id, kind, key FROM (SELECT canonical_id, 'phone' AS kind, aliases[3] AS key FROM identities UNION ALL SELECT canonical_id, 'email', aliases[2] FROM identities UNION ALL SELECT canonical_id, 'token', split_part(display_name, ' ', 2) FROM identities) WHERE canonical_id <> 'id-0'),
+@query("q_i13_duplicates", """WITH p AS (SELECT DISTINCT canonical_id, kind, key FROM (SELECT canonical_id, 'phone' AS kind, aliases[3] AS key FROM identities UNION ALL SELECT canonical_id, 'email', aliases[2] FROM identities UNION ALL SELECT canonical_id, 'token', unnest([split_part(display_name, ' ', 2), regexp_extract(aliases[2], '^[a-z]+')]) FROM identities) WHERE canonical_id <> 'id-0'), n AS (SELECT canonical_id, string_split(lower(display_name), ' ') AS t FROM identities),
     s AS (SELECT kind, key FROM p GROUP BY ALL HAVING count(*) > 1 AND count(*) <= CASE kind WHEN 'token' THEN 12 ELSE 6 END) SELECT a.canonical_id AS a, b.canonical_id AS b, CAST(sum(CASE a.kind WHEN 'token' THEN 1 ELSE 3 END) AS INT) AS score, array_to_string(list_sort(list(DISTINCT a.kind)), ',') AS reasons
-    FROM p a JOIN p b ON a.kind = b.kind AND a.key = b.key AND a.canonical_id < b.canonical_id JOIN s ON s.kind = a.kind AND s.key = a.key GROUP BY ALL HAVING sum(CASE a.kind WHEN 'token' THEN 1 ELSE 3 END) >= 2""", "identities")
+    FROM p a JOIN p b ON a.kind = b.kind AND a.key = b.key AND a.canonical_id < b.canonical_id JOIN s ON s.kind = a.kind AND s.key = a.key JOIN n x ON x.canonical_id = a.canonical_id JOIN n y ON y.canonical_id = b.canonical_id WHERE a.kind <> 'token' OR (list_has_any(x.t, y.t) AND least(len(x.t), len(y.t)) <= 3) GROUP BY a.canonical_id, b.canonical_id HAVING sum(CASE a.kind WHEN 'token' THEN 1 ELSE 3 END) >= 2""", "identities")
 def _(a):
     i = a.identities
     k = lambda kind, key: i.select("canonical_id", F.lit(kind).alias("kind"), key.alias("key"))
-    p = k("phone", F.get("aliases", F.lit(2))).union(k("email", F.get("aliases", F.lit(1)))).union(k("token", F.substring_index("display_name", " ", -1)))
+    p = k("phone", F.get("aliases", F.lit(2))).union(k("email", F.get("aliases", F.lit(1)))).union(k("token", F.substring_index("display_name", " ", -1))).union(k("token", F.regexp_extract(F.get("aliases", F.lit(1)), "^[a-z]+", 0)))
+    p = p.union(i.select("canonical_id", F.lit("display").alias("kind"), F.explode(F.split(F.lower("display_name"), " ")).alias("key")))
     return I.duplicates(p, "id-0").withColumn("score", F.col("score").cast("int"))
 
 

@@ -225,6 +225,16 @@ def _(a):
     return P.facet_topics([("brand", p, "p_brand", 5, 10), ("type", p, "p_type", 3, 5)])
 
 
+@query("q_a27_video_summary", """WITH t AS (SELECT unnest(['topic', 'artist', 'channel']) AS kind, unnest([p_type, p_brand, 'size ' || p_size]) AS topic FROM part), n AS (SELECT CASE kind WHEN 'topic' THEN 'top_topics' WHEN 'channel' THEN 'top_channels' ELSE 'top_artists' END AS section, topic AS item, count(*) AS n FROM t GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY n DESC, item) AS place FROM n)
+    SELECT section, CAST(place AS INT) AS place, item, n FROM r WHERE place <= CASE section WHEN 'top_topics' THEN 25 ELSE 15 END UNION ALL SELECT 'counts', NULL, 'videos', count(*) FROM part UNION ALL SELECT 'counts', NULL, 'songs_among_videos', count(*) FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)
+    UNION ALL SELECT 'counts', NULL, 'songs', count(*) FROM lineitem WHERE l_quantity > 45 UNION ALL SELECT 'counts', NULL, 'watch_entries', count(*) FROM lineitem UNION ALL SELECT 'counts', NULL, 'playlists', count(*) FROM orders""")
+def _(a):
+    kinds = F.explode(F.create_map(F.lit("topic"), F.col("p_type"), F.lit("artist"), F.col("p_brand"), F.lit("channel"), F.concat(F.lit("size "), F.col("p_size").cast("string")))).alias("kind", "topic")
+    part, lines = a.table("part"), a.table("lineitem")
+    topics = part.select(kinds).groupBy("kind", "topic").agg(F.count("*").alias("n"))
+    return P.video_summary(part.selectExpr("p_partkey AS video_id"), lines.where("l_quantity > 45").selectExpr("l_partkey AS video_id"), topics, watch_entries=lines, playlists=a.table("orders"))
+
+
 @query("q_a28_milestones", f"""WITH alone AS (SELECT thread_id, canonical_id FROM threads JOIN thread_identity USING (thread_id) WHERE NOT is_group AND canonical_id <> 'id-0'), m AS (SELECT year({_TS}) AS year, canonical_id AS c FROM msgs LEFT JOIN alone USING (thread_id) WHERE meaningful), p AS (SELECT year({_TS}) AS year, id, source FROM photos),
     f AS (SELECT year, canonical_id AS c, count(*) AS n FROM p JOIN photo_faces ON photo_id = id WHERE canonical_id <> 'id-0' GROUP BY 1, 2), w AS (SELECT year, c, count(*) AS n FROM m WHERE c IS NOT NULL GROUP BY 1, 2), e AS (SELECT *, year({_W0}) AS year FROM gatherings), y AS (SELECT year FROM m UNION SELECT year FROM p UNION SELECT year FROM e),
     l AS (SELECT year, string_agg(place_name, '; ' ORDER BY r) AS latest FROM (SELECT year, place_name, row_number() OVER (PARTITION BY year ORDER BY start_ts DESC, event_id) AS r FROM e) WHERE r <= 10 GROUP BY 1),

@@ -33,7 +33,9 @@ def shared_folder(spark: SparkSession) -> str:
         return given
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return _own.setdefault("folder", tempfile.mkdtemp(prefix="skein-"))
+    if "folder" not in _own:
+        _own["folder"] = tempfile.mkdtemp(prefix="skein-")
+    return _own["folder"]
 
 
 def cut(df: DataFrame) -> DataFrame:
