@@ -39,9 +39,9 @@ def verify(quotes: DataFrame, sources: DataFrame) -> DataFrame:
     q = q.select("item_id", "quote", F.when(F.size("w") >= KEY_WORDS + 2, phrase).otherwise(start).alias("key"), F.when(F.size("w") >= KEY_WORDS + 2, 0).otherwise(F.length(start)).alias("kind"))
     s = sources.select("doc_id", _plain(F.col("text")).alias("body"))
     words = F.split("body", " ")
-    keys = [F.transform(F.array_distinct(_runs(words, KEY_WORDS)), lambda k: F.struct(F.lit(0).alias("kind"), k.alias("key")))]
     kinds = {r["kind"] for r in q.select("kind").distinct().collect()}  # at most four
-    keys += [F.transform(F.array_distinct(_grams(F.col("body"), n)), lambda k, n=n: F.struct(F.lit(n).alias("kind"), k.alias("key"))) for n in sorted(kinds - {0})]
+    keyed = lambda keys, kind: F.transform(F.array_distinct(keys), lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key")))
+    keys = [keyed(_grams(F.col("body"), n) if n else _runs(words, KEY_WORDS), n) for n in sorted(kinds)] or [F.array().cast("array<struct<kind:int,key:string>>")]
     spots = s.select("doc_id", F.explode(F.flatten(F.array(*keys))).alias("k")).select("doc_id", "k.kind", "k.key")
     pairs = spots.join(q.select("item_id", "kind", "key"), ["kind", "key"]).select("item_id", "doc_id").distinct()
     found = pairs.join(q.select("item_id", "quote"), "item_id").join(s, "doc_id").where(F.col("body").contains(F.col("quote")))
