@@ -149,18 +149,29 @@ def calibrated(parts: list[np.ndarray], rows: list[np.ndarray], good: np.ndarray
     return Linear(sum(np.float32(k) * w for k, w in zip(slopes, parts, strict=True)), 1.0, float(shift))
 
 
+def split(good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows are fitted on, and which are held out: a fifth of each class, one row at least. The only row of a class is both."""
+    rng, held = np.random.default_rng(SEED), np.zeros(len(good), dtype=bool)
+    classes = [np.flatnonzero(good == label) for label in (0, 1)]
+    for rows in classes:
+        held[rng.choice(rows, max(1, round(len(rows) / 5)), replace=False)] = True
+    seen = ~held
+    seen[[rows[0] for rows in classes if len(rows) == 1]] = True
+    return seen, held
+
+
 def co_train(views: tuple[list, list], good: np.ndarray, exchange, rounds: int = ROUNDS) -> Model | None:
     """The model from labelled rows (both views and whether they are good); None without both classes.
 
     exchange(linear views) gives, for each view, what the other one hands it: (bad, good) counts of every
     feature, and of rows.
     """
-    held = np.random.default_rng(SEED).random(len(good)) < 0.2
-    if len({*good[~held].tolist()}) < 2 or len({*good[held].tolist()}) < 2:
+    if len({*good.tolist()}) < 2:
         return None
-    train = [[v[i] for i in np.flatnonzero(~held)] for v in views]
+    seen, held = split(good)
+    train = [[v[i] for i in np.flatnonzero(seen)] for v in views]
     test, truth = [[v[i] for i in np.flatnonzero(held)] for v in views], good[held].astype(float)
-    fitted = [fit(rows, good[~held].astype(float)) for rows in train]
+    fitted = [fit(rows, good[seen].astype(float)) for rows in train]
     linear = [calibrated([fitted[v]], test[v], truth) for v in range(2)]
     for _ in range(rounds):
         got = exchange(linear)
@@ -243,7 +254,7 @@ def exchanged(features: DataFrame, linear: list[Linear]) -> list[tuple[np.ndarra
 def train(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> tuple[Model | None, DataFrame | None]:
     """The model, and the features of all documents; None without labels of both kinds.
 
-    Fitted on at most `labelled` labelled documents. A label is good if quality is 1 and toxic is not; of several the worst holds.
+    Fitted on at most `labelled` labelled documents; of several texts of one doc_id on the one of least features. A label is good if quality is 1 and toxic is not; of several the worst holds.
     """
     rows = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int").alias("good"))
     rows = rows.groupBy("doc_id").agg(F.min("good").alias("good"))
@@ -252,7 +263,7 @@ def train(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED) ->
         return None, None
     chosen = documents.sparkSession.createDataFrame(list(zip(chosen["doc_id"].tolist(), chosen["good"].tolist(), strict=True)), "doc_id long, good int")  # at most `labelled` rows are broadcast
     features = cut(extracted(documents, chosen))
-    table = features.where("good is not null").dropDuplicates(["doc_id"]).toArrow().sort_by([("doc_id", "ascending")]).to_pydict()
+    table = features.where("good is not null").groupBy("doc_id", "good").agg(F.min_by("a", F.struct("a", "b")).alias("a"), F.min_by("b", F.struct("a", "b")).alias("b")).toArrow().sort_by([("doc_id", "ascending")]).to_pydict()
     views = tuple([unpacked(x) for x in table[c]] for c in "ab")
     return co_train(views, np.array(table["good"], dtype=int), lambda linear: exchanged(features, linear)), features
 

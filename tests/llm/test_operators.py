@@ -560,6 +560,27 @@ def test_quality(spark, documents, nothing):
     assert all(r["keep"] and r["score"] is None for r in quality.classify(documents, table.limit(0)).collect())
 
 
+def test_split_holds_out_a_fifth_of_each_class():
+    for n0, n1 in ((1, 1), (1, 30), (2, 400), (7, 3), (250, 1000)):
+        good = np.array(([0] * n0 + [1] * n1)[::-1])
+        seen, held = quality.split(good)
+        for label, n in ((0, n0), (1, n1)):
+            assert held[good == label].sum() == max(1, round(n / 5))
+            assert seen[good == label].sum() == (1 if n == 1 else n - max(1, round(n / 5)))
+        assert (seen | held).all() and (seen & held).sum() == (n0 == 1) + (n1 == 1)
+
+
+@pytest.mark.parametrize("bad", [1, 2, 3])
+def test_quality_with_few_poor_labels(spark, bad):
+    # however few, labels of both classes give a model; a doc_id of two texts is fitted on by the same one in any order
+    rows = [(i, f"plain words about number {i}" if i >= bad else "vile " * 9, "en", "s", 40) for i in range(120)] + [(50, "another text", "en", "s", 12)]
+    labels = spark.createDataFrame([(i, int(i >= bad), 0) for i in range(100)], "doc_id long, quality int, toxic int")
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    got, turned = (quality.classify(spark.createDataFrame(r, schema), labels).collect() for r in (rows, rows[::-1]))
+    assert len(got) == 121 and all(r["score"] is not None for r in got) and sorted(got) == sorted(turned)
+    assert all(r["keep"] for r in got if r["doc_id"] >= bad)
+
+
 def test_co_training_against_a_plain_version(spark):
     # metadata tells as much as words do, so that each view hands the other something; a third word is known from pseudo-labels only
     rnd = random.Random(31)
@@ -582,7 +603,7 @@ def test_co_training_against_a_plain_version(spark):
     known, good = {i for i, _, _ in labels}, {i: q for i, q, _ in labels}
     every = [(r[0], (content.features(r[1]).tolist(), quality.metadata_features(*r[2:]).tolist())) for r in rows]
     order = sorted(known)
-    held = dict(zip(order, np.random.default_rng(quality.SEED).random(len(order)) < 0.2))
+    held = dict(zip(order, quality.split(np.array([good[i] for i in order]))[1]))
     view = {i: f for i, f in every if i in known}
     fitted = [dict(enumerate(quality.fit([np.array(view[i][v]) for i in order if not held[i]], np.array([good[i] for i in order if not held[i]], dtype=float)))) for v in range(2)]
     test = [i for i in order if held[i]]
