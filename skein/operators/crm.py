@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 KINDS = ("view", "click", "signup", "purchase")
@@ -34,9 +34,44 @@ def log_interaction(ops: DataFrame, key: str, kind: str, at: int, amount: float
     return ops.unionByName(new)
 
 
-def from_dump(dump: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """C-06: people, tags and interactions of nested records (key, tags, interactions)."""
-    return dump.select("key", F.lit(None).cast("long").alias("deleted_at")), dump.select("key", F.explode("tags").alias("tag")), dump.select("key", F.explode("interactions").alias("i")).select("key", "i.*")
+#: The nested export: people with tags and interactions, and connections between them.
+DUMP = """people array<struct<id: string, name: string, relationship: string, email: string, phone: string, location: string, birthday: string, notes: string, avatar: string, followUp: string,
+    tags: array<string>, interactions: array<struct<id: string, type: string, notes: string, date: string>>>>, connections array<struct<source: string, target: string, strength: int>>"""
+FIELDS = ("relationship", "email", "phone", "location", "birthday", "notes", "avatar")
+
+
+def read_dump(spark: SparkSession, path: str) -> DataFrame:
+    """seq and text of dumps, one a file."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("seq"), F.col("value").alias("text"))
+
+
+def from_dump(dumps: DataFrame, now: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """C-06: people, tags, interactions and connections of dumps(seq, text), in order of seq.
+
+    Of people or interactions of one id the first is kept, though tags and interactions of the others still count;
+    of a connection the last. Who has no id gets one from their place in the dump, so that a task that runs again
+    gives the same. Interactions without a date happen now, those of an unreadable one are left out, as are null tags.
+    A connection to nobody is an error.
+    """
+    parsed = dumps.select("seq", F.from_json("text", DUMP).alias("d"))
+    given = lambda c: F.nullif(c, F.lit(""))
+    made = lambda kind, *at: F.sha2(F.concat_ws("/", F.lit(kind), *[F.col(c).cast("string") for c in at]), 256)
+    p = parsed.select("seq", F.posexplode("d.people").alias("_p", "p")).withColumn("id", F.coalesce(given(F.col("p.id")), made("person", "seq", "_p")))
+    stamp = F.lit(now).cast("long")
+    own = F.struct(F.coalesce(given(F.col("p.name")), F.lit("(unnamed)")).alias("name"), *[given(F.col(f"p.{c}")).alias(c) for c in FIELDS], given(F.col("p.followUp")).alias("follow_up"))
+    people = p.groupBy("id").agg(F.min_by(own, F.struct("seq", "_p")).alias("r")).select("id", "r.*", F.lit(None).cast("long").alias("deleted_at"), stamp.alias("created_at"), stamp.alias("updated_at"))
+    tags = p.select(F.col("id").alias("person_id"), F.explode("p.tags").alias("tag")).where("tag is not null").distinct()
+    i = p.select("id", "seq", "_p", F.posexplode("p.interactions").alias("_i", "i"))
+    when = F.when(given(F.col("i.date")).isNull(), stamp).otherwise(F.unix_millis(F.try_to_timestamp("i.date")))
+    i = i.select(F.coalesce(given(F.col("i.id")), made("interaction", "seq", "_p", "_i")).alias("key"), F.struct("seq", "_p", "_i").alias("at"), F.col("id").alias("person_id"),
+                 F.coalesce(given(F.col("i.type")), F.lit("note")).alias("kind"), given(F.col("i.notes")).alias("body"), when.alias("occurred_at")).where("occurred_at is not null")
+    interactions = i.groupBy("key").agg(F.min_by(F.struct("person_id", "kind", "body", "occurred_at"), "at").alias("r")).select(F.col("key").alias("id"), "r.*", stamp.alias("created_at"), stamp.alias("updated_at"))
+    c = parsed.select("seq", F.posexplode("d.connections").alias("_c", "c"))
+    c = c.groupBy("c.source", "c.target").agg(F.max_by(F.coalesce("c.strength", F.lit(1)), F.struct("seq", "_c")).alias("strength"))
+    for end in ("source", "target"):
+        c = c.join(people.select(F.col("id").alias(end), F.lit(True).alias("_there")), end, "left")
+        c = c.withColumn(end, F.when(F.col("_there"), F.col(end)).otherwise(F.raise_error(F.concat(F.lit("connection to nobody: "), F.coalesce(end, F.lit("null")))))).drop("_there")
+    return people, tags, interactions, c.select(F.col("source").alias("source_id"), F.col("target").alias("target_id"), "strength", stamp.alias("updated_at"))
 
 
 def history(notes: DataFrame) -> DataFrame:

@@ -162,24 +162,6 @@ def chunks(messages: DataFrame, group: str, days: int = 90, most: int = 600, lea
     return s.groupBy(group, "chunk").agg(F.sum("n").alias("n"), F.min("a").alias("first_ts"), F.max("b").alias("last_ts"))
 
 
-def timeline(messages: DataFrame, birthdays: DataFrame, year: int) -> DataFrame:
-    """A-21: first and last contact and birthdays of the year as one dated list."""
-    day = lambda c: F.date_format(at(F.col(c)), "yyyy-MM-dd")
-    m = messages.groupBy("canonical_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
-    b = birthdays.select("canonical_id", F.lit("birthday").alias("kind"), F.date_format(F.make_date(F.lit(year), "month", "day"), "yyyy-MM-dd").alias("date"))
-    return m.select("canonical_id", F.lit("first_contact").alias("kind"), day("a").alias("date")).unionByName(m.select("canonical_id", F.lit("last_contact").alias("kind"), day("b").alias("date"))).unionByName(b)
-
-
-def check_ins(messages: DataFrame, group: str, now: int) -> DataFrame:
-    """A-22: last word, days since, intimacy and attention scores (without portraits and birthdays)."""
-    m = messages.groupBy(group).agg(F.count("*").alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b"), F.max_by("from_me", F.struct("ts", "id")).alias("last_from_me"))
-    d = F.floor((F.lit(now) - F.col("b")) / DAY)
-    fresh = F.when(d <= 60, 1.0).when(d <= 365, 0.7).when(d <= 1095, 0.4).otherwise(0.15)
-    intimacy = F.log10(F.greatest(F.lit(1), "n")) * 20 * F.sqrt(F.greatest(F.lit(0.1), (F.col("b") - F.col("a")) / (365.0 * DAY))) * fresh
-    wait = F.when(d <= 7, 0.0).when(d <= 30, (d - 7) * 1.5).when(d <= 180, 30 + (d - 30) * 0.7).when(d <= 730, 100 - (d - 180) * 0.05).otherwise(70 - F.least(d - 730, F.lit(1000)) * 0.05)
-    return m.select(group, "n", "last_from_me", d.alias("days_since"), _rounded(intimacy, 1).alias("intimacy"), (wait + F.when(F.col("last_from_me"), 0).otherwise(25)).alias("attention"))
-
-
 def birthday_inference(messages: DataFrame, known: DataFrame) -> DataFrame:
     """A-23: birthdays from greetings sent: HIGH with two different years, MEDIUM if the only day, else LOW; known people are left out."""
     from ..functions.text import GREETING

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
+from ..functions.text import iso, strip
 from ..session import ship
+from .ranking import ranked
 
 FORMS = 200_000  # forms of one trie; more are dealt over several, each another pass over the lines
 _TOKEN = re.compile(r"[A-Za-z0-9_]+|[^A-Za-z0-9_]")
@@ -25,13 +27,48 @@ def writing_index(files: DataFrame, excerpt: int = 200) -> DataFrame:
     return files.select(F.trim(F.regexp_replace(name, r"\s*\([^)]*\d{4}\)", "")).alias("title"), F.to_date(date).alias("date"), F.substring(plain, 1, excerpt).alias("excerpt"))
 
 
-def engagement(target: str, **lists: DataFrame) -> DataFrame:
-    """A-39: for each named list of records how many hold the target anywhere in their JSON text."""
-    out = None
+def holds(rows: DataFrame, target: str) -> Column:
+    """Whether a record's JSON text holds the target anywhere."""
+    return F.to_json(F.struct(*rows.columns)).contains(target)
+
+
+def thread_sample(messages: DataFrame, k: int = 40) -> DataFrame:
+    """place and the columns of messages(id, ts, ...): the first k, k around the middle, and the last k; a row can stand in several of them.
+
+    In a thread of under k rows the middle begins as many before the end as the row it should begin with lies before the first.
+    """
+    m = ranked(messages, "ts", "id", name="_i")
+    n = m.agg(F.count("*").alias("_n"))  # one row
+    m = m.join(F.broadcast(n))
+    mid = F.floor(F.col("_n") / 2)
+    start = F.when(mid >= k // 2, mid - k // 2).otherwise(F.greatest(F.col("_n") + mid - k // 2, F.lit(0)))
+    end, last, head = F.least(mid + k // 2, F.col("_n")), F.greatest(F.col("_n") - k, F.lit(0)), F.least(F.col("_n"), F.lit(k))
+    i = F.col("_i")
+    places = F.array(F.when(i < k, i), F.when((i >= start) & (i < end), head + i - start), F.when(i >= last, head + F.greatest(end - start, F.lit(0)) + i - last))
+    return m.select(F.explode(F.array_compact(places)).alias("place"), *messages.columns)
+
+
+def engagement(target: str, messages: DataFrame, following: DataFrame, followers: DataFrame, searches: DataFrame, k: int = 40, **lists: DataFrame) -> DataFrame:
+    """A-39: section, place, item and n of all that a thread and an export say about one person.
+
+    totals: messages(id, ts, sender, content, reactions array<struct<actor, reaction>>), those with text, first and last moment;
+    sample: messages with text as JSON, by `thread_sample`; social: whether the two lists hold the target;
+    engagement: records of each named list that hold it; searches(ts, ...): the moments of those that hold it, in order (null counts as 0).
+    """
+    long = lambda c: c.cast("long")
+    row = lambda df, section, item, n, place=None: df.select(F.lit(section).alias("section"), long(F.lit(None) if place is None else place).alias("place"), item.alias("item"), long(n).alias("n"))
+    text = messages.where("content is not null and content <> ''")
+    total = messages.agg(F.count("*").alias("messages"), F.count_if(F.col("content") != "").alias("text"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+    parts = [row(total.unpivot([], ["messages", "text", "first", "last"], "item", "n"), "totals", F.col("item"), F.col("n"))]
+    said = F.to_json(F.struct("sender", iso(F.col("ts")).alias("time"), F.col("content").alias("text"), F.transform(F.coalesce("reactions", F.array()), lambda r: F.concat_ws(": ", r["actor"], r["reaction"])).alias("reactions")))
+    parts.append(row(thread_sample(text, k), "sample", said, F.col("ts"), F.col("place")))
+    for name, rows in (("i_follow_them", following), ("they_follow_me", followers)):
+        parts.append(row(rows.agg(F.max(holds(rows, target)).alias("any")), "social", F.lit(name), F.coalesce(F.col("any"), F.lit(False)).cast("int")))
     for name, rows in lists.items():
-        n = rows.agg(F.count_if(F.to_json(F.struct(*rows.columns)).contains(target)).alias("n")).select(F.lit(name).alias("list"), "n", (F.col("n") > 0).alias("any"))
-        out = n if out is None else out.unionByName(n)
-    return out
+        parts.append(row(rows.agg(F.count_if(holds(rows, target)).alias("n")), "engagement", F.lit(name), F.col("n")))
+    asked = ranked(searches.where(holds(searches, target)).select(F.coalesce("ts", F.lit(0)).alias("ts")), "ts")
+    parts.append(row(asked, "searches", iso(F.col("ts")), F.col("ts"), F.col("rank")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def writing_forms(identities: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.local_time import local_time
 from ..functions.text import CATEGORIES, categories
 from ..operators import people as P
+from ..operators import relations
 from ..operators import reports as R
 from ..operators.aggregates import head_middle_tail, systematic
 from ..operators.joins import by_address
@@ -180,18 +181,51 @@ def _(a):
     return unverified(a.chat.selectExpr("thread_id || '/' || CAST(turn AS STRING) AS doc", f"{_portrait('turn')} AS text"), a.chat)
 
 
-@query("q_a21_timeline", f"""SELECT canonical_id, 'first_contact' AS kind, strftime(make_timestamp(min(ts) * 1000), '%Y-%m-%d') AS date FROM pm GROUP BY 1 UNION ALL SELECT canonical_id, 'last_contact', strftime(make_timestamp(max(ts) * 1000), '%Y-%m-%d') FROM pm GROUP BY 1 UNION ALL SELECT canonical_id, 'birthday', strftime(make_date(2024, CAST(n % 12 AS INT) + 1, CAST(n % 28 AS INT) + 1), '%Y-%m-%d') FROM identities""", "pm identities")
+#: Portraits by file name: of each who wrote of a birthday, with moments in a section, elsewhere or nowhere. {iso} and {said} are formats of a moment.
+_CARDS = """SELECT regexp_replace(sender_name, '[^A-Za-z0-9_-]+', '_'{all}) AS name, '# ' || sender_name || chr(10) || chr(10) || '*kept ' || CAST(count(*) AS STRING) || ' cards *' || chr(10) || CASE count(*) % 3
+    WHEN 0 THEN '**2020-01-01 — Elsewhere.** more' WHEN 1 THEN 'nothing is dated' ELSE chr(10) || '## Anchor Moments' || chr(10) || chr(10) || '**' || {iso_a} || ' — First card.** and **' || {iso_b} || '** – Last card.** so' || chr(10)
+    || '### The trip (' || {said_a} || ' → later)' || chr(10) || '### the Trip (' || {said_a} || ')' || chr(10) || '**' || {iso_a} || ' - FIRST card**' || chr(10) || '## Later' || chr(10) || '**2020-01-01 — Elsewhere.**' END AS text
+    FROM {messages} WHERE contains(body, 'birthday') GROUP BY sender_name"""
+
+
+def _cards(messages: str, every: str, iso: str, said: str) -> str:
+    return _CARDS.format(all=every, messages=messages, **{f"{kind}_{k}": f.format(t) for kind, f in (("iso", iso), ("said", said)) for k, t in (("a", "min(ts)"), ("b", "max(ts)"))})
+
+
+_BIRTHDAYS = "SELECT canonical_id, CAST(n % 12 AS INT) + 1 AS month, CAST(n % 28 AS INT) + 1 AS day, CASE WHEN n % 2 = 0 THEN CAST(1980 + n % 30 AS INT) END AS year, 'vcard' AS source FROM {0} UNION ALL SELECT canonical_id, 2, CAST(n % 28 AS INT) + 1, NULL, 'ics' FROM {0} WHERE n % 5 = 0"
+_TODAY = 1_706_950_000_000  # 2024-02-03, 8:46
+_ISO = "strftime(make_timestamp({} * 1000), '%Y-%m-%d')"
+#: The people of most messages, with portraits' moments (kept once), as SQL twins of both queries have them.
+_CLOSEST = rf"""cards AS ({_cards('messages', ", 'g'", _ISO, "strftime(make_timestamp({} * 1000), '%b %-d %Y')")}), born AS ({_BIRTHDAYS.format('identities')}),
+    c AS (SELECT * FROM (SELECT canonical_id, count(*) AS msg_count, min(ts) AS a, max(ts) AS b, arg_max(from_me, {{'t': ts, 'i': id}}) AS mine, arg_max(body, {{'t': ts, 'i': id}}) AS body FROM messages JOIN thread_identity USING (thread_id) JOIN threads t USING (thread_id) WHERE NOT is_group AND body <> '' GROUP BY 1 HAVING count(*) > 20)
+        JOIN (SELECT canonical_id, display_name FROM identities) USING (canonical_id) ORDER BY msg_count DESC, canonical_id LIMIT 30),
+    pic AS (SELECT canonical_id, text, CASE WHEN regexp_matches(text, '(?i)##\s+Anchor moments?\s*\n') THEN regexp_split_to_array(regexp_extract(text, '(?is)##\s+Anchor moments?\s*\n(.*)', 1), '\n##\s+')[1] ELSE text END AS body FROM c JOIN cards ON name = regexp_replace(display_name, '[^A-Za-z0-9_-]+', '_', 'g')),
+    found AS (SELECT canonical_id, 0 AS k, generate_subscripts(regexp_extract_all(body, '{relations.BOLD}', 1), 1) AS i, unnest(regexp_extract_all(body, '{relations.BOLD}', 1)) AS date, trim(unnest(regexp_extract_all(body, '{relations.BOLD}', 2))) AS summary FROM pic
+        UNION ALL SELECT canonical_id, 1, generate_subscripts(regexp_extract_all(body, '{relations.TITLED}', 1), 1), strftime(strptime(unnest(regexp_extract_all(body, '{relations.TITLED}', 2)) || ' ' || unnest(regexp_extract_all(body, '{relations.TITLED}', 3)) || ' ' || unnest(regexp_extract_all(body, '{relations.TITLED}', 4)), '%b %d %Y'), '%Y-%m-%d'), trim(unnest(regexp_extract_all(body, '{relations.TITLED}', 1))) FROM pic),
+    moment AS (SELECT canonical_id, date, arg_min(summary, k * 1000 + i) AS summary, min(k * 1000 + i) AS place FROM found GROUP BY canonical_id, date, lower(summary))"""
+
+
+def _closest(a):
+    cards = a.spark.sql(_cards("{messages}", "", "date_format(timestamp_millis({}), 'yyyy-MM-dd')", "date_format(timestamp_millis({}), 'MMM d yyyy')"), messages=a.messages)
+    return relations.closest(a.messages, a.thread_identity, a.threads, a.identities, least=20), cards, a.spark.sql(_BIRTHDAYS.format("{identities}"), identities=a.identities), _TODAY
+
+
+@query("q_a21_timeline", f"""WITH {_CLOSEST} SELECT {_ISO.format('a')} AS date, canonical_id, display_name AS person, 'first_contact' AS kind, 'first message — ' || display_name AS summary, 'messages' AS source FROM c
+    UNION ALL SELECT {_ISO.format('b')}, canonical_id, display_name, 'last_contact', 'last message (so far) — ' || display_name, 'messages' FROM c WHERE a // {DAY} <> b // {DAY}
+    UNION ALL SELECT date, canonical_id, display_name, 'anchor', summary, 'portrait' FROM moment JOIN c USING (canonical_id)
+    UNION ALL SELECT '2024-' || lpad(CAST(month AS STRING), 2, '0') || '-' || lpad(CAST(day AS STRING), 2, '0'), canonical_id, display_name, 'birthday', display_name || chr(39) || 's birthday' || coalesce(' (turns ' || CAST(2024 - year AS STRING) || ')', ''), 'birthday:' || source FROM born JOIN c USING (canonical_id)""", "messages thread_identity threads identities")
 def _(a):
-    b = a.identities.selectExpr("canonical_id", "CAST(n % 12 AS INT) + 1 AS month", "CAST(n % 28 AS INT) + 1 AS day")
-    return P.timeline(a.pm, b, 2024)
+    return relations.timeline(*_closest(a))
 
 
-@query("q_a22_check_ins", f"""WITH m AS (SELECT canonical_id, count(*) AS n, min(ts) AS a, max(ts) AS z, arg_max(from_me, {{'t': ts, 'i': id}}) AS last_from_me FROM pm GROUP BY 1), d AS (SELECT *, ({LATER} - z) // {DAY} AS days_since FROM m)
-    SELECT canonical_id, n, last_from_me, days_since, floor(log10(greatest(1, n)) * 20 * sqrt(greatest(0.1, (z - a) / (365.0 * {DAY}))) * CASE WHEN days_since <= 60 THEN 1.0 WHEN days_since <= 365 THEN 0.7 WHEN days_since <= 1095 THEN 0.4 ELSE 0.15 END * 10 + 0.5) / 10 AS intimacy,
-    CAST(CASE WHEN days_since <= 7 THEN 0 WHEN days_since <= 30 THEN (days_since - 7) * 1.5 WHEN days_since <= 180 THEN 30 + (days_since - 30) * 0.7 WHEN days_since <= 730 THEN 100 - (days_since - 180) * 0.05 ELSE 70 - least(days_since - 730, 1000) * 0.05 END + CASE WHEN last_from_me THEN 0 ELSE 25 END AS DOUBLE) AS attention FROM d""", "pm")
+@query("q_a22_check_ins", f"""WITH {_CLOSEST}, d AS (SELECT c.*, {_TODAY} // {DAY} - b // {DAY} AS ds, greatest(0.1e0, (b // {DAY} - a // {DAY}) / 365e0) AS years, pic.text IS NOT NULL AS pictured, coalesce(m.about, trim(regexp_extract(pic.text, '(?m)^# [^\\n]+\\n\\n\\*([^*\\n]+)\\*', 1))) AS about, x.month, x.day
+        FROM c LEFT JOIN pic USING (canonical_id) LEFT JOIN (SELECT canonical_id, arg_max(date || ': ' || summary, {{'d': date, 'p': place}}) AS about FROM moment GROUP BY 1) m USING (canonical_id) LEFT JOIN (SELECT canonical_id, arg_min(month, {{'s': source, 'm': month}}) AS month, arg_min(day, {{'s': source, 'm': month}}) AS day FROM born GROUP BY 1) x USING (canonical_id)),
+    n AS (SELECT *, CAST(floor((epoch_ms(CASE WHEN epoch_ms(make_timestamp(2024, month, day, 0, 0, 0)) < {_TODAY} THEN make_timestamp(2025, month, 1, 0, 0, 0) + to_days(day - 1) ELSE make_timestamp(2024, month, day, 0, 0, 0) END) - {_TODAY}) / {DAY} + 0.5) AS BIGINT) AS soon FROM d),
+    s AS (SELECT *, CAST(floor(CASE WHEN ds <= 7 THEN 0 WHEN ds <= 30 THEN (ds - 7) * 1.5e0 WHEN ds <= 180 THEN 30 + (ds - 30) * 0.7e0 WHEN ds <= 730 THEN 100 - (ds - 180) * 0.05e0 ELSE 70 - least(ds - 730, 1000) * 0.05e0 END + CASE WHEN mine THEN 0 ELSE 25 END + CASE WHEN soon <= 14 THEN 60 WHEN soon <= 30 THEN 30 ELSE 0 END + 0.5) AS BIGINT) AS attention FROM n)
+    SELECT CAST(row_number() OVER (ORDER BY pictured DESC, attention DESC, msg_count DESC, canonical_id) AS INT) AS place, canonical_id, display_name, msg_count, CAST(ds AS INT) AS days_since, CASE WHEN mine THEN 'me' ELSE 'them' END AS last_from, trim(regexp_replace(substr(body, 1, 200), '\\s+', ' ', 'g')) AS excerpt, soon AS days_until_birthday, pictured AS has_portrait, about AS about_what,
+    {_ROUND.format('log10(msg_count) * 20 * sqrt(years) * CASE WHEN ds = 0 THEN 0.4e0 WHEN ds <= 60 THEN 1e0 WHEN ds <= 365 THEN 0.7e0 WHEN ds <= 1095 THEN 0.4e0 ELSE 0.15e0 END * CASE WHEN pictured THEN 1.15e0 ELSE 1e0 END', 10, '10e0')} AS intimacy, {_ROUND.format('years', 10, '10e0')} AS years_active, attention FROM s""", "messages thread_identity threads identities")
 def _(a):
-    c = P.check_ins(a.pm, "canonical_id", LATER)
-    return c.withColumn("attention", F.col("attention").cast("double"))
+    return relations.check_ins(*_closest(a))
 
 
 @query("q_a23_birthday_inference", r"""WITH g AS (SELECT canonical_id, month(make_timestamp(ts * 1000)) AS month, day(make_timestamp(ts * 1000)) AS day, year(make_timestamp(ts * 1000)) AS y FROM pm WHERE from_me AND regexp_matches(lower(body), 'happy birthday|(^|[^a-z0-9_])hbd([^a-z0-9_]|$)|happy b''?day')),
@@ -365,11 +399,24 @@ def _(a):
     return lines.groupBy("doc_id").agg(F.count("*").alias("lines"), F.min(F.when(F.trim("t") != "", F.col("line"))).alias("first_line"))
 
 
-@query("q_a39_engagement", "SELECT 'messages' AS list, count(*) FILTER (WHERE contains(body, 'Bob') OR contains(sender_name, 'Bob')) AS n, count(*) FILTER (WHERE contains(body, 'Bob') OR contains(sender_name, 'Bob')) > 0 AS any FROM messages UNION ALL SELECT 'people', count(*) FILTER (WHERE contains(display_name, 'Bob')), count(*) FILTER (WHERE contains(display_name, 'Bob')) > 0 FROM identities".replace("AS any", 'AS "any"'), "messages identities")
+_MS = "strftime(make_timestamp(ts * 1000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z'"
+
+
+@query("q_a39_engagement", f"""WITH m AS (SELECT id, ts, sender_name, CASE WHEN attachment_type IS NULL THEN body END AS content, value FROM messages), t AS (SELECT *, row_number() OVER (ORDER BY ts, id) - 1 AS i, count(*) OVER () AS n FROM m WHERE content <> ''),
+    s AS (SELECT i AS place, * FROM t WHERE i < 40 UNION ALL SELECT 40 + i - (n // 2 - 20), * FROM t WHERE i BETWEEN n // 2 - 20 AND n // 2 + 19 UNION ALL SELECT 80 + i - (n - 40), * FROM t WHERE i >= n - 40)
+    SELECT 'totals' AS section, CAST(NULL AS BIGINT) AS place, unnest(['messages', 'text', 'first', 'last']) AS item, unnest([count(*), count(content), min(ts), max(ts)]) AS n FROM m
+    UNION ALL SELECT 'sample', place, '{{"sender":"' || sender_name || '","time":"' || {_MS} || '","text":"' || content || '","reactions":[' || CASE WHEN value > 20 THEN '"Bo: ' || sender_name || '"' ELSE '' END || ']}}', ts FROM s
+    UNION ALL SELECT 'social', NULL, 'i_follow_them', max(CAST(contains(display_name, 'Bob') AS INT)) FROM identities UNION ALL SELECT 'social', NULL, 'they_follow_me', max(CAST(contains(array_to_string(participants, ','), 'Nobody') AS INT)) FROM threads
+    UNION ALL SELECT 'engagement', NULL, 'stories_liked', count(*) FILTER (WHERE contains(sender_name, 'Bob') OR contains(body, 'Bob')) FROM messages UNION ALL SELECT 'engagement', NULL, 'stories_viewed', count(*) FILTER (WHERE contains(array_to_string(participants, ','), 'Bob')) FROM threads
+    UNION ALL SELECT 'searches', row_number() OVER (ORDER BY ts, id) - 1, {_MS}, ts FROM messages WHERE contains(body, 'Bob') AND contains(body, 'lunch')""", "messages identities threads")
 def _(a):
     from ..operators.writing import engagement
 
-    return engagement("Bob", messages=a.messages.select("id", "sender_name", "body"), people=a.identities)
+    reactions = F.when(F.col("value") > 20, F.array(F.struct(F.lit("Bo").alias("actor"), F.col("sender_name").alias("reaction"))))
+    messages = a.messages.select("id", "ts", F.col("sender_name").alias("sender"), F.when(F.col("attachment_type").isNull(), F.col("body")).alias("content"), reactions.alias("reactions"))
+    searches = a.messages.where("contains(body, 'lunch')").select("ts", "body")
+    nobody = a.threads.where("not array_contains(participants, 'Nobody')")
+    return engagement("Bob", messages, a.identities.select("display_name"), nobody.select("thread_id"), searches, stories_liked=a.messages.select("id", "sender_name", "body"), stories_viewed=a.threads)
 
 
 @query("q_a43_writing_index", "SELECT 'd' || CAST(doc_id AS STRING) AS title, make_date(CAST(2000 + doc_id % 20 AS INT), CASE WHEN doc_id % 2 = 0 THEN 3 ELSE 1 END, 1) AS date FROM documents")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import crm as C
@@ -9,7 +12,7 @@ from ..operators import gates as D
 from ..operators import retrieval as M
 from ..sources import tables as S
 from .catalog import query
-from .fragments import LATER, zone_of
+from .fragments import LATER, NOW, zone_of
 
 
 @query("q_m02_search", r"""SELECT id, ts, thread_id, sender_name, substr(body, 1, 500) AS body, len(body) > 500 AS body_truncated FROM messages WHERE body ILIKE '%late%' AND source = 'gmail' AND ts >= 1704500000000 AND ts < 1706000000000 AND NOT (regexp_matches(body, '(?i)ann') OR regexp_matches(sender_name, '(?i)ann'))
@@ -69,10 +72,28 @@ def _(a):
     return C.log_interaction(a.ops, "k1", "click", LATER).groupBy("key").agg(F.count("*").alias("n"))
 
 
-@query("q_c06_dump", "SELECT key, count(*) AS tags FROM (SELECT DISTINCT key, kind FROM ops) GROUP BY 1", "ops")
+#: Dumps of one person and up to 200 of their ops each: some without id or name, interactions that share an id, and dates that are missing or unreadable.
+_DUMP = """SELECT key || '/' || lpad(CAST(part AS STRING), 6, '0') AS seq, to_json(struct(array(struct(CASE WHEN key LIKE '%7' THEN '' ELSE key END AS id, CASE WHEN key LIKE '%3' THEN '' ELSE 'Name ' || key || ' ' || part END AS name, 'call ' || part AS followUp,
+    tags, transform(ops, o -> named_struct('id', CASE WHEN o.op % 13 <> 0 THEN 'o' || CAST(o.op div 2 AS STRING) END, 'type', CASE WHEN o.kind <> 'view' THEN o.kind END, 'notes', CASE WHEN o.op % 5 <> 0 THEN 'n' || CAST(o.op AS STRING) ELSE '' END,
+    'date', CASE o.op % 7 WHEN 0 THEN NULL WHEN 1 THEN 'soon' ELSE date_format(timestamp_millis(o.updated_at), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX") END)) AS interactions)) AS people, CASE WHEN key NOT LIKE '%7' THEN array(struct(key AS source, key AS target, CASE WHEN part % 3 <> 0 THEN CAST(part AS INT) END AS strength)) END AS connections)) AS text
+    FROM (SELECT key, op div 200 AS part, array_sort(collect_set(kind)) AS tags, array_sort(collect_list(struct(op, kind, updated_at))) AS ops FROM {ops} GROUP BY key, op div 200)"""
+
+
+@query("q_c06_dump", f"""WITH p AS (SELECT *, op // 200 AS part, key || '/' || lpad(CAST(op // 200 AS STRING), 6, '0') AS seq, CASE WHEN key LIKE '%7' THEN sha256('person/' || key || '/' || lpad(CAST(op // 200 AS STRING), 6, '0') || '/0') ELSE key END AS id FROM ops),
+    i AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY op) - 1 AS nth FROM p), k AS (SELECT *, CASE WHEN op % 13 <> 0 THEN 'o' || CAST(op // 2 AS STRING) ELSE sha256('interaction/' || seq || '/0/' || CAST(nth AS STRING)) END AS iid FROM i WHERE op % 7 <> 1)
+    SELECT 'people' AS tab, id, arg_min(CASE WHEN key LIKE '%3' THEN '(unnamed)' ELSE 'Name ' || key || ' ' || part END, seq) AS name, arg_min('call ' || part, seq) AS body, CAST({NOW} AS BIGINT) AS n FROM p GROUP BY id
+    UNION ALL SELECT DISTINCT 'tags', id, kind, NULL, NULL FROM p
+    UNION ALL SELECT 'interactions', iid, CASE WHEN kind <> 'view' THEN kind ELSE 'note' END, CASE WHEN op % 5 <> 0 THEN 'n' || CAST(op AS STRING) END || ' of ' || id, CASE WHEN op % 7 = 0 THEN {NOW} ELSE updated_at END FROM (SELECT *, row_number() OVER (PARTITION BY iid ORDER BY seq, nth) AS r FROM k) WHERE r = 1
+    UNION ALL SELECT 'connections', key, key, NULL, arg_max(CASE WHEN part % 3 <> 0 THEN part ELSE 1 END, seq) FROM p WHERE key NOT LIKE '%7' GROUP BY key""", "ops")
 def _(a):
-    dump = a.ops.groupBy("key").agg(F.collect_set("kind").alias("tags"), F.collect_list(F.struct("op", "amount")).alias("interactions"))
-    return C.from_dump(dump)[1].groupBy("key").agg(F.count("*").alias("tags"))
+    people, tags, interactions, links = C.from_dump(a.spark.sql(_DUMP, ops=a.ops), NOW)
+    nothing = F.lit(None).cast("string")
+    row = lambda df, tab, id_, name, body, n: df.select(F.lit(tab).alias("tab"), F.col(id_).alias("id"), F.col(name).alias("name"), body.alias("body"), n.cast("long").alias("n"))
+    parts = (
+        row(people, "people", "id", "name", F.col("follow_up"), F.col("created_at")), row(tags, "tags", "person_id", "tag", nothing, F.lit(None)),
+        row(interactions, "interactions", "id", "kind", F.concat("body", F.lit(" of "), "person_id"), F.col("occurred_at")), row(links, "connections", "source_id", "target_id", nothing, F.col("strength")),
+    )
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("q_c07_history", "SELECT op, row_number() OVER w AS version, row_number() OVER (PARTITION BY key ORDER BY updated_at DESC, op DESC) = 1 AS current FROM ops WINDOW w AS (PARTITION BY key ORDER BY updated_at, op)", "ops")
