@@ -38,13 +38,12 @@ def thread_sample(messages: DataFrame, k: int = 40) -> DataFrame:
     In a thread of under k rows the middle begins as many before the end as the row it should begin with lies before the first.
     """
     m = ranked(messages, "ts", "id", name="_i")
-    n = m.agg(F.count("*").alias("_n"))  # one row
-    m = m.join(F.broadcast(n))
-    mid = F.floor(F.col("_n") / 2)
-    start = F.when(mid >= k // 2, mid - k // 2).otherwise(F.greatest(F.col("_n") + mid - k // 2, F.lit(0)))
-    end, last, head = F.least(mid + k // 2, F.col("_n")), F.greatest(F.col("_n") - k, F.lit(0)), F.least(F.col("_n"), F.lit(k))
+    n = m.count()
+    mid = n // 2
+    start = mid - k // 2 if mid >= k // 2 else max(n + mid - k // 2, 0)
+    end, last, head = min(mid + k // 2, n), max(n - k, 0), min(n, k)
     i = F.col("_i")
-    places = F.array(F.when(i < k, i), F.when((i >= start) & (i < end), head + i - start), F.when(i >= last, head + F.greatest(end - start, F.lit(0)) + i - last))
+    places = F.array(F.when(i < k, i), F.when((i >= start) & (i < end), head + i - start), F.when(i >= last, head + max(end - start, 0) + i - last))
     return m.select(F.explode(F.array_compact(places)).alias("place"), *messages.columns)
 
 
