@@ -54,3 +54,11 @@ def test_footers_and_quotes(spark):
 def test_round_half_up(spark):
     assert one(spark, T.round_half_up(F.col("a")), a=-2.5) == -2.0
     assert one(spark, T.round_half_up(F.col("a")), a=2.5) == 3.0
+
+
+def test_url_keys_are_one_line(spark):
+    import base64
+
+    for n in (1, 56, 57, 58, 200):
+        url = ("https://a.example/?~" * 20)[:n]
+        assert one(spark, T.url_key(F.col("b")), b=url) == base64.urlsafe_b64encode(url.encode()).decode().rstrip("=")
