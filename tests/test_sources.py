@@ -133,3 +133,12 @@ def test_sinks(spark, tmp_path):
     assert sinks.current(spark, str(root)).count() == 2
     sinks.publish(df, str(root), "v3")
     assert sinks.prune(spark, str(root), 0) == ["v1"]
+
+
+def test_references_without_semicolon_stay_text():
+    from skein.sources.markup import MESSAGES, Records
+
+    block = '<div class="_a6-g"><h2>{}</h2><div class="_a6-p"><a href="?a=1&copy=2">x &amp; y&ampz &lt</a><script>a && b &amp; c</script>{}</div></div>'
+    r = Records(MESSAGES).read(block.format("A&amp;&amp", "&#33;&#33 &amp;lt;"))[0]
+    assert "".join(r["fields"]["sender"]).strip() == "A&&amp" and r["links"][0][0] == "?a=1&copy=2"
+    assert " ".join("".join(r["fields"]["body"]).split()) == "x & y&ampz &lt a && b &amp; c !&#33 &lt;"
