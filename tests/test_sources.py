@@ -142,3 +142,9 @@ def test_references_without_semicolon_stay_text():
     r = Records(MESSAGES).read(block.format("A&amp;&amp", "&#33;&#33 &amp;lt;"))[0]
     assert "".join(r["fields"]["sender"]).strip() == "A&&amp" and r["links"][0][0] == "?a=1&copy=2"
     assert " ".join("".join(r["fields"]["body"]).split()) == "x & y&ampz &lt a && b &amp; c !&#33 &lt;"
+
+
+def test_watched_titles_cut_within_a_reference(spark, tmp_path):
+    cell = '<div class="outer-cell">Watched <a href="https://y.example/watch?v=k">R &amp;&ampamp; D&amp</a> 5 Jan 2024, 12:00:00 UTC</div>'
+    put(tmp_path, "w.html", f"<html>{cell}</html>")
+    assert [r["title"] for r in media.watch_history(spark, str(tmp_path)).collect()] == ["R &&ampamp; D&amp"]
