@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import haversine, marker, round_half_up
 from ..session import ship
 from .density import merge_near
-from .joins import overlapping, within
+from .joins import within
 
 HOUR = 3_600_000
 
@@ -144,10 +144,20 @@ def confirm_window(messages: DataFrame, day: Column, size: int = 60, before: int
 
 def uncovered(candidates: DataFrame, gatherings: DataFrame, pad: int = 6 * HOUR) -> DataFrame:
     """E-13: candidates (event_id, start_ts, end_ts, participants) that overlap no photo event of shared or unknown people."""
-    l = candidates.select(F.col("event_id").alias("id"), F.col("start_ts").alias("lo"), F.col("end_ts").alias("hi"), F.col("participants").alias("p"))
-    r = gatherings.select(F.col("event_id").alias("rid"), F.col("start_ts").alias("rlo"), F.col("end_ts").alias("rhi"), F.col("participants").alias("rp"))
-    shared = F.arrays_overlap("p", "rp") | (F.size("rp") == 0)
-    hit = overlapping(l, r, pad, 30 * 24 * HOUR, shared).select(F.col("id").alias("event_id")).distinct()
+    # of a person's photo events that begin in time, the one that ends last decides: a running maximum by week, with what the weeks before hand on
+    bucket = 7 * 24 * HOUR
+    nobody = F.array(F.lit(None).cast("string"))  # stands for photo events of unknown people, who may be anybody
+    part = F.floor(F.col("t") / bucket).alias("_b")
+    who = F.array_distinct(F.array_compact("participants"))
+    photos = gatherings.select(F.explode(F.when(F.size("participants") == 0, nobody).otherwise(who)).alias("_p"), F.col("start_ts").alias("t"), "end_ts")
+    photos = photos.groupBy("_p", "t").agg(F.max("end_ts").alias("until")).select("_p", part, "t", F.lit(1).alias("_k"), "until", F.lit(None).cast("long").alias("since"), F.lit(None).cast(candidates.schema["event_id"].dataType).alias("event_id"))
+    asked = candidates.select("event_id", F.explode(F.concat(F.coalesce(who, F.array().cast("array<string>")), nobody)).alias("_p"), (F.col("end_ts") + pad).alias("t"), (F.col("start_ts") - pad).alias("since"))
+    asked = asked.select("_p", part, "t", F.lit(2).alias("_k"), F.lit(None).cast("long").alias("until"), "since", "event_id")
+    before = Window.partitionBy("_p").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    handed = photos.select("_p", "_b", "until").union(asked.select("_p", "_b", "until").distinct()).groupBy("_p", "_b").agg(F.max("until").alias("until")).withColumn("until", F.max("until").over(before))
+    handed = handed.where("until is not null").select("_p", "_b", (F.col("_b") * bucket).alias("t"), F.lit(0).alias("_k"), "until", F.lit(None).cast("long").alias("since"), F.lit(None).cast(candidates.schema["event_id"].dataType).alias("event_id"))
+    sofar = F.max("until").over(Window.partitionBy("_p", "_b").orderBy("t", "_k").rowsBetween(Window.unboundedPreceding, 0))
+    hit = handed.union(photos).union(asked).withColumn("until", sofar).where("_k = 2 and until >= since").select("event_id").distinct()
     return candidates.join(hit, "event_id", "left_anti")
 
 

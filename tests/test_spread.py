@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from skein.operators import aggregates, graph, joins
+from skein.operators import aggregates, graph, happenings, joins
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
@@ -45,3 +45,17 @@ def test_co_mentions_join_counts_not_rows(spark):
 def test_samples_of_small_groups_are_whole(spark):
     df = spark.range(5).select(F.lit("g").alias("g"), "id")
     assert aggregates.systematic(df, ["g"], ["id"], 12).count() == 5 and aggregates.stride(df, ["g"], ["id"], 12).count() == 5
+
+
+def test_covered_events_are_found_without_pairs(spark):
+    import random
+
+    rng = random.Random(3)
+    events = lambda n, k: [(f"{k}{i}", t := rng.randrange(200) * 3_600_000 * 5, t + rng.randrange(30) * 3_600_000, [rng.choice("abcdefghij") for _ in range(rng.randrange(3))]) for i in range(n)]
+    schema = "event_id string, start_ts long, end_ts long, participants array<string>"
+    c, g = events(150, "c"), [r for r in events(25, "g") if r[3]] + [("x", 0, 3_600_000, []), ("y", 0, 9**12, None)]
+    pad = 6 * 3_600_000
+    want = sorted(i for i, lo, hi, p in c if not any(b - pad <= hi and e + pad >= lo and q is not None and (not q or set(p) & set(q)) for _, b, e, q in g))
+    got = happenings.uncovered(spark.createDataFrame(c, schema), spark.createDataFrame(g, schema), pad)
+    assert 0 < len(want) < 150 and sorted(r["event_id"] for r in got.collect()) == want
+    assert "arrays_overlap" not in plan(got)
