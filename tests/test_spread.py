@@ -59,3 +59,11 @@ def test_covered_events_are_found_without_pairs(spark):
     got = happenings.uncovered(spark.createDataFrame(c, schema), spark.createDataFrame(g, schema), pad)
     assert 0 < len(want) < 150 and sorted(r["event_id"] for r in got.collect()) == want
     assert "arrays_overlap" not in plan(got)
+
+
+def test_overlaps_of_shared_people_meet_by_person(spark):
+    a = spark.createDataFrame([(1, 0, 5, ["x", "y", "z"]), (2, 0, 5, ["w", None]), (3, 90, 95, ["x"])], "id long, lo long, hi long, p array<string>")
+    b = spark.createDataFrame([(9, 3, 40, ["z", "y", "y"]), (8, 3, 40, ["x", "w"]), (7, 3, 40, [None, "q"]), (6, 3, 40, None)], "rid long, rlo long, rhi long, rp array<string>")
+    got = joins.overlapping(a, b, 20, 10, ("p", "rp")).select("id", "rid")
+    assert sorted(map(tuple, got.collect())) == [(1, 8), (1, 9), (2, 8)]
+    assert "_e" in plan(got)
