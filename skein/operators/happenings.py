@@ -102,9 +102,10 @@ def named(clusters: DataFrame, outside: DataFrame, reach: int = 6 * HOUR, near_k
     A cluster takes the nearest `geo` event, else the nearest `time` one. Of equal gaps the least id is taken.
     """
     came = outside.where(F.col("response").isin(*ATTENDED)).select("key", "name", "ts", F.col("lat").alias("olat"), F.col("lng").alias("olng"))
-    gap = F.abs(F.col("ts") - F.col("start_ts"))
-    near = within(came, "ts", clusters.select("event_id", "start_ts", "end_ts", "lat", "lng"), "start_ts", "end_ts", reach).withColumn("gap", gap)
-    one = near.groupBy("key").agg(F.min_by(F.struct("event_id", "name", "gap", "lat", "lng", "olat", "olng"), F.struct("gap", "event_id")).alias("c")).select("key", "c.*")
+    gap = F.abs(F.col("ts") - F.col("start_ts")).alias("gap")
+    spans = clusters.groupBy("start_ts", "end_ts").agg(F.min("event_id").alias("event_id"))  # different moments meet different spans, not rows rows
+    near = within(came.select("ts").distinct(), "ts", spans, "start_ts", "end_ts", reach).groupBy("ts").agg(F.min(F.struct(gap, "event_id")).alias("c")).select("ts", "c.*")
+    one = came.join(near, "ts").join(clusters.select("event_id", "lat", "lng"), "event_id")
     km = haversine(F.col("olat"), F.col("olng"), F.col("lat"), F.col("lng"))
     match = F.when(km <= near_km, "geo").when(km.isNull() & (F.col("gap") <= alone), "time")
     best = F.struct((F.col("match") != "geo").alias("far"), "gap", "key")

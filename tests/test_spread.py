@@ -67,3 +67,11 @@ def test_overlaps_of_shared_people_meet_by_person(spark):
     got = joins.overlapping(a, b, 20, 10, ("p", "rp")).select("id", "rid")
     assert sorted(map(tuple, got.collect())) == [(1, 8), (1, 9), (2, 8)]
     assert "_e" in plan(got)
+
+
+def test_outside_events_of_one_moment_meet_spans_once(spark):
+    c = spark.createDataFrame([("e2", 0, 9, 0.0, 0.0), ("e1", 0, 9, 0.0, 0.0), ("e3", 5, 9, 0.0, 0.0)], "event_id string, start_ts long, end_ts long, lat double, lng double")
+    o = spark.createDataFrame([(f"k{i}", "n", 2, 0.0, 0.0, "joined") for i in range(4)] + [("l", "n", 5, 0.0, 0.0, "joined"), ("m", "n", 5, 0.0, 0.0, "interested")], "key string, name string, ts long, lat double, lng double, response string")
+    got = happenings.named(c, o)
+    assert sorted(map(tuple, got.select("event_id", "key", "match", "gap").collect())) == [("e1", "k0", "geo", 2), ("e3", "l", "geo", 0)]
+    assert "keys=[ts" in plan(got)
