@@ -75,3 +75,9 @@ def test_outside_events_of_one_moment_meet_spans_once(spark):
     got = happenings.named(c, o)
     assert sorted(map(tuple, got.select("event_id", "key", "match", "gap").collect())) == [("e1", "k0", "geo", 2), ("e3", "l", "geo", 0)]
     assert "keys=[ts" in plan(got)
+
+
+def test_rows_of_one_place_are_several_tasks(spark):
+    d = spark.range(600).selectExpr("id", "1.0D AS lat", "CASE WHEN id < 590 THEN 2.0D ELSE 2.0005D END AS lng")
+    got = joins.spatial(d, d.toDF("rid", "rlat", "rlng"), block=50).withColumn("task", F.spark_partition_id())
+    assert got.where("id < rid").count() == 600 * 599 // 2 and got.select("task").distinct().count() > 3
