@@ -81,3 +81,13 @@ def test_rows_of_one_place_are_several_tasks(spark):
     d = spark.range(600).selectExpr("id", "1.0D AS lat", "CASE WHEN id < 590 THEN 2.0D ELSE 2.0005D END AS lng")
     got = joins.spatial(d, d.toDF("rid", "rlat", "rlng"), block=50).withColumn("task", F.spark_partition_id())
     assert got.where("id < rid").count() == 600 * 599 // 2 and got.select("task").distinct().count() > 3
+
+
+def test_mentions_move_no_rows_where_names_are_few(spark):
+    i = spark.createDataFrame([("id-1", "Ann Abel", ["ann@x.example"]), ("id-2", "Ann Birch", []), ("id-3", "Bo (x) Dunn", [])], "canonical_id string, display_name string, aliases array<string>")
+    ti = spark.createDataFrame([("t1", "id-1"), ("t1", "id-9")], "thread_id string, canonical_id string")
+    m = spark.createDataFrame([("m1", "t1", 1, True, "ANN abel, ann birch", True), ("m2", "g", 2, False, "annabel or bo dunn", True), ("m3", None, 3, False, "ann birches", True), ("m4", "g", 4, True, "ann", False)], "id string, thread_id string, ts long, from_me boolean, body string, meaningful boolean")
+    got = graph.mentions(m, i, ti)
+    assert sorted((r["message_id"], r["mentioned_canonical_id"], r["mentioned_form"]) for r in got.collect()) == [("m1", "id-2", "ann"), ("m1", "id-2", "ann birch"), ("m3", "id-1", "ann"), ("m3", "id-2", "ann")]
+    text = plan(got)
+    assert "hashpartitioning(id" not in text and "hashpartitioning(mentioned_canonical_id" not in text and "hashpartitioning(thread_id" not in text
