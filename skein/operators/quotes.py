@@ -17,13 +17,16 @@ def _plain(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), r"[ \t\n\x0B\f\r]+", " "))
 
 
-def _runs(words: Column, size: int) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - size + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, size), " "))
+def _runs(parts: Column, size: int, between: str) -> Column:
+    """Runs of `size` parts that follow each other; all of them where there are fewer.
 
-
-def _grams(text: Column, size: int) -> Column:
-    characters = F.split(text, "")  # an array: a place in a string is only found from its beginning
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1))), lambda i: F.array_join(F.slice(characters, i, size), ""))
+    The array is shifted as a whole and zipped: taken apart by a lambda, it would be made anew for every run.
+    """
+    if size == 1:
+        return parts
+    shifted = F.arrays_zip(*(F.slice(parts, k + 1, F.greatest(F.size(parts) - size + 1, F.lit(0))).alias(str(k)) for k in range(size)))
+    runs = F.transform(shifted, lambda z: F.concat_ws(between, *(z.getField(str(k)) for k in range(size))))
+    return F.when(F.size(parts) < size, F.array(F.array_join(parts, between))).otherwise(runs)
 
 
 def verify(quotes: DataFrame, sources: DataFrame) -> DataFrame:
@@ -38,13 +41,13 @@ def verify(quotes: DataFrame, sources: DataFrame) -> DataFrame:
     start = F.substring("quote", 1, KEY_CHARACTERS)
     q = q.select("item_id", "quote", F.when(F.size("w") >= KEY_WORDS + 2, phrase).otherwise(start).alias("key"), F.when(F.size("w") >= KEY_WORDS + 2, 0).otherwise(F.length(start)).alias("kind"))
     s = sources.select("doc_id", _plain(F.col("text")).alias("body"))
-    words = F.split("body", " ")
     kinds = {r["kind"] for r in q.select("kind").distinct().collect()}  # at most four
     keyed = lambda keys, kind: F.transform(F.array_distinct(keys), lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("key")))
-    keys = [keyed(_grams(F.col("body"), n) if n else _runs(words, KEY_WORDS), n) for n in sorted(kinds)] or [F.array().cast("array<struct<kind:int,key:string>>")]
+    keys = [keyed(_runs(F.split("body", ""), n, "") if n else _runs(F.split("body", " "), KEY_WORDS, " "), n) for n in sorted(kinds)] or [F.array().cast("array<struct<kind:int,key:string>>")]
     spots = s.select("doc_id", F.explode(F.flatten(F.array(*keys))).alias("k")).select("doc_id", "k.kind", "k.key")
     pairs = spots.join(q.select("item_id", "kind", "key"), ["kind", "key"]).select("item_id", "doc_id").distinct()
-    found = pairs.join(q.select("item_id", "quote"), "item_id").join(s, "doc_id").where(F.col("body").contains(F.col("quote")))
+    met = pairs.join(q.select("item_id", "quote"), "item_id").join(sources.select("doc_id", "text"), "doc_id")  # raw: only texts that are met are made plain again
+    found = met.where(_plain(F.col("text")).contains(F.col("quote")))
     return found.select("item_id", "doc_id").distinct()
 
 

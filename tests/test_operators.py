@@ -1,5 +1,7 @@
 """Small golden cases of archive operators."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,6 +168,16 @@ def test_headings_and_quotes(spark):
     assert rows(quotes.verify(q, s)) == [(1, 7), (2, 7)]
 
 
+def test_quotes_in_a_long_text(spark):
+    # 40,000 words: taken apart anew for each of its runs, such a text was minutes' work
+    text = " ".join(f"w{k}" for k in range(40_000))
+    q = spark.createDataFrame([(1, "w39994 w39995  w39996 W39997 w39998"), (2, "w7 w9 w8 w10 w11"), (3, "9998 w9999 w10"), (4, "w3"), (5, "w39999")], "item_id long, text string")
+    s = spark.createDataFrame([(7, text), (8, "w1 w3"), (9, "w")], "doc_id long, text string")
+    begin = time.monotonic()
+    assert rows(quotes.verify(q, s)) == [(1, 7), (3, 7), (4, 7), (4, 8), (5, 7)]
+    assert time.monotonic() - begin < 30
+
+
 def test_empty_inputs(spark):
     e = spark.createDataFrame([], "a string, b string")
     assert iterative.components(e).count() == 0
