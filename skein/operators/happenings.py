@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -33,25 +34,28 @@ def cluster(photos: DataFrame, gap_hours: int = 6, far_km: float = 1.0, move_hou
 
     A cluster ends after a gap of more than 6 hours, or where a photo is over 1 km from the mean of the
     cluster's positions so far and more than 1 hour after the photo before. The first rule is a window;
-    the second keeps state, and runs over each session of the first in its own group, unless the session
+    the second keeps state, and walks through the sessions of the first, many of them in a task, unless a session
     is so short or lies so close together that it can't be divided. Clusters of fewer than three photos
     are dropped.
     """
     ship(photos.sparkSession)
     timed = sessions(photos, ["owner"], gap_hours * HOUR)
 
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts", "id"])
-        out, k, lat, lng, n, last = [], 0, 0.0, 0.0, 0, None
-        for ts, a, b in zip(rows.ts, rows.lat, rows.lng, strict=True):
-            placed = not (pd.isna(a) or pd.isna(b))
-            if last is not None and placed and n and ts - last > move_hours * HOUR and _km(lat / n, lng / n, a, b) > far_km:
-                k, lat, lng, n = k + 1, 0.0, 0.0, 0
-            if placed:
-                lat, lng, n = lat + a, lng + b, n + 1
-            out.append(k)
-            last = ts
-        return rows.assign(part=out)[["owner", "session", "part", "id", "ts", "lat", "lng"]]
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, k, lat, lng, n, last = None, 0, 0.0, 0.0, 0, None  # a session goes on from batch to batch
+        for rows in batches:
+            out = []
+            for owner, session, ts, a, b in zip(rows.owner, rows.session, rows.ts, rows.lat, rows.lng, strict=True):
+                if (owner, session) != now:
+                    now, k, lat, lng, n, last = (owner, session), 0, 0.0, 0.0, 0, None
+                placed = not (pd.isna(a) or pd.isna(b))
+                if last is not None and placed and n and ts - last > move_hours * HOUR and _km(lat / n, lng / n, a, b) > far_km:
+                    k, lat, lng, n = k + 1, 0.0, 0.0, 0
+                if placed:
+                    lat, lng, n = lat + a, lng + b, n + 1
+                out.append(k)
+                last = ts
+            yield rows.assign(part=out)[["owner", "session", "part", "id", "ts", "lat", "lng"]]
 
     whole = Window.partitionBy("owner", "session")
     placed = F.col("lat").isNotNull() & F.col("lng").isNotNull()
@@ -59,7 +63,8 @@ def cluster(photos: DataFrame, gap_hours: int = 6, far_km: float = 1.0, move_hou
     across = haversine(edge(F.min, "lat"), edge(F.min, "lng"), edge(F.max, "lat"), edge(F.max, "lng"))
     short = F.max("ts").over(whole) - F.min("ts").over(whole) <= move_hours * HOUR
     timed = timed.withColumn("calm", short | F.coalesce(across <= 0.9 * far_km, F.lit(True))).select("owner", "session", "id", "ts", "lat", "lng", "calm")
-    walked = timed.where("not calm").groupBy("owner", "session").applyInPandas(walk, "owner string, session long, part long, id string, ts long, lat double, lng double")
+    restless = timed.where("not calm").drop("calm").repartition("owner", "session").sortWithinPartitions("owner", "session", "ts", "id")
+    walked = restless.mapInPandas(walk, "owner string, session long, part long, id string, ts long, lat double, lng double")
     calm = timed.where("calm").select("owner", "session", F.lit(0).cast("long").alias("part"), "id", "ts", "lat", "lng")
     walked = walked.union(calm)
     return walked.withColumn("_n", F.count("*").over(Window.partitionBy("owner", "session", "part"))).where(F.col("_n") >= least).drop("_n")

@@ -168,6 +168,22 @@ def test_headings_and_quotes(spark):
     assert rows(quotes.verify(q, s)) == [(1, 7), (2, 7)]
 
 
+def test_clusters_walk_many_sessions_in_a_task(spark):
+    # every session was a Python group of its own; batches of two rows cut each of them
+    at = lambda k, lat: (T0 + k * 70 * 60_000, lat, 0.0)
+    photos = [(owner, f"p{day}{k}", ts + day * DAY, lat, lng) for owner in ("a", "b", "c") for day in (0, 2) for k, (ts, lat, lng) in enumerate([at(0, 0.0), at(1, 0.0), at(2, 0.0), at(3, 1.0), at(4, 1.0), at(5, 1.0), at(6, 9.0)])]
+    df = spark.createDataFrame(photos, "owner string, id string, ts long, lat double, lng double")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        found = happenings.cluster(df)
+        got = rows(found.select("owner", "id", "session", "part"))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert got == [(o, f"p{day}{k}", day // 2, k // 3) for o in ("a", "b", "c") for day in (0, 2) for k in range(6)]
+    assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
+
+
 def test_quotes_in_a_long_text(spark):
     # 40,000 words: taken apart anew for each of its runs, such a text was minutes' work
     text = " ".join(f"w{k}" for k in range(40_000))
