@@ -124,9 +124,10 @@ def person_events(event_photos: DataFrame, faces: DataFrame) -> DataFrame:
 
 def co_present_events(gatherings: DataFrame) -> DataFrame:
     """E-09/E-10: pairs of an event's people, both directions, with the events they share."""
-    p = gatherings.select("event_id", F.explode("participants").alias("a"))
-    q = p.withColumnRenamed("a", "b")
-    return p.join(q, "event_id").where("a <> b").groupBy("a", "b").agg(F.count_distinct("event_id").alias("weight"))
+    # an event's people are together in one row before they become pairs, so a pair needs no event to be counted by
+    people = gatherings.where("event_id is not null").groupBy("event_id").agg(F.array_distinct(F.flatten(F.collect_list(F.array_compact("participants")))).alias("people"))
+    p = people.select("people", F.explode("people").alias("a"))
+    return p.select("a", F.explode("people").alias("b")).where("a <> b").groupBy("a", "b").agg(F.count("*").alias("weight"))
 
 
 def meetup_candidates(messages: DataFrame, day: Column) -> DataFrame:

@@ -184,6 +184,14 @@ def test_clusters_walk_many_sessions_in_a_task(spark):
     assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
 
 
+def test_co_present_without_pairs_by_event(spark):
+    g = spark.createDataFrame([("e", ["x", "y", None]), ("e", ["y", "z"]), ("f", ["x", "x", "y"]), ("g", None), (None, ["x", "y"])], "event_id string, participants array<string>")
+    found = happenings.co_present_events(g)
+    assert rows(found) == [("x", "y", 2), ("x", "z", 1), ("y", "x", 2), ("y", "z", 1), ("z", "x", 1), ("z", "y", 1)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan  # rows of (a, b, event) were all held to be counted
+
+
 def test_quotes_in_a_long_text(spark):
     # 40,000 words: taken apart anew for each of its runs, such a text was minutes' work
     text = " ".join(f"w{k}" for k in range(40_000))
