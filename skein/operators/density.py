@@ -42,6 +42,25 @@ def distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.sqrt(out)
 
 
+def paired(q: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """distances(q, x)[i, j], the same to the last bit."""
+    out = np.zeros(len(i))
+    for k in range(q.shape[1]):
+        d = q[i, k] - x[j, k]
+        out += d * d
+    return np.sqrt(out)
+
+
+def squares(q: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, float]:
+    """Squares of the distances by one matrix product, and how far they may be off: they say which pairs are worth an exact distance."""
+    nq, nx = np.einsum("ij,ij->i", q, q), np.einsum("ij,ij->i", x, x)
+    out = q @ x.T
+    out *= -2
+    out += nq[:, None]
+    out += nx
+    return out, 8 * (q.shape[1] + 4) * np.finfo(np.float64).eps * (np.sqrt(nq.max(initial=0)) + np.sqrt(nx.max(initial=0))) ** 2
+
+
 def stacked(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
@@ -49,13 +68,14 @@ def stacked(column: pd.Series) -> np.ndarray:
 class Cells:
     """Points dealt to the cells of their nearest pivot, and cells to blocks.
 
-    `points` gets cell and salt. Pivots are at most PIVOTS points, whatever the table's size; they, and a radius and
+    `points` gets cell and salt. Pivots are at most PIVOTS points, whatever the table's size, and few enough for
+    cells of a quarter of a block: with smaller ones queries cost more on their way than in their search. They, and a radius and
     a number of blocks for each, are all that tasks get.
     """
 
     def __init__(self, points: DataFrame, cut: Cut):
         ship(points.sparkSession)
-        self.pivots = pivots = np.array([r["x"] for r in points.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).select("x").collect()], np.float64)
+        self.pivots = pivots = np.array([r["x"] for r in points.orderBy(F.xxhash64("id"), "id").limit(min(PIVOTS, -(-4 * points.count() // BLOCK))).select("x").collect()], np.float64)
         schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in points.schema)}, cell int, reach double"
 
         def home(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -89,11 +109,11 @@ class Cells:
 
         return queries.mapInPandas(visit, queries.schema)
 
-    def search(self, data: DataFrame, queries: DataFrame, answer: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-        """What `answer` says of some queries and the points of a block, for each block that is asked. Both sides have the same columns."""
+    def search(self, data: DataFrame, queries: DataFrame, answer: Callable[[pd.DataFrame, pd.DataFrame, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
+        """What `answer` says of some queries, the points of a block and their vectors, for each block that is asked. Both sides have the same columns."""
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            block, held, points = None, [], None
+            block, held, points, x = None, [], None, None
             for rows in batches:
                 keys = rows[["cell", "salt", "side"]].to_numpy()
                 edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(rows)]
@@ -105,9 +125,11 @@ class Cells:
                     if keys[a, 2] == 0:
                         held.append(rows.iloc[a:b])
                     elif held:
-                        points = pd.concat(held) if points is None else points
+                        if points is None:
+                            points = pd.concat(held)
+                            x = stacked(points.x)
                         for at in range(a, b, QUERIES):
-                            yield answer(rows.iloc[at : min(b, at + QUERIES)], points)
+                            yield answer(rows.iloc[at : min(b, at + QUERIES)], points, x)
 
         both = data.withColumn("side", F.lit(0)).unionByName(queries.withColumn("side", F.lit(1)))
         return both.repartition("cell", "salt").sortWithinPartitions("cell", "salt", "side").mapInPandas(run, schema)
@@ -117,11 +139,16 @@ def core_distances(cells: Cells, k: int, cut: Cut) -> tuple[DataFrame, DataFrame
     """id and core (the distance within which k points are, itself counted), and the nearest (id, other, d) of every point."""
     points = cells.points.select("id", "x", "weight", "cell", "salt").withColumns({"core": F.lit(0.0), "bound": F.lit(0.0)})
 
-    def nearest(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        d = distances(stacked(q.x), stacked(p.x))
-        m = min(k, len(p))
-        at = np.argpartition(d, m - 1, axis=1)[:, :m]
-        return pd.DataFrame({"id": np.repeat(q.id.to_numpy(), m), "d": np.take_along_axis(d, at, 1).ravel(), "other": p.id.to_numpy()[at].ravel(), "w": p.weight.to_numpy()[at].ravel()})
+    def nearest(q: pd.DataFrame, p: pd.DataFrame, xp: np.ndarray) -> pd.DataFrame:
+        xq, m = stacked(q.x), min(k, len(p))
+        d2, off = squares(xq, xp)
+        i, j = np.nonzero(d2 <= np.partition(d2, m - 1, axis=1)[:, m - 1, None] + 2 * off)
+        d = paired(xq, xp, i, j)
+        order = np.lexsort((d, i))
+        i, j, d = i[order], j[order], d[order]
+        first = np.arange(len(i)) - np.searchsorted(i, i) < m
+        i, j, d = i[first], j[first], d[first]
+        return pd.DataFrame({"id": q.id.to_numpy()[i], "d": d, "other": p.id.to_numpy()[j], "w": p.weight.to_numpy()[j]})
 
     def merged(found: DataFrame) -> DataFrame:
         lists = found.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "other", "w"))), 1, k).alias("near"))
@@ -145,15 +172,22 @@ def spanning_tree(cells: Cells, core: DataFrame, near: DataFrame, cut: Cut) -> D
     chosen: list[DataFrame] = []
     best_schema = "comp long, w double, a long, b long, to long"
 
-    def outwards(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        core_p, ids, comp = p.core.to_numpy(), p.id.to_numpy(), p.comp.to_numpy()
-        w = np.maximum(np.maximum(distances(stacked(q.x), stacked(p.x)), q.core.to_numpy()[:, None]), core_p)
-        w[q.comp.to_numpy()[:, None] == comp] = np.inf
-        low = w.min(axis=1)
-        at = np.where(w == low[:, None], ids, np.iinfo(np.int64).max).argmin(axis=1)  # of ties the least id
-        mine = q.id.to_numpy()
-        found = pd.DataFrame({"comp": q.comp.to_numpy(), "w": low, "a": np.minimum(mine, ids[at]), "b": np.maximum(mine, ids[at]), "to": comp[at]})
-        found = found[np.isfinite(low) & (low <= q.bound.to_numpy() + SLACK)]
+    def outwards(q: pd.DataFrame, p: pd.DataFrame, xp: np.ndarray) -> pd.DataFrame:
+        xq, mine, comp_q, core_q = stacked(q.x), q.id.to_numpy(), q.comp.to_numpy(), q.core.to_numpy()
+        limit = q.bound.to_numpy() + SLACK
+        ids, comp, core_p = p.id.to_numpy(), p.comp.to_numpy(), p.core.to_numpy()
+        w2, off = squares(xq, xp)
+        np.maximum(w2, core_p**2, out=w2)
+        np.maximum(w2, core_q[:, None] ** 2, out=w2)
+        w2[comp_q[:, None] == comp] = np.inf
+        with np.errstate(over="ignore"):
+            i, j = np.nonzero((w2 <= np.minimum(w2.min(axis=1), limit**2)[:, None] + 2 * off) & np.isfinite(w2))
+        w = np.maximum(np.maximum(paired(xq, xp, i, j), core_q[i]), core_p[j])
+        i, j, w = i[w <= limit[i]], j[w <= limit[i]], w[w <= limit[i]]
+        order = np.lexsort((ids[j], w, i))  # of a query's ties the least id
+        order = order[np.unique(i[order], return_index=True)[1]]
+        i, j, w = i[order], j[order], w[order]
+        found = pd.DataFrame({"comp": comp_q[i], "w": w, "a": np.minimum(mine[i], ids[j]), "b": np.maximum(mine[i], ids[j]), "to": comp[j]})
         return found.sort_values(["comp", "w", "a", "b"]).drop_duplicates("comp")
 
     def least(found: DataFrame) -> DataFrame:
@@ -316,8 +350,8 @@ def merge_near(centroids: DataFrame, cosine: float = 0.5) -> DataFrame:
     reach = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
     points = cells.points.withColumns({"core": F.lit(0.0), "bound": F.lit(reach)})
 
-    def meets(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        xp, xq, ids = stacked(p.x), stacked(q.x), p.id.to_numpy()
+    def meets(q: pd.DataFrame, p: pd.DataFrame, xp: np.ndarray) -> pd.DataFrame:
+        xq, ids = stacked(q.x), p.id.to_numpy()
         near = xq @ xp.T >= cosine - 1e-12
         parent = list(range(len(ids)))
 

@@ -51,6 +51,21 @@ def plain(ids, x, least):
     return {int(i): (int(v) if v >= 0 else None) for i, v in zip(ids, label, strict=True)}
 
 
+def test_squares_choose_pairs_for_exact_distances():
+    # every pair of a search had its exact distance worked out, whether or not it could be among the nearest
+    r = np.random.default_rng(3)
+    for shift in (0.0, 1e3):  # far from the origin a product's squares are less exact, and say so
+        q, x = r.normal(size=(40, 16)) + shift, r.normal(size=(300, 16)) + shift
+        q[:5] = x[:5]
+        exact, (near, off) = density.distances(q, x), density.squares(q, x)
+        assert (np.abs(near - exact**2) <= off).all()
+        i, j = np.nonzero(near <= np.partition(near, 4, axis=1)[:, 4, None] + 2 * off)
+        assert (density.paired(q, x, i, j) == exact[i, j]).all() and len(i) < 40 * 20
+        for k in range(40):
+            assert (np.sort(density.paired(q, x, i, j)[i == k])[:5] == np.sort(exact[k])[:5]).all()
+
+
+
 def blobs(seed, n, dims=6):
     rnd = np.random.default_rng(seed)
     centres = rnd.normal(0, 4, (5, dims))
