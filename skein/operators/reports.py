@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import at
+from ..session import cut
 
 FACT = "struct<section:string,item:string,n:bigint>"
 
@@ -56,17 +57,22 @@ def almanac(gatherings: DataFrame, messages: DataFrame, photos: DataFrame, threa
     y = F.year(at(F.col("start_ts")))
     now = y == year
     who = F.explode(F.concat(F.array(F.lit(None).cast("string")), F.coalesce("participants", F.array().cast("array<string>"))))
-    seen = gatherings.select("event_id", "start_ts", "source", "place_name", "n_photos", who.alias("person")).where(F.col("person").isNull() | (F.col("person") != self_id))
+    seen = gatherings.select("start_ts", "source", "place_name", who.alias("person")).where(F.col("person").isNull() | (F.col("person") != self_id))
     event = F.col("person").isNull() & now  # once for the event itself, then once for each person
     of_events = facts(
         seen, fact("counts", "events", when=event), fact("counts", "inferred", when=event & (F.col("source") == "messages")), fact("months", F.month(at(F.col("start_ts"))), when=event),
-        fact("top_places", F.col("place_name"), when=event & F.col("place_name").isNotNull()), fact("biggest_event", F.col("event_id"), F.coalesce("n_photos", F.lit(0)), event),
+        fact("top_places", F.col("place_name"), when=event & F.col("place_name").isNotNull()),
         fact("_now", F.col("person"), when=F.col("person").isNotNull() & now), fact("_before", F.col("person"), when=F.col("person").isNotNull() & (y == year - 1)), fact("_ever", F.col("person"), when=F.col("person").isNotNull() & (y < year)),
     )
     of_messages = facts(messages.where("meaningful").where(F.year(at(F.col("ts"))) == year).join(thread_identity, "thread_id", "left"), fact("counts", "messages"), fact("_direct", F.col("canonical_id"), when=F.col("canonical_id").isNotNull() & (F.col("canonical_id") != self_id)))
     of_photos = facts(photos.where(F.year(at(F.col("ts"))) == year), fact("counts", "photos"))
     listed = zeros(gatherings, *(("counts", c) for c in ("events", "inferred", "messages", "photos", "people")), *(("months", str(m)) for m in range(1, 13)), *(("concentration", c) for c in ("people", "all", "top1", "top5")))
-    once = counted(of_events, of_messages, of_photos, listed)
+    # the biggest event is one row, and its people come with it
+    largest = gatherings.where(now).agg(F.min(F.struct((-F.coalesce("n_photos", F.lit(0)).cast("long")).alias("n"), "event_id", "start_ts", "participants")).alias("b")).where("b is not null").select("b.*")
+    there = F.transform(F.filter("participants", lambda p: p != self_id), lambda p: fact("biggest_event_people", p, F.col("start_ts")))
+    biggest = facts(largest, fact("biggest_event", F.col("event_id"), -F.col("n"))).unionByName(largest.select(F.explode(there).alias("_f")).select("_f.*"))
+    # counted once and kept: all that follows reads these few rows, not the tables again
+    once = cut(counted(of_events, of_messages, of_photos, listed).unionByName(biggest))
     # people: what they were in this year, the one before and ever, side by side
     person = F.col("section").isin("_now", "_before", "_ever")
     have = lambda s: F.max(F.when(F.col("section") == s, F.col("n")))
@@ -79,11 +85,9 @@ def almanac(gatherings: DataFrame, messages: DataFrame, photos: DataFrame, threa
     five = F.row_number().over(Window.partitionBy("section").orderBy(F.col("n").desc(), "item"))
     first = direct.withColumn("r", five).where("r <= 5")
     shares = facts(direct, fact("concentration", "people"), fact("concentration", "all", F.col("n"))).unionByName(facts(first, fact("concentration", "top5", F.col("n")), fact("concentration", "top1", F.col("n"), F.col("r") == 1)))
-    whole = counted(once.where(~F.col("section").startswith("_")), of_people, shares)
-    out = tops(whole, {"top_places": 8, "biggest_event": 1})
-    largest = out.where("section = 'biggest_event'").select(F.col("item").alias("event_id"))  # one row
-    there = gatherings.join(F.broadcast(largest), "event_id").select(F.explode("participants").alias("item"), F.col("start_ts").alias("n")).where(F.col("item") != self_id)
-    out = out.unionByName(there.select(F.lit("biggest_event_people").alias("section"), F.lit(None).cast("int").alias("place"), "item", "n"))
+    own = F.col("section") == "biggest_event_people"
+    whole = counted(once.where(~F.col("section").startswith("_") & ~own), of_people, shares)
+    out = tops(whole, {"top_places": 8, "biggest_event": 1}).unionByName(once.where(own).select("section", F.lit(None).cast("int").alias("place"), "item", "n"))
     every = whole.where("section = 'concentration' and item = 'all'").agg(F.max("n").alias("n"))
     names = identities.select(F.col("canonical_id").alias("item"), F.col("display_name").alias("name"))
     shared = F.when(F.col("section") == "concentration", F.when(F.lit(every.scalar()) > 0, F.col("n") / every.scalar()).otherwise(0.0))

@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from skein.operators import aggregates, graph, happenings, joins
+from skein.operators import aggregates, graph, happenings, joins, reports
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
@@ -118,3 +118,18 @@ def test_packets_pair_one_persons_days_only(spark):
     got = graph.context_packet("b", m, threads, ti, members, said, i)
     assert sorted((r["item"], r["n"], r["text"]) for r in got.where("section = 'alongside'").collect()) == [("a", 1, "Ann"), ("c", 2, "Cy")]
     assert not re.search(r"\ba#\d+", plan(got))
+
+
+def test_a_year_is_counted_once(spark):
+    from skein.plans.catalog import QUERIES
+
+    text = plan(QUERIES["q_a12_year"](spark, SF))
+    assert "o_orderkey" not in text and "l_orderkey" not in text
+
+
+def test_the_biggest_event_of_a_year_brings_its_people(spark):
+    g = spark.createDataFrame([("e2", 9, "photos", None, 5, ["b", "me", None]), ("e1", 8, "photos", "x", 5, ["a", "me"]), ("e0", 7, "photos", "x", None, None)], "event_id string, start_ts long, source string, place_name string, n_photos int, participants array<string>")
+    m = spark.createDataFrame([], "ts long, thread_id string, meaningful boolean")
+    i = spark.createDataFrame([("a", "Ann")], "canonical_id string, display_name string")
+    got = {y: sorted(map(tuple, reports.almanac(g, m, m, m.selectExpr("thread_id", "thread_id AS canonical_id"), i, y, "me").where("section LIKE 'biggest%'").select("section", "place", "item", "name", "n").collect())) for y in (1970, 1971)}
+    assert got == {1970: [("biggest_event", 1, "e1", None, 5), ("biggest_event_people", None, "a", "Ann", 8)], 1971: []}
