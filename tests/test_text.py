@@ -1,3 +1,4 @@
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from skein.functions import text as T
@@ -62,3 +63,12 @@ def test_url_keys_are_one_line(spark):
     for n in (1, 56, 57, 58, 200):
         url = ("https://a.example/?~" * 20)[:n]
         assert one(spark, T.url_key(F.col("b")), b=url) == base64.urlsafe_b64encode(url.encode()).decode().rstrip("=")
+
+
+def test_long_texts_are_repaired_in_small_batches(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    long = spark.range(0, 40, 1, 1).select(F.repeat(F.lit("CafÃ© "), 200_000).alias("t"))
+    repaired = long.select(T.repair(F.col("t")).alias("r"))
+    sizes = F.arrow_udf(lambda t: pa.array([len(t)] * len(t), pa.int64()), "long")
+    assert repaired.agg(F.count_if(F.col("r") == F.repeat(F.lit("Café "), 200_000))).first()[0] == 40
+    assert long.select(sizes("t").alias("n")).agg(F.max("n")).first()[0] < 12
