@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import io
 import re
+import tarfile
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import repair
+from ..functions.text import BATCH_BYTES, repair
+from ..session import ship
 from .markup import ACTIVITY, records
 
 APPLE = "uuid string, date string, original_filename string, width int, height int, latitude double, longitude double, albums array<string>, persons array<string>"
@@ -39,9 +44,35 @@ def sidecars(spark: SparkSession, glob: str, media: DataFrame | None = None) ->
     return s.join(first, F.lower("name") == F.col("_k"), "left").drop("_k")
 
 
-def attachments(spark: SparkSession, folder: str, kinds: str = r"\.(jpe?g|png|gif|heic|webp)$") -> DataFrame:
-    """S-21: images below a folder, or files of other kinds, named by the checksum of their content."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where(F.lower("path").rlike(kinds))
+def members(spark: SparkSession, folder: str) -> DataFrame:
+    """Files within the tar archives below a folder, as `binaryFile` has those of folders: path, length and content. An archive is one task's work."""
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.binary()))], ["path", "length", "content"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for path, content in ((p.as_py(), c) for b in batches for p, c in zip(b.column("path"), b.column("content"), strict=True)):
+            rows, held = [], 0
+            with tarfile.open(fileobj=io.BytesIO(content.as_py()), mode="r:", ignore_zeros=True) as tar:
+                for m in tar:
+                    if m.isfile():
+                        rows.append((f"{path}/{m.name}", m.size, tar.extractfile(m).read()))
+                        held += m.size
+                    if held > BATCH_BYTES:
+                        yield batch(rows)
+                        rows, held = [], 0
+            yield batch(rows)
+
+    archives = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return archives.select("path", "content").mapInArrow(run, "path string, length long, content binary")
+
+
+def attachments(spark: SparkSession, folder: str, kinds: str = r"\.(jpe?g|png|gif|heic|webp)$", archives: bool = False) -> DataFrame:
+    """S-21: images below a folder, or files of other kinds, named by the checksum of their content; with `archives`, those within its tar files."""
+    f = members(spark, folder) if archives else spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    f = f.where(F.lower("path").rlike(kinds))
     return f.select(F.sha2("content", 256).alias("hash_sha256"), "path", "length").groupBy("hash_sha256").agg(F.min("path").alias("path"), F.min("length").alias("length"))
 
 

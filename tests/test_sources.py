@@ -1,6 +1,7 @@
 import json
 import sqlite3
 
+import pytest
 from pyspark.sql import functions as F
 
 from skein.sources import chats, mail, media, sinks, tables
@@ -165,3 +166,35 @@ def test_small_threads_are_one_file_each(spark, monkeypatch):
     assert QUERIES["q_s01_s04_chat_json"](spark, sf).count() == spark.read.parquet(f"{sf}/events.parquet").count()
     files = glob.glob(found[0].removeprefix("file://"))
     assert len(files) == len({os.path.dirname(f) for f in files}) > 1
+
+
+def test_attachments_of_archives_and_folders_are_alike(spark, tmp_path):
+    import hashlib
+
+    from skein.plans.q_sources import tar_member
+
+    texts = ["", "a", "é" * 300, "x" * 511, "x" * 512, "y\n\0z", "a"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    rows.select(tar_member(F.concat(F.lit("f"), F.col("i").cast("string"), F.lit(".JPG")), F.col("t")).alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", 3).text(f"{tmp_path}/tars")
+    (tmp_path / "files" / "deep").mkdir(parents=True)
+    for i, t in enumerate(texts):
+        (tmp_path / "files" / "deep" / f"f{i}.JPG").write_bytes(t.encode())
+    (tmp_path / "files" / "note.txt").write_text("no image")
+    want = sorted({(hashlib.sha256(t.encode()).hexdigest(), len(t.encode())) for t in texts})
+    for at, archives in (("tars", True), ("files", False)):
+        got = media.attachments(spark, f"{tmp_path}/{at}", archives=archives)
+        found = sorted(map(tuple, got.select("hash_sha256", "length").collect()))
+        assert found == (want if archives else [w for w in want if w[1]])  # the reader of folders passes over empty files
+
+
+def test_attachment_texts_are_not_a_file_each(spark):
+    import os
+
+    from skein.plans.catalog import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables here")
+    got = QUERIES["q_s21_attachment_images"](spark, sf)
+    n = spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert 0 < len(got.inputFiles()) < n // 50
