@@ -76,14 +76,16 @@ def participants(event_photos: DataFrame, faces: DataFrame) -> DataFrame:
 
 
 def event_messages(gatherings: DataFrame, messages: DataFrame, thread_identity: DataFrame, pad: int = 12 * HOUR, most: int = 200) -> DataFrame:
-    """E-03: meaningful messages with an event's people within twelve hours, the first 200 by time."""
-    people = gatherings.select("event_id", "start_ts", "end_ts", F.explode("participants").alias("canonical_id")).join(thread_identity, "canonical_id").select("event_id", "start_ts", "end_ts", "thread_id").distinct()
+    """E-03: event_id, message_id and ts of meaningful messages with an event's people within twelve hours, the first 200 by time."""
+    people = gatherings.select("event_id", "start_ts", "end_ts", F.explode("participants").alias("canonical_id")).join(thread_identity, "canonical_id").select("event_id", "start_ts", "end_ts", "thread_id")
     bucket = 86_400_000
     spans = people.withColumn("_b", F.explode(F.sequence(F.floor((F.col("start_ts") - pad) / bucket), F.floor((F.col("end_ts") + pad) / bucket))))
     m = messages.where("meaningful").select("id", "ts", "thread_id").withColumn("_b", F.floor(F.col("ts") / bucket))
     hits = m.join(spans, ["thread_id", "_b"]).where((F.col("ts") >= F.col("start_ts") - pad) & (F.col("ts") <= F.col("end_ts") + pad))
-    rank = Window.partitionBy("event_id").orderBy("ts", "id")
-    return hits.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= most).select("event_id", F.col("id").alias("message_id"))
+    # a thread of several of an event's people brings its messages for each: told apart here, where there are fewer rows than people
+    order = Window.partitionBy("event_id").orderBy("ts", "id")
+    ranked = hits.withColumns({"_r": F.dense_rank().over(order), "_before": F.lag("id").over(order)})
+    return ranked.where((F.col("_r") <= most) & (F.col("_before").isNull() | (F.col("_before") != F.col("id")))).select("event_id", F.col("id").alias("message_id"), "ts")
 
 
 def majority_place(event_photos: DataFrame, places: DataFrame) -> DataFrame:
@@ -214,10 +216,10 @@ def event_index(gatherings: DataFrame, event_photos: DataFrame, photos: DataFram
     return gatherings.join(t, "event_id", "left").select("event_id", "start_ts", F.size("participants").alias("people"), "thumb")
 
 
-def event_stream(event_photos: DataFrame, photos: DataFrame, event_messages: DataFrame, messages: DataFrame, gatherings: DataFrame, identities: DataFrame) -> DataFrame:
-    """A-44: an event's photos and messages in order of time, with its people's names (an id stands for whom nobody knows)."""
+def event_stream(event_photos: DataFrame, photos: DataFrame, event_messages: DataFrame, gatherings: DataFrame, identities: DataFrame) -> DataFrame:
+    """A-44: an event's photos and messages (event_id, message_id, ts) in order of time, with its people's names (an id stands for whom nobody knows)."""
     p = event_photos.join(photos.select(F.col("id").alias("photo_id"), "ts"), "photo_id").select("event_id", F.lit("photo").alias("kind"), F.col("photo_id").alias("id"), "ts")
-    m = event_messages.join(messages.select(F.col("id").alias("message_id"), "ts"), "message_id").select("event_id", F.lit("message"), "message_id", "ts")
+    m = event_messages.select("event_id", F.lit("message"), "message_id", "ts")
     who = gatherings.select("event_id", F.explode("participants").alias("canonical_id")).join(identities.select("canonical_id", "display_name"), "canonical_id", "left")
     names = who.groupBy("event_id").agg(F.array_join(F.array_sort(F.collect_list(F.coalesce("display_name", "canonical_id"))), ", ").alias("people"))
     place = F.row_number().over(Window.partitionBy("event_id").orderBy("ts", "kind", "id"))

@@ -43,7 +43,7 @@ def _near(a):
 @query("q_e03_event_messages", f"""WITH g AS ({_NEAR}), p AS (SELECT DISTINCT event_id, start_ts, end_ts, thread_id FROM (SELECT event_id, start_ts, end_ts, unnest(participants) AS canonical_id FROM g) JOIN thread_identity USING (canonical_id))
     SELECT event_id, message_id FROM (SELECT p.event_id, m.id AS message_id, row_number() OVER (PARTITION BY p.event_id ORDER BY m.ts, m.id) AS r FROM p JOIN msgs m ON m.thread_id = p.thread_id AND m.meaningful AND m.ts BETWEEN p.start_ts - {12 * _HOUR} AND p.end_ts + {12 * _HOUR}) WHERE r <= 200""", "pm")
 def _(a):
-    return H.event_messages(_near(a), a.msgs, a.thread_identity)
+    return H.event_messages(_near(a), a.msgs, a.thread_identity).select("event_id", "message_id")
 
 
 @query("q_e04_e05_majority_place", """WITH p AS (SELECT event_id, place_name, city, lat, lng FROM ep JOIN places USING (photo_id)), n AS (SELECT event_id, place_name, city, row_number() OVER (PARTITION BY event_id ORDER BY count(*) DESC, place_name, city NULLS LAST) AS r FROM p GROUP BY 1, 2, 3)

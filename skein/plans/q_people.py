@@ -11,6 +11,7 @@ from ..operators import relations
 from ..operators import reports as R
 from ..operators.aggregates import head_middle_tail, systematic
 from ..operators.joins import by_address
+from ..session import Scratch
 from .catalog import query
 from .fragments import DAY, LATER, NOW
 
@@ -380,7 +381,10 @@ def _(a):
     from ..operators.happenings import event_messages, event_stream
 
     messages = a.msgs.withColumn("ts", F.col("ts") - _BACK)
-    return event_stream(a.ep, a.photos, event_messages(a.gatherings, messages, a.thread_identity), messages, a.gatherings, a.identities)
+    # events are made of orders and lineitems once, not for their photos, messages and names each
+    g = Scratch(a.spark).cut(a.gatherings.select("event_id", "start_ts", "end_ts", "participants"))
+    photos = g.selectExpr("event_id", "'p' || substr(event_id, 2) AS photo_id")
+    return event_stream(photos, a.photos, event_messages(g, messages, a.thread_identity), g, a.identities)
 
 
 @query("q_a45_headings", rf"""WITH r AS (SELECT doc_id AS doc, CAST(generate_subscripts(x, 1) - 1 AS INT) AS line, unnest(x) AS t FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)), m AS (SELECT doc, line, CASE WHEN line % 3 = 0 THEN substr('###', 1, line % 9 // 3 + 1) || ' ' || substr(t, 1, 12) ELSE t END AS t FROM r),

@@ -133,3 +133,20 @@ def test_the_biggest_event_of_a_year_brings_its_people(spark):
     i = spark.createDataFrame([("a", "Ann")], "canonical_id string, display_name string")
     got = {y: sorted(map(tuple, reports.almanac(g, m, m, m.selectExpr("thread_id", "thread_id AS canonical_id"), i, y, "me").where("section LIKE 'biggest%'").select("section", "place", "item", "name", "n").collect())) for y in (1970, 1971)}
     assert got == {1970: [("biggest_event", 1, "e1", None, 5), ("biggest_event_people", None, "a", "Ann", 8)], 1971: []}
+
+
+def test_an_events_messages_keep_their_moments(spark):
+    from skein.plans.catalog import QUERIES
+
+    text = plan(QUERIES["q_a44_event_stream"](spark, SF))
+    assert "message_id" not in "".join(x for x in text.splitlines() if "Join" in x or "Exchange" in x)
+    assert "lineitem" not in text and "l_orderkey" not in text
+
+
+def test_a_thread_of_two_of_an_events_people_counts_once(spark):
+    g = spark.createDataFrame([("e", 0, 9, ["a", "b"])], "event_id string, start_ts long, end_ts long, participants array<string>")
+    ti = spark.createDataFrame([("t", "a"), ("t", "b"), ("u", "a")], "thread_id string, canonical_id string")
+    m = spark.createDataFrame([("m1", 1, "t", True), ("m2", 1, "t", True), ("m3", 2, "u", True), ("m4", 3, "t", True), ("m5", 4, "t", False)], "id string, ts long, thread_id string, meaningful boolean")
+    got = happenings.event_messages(g, m, ti, most=3)
+    assert sorted(map(tuple, got.collect())) == [("e", "m1", 1), ("e", "m2", 1), ("e", "m3", 2)]
+    assert "keys=[event_id" not in plan(got)
