@@ -272,6 +272,7 @@ def face_tables(dets: DataFrame, clusters: DataFrame, labels: DataFrame, identit
     who = named_.where("canonical_id is not null").select("cluster_id", "canonical_id")
     found = dets.join(who, "cluster_id").groupBy("photo_id", "canonical_id").agg(F.min("cluster_id").alias("c")).select("photo_id", "canonical_id", F.concat(F.lit(f"{source}:cluster:"), F.col("c").cast("string")).alias("face_cluster"))
     faces = kept.union(found.join(kept.select("photo_id", "canonical_id"), ["photo_id", "canonical_id"], "left_anti"))
-    shown = faces.select(F.col("photo_id").alias("id")).distinct().withColumn("_f", F.lit(True))
+    # of this source's photos no older faces stay, so those found now are all that they show
+    shown = dets.join(who, "cluster_id").select(F.col("photo_id").alias("id")).distinct().withColumn("_f", F.lit(True))
     flagged = photos.join(shown, "id", "left").withColumn("has_named_face", F.when(F.col("source") == source, F.coalesce("_f", F.lit(False))).otherwise(F.col("has_named_face"))).drop("_f")
     return {"face_clusters": named_, "photo_faces": faces, "photos": flagged}

@@ -150,3 +150,15 @@ def test_a_thread_of_two_of_an_events_people_counts_once(spark):
     got = happenings.event_messages(g, m, ti, most=3)
     assert sorted(map(tuple, got.collect())) == [("e", "m1", 1), ("e", "m2", 1), ("e", "m3", 2)]
     assert "keys=[event_id" not in plan(got)
+
+
+def test_flags_of_photos_need_no_older_faces(spark):
+    dets = spark.createDataFrame([("p1", 1), ("p1", 1), ("p2", 2), ("p3", 1)], "photo_id string, cluster_id int")
+    clusters, labels = spark.createDataFrame([(1, 3), (2, 1)], "cluster_id int, n_faces int"), spark.createDataFrame([(1, "ann"), (2, "skip")], "cluster_id int, label string")
+    people = spark.createDataFrame([("a", "Ann")], "canonical_id string, display_name string")
+    photos = spark.createDataFrame([("p1", "s", False), ("p2", "s", True), ("p3", "o", False), ("p4", "o", True)], "id string, source string, has_named_face boolean")
+    old = spark.createDataFrame([("p2", "z", "old"), ("p4", "z", "old"), ("p3", "a", "old")], "photo_id string, canonical_id string, face_cluster string")
+    got = happenings.face_tables(dets, clusters, labels, people, photos, old, "s")
+    assert sorted(map(tuple, got["photos"].select("id", "has_named_face").collect())) == [("p1", True), ("p2", False), ("p3", False), ("p4", True)]
+    assert sorted(map(tuple, got["photo_faces"].collect())) == [("p1", "a", "s:cluster:1"), ("p3", "a", "old"), ("p4", "z", "old")]
+    assert "Union" not in plan(got["photos"]) and "Union" in plan(got["photo_faces"])
