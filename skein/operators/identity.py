@@ -102,32 +102,40 @@ def _same_first(a: Column, b: Column) -> Column:
     return F.coalesce(same & ((F.size(rest(a)) == 0) | (F.size(rest(b)) == 0) | (rest(a) == rest(b))), F.lit(False))
 
 
-def merge_pairs(people: DataFrame, least: int = 5) -> DataFrame:
+def merge_pairs(people: DataFrame, least: int = 5, block: int = 1000) -> DataFrame:
     """I-06/I-07: people(canonical_id, display_name, aliases, sources, msgs) that may be one, with disjoint sources.
 
     Score 1.0 where any of their names are one or one opens the other, 0.7 where only first names agree. A pair is
     judged in the first bucket of a first name that both are in, buckets being in the order of who has most messages.
     There, several full names make a pair with a single-token side ambiguous. Pairs whose best names have different
     last names are left out.
+
+    A row of a bucket carries the buckets before it, so that a pair is told from one met earlier where it is made, and
+    pairs are neither shuffled nor sorted. A bucket's people are dealt over tasks in blocks of some `block` rows.
     """
-    p = _names(people).withColumn("n_best", F.coalesce(F.size("best.tokens"), F.lit(0)))
-    firsts = p.select("canonical_id", "msgs", F.posexplode("names").alias("at", "x")).select("canonical_id", "msgs", "at", F.get("x.tokens", F.lit(0)).alias("first"))
-    firsts = firsts.where((F.length("first") >= 3) & ~F.col("first").isin(*STOP_FIRST)).groupBy("canonical_id", "msgs", "first").agg(F.min("at").alias("at"))
+    p = _names(people).withColumn("n_best", F.coalesce(F.size("best.tokens"), F.lit(0))).withColumn("opening", F.transform("names", lambda x: F.get(x["tokens"], F.lit(0))))
+    p = cut(p.select("canonical_id", "sources", "msgs", "names", "best", "n_best", "opening"))
+    usable = F.array_distinct(F.filter("opening", lambda f: (F.length(f) >= 3) & ~f.isin(*STOP_FIRST)))
+    firsts = p.withColumn("first", F.explode(usable))
     whole = F.when((F.col("n_best") >= 2) & (F.substring_index("best.norm", " ", 1) == F.col("first")), F.col("best.norm"))
-    buckets = firsts.join(p.select("canonical_id", "best", "n_best"), "canonical_id").groupBy("first").agg(F.min(F.struct(-F.col("msgs"), "canonical_id", "at")).alias("rank"), (F.count_distinct(whole) > 1).alias("several"))
-    known = firsts.where(F.col("msgs") >= least).join(buckets, "first")
-    a, b = known.select("first", "rank", "several", F.col("canonical_id").alias("a")), known.select("first", F.col("canonical_id").alias("b"))
-    pairs = a.join(b, "first").where("a < b").groupBy("a", "b").agg(F.min_by("several", "rank").alias("several"))
-    side = lambda s: p.select(*[F.col(c).alias(c + s) for c in ("canonical_id", "sources", "msgs", "names", "best", "n_best")])
-    j = pairs.join(side("_a"), F.col("a") == F.col("canonical_id_a")).join(side("_b"), F.col("b") == F.col("canonical_id_b")).where(~F.arrays_overlap("sources_a", "sources_b"))
+    buckets = firsts.groupBy("first").agg(
+        F.min(F.struct(-F.col("msgs"), "canonical_id", F.array_position("opening", F.col("first")))).alias("rank"), F.coalesce(F.min(whole) != F.max(whole), F.lit(False)).alias("several"),
+        F.ceil(F.count_if(F.col("msgs") >= least) / block).alias("blocks"),
+    )
+    before = F.collect_list("first").over(Window.partitionBy("canonical_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
+    known = firsts.drop("opening").where(F.col("msgs") >= least).join(buckets, "first").withColumn("before", before)
+    tasks = max(people.sparkSession.sparkContext.defaultParallelism, int(people.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # the result is far larger than what it's made from
+    side = lambda s, k: known.select("first", *[F.col(c).alias(c + s) for c in ("canonical_id", "sources", "msgs", "names", "best", "n_best", "before", "several")], k.alias("_k")).repartition(tasks, "first", "_k")
+    a, b = side("_a", F.pmod(F.xxhash64("canonical_id"), "blocks")), side("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    j = a.join(b, ["first", "_k"]).where("canonical_id_a < canonical_id_b").where(~F.arrays_overlap("sources_a", "sources_b")).where(~F.arrays_overlap("before_a", "before_b"))
     last = lambda s: F.slice(F.split(F.col(f"best{s}.norm"), " "), 2, 1000)
     j = j.where(~((F.col("n_best_a") >= 2) & (F.col("n_best_b") >= 2) & (last("_a") != last("_b"))))
     any_pair = lambda test: F.exists("names_a", lambda x: F.exists("names_b", lambda y: test(x, y)))
     j = j.withColumn("score", F.when(any_pair(_alike), 1.0).when(any_pair(_same_first), 0.7)).where("score is not null")
     win = F.col("msgs_a") >= F.col("msgs_b")
-    pick = lambda a, b: F.when(win, F.col(a)).otherwise(F.col(b))
+    pick = lambda won, lost: F.when(win, F.col(won)).otherwise(F.col(lost))
     single = (F.col("n_best_a") < 2) | (F.col("n_best_b") < 2)
-    return j.select(pick("a", "b").alias("winner"), pick("b", "a").alias("loser"), "score", (F.col("several") & single).alias("ambiguous"))
+    return j.select(pick("canonical_id_a", "canonical_id_b").alias("winner"), pick("canonical_id_b", "canonical_id_a").alias("loser"), "score", (F.col("several_a") & single).alias("ambiguous"))
 
 
 def manual_merges(rules: DataFrame, people: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from skein.operators import aggregates, graph, happenings, joins, reports
+from skein.operators import aggregates, graph, happenings, identity, joins, reports
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
@@ -42,6 +42,21 @@ def test_co_mentions_join_counts_not_rows(spark):
     assert [tuple(r) for r in graph.co_mentioned(m).select("a", "b", "weight").collect()] == [("p0", "p1", 1_000_000)]
 
 
+def test_merge_pairs_are_told_where_they_are_made(spark):
+    import random
+
+    rng = random.Random(5)
+    word = lambda: rng.choice(["robin", "zoe", "kit", "ode"])
+    people = [(f"p{i}", f"{word()} {word()}" if i % 3 else word(), [word() for _ in range(rng.randrange(3))], [rng.choice("abc")], rng.randrange(12)) for i in range(80)]
+    df = spark.createDataFrame(people, "canonical_id string, display_name string, aliases array<string>, sources array<string>, msgs long")
+    got = identity.merge_pairs(df)
+    rows = sorted(map(tuple, got.collect()))
+    assert len({(a, b) for a, b, *_ in rows} | {(b, a) for a, b, *_ in rows}) == 2 * len(rows) > 400  # people of two shared first names are one pair
+    assert rows == sorted(map(tuple, identity.merge_pairs(df, block=7).collect()))
+    above = plan(got).split("_k#")[0]
+    assert "Join" in above and "Aggregate" not in above and "Exchange" not in above and "Sort " not in above  # nothing is done with pairs once they are made
+
+
 def test_samples_of_small_groups_are_whole(spark):
     df = spark.range(5).select(F.lit("g").alias("g"), "id")
     assert aggregates.systematic(df, ["g"], ["id"], 12).count() == 5 and aggregates.stride(df, ["g"], ["id"], 12).count() == 5
