@@ -6,6 +6,8 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -43,71 +45,101 @@ def sessions(stream: DataFrame, gap: str = "6 hours", delay: str = "1 day") -> D
     return timed.groupBy(F.session_window("at", gap).alias("w"), "thread_id").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")).select("thread_id", "n", "first_ts", "last_ts")
 
 
+def _packed(rows: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as out:
+        out.write_table(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all()
+
+
 class Outings(StatefulProcessor):
-    """An owner's photos in the order of their time, and the outing that is open.
+    """The photos of a bucket of owners in the order of their time, and the outings that are open.
 
     Photos wait until the watermark has passed them, so that late ones find their place; a timer at the first that waits takes them on.
     An outing is given up by a timer too, when nothing can join it any more: an owner without photos leaves no state.
+    The state store is asked once for many owners: photos that came together wait as one value, and so do a bucket's open outings.
     """
 
+    PHOTO = pa.schema([("owner", pa.string()), ("id", pa.string()), ("ts", pa.int64()), ("lat", pa.float64()), ("lng", pa.float64())])
+    OPEN = pa.schema([("owner", pa.string()), ("start", pa.int64()), ("lat", pa.float64()), ("lng", pa.float64()), ("n", pa.int64()), ("last", pa.int64())])
+
     def __init__(self, far_km: float, gap_ms: int, move_ms: int):
         self.far_km, self.gap_ms, self.move_ms = far_km, gap_ms, move_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "id string, ts long, lat double, lng double")
-        self.open = handle.getValueState("open", "start long, lat double, lng double, n int, last long")
-
-    def _wake(self, at: int) -> None:
-        for old in self.handle.listTimers():
-            self.handle.deleteTimer(old)
-        self.handle.registerTimer(at)
+        self.waiting = handle.getListState("waiting", "photos binary")
+        self.open = handle.getValueState("open", "outings binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows))[["id", "ts", "lat", "lng"]]
-        new = new[new.ts >= timerValues.getCurrentWatermarkInMs()]  # those before it are too late, and their neighbours gone
-        if new.empty:
-            return iter(())
-        first = int(new.ts.min())
-        old = [r[1] for r in self.waiting.get()] if self.waiting.exists() else []
-        for r in new.itertuples(index=False):
-            self.waiting.appendValue((r.id, int(r.ts), None if pd.isna(r.lat) else float(r.lat), None if pd.isna(r.lng) else float(r.lng)))
-        self._wake(min([first, *old]) + 1)
+        now, first = timerValues.getCurrentWatermarkInMs(), []
+        for new in rows:
+            new = new[new.ts >= now]  # those before it are too late, and their neighbours gone
+            if len(new):
+                first.append(int(new.ts.min()) + 1)
+                self.waiting.appendValue((_packed(pa.Table.from_pandas(new[self.PHOTO.names], self.PHOTO, preserve_index=False)),))
+        timers = list(self.handle.listTimers())
+        if first and not any(t <= min(first) for t in timers):
+            self._wake(min(first), timers)
         return iter(())
 
+    def _wake(self, at: int, instead: list[int]) -> None:
+        for old in instead:
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(at)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         from ..operators.happenings import _km
 
         now = timerValues.getCurrentWatermarkInMs()
-        held = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: (r[1], r[0])) if self.waiting.exists() else []
-        start, lat, lng, n, last = tuple(self.open.get()) if self.open.exists() else (None, 0.0, 0.0, 0, None)
-        out = []
-        for id_, ts, a, b in (r for r in held if r[1] < now):
-            placed = a is not None and b is not None
-            moved = placed and n and ts - last > self.move_ms and _km(lat / n, lng / n, a, b) > self.far_km
-            if start is None or ts - last > self.gap_ms or moved:
-                start, lat, lng, n = ts, 0.0, 0.0, 0
-            if placed:
-                lat, lng, n = lat + a, lng + b, n + 1
-            last = ts
-            out.append((key[0], id_, ts, start))
-        left = [r for r in held if r[1] >= now]
-        self.waiting.put(left) if left else self.waiting.clear()
-        if last is not None and (left or now <= last + self.gap_ms):
-            self.open.update((start, lat, lng, n, last))
-            self._wake(left[0][1] + 1 if left else last + self.gap_ms + 1)
+        held = pa.concat_tables([self.PHOTO.empty_table(), *(_unpacked(r[0]) for r in self.waiting.get())])
+        due, left = held.filter(pc.less(held["ts"], now)), held.filter(pc.greater_equal(held["ts"], now))
+        open_ = {r[0]: r[1:] for r in zip(*_unpacked(self.open.get()[0]).to_pydict().values(), strict=True)} if self.open.exists() else {}
+        photos: dict[str | None, list] = {}
+        for owner, *photo in zip(*(due[c].to_pylist() for c in ("owner", "ts", "id", "lat", "lng")), strict=True):
+            photos.setdefault(owner, []).append(photo)
+        out: tuple[list, ...] = ([], [], [], [])
+        for owner, mine in photos.items():
+            start, lat, lng, n, last = open_.get(owner, (None, 0.0, 0.0, 0, None))
+            mine.sort(key=lambda r: r[:2])
+            for ts, _, a, b in mine:
+                placed = a is not None and b is not None
+                moved = placed and n and ts - last > self.move_ms and _km(lat / n, lng / n, a, b) > self.far_km
+                if start is None or ts - last > self.gap_ms or moved:
+                    start, lat, lng, n = ts, 0.0, 0.0, 0
+                if placed:
+                    lat, lng, n = lat + a, lng + b, n + 1
+                last = ts
+                out[3].append(start)
+            open_[owner] = (start, lat, lng, n, last)
+            out[0].extend([owner] * len(mine))
+            out[1].extend(r[1] for r in mine)
+            out[2].extend(r[0] for r in mine)
+        self.waiting.put([(_packed(left),)]) if left.num_rows else self.waiting.clear()
+        wait = set(left["owner"].to_pylist())
+        kept = {owner: o for owner, o in open_.items() if owner in wait or now <= o[4] + self.gap_ms}
+        wake = [o[4] + self.gap_ms + 1 for o in kept.values() if now <= o[4] + self.gap_ms] + ([pc.min(left["ts"]).as_py() + 1] if wait else [])
+        if kept:
+            self.open.update((_packed(pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*((w, *o) for w, o in kept.items()), strict=True), self.OPEN.types, strict=True)], schema=self.OPEN)),))
         else:
             self.open.clear()
-        yield pd.DataFrame(out, columns=["owner", "id", "ts", "outing"])
+        if wake:
+            self._wake(min(wake), list(self.handle.listTimers()))
+        yield pd.DataFrame(dict(zip(("owner", "id", "ts", "outing"), out, strict=True)))
 
     def close(self) -> None:
         pass
 
 
-def outings(stream: DataFrame, far_km: float = 1.0, gap_ms: int = 6 * 3_600_000, move_ms: int = 3_600_000, delay: str = "1 day") -> DataFrame:
+def outings(stream: DataFrame, far_km: float = 1.0, gap_ms: int = 6 * 3_600_000, move_ms: int = 3_600_000, delay: str = "1 day", buckets: int = 1024) -> DataFrame:
     """T-11: photos(owner, id, ts, lat, lng) with the beginning of their outing, as E-01 tells outings apart, the mean position as state.
 
-    A photo comes out when the watermark has passed it; what is later than the delay is dropped.
+    A photo comes out when the watermark has passed it; what is later than the delay is dropped. Owners share the state of one of
+    some `buckets` keys, as calls to the state store cost far more than the photos of one owner; more of them make smaller states.
     """
     from ..session import ship
 
@@ -115,7 +147,8 @@ def outings(stream: DataFrame, far_km: float = 1.0, gap_ms: int = 6 * 3_600_000,
     ship(spark)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # what timers and lists need
     timed = stream.select("owner", "id", "ts", "lat", "lng", F.timestamp_millis("ts").alias("at")).withWatermark("at", delay)
-    return timed.groupBy("owner").transformWithStateInPandas(Outings(far_km, gap_ms, move_ms), "owner string, id string, ts long, outing long", "Append", "EventTime")
+    keyed = timed.withColumn("bucket", F.pmod(F.xxhash64("owner"), F.lit(buckets)))
+    return keyed.groupBy("bucket").transformWithStateInPandas(Outings(far_km, gap_ms, move_ms), "owner string, id string, ts long, outing long", "Append", "EventTime")
 
 
 class Ledger:

@@ -58,6 +58,60 @@ def test_outings_wait_for_late_photos(spark, tmp_path):
     assert got == {"p0": 0, "p2": 0, "p1": 2 * HOUR, "p3": 20 * HOUR, "p4": 20 * HOUR}
 
 
+def test_outings_ask_the_store_once_for_many_owners():
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    class State:
+        def __init__(self):
+            self.rows, self.calls = [], 0
+
+        def appendValue(self, v):
+            self.calls += 1
+            self.rows.append(v)
+
+        def put(self, vs):
+            self.calls += 1
+            self.rows = list(vs)
+
+        def update(self, v):
+            self.put([v])
+
+        def clear(self):
+            self.rows = []
+
+        def exists(self):
+            return bool(self.rows)
+
+        def get(self):
+            return self.rows if isinstance(self, Many) else self.rows[0]
+
+    class Many(State):
+        pass
+
+    waiting, open_, timers = Many(), State(), set()
+    handle = SimpleNamespace(getListState=lambda *_: waiting, getValueState=lambda *_: open_, listTimers=lambda: iter(sorted(timers)), deleteTimer=timers.discard, registerTimer=timers.add)
+    at = lambda ms: SimpleNamespace(getCurrentWatermarkInMs=lambda: ms)
+    o = spool.Outings(1.0, 6 * HOUR, HOUR)
+    o.init(handle)
+    rows = [(None if k == 7 else f"o{k}", f"p{k}-{j}", T0 + j * 4 * HOUR + (k % 3) * j * 2 * HOUR, 1.0 if j % 2 else None, 0.0) for j in range(9, -1, -1) for k in range(50)]
+    list(o.handleInputRows((0,), iter([pd.DataFrame(rows, columns=["owner", "id", "ts", "lat", "lng"])]), at(T0)))
+    assert waiting.calls == 1 and timers == {T0 + 1}  # one call for 500 photos of 50 owners
+    mid = T0 + 20 * HOUR
+    got = pd.concat(o.handleExpiredTimer((0,), at(mid), None))
+    assert open_.calls == 1 and len(got) == sum(r[2] < mid for r in rows) and min(timers) > mid
+    got = pd.concat([got, *o.handleExpiredTimer((0,), at(T0 + 90 * DAY), None)])
+    want = {}
+    for k in range(50):
+        start = last = None
+        for _, id_, ts, *_ in sorted((r for r in rows if r[1].startswith(f"p{k}-")), key=lambda r: r[2]):
+            start = ts if last is None or ts - last > 6 * HOUR else start
+            want[id_], last = start, ts
+    assert dict(zip(got["id"], got["outing"], strict=True)) == want and len(got) == 500
+    assert not waiting.exists() and not open_.exists()  # owners without photos leave no state
+
+
 def test_outings_agree_with_batch(spark):
     from skein.operators.happenings import cluster
     from skein.plans.catalog import QUERIES, Archive
