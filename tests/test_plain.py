@@ -111,3 +111,30 @@ def test_follow_up(spark):
     assert rows(crm.set_follow_up(people, known, "p2", "call", 9)) == [("p1", "Ann", None, 1), ("p2", "Bob", "x", 1), ("p2", "Bob Birch", "call", 9)]
     with pytest.raises(ValueError):
         crm.set_follow_up(people, known, "nobody", "call", 9)
+
+
+def test_forms_found_at_once_are_those_of_the_trie():
+    import random
+    import re
+
+    import pyarrow as pa
+
+    from skein.operators.writing import Forms, Trie
+
+    rng = random.Random(11)
+    names = ["Ann", "ANN", "Bo", "bO", "Ann Bo", "Élan", "Zoë", "O'Neil", "Mary-Lou", "Ann  Bo", "Ann-", "K\u212aa", "\u212aab", "Éé", "A'", "É ", "Ann Bo Cy", "İda", "Cy", "Éa'", "Bo Ann", "Neil", "K'k", "É É", "Aß", "Straße"]
+    forms = [(f"p{rng.randrange(9)}", f) for f in names for _ in range(2)]
+    bits = [*names, *map(str.lower, names), *map(str.upper, names), " ", " ", " ", "\n", "\r\n", "\r", "_", "-", "'", "x", "é", "\u212a", "9", ""]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(14))) for _ in range(3000)] + [None, "", "\n", "Ann", "Bo", "Ann", " Bo"]
+    for k in range(0, len(texts), 500):
+        part, trie, want = texts[k : k + 500], Trie(forms), {}
+        for at, text in enumerate(part):
+            for number, line in enumerate(re.split(r"\r?\n", text or ""), 1):
+                first = {}
+                for person, a, b in trie.met(line):
+                    first[person] = min(first.get(person, (b - a == 2, a, -b)), (b - a == 2, a, -b))
+                want |= {(person, at, number): line[a:-b] for person, (_, a, b) in first.items()}
+        person, text, line, form = Forms(forms).met(pa.array([*["left out"] * 3, *part], pa.large_string())[3:])
+        got = list(zip(person.to_pylist(), text.tolist(), line.tolist(), form.to_pylist(), strict=True))
+        assert {g[:3]: g[3] for g in got} == want and len(got) == len(want) > 300 * (k < 2500)
+    assert all(len(x) == 0 for x in Forms([]).met(pa.array(["Ann", None], pa.large_string())))
