@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..functions.text import BATCH_BYTES
+from ..session import cut, ship
 from .iterative import components
 
 #: First names that no merge may rest on.
@@ -208,15 +214,99 @@ def saved_merges(rules: DataFrame, people: DataFrame) -> DataFrame:
     return j.select("rule", F.when(F.col("n") == 1, F.col("canonical_id")).alias("canonical_id"), F.when(F.col("n").isNull(), "not-found").when(F.col("n") > 1, "ambiguous").otherwise("ok").alias("state"))
 
 
-def audited(messages: DataFrame, identities: DataFrame, top: int = 60, over: int = 100) -> DataFrame:
-    """I-15's candidates: of the `top` people with most texts, those with over `over` and one source of the two compared: canonical_id, side, first_ts, last_ts.
+def audited(messages: DataFrame, identities: DataFrame, over: int = 100) -> DataFrame:
+    """I-15's candidates: people with over `over` texts and one source, one of the two compared: canonical_id, side, first_ts, last_ts.
 
-    messages are one-to-one ones with canonical_id. The bound keeps the comparison of pairs as small at any size of archive.
+    messages are one-to-one ones with canonical_id. The reference takes the 60 people with most texts only; here all are compared.
     """
     m = messages.where(F.coalesce("body", F.lit("")) != "").groupBy("canonical_id").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
-    m = m.where(F.col("n") > over).orderBy(F.col("n").desc(), "canonical_id").limit(top)
     one = identities.where(F.size("sources") == 1).select("canonical_id", F.get("sources", F.lit(0)).alias("side"))
-    return m.join(one, "canonical_id").where(F.col("side").isin("instagram", "imessage")).select("canonical_id", "side", "first_ts", "last_ts")
+    return m.where(F.col("n") > over).join(one, "canonical_id").where(F.col("side").isin("instagram", "imessage")).select("canonical_id", "side", "first_ts", "last_ts")
+
+
+#: People of the right side that a block holds, of the left that meet a block in one task, and of these at once; thirds and distinct counts in one matrix product.
+HELD, MET, AT_ONCE, COLUMNS, LEVELS = 1024, 8192, 256, 4096, 16
+
+
+def _entries(lists: pa.ListArray) -> tuple[np.ndarray, pa.StructArray]:
+    """The row of each entry of some lists, and the entries."""
+    return np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), lists.flatten()
+
+
+class Signatures:
+    """Signatures of a block, rows by thirds in the order of their names, against which others are held."""
+
+    def __init__(self, lists: pa.ListArray):
+        row, e = _entries(lists)
+        names = pc.unique(e.field("third"))
+        self.names = names.take(pc.sort_indices(names))
+        col = pc.index_in(e.field("third"), value_set=self.names).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.idf = np.zeros(len(self.names))
+        self.idf[col] = e.field("idf").to_numpy()
+        order = np.lexsort((row, col))
+        self.rows, self.row, self.col, self.n = len(lists), row[order], col[order], e.field("n").to_numpy()[order]
+
+    def of(self, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, column and count of the entries of other signatures whose third the block has, by column."""
+        row, e = _entries(lists)
+        col = pc.fill_null(pc.index_in(e.field("third"), value_set=self.names), -1).to_numpy().astype(np.int64)
+        order = np.lexsort((row, col))[np.count_nonzero(col < 0) :]
+        return row[order], col[order], e.field("n").to_numpy()[order]
+
+    def low(self, rows: int, row: np.ndarray, col: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of the lesser weights, and numbers of shared thirds, of all pairs. A lesser count is a sum of steps between the counts that
+        occur, each taken where both counts reach it: a matrix product a step, or a row at a time where the steps are many."""
+        low, shared = np.zeros((rows, self.rows)), np.zeros((rows, self.rows))
+        for start in range(0, len(self.names), COLUMNS):
+            width = min(COLUMNS, len(self.names) - start)
+            a, b, counts = np.zeros((rows, width)), np.zeros((self.rows, width)), []
+            for m, r, c, x in ((a, row, col, n), (b, self.row, self.col, self.n)):
+                i, j = np.searchsorted(c, (start, start + width))
+                m[r[i:j], c[i:j] - start] = x[i:j]
+                counts.append(np.unique(x[i:j]))
+            idf = self.idf[start : start + width]
+            steps = np.union1d(*counts)
+            steps = steps[steps <= min(c.max(initial=0) for c in counts)]
+            shared += (a > 0).astype(np.float64) @ (b > 0).T.astype(np.float64)
+            if len(steps) <= LEVELS:
+                for before, step in zip([0, *steps], steps):
+                    low += (a >= step).astype(np.float64) @ ((b >= step) * (idf * (step - before))).T
+            else:
+                for k in range(rows):
+                    low[k] += np.minimum(b, a[k]) @ idf
+        return low, shared
+
+    def strongest(self, col: np.ndarray, n: np.ndarray, others: np.ndarray, shown: int) -> pa.ListArray:
+        """The names of the `shown` strongest thirds that one signature shares with each of some rows of the block."""
+        at, place = np.full(len(self.names), -1), np.full(self.rows, -1)
+        at[col], place[others] = np.arange(len(col)), np.arange(len(others))
+        kept = (at[self.col] >= 0) & (place[self.row] >= 0)
+        b = np.zeros((len(others), len(col)))
+        b[place[self.row[kept]], at[self.col[kept]]] = self.n[kept]
+        weight = np.minimum(b, n) * self.idf[col]
+        least = -np.partition(-weight, min(shown, len(col)) - 1, axis=1)[:, min(shown, len(col)) - 1, None]
+        i, j = np.nonzero((b > 0) & (weight >= least))
+        order = np.lexsort((j, -weight[i, j], i))
+        i, j = i[order], j[order]
+        first = np.arange(len(i)) - np.searchsorted(i, i) < shown
+        i, j = i[first], j[first]
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(i, np.arange(len(others) + 1)), pa.int32()), self.names.take(pa.array(col[j])))
+
+
+def _alike(left: pa.RecordBatch, right: pa.Table, held: Signatures, least: float, shown: int) -> Iterator[pa.RecordBatch]:
+    """Rows of the pairs of left and right whose weighted Jaccard may come to `least` when rounded."""
+    row, col, n = held.of(left.column("signature"))
+    low, shared = held.low(left.num_rows, row, col, n)
+    total = left.column("total").to_numpy()[:, None] + right.column("total").to_numpy()
+    order = np.argsort(row, kind="stable")
+    row, col, n = row[order], col[order], n[order]
+    for k in range(left.num_rows):
+        others = np.flatnonzero((shared[k] > 0) & (low[k] >= (least - 1e-6) * (total[k] - low[k])))
+        if len(others):
+            i, j = np.searchsorted(row, (k, k + 1))
+            ends = np.minimum(left.column("last_ts")[k].as_py(), right.column("last_ts").to_numpy()[others]) - np.maximum(left.column("first_ts")[k].as_py(), right.column("first_ts").to_numpy()[others])
+            columns = [pa.repeat(left.column("canonical_id")[k], len(others)), right.column("canonical_id").combine_chunks().take(pa.array(others)), shared[k, others].astype(np.int64), low[k, others], total[k, others], ends, held.strongest(col[i:j], n[i:j], others, shown)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], ["a", "b", "shared", "low", "total", "ms", "top"])
 
 
 def third_party_overlap(mention: DataFrame, people: DataFrame, least_signature: int = 5, least: float = 0.10, shown: int = 6) -> DataFrame:
@@ -224,23 +314,48 @@ def third_party_overlap(mention: DataFrame, people: DataFrame, least_signature:
 
     mention(canonical_id, third, n); the weighted Jaccard takes counts times ln((N+1)/df) of N people with mentions, without thirds
     known to max(3, half) of them or more. Signatures have five thirds at least; days of overlap and the strongest thirds come along.
+    Every pair is compared, in blocks of signatures: no row is made for what a pair shares.
     """
-    m = cut(mention.where(F.col("canonical_id") != F.col("third")).join(F.broadcast(people), "canonical_id"))  # as many people as audited() lets through
+    spark = mention.sparkSession
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    m = cut(mention.where(F.col("canonical_id") != F.col("third")).join(people, "canonical_id"))
     everyone = m.agg(F.count_distinct("canonical_id")).scalar()
     size = m.groupBy("canonical_id").agg(F.count("*").alias("k")).where(F.col("k") >= least_signature).select("canonical_id")
     df = m.groupBy("third").agg(F.count_distinct("canonical_id").alias("df")).withColumn("everyone", everyone).where(F.col("df") < F.greatest(F.lit(3), F.ceil(F.col("everyone") / 2)))
     w = m.join(size, "canonical_id").join(df, "third").withColumn("idf", F.log((F.col("everyone") + 1) / F.col("df")))
-    total = w.groupBy("canonical_id").agg(F.sum(F.col("n") * F.col("idf")).alias("total"))
-    w = w.join(total, "canonical_id")
-    side = lambda s, x: w.where(F.col("side") == s).select("third", "idf", *[F.col(c).alias(c + x) for c in ("canonical_id", "n", "total", "first_ts", "last_ts")])
-    j = side("instagram", "_a").join(side("imessage", "_b").drop("idf"), "third").withColumn("low", F.least("n_a", "n_b") * F.col("idf"))
-    j = j.groupBy("canonical_id_a", "canonical_id_b").agg(
-        F.sum("low").alias("low"), F.count("*").alias("shared"), F.any_value(F.col("total_a") + F.col("total_b")).alias("total"), F.any_value(F.least("last_ts_a", "last_ts_b") - F.greatest("first_ts_a", "first_ts_b")).alias("ms"),
-        F.array_sort(F.collect_list(F.struct(-F.col("low"), "third"))).alias("t"),
-    )
+    w = cut(w.groupBy("canonical_id", "side", "first_ts", "last_ts").agg(F.sum(F.col("n") * F.col("idf")).alias("total"), F.collect_list(F.struct("third", "n", "idf")).alias("signature")))
+    count = {r["side"]: r["n"] for r in w.groupBy("side").agg(F.count("*").alias("n")).collect()}
+    blocks, parts = -(-count.get("imessage", 0) // HELD) or 1, -(-count.get("instagram", 0) // MET) or 1
+    own = lambda k: F.pmod(F.xxhash64("canonical_id"), F.lit(k))
+    every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
+    right = w.where("side = 'imessage'").select(own(blocks).alias("block"), every(parts).alias("part"), F.lit(0).alias("_side"), "*")
+    left = w.where("side = 'instagram'").select(every(blocks).alias("block"), own(parts).alias("part"), F.lit(1).alias("_side"), "*")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, block, table = None, [], None, None
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in ("block", "part", "_side")], axis=1)
+            edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(keys)]
+            for i, j in zip(edges, edges[1:]):
+                if i == j:
+                    continue
+                if tuple(keys[i, :2]) != key:
+                    key, held, block = tuple(keys[i, :2]), [], None
+                if keys[i, 2] == 0:
+                    held.append(batch.slice(i, j - i))
+                elif held:
+                    if block is None:
+                        table = pa.Table.from_batches(held)
+                        block = Signatures(table.column("signature").combine_chunks())
+                    for k in range(i, j, AT_ONCE):
+                        yield from _alike(batch.slice(k, min(AT_ONCE, j - k)), table, block, least, shown)
+
+    met = right.unionByName(left).repartition("block", "part").sortWithinPartitions("block", "part", "_side")
+    j = met.mapInArrow(run, "a string, b string, shared long, low double, total double, ms long, top array<string>")
     j = j.withColumn("jaccard", F.round(F.col("low") / (F.col("total") - F.col("low")), 6)).where(F.col("jaccard") >= least)
     days = F.floor(F.greatest(F.lit(0), "ms") / 86_400_000 + 0.5).cast("long")
-    return j.select(F.col("canonical_id_a").alias("a"), F.col("canonical_id_b").alias("b"), "shared", "jaccard", days.alias("overlap_days"), F.array_join(F.transform(F.slice("t", 1, shown), lambda x: x["third"]), ",").alias("top_shared"))
+    return j.select("a", "b", "shared", "jaccard", days.alias("overlap_days"), F.array_join("top", ",").alias("top_shared"))
 
 
 def misclassified_groups(messages: DataFrame, threads: DataFrame, least: int = 3) -> DataFrame:

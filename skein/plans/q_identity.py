@@ -138,7 +138,7 @@ def _(a):
 _THIRD = "SELECT ti.canonical_id, n.mentioned_canonical_id AS third, count(*) AS n FROM mention n JOIN thread_identity ti USING (thread_id) GROUP BY ALL"
 
 
-@query("q_i15_third_party_overlap", f"""WITH c AS (SELECT canonical_id, count(*) AS n, min(ts) AS f, max(ts) AS l FROM pm WHERE coalesce(body, '') <> '' GROUP BY 1 HAVING count(*) > 20 ORDER BY 2 DESC, 1 LIMIT 60), p AS (SELECT c.canonical_id, sources[1] AS side, f, l FROM c JOIN identities USING (canonical_id) WHERE len(sources) = 1 AND sources[1] IN ('instagram', 'imessage')),
+@query("q_i15_third_party_overlap", f"""WITH c AS (SELECT canonical_id, count(*) AS n, min(ts) AS f, max(ts) AS l FROM pm WHERE coalesce(body, '') <> '' GROUP BY 1 HAVING count(*) > 20), p AS (SELECT c.canonical_id, sources[1] AS side, f, l FROM c JOIN identities USING (canonical_id) WHERE len(sources) = 1 AND sources[1] IN ('instagram', 'imessage')),
     m AS (SELECT t.* FROM ({_THIRD}) t JOIN p USING (canonical_id) WHERE t.canonical_id <> third), k AS (SELECT count(DISTINCT canonical_id) AS k FROM m), d AS (SELECT third, count(DISTINCT canonical_id) AS df FROM m GROUP BY 1), z AS (SELECT canonical_id FROM m GROUP BY 1 HAVING count(*) >= 5),
     w AS (SELECT m.*, p.side, p.f, p.l, ln((k.k + 1) / df) AS idf FROM m JOIN z USING (canonical_id) JOIN p USING (canonical_id) JOIN d USING (third), k WHERE df < greatest(3, ceil(k.k / 2))), s AS (SELECT canonical_id, sum(n * idf) AS t FROM w GROUP BY 1),
     j AS (SELECT a.canonical_id AS a, b.canonical_id AS b, third, least(a.n, b.n) * a.idf AS low, greatest(0, least(a.l, b.l) - greatest(a.f, b.f)) AS ms FROM w a JOIN w b USING (third) WHERE a.side = 'instagram' AND b.side = 'imessage')

@@ -177,3 +177,41 @@ def test_flags_of_photos_need_no_older_faces(spark):
     assert sorted(map(tuple, got["photos"].select("id", "has_named_face").collect())) == [("p1", True), ("p2", False), ("p3", False), ("p4", True)]
     assert sorted(map(tuple, got["photo_faces"].collect())) == [("p1", "a", "s:cluster:1"), ("p3", "a", "old"), ("p4", "z", "old")]
     assert "Union" not in plan(got["photos"]) and "Union" in plan(got["photo_faces"])
+
+
+def test_everyone_is_audited(spark):
+    # people past the sixtieth by texts were left out
+    i = spark.createDataFrame([(f"id-{k}", ["instagram", "imessage", "gmail"][k % 3 :][:1]) for k in range(200)], "canonical_id string, sources array<string>")
+    m = spark.range(200 * 4).selectExpr("concat('id-', id % 200) AS canonical_id", "IF(id = 7, '', 'hi') AS body", "id AS ts")
+    got = {r["canonical_id"]: (r["side"], r["first_ts"], r["last_ts"]) for r in identity.audited(m, i, over=3).collect()}
+    assert got == {f"id-{k}": (["instagram", "imessage"][k % 3], k, 600 + k) for k in range(200) if k % 3 < 2 and k != 7}
+
+
+def test_overlaps_of_signatures_in_blocks(spark, monkeypatch):
+    import math
+    import random
+    from collections import Counter
+
+    rng = random.Random(11)
+    for name, value in {"HELD": 5, "MET": 9, "AT_ONCE": 3, "COLUMNS": 7, "LEVELS": 3}.items():
+        monkeypatch.setattr(identity, name, value)
+    people = [(f"p{k}", ["instagram", "imessage"][k % 2], k * 86_400_000, (k + rng.randrange(40)) * 86_400_000) for k in range(40)]
+    m = {(p[0], f"t{t}"): rng.choice([1, 1, 2, 3, 9]) for p in people for t in rng.sample(range(30), rng.randrange(3, 14))}
+    m |= {("p3", "p3"): 5, ("elsewhere", "t1"): 2}
+    mine = {k: n for k, n in m.items() if k[0] != k[1] and k[0] != "elsewhere"}
+    df, size = Counter(t for _, t in mine), Counter(c for c, _ in mine)
+    w = {c: {t: n for (x, t), n in mine.items() if x == c and df[t] < max(3, math.ceil(40 / 2))} for c in size if size[c] >= 5}
+    idf = {t: math.log(41 / n) for t, n in df.items()}
+    want = {}
+    for a, s, lo, hi in people:
+        for b, z, lo2, hi2 in people:
+            if (s, z) == ("instagram", "imessage") and a in w and b in w and (both := w[a].keys() & w[b].keys()):
+                low = {t: min(w[a][t], w[b][t]) * idf[t] for t in both}
+                whole = sum(n * idf[t] for x in (a, b) for t, n in w[x].items())
+                jaccard = round(sum(low.values()) / (whole - sum(low.values())), 6)
+                if jaccard >= 0.1:
+                    want[a, b] = (len(both), jaccard, max(0, (min(hi, hi2) - max(lo, lo2)) // 86_400_000), ",".join(sorted(both, key=lambda t: (-low[t], t))[:6]))
+    frame = spark.createDataFrame([(*k, n) for k, n in m.items()], "canonical_id string, third string, n long")
+    got = identity.third_party_overlap(frame, spark.createDataFrame(people, "canonical_id string, side string, first_ts long, last_ts long"))
+    assert {(r["a"], r["b"]): tuple(r)[2:] for r in got.collect()} == want and len(want) > 50
+    assert "Join" not in plan(got)
