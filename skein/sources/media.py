@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import BATCH_BYTES, repair
 from ..session import ship
-from .markup import ACTIVITY, records
+from .markup import ACTIVITY, streamed
 
 APPLE = "uuid string, date string, original_filename string, width int, height int, latitude double, longitude double, albums array<string>, persons array<string>"
 
@@ -109,8 +109,7 @@ def watch_history(spark: SparkSession, glob: str) -> DataFrame:
 
     The time is the first in the cell's text, day or month first, with an offset from GMT or UTC; other zones' are null.
     """
-    raw = spark.read.text(glob, wholetext=True).withColumn("source", F.input_file_name())
-    r = records(raw, ACTIVITY)
+    r = streamed(spark, glob, ACTIVITY)
     first = lambda pattern: F.get(F.filter("links", lambda x: x["href"].rlike(pattern)), F.lit(0))
     video, channel = first(r"watch\?v=[\w-]+"), first(r"/channel/[\w-]+")
     stamp = F.regexp_extract("text", r"(\d{1,2} [A-Za-z]{3,9} \d{4}, \d{1,2}:\d{2}:\d{2}|[A-Za-z]{3,9} \d{1,2}, \d{4}, \d{1,2}:\d{2}:\d{2} [AP]M) ?(?:GMT[+-]\d{2}:?\d{2}|UTC)", 1)

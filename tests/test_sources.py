@@ -198,3 +198,22 @@ def test_attachment_texts_are_not_a_file_each(spark):
     got = QUERIES["q_s21_attachment_images"](spark, sf)
     n = spark.read.parquet(f"{sf}/documents.parquet").count()
     assert 0 < len(got.inputFiles()) < n // 50
+
+
+def test_a_history_page_is_read_in_pieces(spark, tmp_path):
+    # a page was one row of one task, whatever its size
+    from skein.sources import markup
+
+    cell = '<div class="outer-cell"><div>Watched <a href="https://y.example/watch?v=v{0}">T &amp R{0}</a><br><script>var a = "<div class=outer-cell>&";</script><p>left open<div>5 Jan 2024, 12:00:00 GMT+02:00</div></div></div>'
+    page = "<html><style>div < p</style><DIV><body>" + "".join(cell.format(k) for k in range(300)) + '<div id=x class="a outer-cell"><a href="watch?v=z">Z</a></body><div class="outer-cell"><a href="/watch?v=w">W<script>never &lt; closed <div class="outer-cell">'
+    pieces = ["<div" * bool(n) + x for n, x in enumerate(page.split("<div"))]
+    want = markup.Records(markup.ACTIVITY).read(page)
+    reader, most, got = markup.Records(markup.ACTIVITY), 0, []
+    for r in reader.stream(pieces):
+        got.append(r)
+        most = max(most, len(reader.records))
+    told = lambda rs: [(["".join(t) for _, t in r["links"]], [h for h, _ in r["links"]], "".join(r["text"])) for r in rs]
+    assert told(got) == told(want) and len(want) > 300 and most <= 1
+    (tmp_path / "h.html").write_text(page)
+    out = [tuple(r) for r in media.watch_history(spark, f"{tmp_path}/*.html").collect()]
+    assert out[:2] == [("v0", "T &amp R0", None, None, 1704448800000), ("v1", "T &amp R1", None, None, 1704448800000)] and {"z", "w"} <= {r[0] for r in out}
