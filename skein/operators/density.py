@@ -8,7 +8,7 @@
    rounds, in which every component finds its least edge outwards; edges are ordered by (weight, ids), so ties can't
    make a circle.
 4. Edges in their order merge components: the dendrogram. It's divided at the middle edge, again and again: components of
-   the lower half are trees of their own, and one node each in the upper half; what has at most SUBTREE edges is a task's.
+   the lower half are trees of their own, and one node each in the upper half; what has at most SUBTREE edges is a task's, and so are components, pointers and clusters of at most so many rows.
 5. A merge of two sides of `least` points or more is a split. Points follow their parents to the last split above
    them by doubling steps. Clusters have the stability of what falls out of them, and from the leaves up the more
    stable of a cluster and its parts is picked.
@@ -20,6 +20,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,6 +66,34 @@ def stacked(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
 
+def in_one(df: DataFrame, rule: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """What `rule` makes of a whole table of at most SUBTREE rows, in one task."""
+    ship(df.sparkSession)
+    return df.groupBy().applyInArrow(rule, schema)
+
+
+def joined(edges: DataFrame, cut: Cut) -> DataFrame:
+    """components() of edges(a, b); at most SUBTREE of them are a task's, and need no rounds."""
+    edges = cut(edges.select("a", "b").distinct())
+    if edges.count() > SUBTREE:
+        return components(edges, cut=cut)
+
+    def united(rows: pa.Table) -> pa.Table:
+        parent: dict[int, int] = {}
+
+        def root(n: int) -> int:
+            while parent.setdefault(n, n) != n:
+                parent[n] = n = parent[parent[n]]
+            return n
+
+        for a, b in zip(rows.column("a").to_pylist(), rows.column("b").to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            parent[max(a, b)] = min(a, b)
+        return pa.table({"node": pa.array(list(parent), pa.int64()), "component": pa.array([root(n) for n in list(parent)], pa.int64())})
+
+    return cut(in_one(edges, united, "node long, component long"))
+
+
 class Cells:
     """Points dealt to the cells of their nearest pivot, and cells to blocks.
 
@@ -194,10 +223,10 @@ def spanning_tree(cells: Cells, core: DataFrame, near: DataFrame, cut: Cut) -> D
         return found.groupBy("comp").agg(F.min(F.struct("w", "a", "b", "to")).alias("e")).select("comp", "e.*")
 
     for _ in range(points.count().bit_length() + 1):
-        member = cut(member)
+        placed = cut(points.join(member, "id"))
+        member = placed.select("id", "comp")
         to = member.select(F.col("id").alias("other"), F.col("comp").alias("to"))
         listed = known.join(member, "id").join(to, "other").where("comp <> to").select("comp", "w", F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"), "to")
-        placed = cut(points.join(member, "id"))
         bounded = lambda bound: placed.join(bound.select("comp", F.col("w").alias("bound")), "comp", "left").fillna(float("inf"), ["bound"]).where(f"core <= bound + {SLACK}").select(*placed.columns, "bound")
         data = placed.withColumn("bound", F.lit(0.0))
         first = least(listed)
@@ -206,7 +235,7 @@ def spanning_tree(cells: Cells, core: DataFrame, near: DataFrame, cut: Cut) -> D
         if best.isEmpty():
             break
         chosen.append(best.select("a", "b", "w"))
-        now = components(best.select(F.col("comp").alias("a"), F.col("to").alias("b")), cut=cut)
+        now = joined(best.select(F.col("comp").alias("a"), F.col("to").alias("b")), cut)
         member = member.join(now.withColumnRenamed("node", "comp"), "comp").select("id", F.col("component").alias("comp"))
     else:
         raise RuntimeError("the spanning tree did not close")
@@ -231,8 +260,8 @@ def dendrogram(edges: DataFrame, leaves: DataFrame, cut: Cut) -> DataFrame:
             break
         halves = cut(open_.join(F.broadcast(large.select("tree", "middle")), "tree", "left"))
         low, high = halves.where("rank <= middle"), halves.where("rank > middle").drop("middle")
-        joined = components(low.select(F.col("u").alias("a"), F.col("v").alias("b")), cut=cut)
-        low = low.join(joined.withColumnRenamed("node", "u"), "u")
+        united = components(low.select(F.col("u").alias("a"), F.col("v").alias("b")), cut=cut)
+        low = low.join(united.withColumnRenamed("node", "u"), "u")
         top = low.groupBy("component").agg(F.max("rank").alias("top"))
         each = low.select("component", F.explode(F.array(F.struct(F.col("u").alias("n"), F.col("u_size").alias("s")), F.struct(F.col("v").alias("n"), F.col("v_size").alias("s")))).alias("x")).select("component", "x.*").distinct()
         contracted = cut(each.join(top, "component").join(each.groupBy("component").agg(F.sum("s").alias("whole")), "component").select("n", "top", "whole"))
@@ -266,6 +295,20 @@ def dendrogram(edges: DataFrame, leaves: DataFrame, cut: Cut) -> DataFrame:
 def followed(pointers: DataFrame, cut: Cut, rounds: int = 64) -> DataFrame:
     """(node, up, best) with `up` followed to its end, a node that points at itself, and best the last of those on the way that isn't null."""
     now = cut(pointers)
+    if now.count() <= SUBTREE:
+
+        def end(rows: pa.Table) -> pa.Table:
+            node, up, best = (rows.column(c).fill_null(0).to_numpy() for c in ("node", "up", "best"))
+            known, order = rows.column("best").is_valid().to_numpy(), np.argsort(node)
+            at = order[np.searchsorted(node, up, sorter=order)]
+            for _ in range(rounds):
+                best, known, further = np.where(known[at], best[at], best), known | known[at], at[at]
+                if (further == at).all():
+                    return pa.table({"node": node, "up": node[at], "best": pa.array(best, mask=~known)})
+                at = further
+            raise RuntimeError("pointers did not end")
+
+        return cut(in_one(now, end, "node long, up long, best long"))
     for _ in range(rounds):
         above = now.select(F.col("node").alias("up"), F.col("up").alias("_up"), F.col("best").alias("_best"))
         step = cut(now.join(above, "up").select("node", F.col("_up").alias("up"), F.coalesce("_best", "best").alias("best"), (F.col("_up") != F.col("up")).alias("moved")))
@@ -281,6 +324,21 @@ def picked(clusters: DataFrame, cut: Cut) -> DataFrame:
     A cluster is picked over its parts if its stability is at least the sum of theirs; the root never is.
     """
     tree = cut(clusters.join(clusters.where("parent is not null").groupBy(F.col("parent").alias("cluster")).agg(F.count("*").alias("parts")), "cluster", "left").fillna(0, ["parts"]))
+    if tree.count() <= SUBTREE:
+
+        def upwards(rows: pa.Table) -> pa.Table:
+            stability, parent, parts = ({k: v for k, v in zip(rows.column("cluster").to_pylist(), rows.column(c).to_pylist(), strict=True)} for c in ("stability", "parent", "parts"))
+            ready, sums, value, best = sorted(c for c in parts if not parts[c]), {}, {}, {}
+            for c in ready:  # grows as parts are done
+                value[c] = max(stability[c], sums.get(c, stability[c]))
+                best[c] = c if parent[c] is not None and stability[c] >= sums.get(c, stability[c]) else None
+                if (p := parent[c]) in parts:
+                    sums[p], parts[p] = sums.get(p, 0.0) + value[c], parts[p] - 1
+                    if not parts[p]:
+                        ready.append(p)
+            return pa.table({"node": pa.array(ready, pa.int64()), "up": pa.array([c if parent[c] is None else parent[c] for c in ready], pa.int64()), "best": pa.array([best[c] for c in ready], pa.int64())})
+
+        return followed(in_one(tree, upwards, "node long, up long, best long"), cut).select(F.col("node").alias("cluster"), "best")
     done = cut(tree.where("parts = 0").select("cluster", "parent", F.col("stability").alias("value"), F.lit(True).alias("own")))
     fresh = done
     while not fresh.isEmpty():
@@ -372,8 +430,8 @@ def merge_near(centroids: DataFrame, cosine: float = 0.5) -> DataFrame:
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     links = cells.search(points, points, meets, "a long, b long").union(cells.search(points, cells.asked(points), meets, "a long, b long"))
-    joined = components(links, cut=scratch.cut)
-    return scratch.end(centroids.join(joined.withColumnRenamed("node", "cluster"), "cluster", "left").select("cluster", F.coalesce("component", "cluster").alias("merged")))
+    united = joined(links, scratch.cut)
+    return scratch.end(centroids.join(united.withColumnRenamed("node", "cluster"), "cluster", "left").select("cluster", F.coalesce("component", "cluster").alias("merged")))
 
 
 def face_clusters(dets: DataFrame, least: int = 5, score: float = 0.5, cosine: float = 0.5) -> DataFrame:

@@ -124,3 +124,25 @@ def test_face_clusters(spark):
     for c, r in report.items():
         mine = sorted((i for i, g in got.items() if g == c), key=lambda i: (-score[i], i))
         assert r["n_faces"] == len(mine) and r["exemplar_dets"] == ",".join(map(str, mine[:9])) and r["exemplar_photos"] == ",".join(f"p{i // 2}" for i in mine[:9])
+
+
+def test_small_tables_need_no_rounds(spark, monkeypatch):
+    # components, pointers and clusters took a round of jobs for each step of their depth, however few they were
+    rnd = np.random.default_rng(12)
+    big = 2**60  # not exact as doubles
+    edges = spark.createDataFrame([(big + int(a), big + int(b)) for a, b in rnd.integers(0, 90, (60, 2))], "a long, b long")
+    pointers = spark.createDataFrame([(big + k, big + max(0, k - 1 - k % 3), big + k if k % 7 == 3 else None) for k in range(60)], "node long, up long, best long")
+    clusters = spark.createDataFrame([(big + k, big + (k - 1) // 2 if k else None, float(rnd.integers(1, 9)) * 2.0 ** -(k // 4)) for k in range(40)] + [(5, big + 39, 0.5), (4, big + 39, 0.25)], "cluster long, parent long, stability double")
+    cuts = []
+
+    def cut(df):
+        cuts.append(1)
+        return df.localCheckpoint()
+
+    def told():
+        return [sorted(map(repr, map(tuple, df.collect()))) for df in (density.joined(edges, cut), density.followed(pointers, cut), density.picked(clusters, cut))]
+
+    got, few = told(), len(cuts)
+    monkeypatch.setattr(density, "SUBTREE", 3)
+    cuts.clear()
+    assert got == told() and few <= 8 < len(cuts)
