@@ -98,6 +98,16 @@ def test_rows_of_one_place_are_several_tasks(spark):
     assert got.where("id < rid").count() == 600 * 599 // 2 and got.select("task").distinct().count() > 3
 
 
+def test_rows_of_places_are_dealt_once(spark):
+    # rows of a place and its blocks were dealt to tasks, and then all dealt again by the join
+    d = spark.createDataFrame([(1, 0.0, 0.1 + 0.2), (2, -0.0, 0.3), (3, 0.0, 0.3), (4, 0.5, float("nan")), (5, -0.0009, 0.3)], "id long, lat double, lng double")
+    got = joins.spatial(d, d.toDF("rid", "rlat", "rlng"), block=2)
+    assert sorted(map(tuple, got.where("id < rid").select("id", "rid").collect())) == [(1, 2), (1, 3), (1, 5), (2, 3), (2, 5), (3, 5)]
+    assert sorted(got.columns) == ["id", "lat", "lng", "rid", "rlat", "rlng"]
+    dealt = [x for x in plan(got).splitlines() if "Exchange" in x and "_k#" in x]
+    assert len(dealt) == 2 and all("REPARTITION_BY_NUM" in x for x in dealt)
+
+
 def test_mentions_move_no_rows_where_names_are_few(spark):
     i = spark.createDataFrame([("id-1", "Ann Abel", ["ann@x.example"]), ("id-2", "Ann Birch", []), ("id-3", "Bo (x) Dunn", [])], "canonical_id string, display_name string, aliases array<string>")
     ti = spark.createDataFrame([("t1", "id-1"), ("t1", "id-9")], "thread_id string, canonical_id string")
