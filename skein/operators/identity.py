@@ -293,7 +293,7 @@ class Signatures:
         return pa.ListArray.from_arrays(pa.array(np.searchsorted(i, np.arange(len(others) + 1)), pa.int32()), self.names.take(pa.array(col[j])))
 
 
-def _alike(left: pa.RecordBatch, right: pa.Table, held: Signatures, least: float, shown: int) -> Iterator[pa.RecordBatch]:
+def _pairs_of(left: pa.RecordBatch, right: pa.Table, held: Signatures, least: float, shown: int) -> Iterator[pa.RecordBatch]:
     """Rows of the pairs of left and right whose weighted Jaccard may come to `least` when rounded."""
     row, col, n = held.of(left.column("signature"))
     low, shared = held.low(left.num_rows, row, col, n)
@@ -349,7 +349,7 @@ def third_party_overlap(mention: DataFrame, people: DataFrame, least_signature:
                         table = pa.Table.from_batches(held)
                         block = Signatures(table.column("signature").combine_chunks())
                     for k in range(i, j, AT_ONCE):
-                        yield from _alike(batch.slice(k, min(AT_ONCE, j - k)), table, block, least, shown)
+                        yield from _pairs_of(batch.slice(k, min(AT_ONCE, j - k)), table, block, least, shown)
 
     met = right.unionByName(left).repartition("block", "part").sortWithinPartitions("block", "part", "_side")
     j = met.mapInArrow(run, "a string, b string, shared long, low double, total double, ms long, top array<string>")
